@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+import public_tokenizers
+
+from . import bpe_count, minhash, mixing, packing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +17,23 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), k=3, percent=85)
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op4_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def packing_encoder() -> tuple:
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), packing_encoder())
+
+
+def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_words(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op8_cube_mix": op8_cube_mix}
 
 #: Words by RE2 and list functions; the links by counting common shingles; components by recursion with UNION.
 OP1_SQL = r"""
