@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe_count, minhash, mixing, packing
+from . import bpe_count, minhash, mixing, packing, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,11 @@ def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op8_cube_mix": op8_cube_mix}
+def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op8_cube_mix": op8_cube_mix, "op10_trigram_secrets": op10_trigram_secrets}
 
 #: Words by RE2 and list functions; the links by counting common shingles; components by recursion with UNION.
 OP1_SQL = r"""
