@@ -167,3 +167,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+SMALL_ROWS = 20_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table that is written already; it is broadcast only if it has few rows, counted here, else shuffled."""
+    return df.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, on, how)
