@@ -251,7 +251,8 @@ def secret_digests(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     base = [r.kind for r in rules if r.base]
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     own = F.filter("spans", lambda s: s["kind"].isin(base))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [of(k) for k in base]
     return scan_documents(docs, rules).select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
