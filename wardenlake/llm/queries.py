@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe_count, minhash, mixing, packing, quality_mcd, secret_scan
+from . import bpe_count, langid, minhash, mixing, ordinal, packing, quality_mcd, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +34,32 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), packing_encoder())
 
 
+def op7_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = langid.document_rows(_documents(spark, sf_dir))
+    return langid.identify(rows, langid.train(rows))
+
+
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on web pages, whose markup and addresses speak too; the text model is that of the documents."""
+    model = langid.train(langid.document_rows(_documents(spark, sf_dir)))
+    return langid.identify(langid.page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet")), model).withColumnRenamed("doc_id", "page_id")
+
+
 def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_documents(spark, sf_dir))
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = ordinal.train(docs, ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return ordinal.score(docs, model)
+
+
 def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op8_cube_mix": op8_cube_mix, "op10_trigram_secrets": op10_trigram_secrets}
+QUERIES = {"op1_minhash": op1_minhash, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op7_evidence_fusion": op7_evidence_fusion, "langid_pages": langid_pages, "op8_cube_mix": op8_cube_mix, "op9_ordinal_quality": op9_ordinal_quality, "op10_trigram_secrets": op10_trigram_secrets}
 
 #: Words by RE2 and list functions; the links by counting common shingles; components by recursion with UNION.
 OP1_SQL = r"""
