@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe_count, langid, media_chunks, minhash, mixing, ordinal, packing, quality_mcd, secret_scan
+from . import bpe_count, langid, media_chunks, minhash, mixing, ordinal, packing, quality_mcd, secret_scan, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,12 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), packing_encoder())
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every page's response record its conversion and metadata records; the records themselves as digests."""
+    out = warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return out.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op7_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = langid.document_rows(_documents(spark, sf_dir))
     return langid.identify(rows, langid.train(rows))
@@ -63,7 +70,7 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_gear_chunks": op2_gear_chunks, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op7_evidence_fusion": op7_evidence_fusion, "langid_pages": langid_pages, "op8_cube_mix": op8_cube_mix, "op9_ordinal_quality": op9_ordinal_quality, "op10_trigram_secrets": op10_trigram_secrets}
+QUERIES = {"op1_minhash": op1_minhash, "op2_gear_chunks": op2_gear_chunks, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op6_warc_derivatives": op6_warc_derivatives, "op7_evidence_fusion": op7_evidence_fusion, "langid_pages": langid_pages, "op8_cube_mix": op8_cube_mix, "op9_ordinal_quality": op9_ordinal_quality, "op10_trigram_secrets": op10_trigram_secrets}
 
 #: Words by RE2 and list functions; the links by counting common shingles; components by recursion with UNION.
 OP1_SQL = r"""
