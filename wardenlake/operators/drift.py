@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.special import chi_square_p
 from ..functions.stats import clamp, dual_gate, ks_p_value
 from .multiple_testing import adjust
-from .ordered import RANGES, quantiles, ranked, running
+from .ordered import quantiles, ranges_for, ranked, running
 
 EPSILON = 1e-6
 
@@ -50,8 +50,9 @@ def categorical(df: DataFrame, label: str = "label", keys: Sequence[str] = (), l
     return out.withColumn("status", dual_gate(significant, practical)).drop("__chi2", "k")
 
 
-def ks(long: DataFrame, keys: Sequence[str] = ("feature",), ranges: int = RANGES) -> DataFrame:
+def ks(long: DataFrame, keys: Sequence[str] = ("feature",), ranges: int | None = None) -> DataFrame:
     """keys, n_ref, n_target, ks, p_value: one pass over the distinct pooled values."""
+    ranges = ranges_for(long, keys) if ranges is None else ranges
     ref, target = (~F.col("is_target")).cast("long"), F.col("is_target").cast("long")
     values = long.groupBy(*keys, "value").agg(F.sum(ref).alias("r"), F.sum(target).alias("t"))
     cumulated = running(values, keys, "value", {"cr": F.col("r"), "ct": F.col("t")}, ranges)
@@ -63,8 +64,9 @@ def ks(long: DataFrame, keys: Sequence[str] = ("feature",), ranges: int = RANGES
     return out.withColumn("p_value", p).drop("__distinct")
 
 
-def psi(long: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10, ranges: int = RANGES) -> DataFrame:
+def psi(long: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10, ranges: int | None = None) -> DataFrame:
     """keys, psi, bins: reference quantiles as edges (distinct ones), open ends, smoothed shares. A constant reference gives 0 or 1."""
+    ranges = ranges_for(long, keys) if ranges is None else ranges
     ref = long.where(~F.col("is_target")).select(*keys, "value")
     edges = quantiles(ref, keys, "value", {f"e{i}": i / bins for i in range(bins + 1)}, ranges)
     edges = edges.select(*keys, F.array_sort(F.array_distinct(F.array(*(f"e{i}" for i in range(bins + 1))))).alias("edges"))
@@ -84,10 +86,11 @@ def psi(long: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10, ran
     return out.select(*keys, value.alias("psi"), F.greatest(F.col("n_edges") - 1, F.lit(1)).alias("bins"))
 
 
-def wasserstein(long: DataFrame, keys: Sequence[str] = ("feature",), grid: int = 2000, ranges: int = RANGES) -> DataFrame:
+def wasserstein(long: DataFrame, keys: Sequence[str] = ("feature",), grid: int = 2000, ranges: int | None = None) -> DataFrame:
     """keys, w1: with equal sizes the mean gap of order statistics, else of quantiles on a grid of max(grid, sizes) points.
 
     A grid point needs two neighbouring order statistics of either population, so it meets them by an equality join on their place."""
+    ranges = ranges_for(long, keys) if ranges is None else ranges
     placed = ranked(long, [*keys, "is_target"], "value", "place", ranges)
     sizes = long.groupBy(*keys).agg(F.sum((~F.col("is_target")).cast("long")).alias("n_ref"), F.sum(F.col("is_target").cast("long")).alias("n_target"))
     sizes = sizes.withColumn("g", F.when(F.col("n_ref") == F.col("n_target"), F.col("n_ref")).otherwise(F.greatest(F.lit(grid).cast("long"), "n_ref", "n_target")))
@@ -102,8 +105,9 @@ def wasserstein(long: DataFrame, keys: Sequence[str] = ("feature",), grid: int =
     return out.groupBy(*keys).agg(F.avg(F.abs(q("r", "fr") - q("t", "ft"))).alias("w1"))
 
 
-def features(long: DataFrame, level: float = 0.05, psi_at: float = 0.10, w1_at: float = 0.10, method: str = "bh", ranges: int = RANGES) -> DataFrame:
+def features(long: DataFrame, level: float = 0.05, psi_at: float = 0.10, w1_at: float = 0.10, method: str = "bh", ranges: int | None = None) -> DataFrame:
     """The drift engine over numeric features: KS with a correction over the family, PSI and standardized W1 as effect sizes, dual gate."""
+    ranges = ranges_for(long, ["feature"]) if ranges is None else ranges
     std = long.where(~F.col("is_target")).groupBy("feature").agg(F.stddev_pop("value").alias("std"))
     out = ks(long, ranges=ranges).join(psi(long, ranges=ranges), "feature").join(wasserstein(long, ranges=ranges), "feature").join(std, "feature")
     out = out.withColumn("w1_std", F.when(F.col("std") > 1e-12, F.col("w1") / F.col("std")).otherwise(F.col("w1"))).drop("std")

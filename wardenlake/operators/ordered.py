@@ -12,7 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 32
+ROWS_A_RANGE = 1_000_000
+
+
+def ranges_for(df: DataFrame, keys: Sequence[str]) -> int:
+    """So many ranges that the largest group has about ROWS_A_RANGE rows in each."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return min(4096, -(-largest // ROWS_A_RANGE) or 1)
 
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: str, ranges: int) -> DataFrame:
@@ -28,8 +34,9 @@ def _offsets(df: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> Dat
     return part.select(*keys, "__range", *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column], ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
     """df with a running total for each of sums, up to and with the rows that tie in order."""
+    ranges = ranges_for(df, keys) if ranges is None else ranges
     if ranges <= 1:
         w = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
@@ -39,8 +46,9 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Colu
     return out.withColumns({n: F.sum(c).over(w) + F.col(f"__{n}") for n, c in sums.items()}).drop("__range", *(f"__{n}" for n in sums))
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", ranges: int = RANGES, ties: Sequence[str] = ()) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", ranges: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """df with a place from 0 in each group by order (and ties)."""
+    ranges = ranges_for(df, keys) if ranges is None else ranges
     if ranges <= 1:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties)).cast("long") - 1)
     cut = _ranged(df, keys, order, ranges)
@@ -49,13 +57,14 @@ def ranked(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", r
     return out.withColumn(name, F.row_number().over(w) + F.col("__n") - 1).drop("__range", "__n")
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
     """keys, value, c, below (how many are at most value) for the finite values: one row a distinct value."""
+    ranges = ranges_for(df, keys) if ranges is None else ranges
     finite = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
     return running(finite.groupBy(*keys, value).agg(F.count("*").alias("c")), keys, value, {"below": F.col("c")}, ranges)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], ranges: int = RANGES) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], ranges: int | None = None) -> DataFrame:
     """keys, n and, for each name, the exact quantile with linear interpolation, by order statistics of the distinct values."""
     counts = value_counts(df, keys, value, ranges)
     sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
@@ -69,8 +78,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
     return got.select(*keys, "n", *((F.col(f"__lo_{m}") + (F.col(f"__hi_{m}") - F.col(f"__lo_{m}")) * frac(p)).alias(m) for m, p in probabilities.items()))
 
 
-def median_mad(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
+def median_mad(df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
     """keys, n, median, mad (median absolute deviation, unscaled) over the finite values."""
+    ranges = ranges_for(df, keys) if ranges is None else ranges
     middle = quantiles(df, keys, value, {"median": 0.5}, ranges)
     known = middle.select(*keys, "median")
     apart = df.join(known, list(keys)) if keys else df.crossJoin(F.broadcast(known))  # one row
