@@ -82,7 +82,7 @@ def _text_evidence(tables: np.ndarray, names: list[str]):
     k = len(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "b", 1 << 20):
+        for part in slices(batches, "b", 1 << 18):
             place, doc = windows(*flat(part.column(part.schema.get_field_index("b"))))
             n = np.bincount(doc, minlength=part.num_rows)
             sums = np.stack([np.bincount(doc, t[place], part.num_rows) for t in tables], 1) if k else np.zeros((part.num_rows, 0))
@@ -93,6 +93,41 @@ def _text_evidence(tables: np.ndarray, names: list[str]):
     return run
 
 
+def _dense(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of the lists, zero where a list is null, and which are there."""
+    there = np.array(lists.is_valid())
+    out = np.zeros((len(lists), k))
+    out[there] = np.asarray(lists.flatten()).reshape(-1, k)
+    return out, there
+
+
+def _fuse(langs: list[str], every: np.ndarray, levels: list[str], min_confidence: float):
+    k = len(langs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            guess = np.array(at["guess"].fill_null(-1))
+            own = (guess[:, None] == np.arange(k)).astype(float)
+            rest = np.maximum(every - own, 0)
+            prior = (rest + 1) / (rest.sum(1, keepdims=True) + k)
+            for level in levels:
+                votes, there = _dense(at[level], k)
+                votes = np.maximum(votes - own, 0)
+                prior = np.where(there[:, None], (votes + KAPPA * prior) / (votes.sum(1, keepdims=True) + KAPPA), prior)
+            said, there = _dense(at["of_declared"], k)
+            # rows of a language that declare what this row does, of all rows of that language; one of each is added
+            says = np.where(there[:, None], (np.maximum(said - own, 0) + 1) / (rest + k), 1.0)
+            log = _dense(at["text_log"], k)[0] + np.log(prior) + np.log(says)
+            top = log.argmax(1)
+            confidence = (1 / np.exp(log - log.max(1, keepdims=True)).sum(1)).round(6)
+            some = np.array(at["n_windows"]) > 0
+            columns = [at["doc_id"], at["declared"], pa.array([langs[i] for i in top], pa.string()), pa.array(confidence), pa.array([langs[i] if i >= 0 else None for i in guess], pa.string()), pa.array(some & (confidence >= min_confidence))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "declared", "language", "confidence", "text_language", "kept"])
+
+    return run
+
+
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], min_confidence: float = 0.6) -> DataFrame:
     """For every row of rows (doc_id, text, declared, suffix, domain, host): doc_id, declared, language, confidence, text_language, kept."""
     bound_batches(rows.sparkSession)
@@ -116,25 +151,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], min_confidenc
     said = known.where("declared is not null").groupBy("declared").agg(F.array(*votes).alias("of_declared"))
     out = join_small(out, materialize(said, "votes"), ["declared"], "left")
 
-    own = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce((i == F.col("guess")).cast("double"), F.lit(0.0)))
-    less = lambda counts: F.zip_with(counts, F.col("own"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    out = out.withColumn("own", own).withColumn("all", less(F.array(*(F.lit(x) for x in every))))
-    out = out.withColumn("prior", F.transform("all", lambda x: (x + 1.0) / (add(F.col("all")) + float(k))))
-    for level in LEVELS:
-        out = out.withColumn("c", less(F.col(f"of_{level}"))).withColumn("n", add(F.col("c")))
-        out = out.withColumn("prior", F.when(F.col("c").isNull(), F.col("prior")).otherwise(F.zip_with("c", "prior", lambda a, p: (a + KAPPA * p) / (F.col("n") + KAPPA))))
-    # P(declared | l) = rows of l that declare it, of all rows of l; one row of each is added
-    declares = F.when(F.col("of_declared").isNull(), F.transform("all", lambda x: F.lit(1.0))).otherwise(F.zip_with(less(F.col("of_declared")), "all", lambda d, n: (d + 1.0) / (n + float(k))))
-    out = out.withColumn("declares", declares)
-    logs = F.transform(F.arrays_zip("text_log", "prior", "declares"), lambda x: x["text_log"] + F.log(x["prior"]) + F.log(x["declares"]))
-    out = out.withColumn("log", logs).withColumn("top", F.array_max("log"))
-    out = out.withColumn("confidence", F.round(1.0 / add(F.transform("log", lambda x: F.exp(x - F.col("top")))), 6))
-    name = F.array(*(F.lit(x) for x in langs))
-    return out.select(
-        "doc_id", "declared", F.element_at(name, F.array_position("log", F.col("top")).cast("int")).alias("language"), "confidence",
-        F.element_at(name, F.col("guess") + 1).alias("text_language"), ((F.col("n_windows") > 0) & (F.col("confidence") >= min_confidence)).alias("kept"),
-    )
+    counts = [f"of_{level}" for level in LEVELS]
+    kept = "doc_id " + dict(rows.dtypes)["doc_id"] + ", declared string, language string, confidence double, text_language string, kept boolean"
+    return out.select("doc_id", "declared", "n_windows", "guess", "text_log", *counts, "of_declared").mapInArrow(_fuse(langs, np.array(every), counts, min_confidence), kept)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
