@@ -144,19 +144,26 @@ def _own(blob: bytes, digests: list[bytes], sizes: list[int]) -> dict[bytes, byt
     return out
 
 
+def _kept(row: dict) -> dict[bytes, bytes]:
+    """The chunks that the store holds of a payload: those that no other payload owns."""
+    gone = set(row["borrowed"] or ())
+    return {d: c for d, c in _own(row["blob"], row["digests"], row["sizes"]).items() if d not in gone}
+
+
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with borrowed and lent digests: the borrowed chunks go, the lent ones are set out to be fetched."""
-    lent_type = pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())]))
+    """The store's rows: borrowed chunks go."""
     for batch in batches:
         for part in slices(iter([batch]), "blob"):
-            rows = part.to_pylist()
-            blobs, lent = [], []
-            for r in rows:
-                own, gone = _own(r["blob"], r["digests"], r["sizes"]), set(r["borrowed"] or ())
-                blobs.append(b"".join(c for d, c in own.items() if d not in gone))
-                lent.append([{"digest": d, "chunk": own[d]} for d in r["lent"] or ()])
             keep = ["pid", "digests", "lengths", "sizes", "borrowed"]
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(blobs, pa.binary()), pa.array(lent, lent_type)], [*keep, "blob", "lent"])
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array([b"".join(_kept(r).values()) for r in part.to_pylist()], pa.binary())], [*keep, "blob"])
+
+
+def _lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk that other payloads borrow."""
+    for batch in batches:
+        for part in slices(iter([batch]), "blob"):
+            lent = [(d, own[d]) for r in part.to_pylist() if r["lent"] for own in [_own(r["blob"], r["digests"], r["sizes"])] for d in r["lent"]]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in lent], pa.binary()), pa.array([c for _, c in lent], pa.binary())], ["digest", "chunk"])
 
 
 def _features(data: bytes) -> str:
@@ -171,23 +178,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(iter([batch]), "blob"):
             out: list[list] = [[] for _ in range(8)]
             for r in part.to_pylist():
-                gone = set(r["borrowed"] or ())
-                kept = [(d, n) for d, n in zip(r["digests"], r["sizes"], strict=True) if d not in gone]
-                encoded = _own(r["blob"], [d for d, _ in kept], [n for _, n in kept]) | {x["digest"]: x["chunk"] for x in r["fetched"] or ()}
+                encoded = _kept(r) | {x["digest"]: x["chunk"] for x in r["fetched"] or ()}
                 length = sum(r["lengths"])
                 data = restore(length, r["digests"], r["lengths"], encoded)
                 if (read := hashlib.sha256(data).digest()) != r["pid"]:
                     raise ValueError("the payload read back isn't the one stored")
                 stored = container(length, r["digests"], r["lengths"], encoded)
-                for column, value in zip(out, (r["pid"], len(data), read.hex(), zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"chunks={len(r['digests'])};{_features(data)}", len(gone)), strict=True):
+                for column, value in zip(out, (r["pid"], len(data), read.hex(), zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"chunks={len(r['digests'])};{_features(data)}", len(r["borrowed"] or ())), strict=True):
                     column.append(value)
             kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["pid", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_shared_chunks"])
 
 
-def chunk_store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of docs (doc_id, text): the rows (doc_id, n_bytes, pid), the store (a row for each distinct payload: its list and the chunks it owns) and
-    the loans (pid, digest) of chunks that another payload owns."""
+def chunk_lists(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, text): the rows (doc_id, n_bytes, pid), the distinct payloads (pid, their lists and encoded chunks, the digests they
+    borrow and lend) and the loans (pid, digest)."""
     spark = docs.sparkSession
     bound_batches(spark)
     source = docs.select("doc_id", text_bytes().alias("b"))
@@ -198,20 +203,25 @@ def chunk_store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     borrowed = loans.groupBy("pid").agg(F.collect_list("digest").alias("borrowed"))
     lent = loans.select(F.col("owner").alias("pid"), "digest").distinct().groupBy("pid").agg(F.collect_list("digest").alias("lent"))
     packed = source.select("b").mapInArrow(_encode(True), f"pid binary, {_LISTS}").groupBy("pid").agg(*(F.first(c).alias(c) for c in ("digests", "lengths", "sizes", "blob")))
-    joined = packed.join(borrowed, "pid", "left").join(lent, "pid", "left")
-    store = joined.mapInArrow(_thin, "pid binary, digests array<binary>, lengths array<int>, sizes array<int>, borrowed array<binary>, blob binary, lent array<struct<digest binary, chunk binary>>")
-    return listed.select("doc_id", "n_bytes", "pid"), store, loans.select("pid", "digest")
+    return listed.select("doc_id", "n_bytes", "pid"), packed.join(borrowed, "pid", "left").join(lent, "pid", "left"), loans.select("pid", "digest")
+
+
+def chunk_store(payloads: DataFrame) -> DataFrame:
+    """What is to be written: a row for each distinct payload with its list and the chunks that it owns; every chunk stands once."""
+    return payloads.mapInArrow(_thin, f"pid binary, {_LISTS.replace(', blob', ', borrowed array<binary>, blob')}")
 
 
-def read_media(store: DataFrame, loans: DataFrame) -> DataFrame:
-    """Reads every payload of a store back: pid, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_shared_chunks."""
-    chunks = store.where(F.size("lent") > 0).select(F.explode("lent").alias("x")).select("x.digest", "x.chunk")
+def read_media(payloads: DataFrame, loans: DataFrame) -> DataFrame:
+    """Reads every payload back from the chunks it owns and those it borrows: pid, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature, n_shared_chunks. Lists and chunks meet where the payloads lie already, by pid; only lent chunks travel."""
+    # no filter on lent here: it would sink below the exchange by pid, which then couldn't serve both uses
+    chunks = payloads.mapInArrow(_lend, "digest binary, chunk binary")
     fetched = loans.join(chunks, "digest").groupBy("pid").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
     schema = "pid binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_shared_chunks int"
-    return store.drop("lent").join(fetched, "pid", "left").mapInArrow(_read, schema)
+    return payloads.drop("lent").join(fetched, "pid", "left").mapInArrow(_read, schema)
 
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Stores every text of docs (doc_id, text) as a payload in chunks and reads it back: a row for each row of docs."""
-    rows, store, loans = chunk_store(docs)
-    return rows.join(read_media(store, loans), "pid").drop("pid")
+    rows, payloads, loans = chunk_lists(docs)
+    return rows.join(read_media(payloads, loans), "pid").drop("pid")
