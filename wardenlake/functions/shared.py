@@ -5,15 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again; a temporary folder of our own only where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder of our own only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_own_shared_dir", None)
     if not folder:
         folder = spark.sparkContext._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared_")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written below the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

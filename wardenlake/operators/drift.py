@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialize
 from ..functions.special import chi_square_p
 from ..functions.stats import clamp, dual_gate, ks_p_value
 from .multiple_testing import adjust
@@ -107,6 +108,7 @@ def wasserstein(long: DataFrame, keys: Sequence[str] = ("feature",), grid: int =
 
 def features(long: DataFrame, level: float = 0.05, psi_at: float = 0.10, w1_at: float = 0.10, method: str = "bh", ranges: int | None = None) -> DataFrame:
     """The drift engine over numeric features: KS with a correction over the family, PSI and standardized W1 as effect sizes, dual gate."""
+    long = materialize(long, "features")  # four statistics read it, some of them twice
     ranges = ranges_for(long, ["feature"]) if ranges is None else ranges
     std = long.where(~F.col("is_target")).groupBy("feature").agg(F.stddev_pop("value").alias("std"))
     out = ks(long, ranges=ranges).join(psi(long, ranges=ranges), "feature").join(wasserstein(long, ranges=ranges), "feature").join(std, "feature")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialize
 from ..functions.stats import dual_gate
 from . import drift
 from .multiple_testing import adjust
@@ -54,7 +55,7 @@ def comparisons(windowed: DataFrame, value: str, kind: str = "baseline", baselin
         base = rows.where(F.col("window_index") == baseline).groupBy("value").agg(F.count("*").alias("c")).crossJoin(F.broadcast(targets))  # one row, a number a window
         base = base.select(F.explode("all").alias("target"), F.lit(False).alias("is_target"), "value", F.explode(F.array_repeat(F.lit(1), F.col("c").cast("int"))).alias("__one")).drop("__one")
         both = rows.where(F.col("window_index") != baseline).select(F.col("window_index").alias("target"), F.lit(True).alias("is_target"), "value").union(base)
-    long = both.join(F.broadcast(known), "target")
+    long = materialize(both.join(F.broadcast(known), "target"), "windows")  # four statistics read it, some of them twice
     std = long.where(~F.col("is_target")).groupBy("target").agg(F.stddev_pop("value").alias("std"))
     ranges = ranges_for(long, ["target"])
     out = drift.ks(long, ["target"], ranges).join(drift.psi(long, ["target"], ranges=ranges), "target").join(drift.wasserstein(long, ["target"], ranges=ranges), "target").join(std, "target")

@@ -96,7 +96,7 @@ def stratified_folds(spark, d):
 
 def centroid_oof_probs(spark, d):
     p = _predictions(spark, d)
-    return p.select("sample_id", F.posexplode("probs").alias("class", "p")).select("sample_id", "class", F.round("p", 6).alias("p"))
+    return p.select("sample_id", F.posexplode("probs").alias("class", "p")).select("sample_id", "class", "p")
 
 
 def class_thresholds(spark, d):
@@ -113,7 +113,7 @@ def joint_noise(spark, d):
 
 def label_anomalies(spark, d):
     out = labels.anomalies(_predictions(spark, d), K)
-    return _round(out.select("sample_id", "observed", "latent", "margin", "score", "confidence", "category"), "margin", "score", "confidence")
+    return _round(out.select("sample_id", "observed", "latent", "margin", "score", "confidence", "category").withColumn("confidence", F.round("confidence", 9)), "margin", "score")
 
 
 def transition_rates(spark, d):
@@ -217,7 +217,7 @@ SELECT contributor, category, severity, round(confidence::DOUBLE, 6) AS confiden
 SELECT contributor, family, round(d, 6) AS differential, round(conf, 6) AS confidence, CASE WHEN st = 'UNVERIFIABLE' THEN 'UNVERIFIABLE' WHEN d >= 0.25 THEN 'HIGH_DIFFERENTIAL' WHEN d >= 0.1 THEN 'ELEVATED' ELSE 'WITHIN_BASELINE' END AS status
 FROM b QUALIFY row_number() OVER (PARTITION BY contributor ORDER BY d DESC, family DESC, conf DESC, st DESC) = 1""",
     "stratified_folds": f"WITH {_FOLDS} SELECT vec_id, label, fold FROM f",
-    "centroid_oof_probs": f"WITH {_OOF} SELECT vec_id AS sample_id, cls AS class, round(p, 6) AS p FROM cp",
+    "centroid_oof_probs": f"WITH {_OOF} SELECT vec_id AS sample_id, cls AS class, p FROM cp",
     "class_thresholds": f"WITH {_OOF}, {_TH} SELECT label, round(t, 6) AS t, n FROM th",
     "confident_counts": f"WITH {_OOF}, {_CC} SELECT observed, latent, n FROM cc",
     "joint_noise": f"""WITH {_OOF}, {_CC}, q AS (SELECT c.observed, c.latent, c.n::DOUBLE / sum(c.n) OVER (PARTITION BY c.latent) * coalesce(th.n, 0) / (SELECT count(*) FROM pr) AS q FROM cc c JOIN th ON th.label = c.latent)
@@ -227,7 +227,7 @@ m2 AS (SELECT *, probs[observed + 1] AS op, probs[latent + 1] AS lp, ns[observed
 sy AS (SELECT observed, latent FROM m2 WHERE margin > 0 GROUP BY ALL HAVING count(*)::DOUBLE / max(nc) >= 0.15),
 m3 AS (SELECT m2.*, least(1.0, nc / 20.0) * lp AS raw, CASE WHEN nc <= 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN margin <= 0 THEN 'MODEL_DISAGREEMENT' WHEN nc < 5 THEN 'RARE_CLASS_ANOMALY' WHEN lp >= 0.8 AND op <= 0.2 THEN 'HIGH_CONFIDENCE_ALTERNATIVE_CLASS'
   WHEN sy.observed IS NOT NULL THEN 'CLASS_SYSTEMATIC_ANOMALY' ELSE 'POSSIBLE_LABEL_MISMATCH' END AS category FROM m2 LEFT JOIN sy ON sy.observed = m2.observed AND sy.latent = m2.latent)
-SELECT sample_id, observed, latent, round(margin, 6) AS margin, round(1 / (1 + exp(-5 * margin)), 6) AS score, round(CASE WHEN nc <= 1 OR (margin <= 0 AND lp <= op) THEN 0 WHEN category = 'RARE_CLASS_ANOMALY' THEN raw * 0.5 ELSE raw END, 6) AS confidence, category FROM m3""",
+SELECT sample_id, observed, latent, round(margin, 6) AS margin, round(1 / (1 + exp(-5 * margin)), 6) AS score, round(CASE WHEN nc <= 1 OR (margin <= 0 AND lp <= op) THEN 0 WHEN category = 'RARE_CLASS_ANOMALY' THEN raw * 0.5 ELSE raw END, 9) AS confidence, category FROM m3""",
     "transition_rates": f"""WITH {_OOF}, {_TR}, ce AS (SELECT a.k::INTEGER AS observed, b.k::INTEGER AS latent FROM (SELECT unnest(range(0, 10)) AS k) a, (SELECT unnest(range(0, 10)) AS k) b), w AS (SELECT ce.*, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY ce.observed) AS rs FROM ce LEFT JOIN tr USING (observed, latent))
 SELECT observed, latent, n, round(CASE WHEN rs > 0 THEN n::DOUBLE / rs ELSE (observed = latent)::INTEGER END, 6) AS rate FROM w""",
     "flip_scores": f"""WITH {_OOF}, {_FL} SELECT observed, latent, n, nb AS n_back, round(rate, 6) AS rate, round(asym, 6) AS asymmetry, round(nci, 6) AS nci, round(tfs, 6) AS score, category,
