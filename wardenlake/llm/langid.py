@@ -86,7 +86,7 @@ def _text_evidence(tables: np.ndarray, names: list[str]):
             place, doc = windows(*flat(part.column(part.schema.get_field_index("b"))))
             n = np.bincount(doc, minlength=part.num_rows)
             sums = np.stack([np.bincount(doc, t[place], part.num_rows) for t in tables], 1) if k else np.zeros((part.num_rows, 0))
-            sums *= np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
+            sums = sums * np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]  # bincount of nothing has integers
             lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * k), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [pa.array(n, pa.int64()), lists], [*names, "n_windows", "text_log"])
 
