@@ -27,16 +27,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows with a language that is clear enough."""
     rows = langid.document_rows(docs)
     kept = langid.identify(rows, langid.train(rows)).where("kept")
-    return docs.join(kept.select(F.col("doc_id").alias("__kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    # the ids are the hashed side: whole texts stream by, unsorted
+    ids = kept.select(F.col("doc_id").alias("__kept")).distinct().hint("shuffle_hash")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: that with the least doc_id."""
     kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept")
-    ids = kept.where("doc_id is not null").select("doc_id").distinct()
-    told = docs.withColumn("__text", F.xxhash64("text"))
-    named = told.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "__text"])
-    return named.unionByName(told.where("doc_id is null").dropDuplicates(["__text"])).select(*docs.columns)
+    ids = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows")).hint("shuffle_hash")
+    named = docs.join(ids, "doc_id")
+    # only rows that share a doc_id are looked at for exact copies: all others pass as they are
+    once, often = named.where("__rows = 1"), named.where("__rows > 1").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    none = docs.where("doc_id is null").withColumn("__text", F.xxhash64("text")).dropDuplicates(["__text"])
+    return once.select(*docs.columns).union(often.select(*docs.columns)).union(none.select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
