@@ -12,7 +12,8 @@ Z = {0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within [low, high]; null stays null (least and greatest alone would pass over it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def z_of(confidence: float) -> float:
@@ -23,8 +24,7 @@ def wilson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Colu
     """Rate, lower and upper bound; all 0 without exposure."""
     z = z_of(confidence)
     n = F.when(n > 0, n)
-    p = clamp(k, 0.0, math.inf) / n
-    p = F.least(p, F.lit(1.0))
+    p = clamp(k / n)
     denominator = 1 + z * z / n
     center = (p + z * z / (2 * n)) / denominator
     margin = z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / n + z * z / (4 * n * n))) / denominator
@@ -32,7 +32,7 @@ def wilson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Colu
 
 
 def wilson_lower(p: Column, n: Column, z: float = 1.96) -> Column:
-    p, n = F.least(p, F.lit(1.0)), F.when(n > 0, n)
+    p, n = clamp(p), F.when(n > 0, n)
     value = (p + z * z / (2 * n) - z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / n + z * z / (4 * n * n)))) / (1 + z * z / n)
     return F.when(p > 0, F.coalesce(clamp(value), F.lit(0.0))).otherwise(F.lit(0.0))
 

@@ -1,5 +1,5 @@
 """Registered queries: each module has QUERIES and, for those that SQL can express, SQL."""
 
-from . import assurance_queries, drift_queries, evidence_queries, monitor_queries, system_queries, vector_queries
+from . import assurance_queries, catalogue_queries, drift_queries, evidence_queries, monitor_queries, system_queries, vector_queries
 
-REGISTERED = [drift_queries, monitor_queries, evidence_queries, vector_queries, assurance_queries, system_queries]
+REGISTERED = [drift_queries, monitor_queries, evidence_queries, vector_queries, assurance_queries, system_queries, catalogue_queries]

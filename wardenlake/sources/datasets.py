@@ -78,7 +78,7 @@ def read_yolo(spark: SparkSession, root: str, classes: list[str] = ()) -> tuple[
     """samples, annotations, faults: a label line is class, center and size in shares of the image; unknown classes get a name."""
     files = list_files(spark, root, content=True)
     images = image_headers(files.where(F.lower("relative_path").rlike(rf"^images/.*\.({'|'.join(IMAGE_SUFFIXES)})$"))).withColumn("stem", F.regexp_extract("relative_path", r"^images/(.*)\.[^.]+$", 1))
-    lines = files.where(F.lower("relative_path").rlike(r"^labels/.*\.txt$")).select(F.regexp_extract("relative_path", r"^labels/(.*)\.[^.]+$", 1).alias("stem"), F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), r"\r?\n")).alias("line", "text")).where("trim(text) <> ''")
+    lines = files.where(F.lower("relative_path").rlike(r"^labels/.*\.txt$")).select(F.regexp_extract("relative_path", r"^labels/(.*)\.[^.]+$", 1).alias("stem"), F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("line", "text")).where("trim(text) <> ''")
     t = F.split(F.trim("text"), r"\s+")
     v = [F.get(t, F.lit(i)).try_cast("double") for i in range(5)]
     parsed = lines.select("stem", "line", F.size(t).alias("n"), v[0].cast("int").alias("k"), *(x.alias(c) for x, c in zip(v[1:], ("cx", "cy", "bw", "bh"), strict=True)))
