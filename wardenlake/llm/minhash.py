@@ -246,6 +246,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     root = components(links)
     label = nodes.select("node", "doc_id").join(root, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = root.join(label, "root").select("node", "component_id").union(nodes.join(root, "node", "left_anti").select("node", F.col("doc_id").alias("component_id")))
+    of_node = materialize(of_node, "components")  # then both sides of the last join are plain shuffles, and a hot group of copies can be split
     done = sketch.select("doc_id", "node", "n_shingles").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return done.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
