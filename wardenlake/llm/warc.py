@@ -22,7 +22,6 @@ import html
 import re
 import uuid
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,53 +90,47 @@ def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
             at += 2
 
 
-class _Text(HTMLParser):
-    """Plain text: block elements end lines, scripts and styles go."""
+BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
+HIDDEN = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "template", "noscript")}
+#: A comment, declaration or tag. Quantifiers are possessive, so that no page makes the search go back and forth.
+_TOKEN = re.compile(r"<!--.*?-->|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_VALUE = {n: re.compile(rf"(?:^|\s){n}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I) for n in ("href", "lang")}
 
-    BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
-    HIDDEN = frozenset(("script", "style", "template", "noscript"))
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+class PlainText:
+    """A page's text in one pass over its tags: block elements end lines, scripts and styles go. A tag that never closes is text."""
+
+    def __init__(self, page: str) -> None:
         self.out: list[str] = []
         self.title: list[str] = []
         self.links: list[str] = []
-        self.lang, self.hidden, self.in_title = "", "", False
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.hidden:
-            return
-        if tag in self.HIDDEN:
-            self.hidden = tag
-        elif tag == "title":
-            self.in_title = True
-        elif tag == "a":
-            self.links += [v for k, v in attrs if k == "href" and v]
-        elif tag == "html":
-            self.lang = next((v for k, v in attrs if k == "lang" and v), "")
-        if tag in self.BLOCKS:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == self.hidden:
-            self.hidden = ""
-        elif not self.hidden:
-            self.in_title &= tag != "title"
-            if tag in self.BLOCKS:
+        self.lang, at, into = "", 0, self.out
+        while m := _TOKEN.search(page, at):
+            if m.start() > at:
+                into.append(html.unescape(page[at : m.start()]))
+            at = m.end()
+            if not m[2]:
+                continue
+            closing, tag = m[1], m[2].lower()
+            if not closing and tag in HIDDEN:
+                end = HIDDEN[tag].search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            if tag in BLOCKS:
                 self.out.append("\n")
+            if tag == "title":
+                into = self.out if closing else self.title
+            elif not closing and tag == "a" and (v := self._value("href", m[3])):
+                self.links.append(v)
+            elif not closing and tag == "html":
+                self.lang = self._value("lang", m[3]) or self.lang
+        if at < len(page):
+            into.append(html.unescape(page[at:]))
 
-    def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-        elif not self.hidden:
-            self.out.append(data)
-
-
-def plain_text(page: str) -> _Text:
-    parser = _Text()
-    parser.feed(page)
-    parser.close()
-    return parser
+    @staticmethod
+    def _value(name: str, attributes: str) -> str:
+        m = _VALUE[name].search(attributes)
+        return html.unescape(m[1] or m[2] or m[3] or "") if m else ""
 
 
 def tidy(text: str) -> str:
@@ -173,7 +166,7 @@ def derive(data: bytes) -> list[tuple[str, list[tuple[str, str]], bytes, bytes]]
     except LookupError:
         page = body.decode("utf-8", "replace")
     kind = field(http, "Content-Type").partition(";")[0].strip().lower()
-    found = plain_text(page if "html" in kind or not kind else html.escape(page))
+    found = PlainText(page if "html" in kind or not kind else html.escape(page))
     text = tidy("".join(found.out)).encode()
     ids = {t: record_id(source, t) for t in ("conversion", "metadata")}
     common = [("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
