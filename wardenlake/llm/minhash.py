@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = materialize(member.join(bucket, "key").select("key", "m", "hub", "node"), "shared")
     in_any = shared.select("node").distinct()
     texts = materialize(
-        source.mapInArrow(_sketch(k, False), "node binary, b binary").where("node is not null").join(in_any, "node", "left_semi").groupBy("node").agg(F.first("b").alias("b")), "texts"
+        # a task's copies become one row before the shuffle, however hot their group is
+        source.mapInArrow(_sketch(k, False), "node binary, b binary").where("node is not null").groupBy("node").agg(F.first("b").alias("b")).join(in_any, "node", "left_semi"), "texts"
     )
 
     sig = nodes.select("node", "sig")
