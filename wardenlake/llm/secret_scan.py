@@ -45,11 +45,21 @@ class Rule:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.either_case else 0))
 
 
+# A key is its header and all up to its END line, with no other BEGIN or END line in between. Where that is missing it is the fields and the lines of
+# base64 that follow (16 characters at least; a shorter one as the last, and a checksum). Line breaks may be written as escapes, quoted, indented or lost.
+_KEY = r"(?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_GAP = r"""(?:\\[nrt]|[\s>"'#*,|])"""
+_NEXT = r"""(?:[\x20\t"',]*+(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t>"'#*,|]*+){1,2}"""
+_FIELD = rf"{_GAP}*+(?:Proc-Type|DEK-Info|Content-Domain|Version|Comment|MessageID|Hash|Charset|X-[A-Za-z-]+):[^\r\n\\]*+"
+_LAST = rf"""{_GAP}++[A-Za-z0-9+/]+={{1,2}}(?![A-Za-z0-9+/=])|{_NEXT}[A-Za-z0-9+/]+(?=[\x20\t"',]*+(?:[\r\n]|\\[nr]|\Z))"""
+_LINES = rf"(?:{_FIELD})*+(?:{_GAP}++[A-Za-z0-9+/]{{16,}}={{0,2}})*+(?:{_LAST})?+(?:{_NEXT}=[A-Za-z0-9+/]{{4}})?+"
+_PRIVATE_KEY = rf"-----BEGIN {_KEY}(?:(?:[^-]+|-(?!----(?:BEGIN|END) ))*+-----END {_KEY}|{_LINES})"
+
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, False, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, False, True),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
