@@ -180,6 +180,23 @@ def test_lineage_worked_example(spark):
         risk.propagate(nodes, edges.union(spark.createDataFrame([("b", "a", 1.0)], edges.schema)))
 
 
+def test_long_chains_are_whole(spark):
+    n = 100
+    nodes = spark.createDataFrame([(f"n{i}", 0.5) for i in range(n)], "node string, risk double")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(n - 1)], "src string, dst string, weight double")
+    want = [0.5]
+    for _ in range(n - 1):
+        want.append(round(1 - 0.5 * (1 - risk.GAMMA * want[-1]), 6))
+    got = {r["node"]: r["effective"] for r in risk.propagate(nodes, edges).collect()}
+    assert len(got) == n and all(abs(got[f"n{i}"] - x) < 3e-6 for i, x in enumerate(want))
+    few = spark.createDataFrame([(None,), ("a",), ("b",)], "node string")
+    assert {tuple(r) for r in risk.levels(few, spark.createDataFrame([("a", "b")], "src string, dst string")).collect()} == {(None, 0), ("a", 0), ("b", 1)}
+    # a ring at the far end stops too
+    ring = edges.union(spark.createDataFrame([("n3", "n0", 1.0)], edges.schema))
+    last = nodes.where(f"node = 'n{n - 1}'")
+    assert [r["node"] for r in risk.ancestors(ring, last).orderBy(F.substring("node", 2, 9).cast("int")).collect()] == [f"n{i}" for i in range(n - 1)]
+
+
 def test_proof_is_never_attenuated(spark):
     e = [("p", "MODEL_INTEGRITY", "1", "PROOF", "critical", 1.0, "a", "s", None, None, None, None), ("p", "DATASET_INTEGRITY", "2", "DETECTION", "critical", 1.0, "a", "t", None, None, None, None), ("p", "MODEL_INTEGRITY", "3", "DETECTION", "critical", 1.0, "b", "u", None, None, None, None)]
     names = "project_id string, domain string, evidence_id string, layer string, severity string, confidence double, asset_id string, sample_id string, dataset_version_id string, model_fingerprint string, window_id string, source_id string"

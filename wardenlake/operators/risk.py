@@ -6,7 +6,7 @@ ancestry columns sample_id, dataset_version_id, model_fingerprint, window_id, so
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,20 +109,22 @@ def check_graph(nodes: DataFrame, edges: DataFrame, most_branches: int = 100) ->
     return one("DANGLING_EDGE", dangling).union(one("SELF_LOOP", edges.where("src = dst"))).union(one("TOO_MANY_BRANCHES", wide))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """node, level: the longest way from a root, by peeling (Kahn). Nodes in or behind a cycle have a null level."""
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, level: the longest way from a root, by peeling (Kahn) until no node is free. Nodes in or behind a cycle have a null level."""
     left = materialize(nodes.select("node").distinct(), "nodes")
     live = materialize(edges.select("src", "dst").distinct(), "edges")
     done = None
-    for k in range(most):
+    for k in count():
         free = left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
         now = materialize(free.withColumn("level", F.lit(k)), "level")
         if not now.limit(1).count():
             break
         done = now if done is None else done.union(now)
-        gone = now.select("node")
-        left = materialize(left.join(gone, "node", "left_anti"), "nodes")
-        live = materialize(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti"), "edges")
+        if k % 50 == 49:  # the plan of a long chain stays small
+            done = materialize(done, "levels")
+        gone = now.select(F.col("node").alias("src"))
+        left = materialize(left.join(gone, F.col("node").eqNullSafe(F.col("src")), "left_anti"), "nodes")  # a null node goes too, or the rounds wouldn't end
+        live = materialize(live.join(gone, "src", "left_anti"), "edges")
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.union(rest)
 
@@ -157,11 +159,11 @@ def chain_paths(assets: DataFrame, edges: DataFrame, depth: int = DEPTH, gamma:
     return out.select("path", (F.size("path") - 1).alias("hops"), F.round(clamp(1 - F.col("keep")), 6).alias("score"))
 
 
-def ancestors(edges: DataFrame, start: DataFrame, most: int = 16) -> DataFrame:
-    """start, node of everything upstream of the start nodes."""
+def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """start, node of everything upstream of the start nodes: rounds go on until one finds nothing new."""
     seen = materialize(start.select(F.col("node").alias("start"), "node"), "seen")
     frontier = seen
-    for _ in range(most):
+    while True:
         step = frontier.join(edges.select(F.col("dst").alias("node"), "src"), "node").select("start", F.col("src").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         frontier = materialize(step, "frontier")
         if not frontier.limit(1).count():
