@@ -213,6 +213,26 @@ def test_policy_missing_number_is_zero(spark):
     assert [risk.apply_policy(df.withColumn("risk", F.lit(x)), []).first()["decision"] for x in (0.0, 0.3, 0.65, 0.85, 1.0)] == ["ACCEPT", "REVIEW", "QUARANTINE", "REJECT", "REJECT"]
 
 
+def test_permutation_mmd_takes_every_row(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0, 1, (5300, 2)), rng.normal(0.02, 1, (5200, 2))
+    x, y = (spark.createDataFrame([(v,) for v in t.tolist()], "v array<double>") for t in (a, b))
+    r = vectors.permutation_mmd(x, y, 0.5, permutations=20).first()
+    assert abs(r["observed"] - vectors.mmd_rbf(x, y, 0.5)) < 1e-9  # of the whole tables
+    far = spark.createDataFrame([(v,) for v in (a[:60] + 2).tolist()], x.schema)
+    assert vectors.permutation_mmd(x.limit(50), far, 0.5).first()["p_value"] == 1 / 101
+
+
+def test_keyed_places_are_permutations():
+    for n in (1, 2, 3, 10, 64, 65, 1000):
+        at = vectors._places(np.arange(n), n, np.arange(40, dtype=np.uint64))
+        assert all(sorted(at[:, k].tolist()) == list(range(n)) for k in range(40))
+    at = vectors._places(np.arange(20), 20, np.arange(4000, dtype=np.uint64)) < 10
+    assert abs(at.mean(1) - 0.5).max() < 0.04  # each row is as often on either side
+    together = (at[:, None, :] == at[None, :, :]).mean(2)[np.triu_indices(20, 1)]
+    assert abs(together - 9 / 19).max() < 0.04  # and so is each pair
+
+
 def test_permutation_gate(spark):
     few = spark.createDataFrame([("c", 1, 0, 0)] * 9, "candidate string, trigger int, shuffled int, noise int")
     assert paired.permutation_test(few, ["candidate"]).first()["p_value"] is None
