@@ -99,6 +99,21 @@ def test_chunks_are_shared_and_lists_restore():
     assert all(media_chunks.LEAST <= len(c) <= media_chunks.MOST for c in chunks[0][:-1])
 
 
+def test_op2_reads_the_stored_form(monkeypatch):
+    texts = [random.Random(3).randbytes(30000), b"", b"a b " * 5000]
+    [lists] = media_chunks._encode(True)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["b"])]))
+    none = pa.nulls(len(texts), pa.list_(pa.binary()))
+    batch = pa.RecordBatch.from_arrays([*lists.columns, none, none], [*lists.schema.names, "borrowed", "fetched"])
+    whole, made = media_chunks.container, []
+    monkeypatch.setattr(media_chunks, "container", lambda *a: made.append(whole(*a)) or made[-1])
+    [out] = media_chunks._read(iter([batch]))
+    assert [media_chunks.decode(x) for x in made] == [media_chunks.payload(t) for t in texts]
+    assert out["media_bytes"].to_pylist() == [len(x) for x in made]
+    monkeypatch.setattr(media_chunks, "container", lambda *a: whole(*a)[:20] + b"?" + whole(*a)[21:])  # a digest in the list
+    with pytest.raises(ValueError, match="damaged"):
+        next(media_chunks._read(iter([batch])))
+
+
 def test_shared_chunks_are_borrowed(spark):
     rng = random.Random(2)
     block = " ".join(f"x{rng.randrange(10**6)}" for _ in range(3000))

@@ -180,10 +180,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in part.to_pylist():
                 encoded = _kept(r) | {x["digest"]: x["chunk"] for x in r["fetched"] or ()}
                 length = sum(r["lengths"])
-                data = restore(length, r["digests"], r["lengths"], encoded)
+                stored = container(length, r["digests"], r["lengths"], encoded)
+                data = decode(stored)
                 if (read := hashlib.sha256(data).digest()) != r["pid"]:
                     raise ValueError("the payload read back isn't the one stored")
-                stored = container(length, r["digests"], r["lengths"], encoded)
                 for column, value in zip(out, (r["pid"], len(data), read.hex(), zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"chunks={len(r['digests'])};{_features(data)}", len(r["borrowed"] or ())), strict=True):
                     column.append(value)
             kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
