@@ -52,7 +52,7 @@ class PieceCounter:
 
     def merge(self, text: str) -> int:
         """Tokens of one stretch of symbols."""
-        n, rank = len(text), self.rank
+        n, rank, merges = len(text), self.rank, 0
         part: list[str | None] = list(text)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, 2) for i in range(n - 1) if (r := rank.get(part[i] + part[i + 1])) is not None]
@@ -63,6 +63,7 @@ class PieceCounter:
             if a is None or (j := right[i]) >= n or len(a) + len(part[j]) != size:
                 continue  # one of the two was merged meanwhile
             part[i], part[j] = (a := a + part[j]), None
+            merges += 1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
@@ -70,9 +71,8 @@ class PieceCounter:
                     heappush(heap, (r, i, size + len(part[k])))
             if (h := left[i]) >= 0 and (r := rank.get(part[h] + a)) is not None:
                 heappush(heap, (r, h, len(part[h]) + size))
-        if not self.fallback:
-            return sum(p is not None for p in part)
-        return sum(1 if len(p) > 1 or p in rank else len(p.encode("utf-8", "surrogatepass")) for p in part if p is not None)
+        more = sum(len(p.encode("utf-8", "surrogatepass")) - 1 for p in part if p is not None and len(p) == 1 and p not in rank) if self.fallback else 0
+        return n - merges + more
 
     def count(self, text: str) -> int:
         if not text:
