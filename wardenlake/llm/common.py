@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,11 +18,13 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, a temporary one, but only if the master is this very process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(spark.sparkContext, "_own_shared_dir", None)
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             found = "file://" + tempfile.mkdtemp(prefix="shared_")
             spark.sparkContext._own_shared_dir = found
     return found
@@ -30,7 +34,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again, so that lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize wrote for df, once nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each made longer until it clashes with no taken one (Spark compares them without case)."""
+    low, out = {x.lower() for x in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -79,33 +102,9 @@ def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _byte_values(lower: bool) -> np.ndarray:
-    values = np.random.default_rng(20260701).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    if lower:
-        values[65:91] = values[97:123]
-    return values
-
-
-_VALUES = {flag: _byte_values(flag) for flag in (False, True)}
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int, name: str) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    got = _powers.get(name)
-    if got is None or len(got) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
-        got = np.full(size, base, np.uint64)
-        got[0] = 1
-        np.multiply.accumulate(got, out=got)
-        if size > 4 * SLICE_BYTES:  # one very long text: don't keep its table
-            return got
-        _powers[name] = got
-    return got
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+LONG_WORD = 64  # bytes; longer words are hashed by blake2b
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,13 +133,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over random byte values by prefix sums, then mixed with the length."""
+    """A 64-bit hash of each word: its stretches of 8 bytes are mixed in one after another, so that it isn't linear in the bytes."""
+    h = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[lower][data] * _power(_BASE, len(data), "up")[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(_BASE_INVERSE, len(data), "down")[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return h
+    padded = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    stretch = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    now = np.arange(len(starts))
+    for at in range(0, LONG_WORD, 8):
+        left = ends[now] - starts[now] - at
+        now, left = now[left > 0], left[left > 0]
+        if not len(now):
+            break
+        part = stretch[starts[now] + at].view("<u8").ravel()
+        part &= np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - np.minimum(left, 8).astype(np.uint64)) * np.uint64(8))
+        h[now] = mix((h[now] ^ part) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at + 1))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

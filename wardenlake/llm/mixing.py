@@ -10,8 +10,10 @@ miss its target by a few documents at most, whatever its size.
 Blocks are of bounded size and hashed by document, so a hot source is many tasks. Order and randomness come from hashes of the rows
 alone: reruns agree.
 
-Nulls and edges: a null or wordless text has size 0 and takes 0 words; null is a source of its own, last in order; repeated rows are
-sampled each; a null doc_id stays null; with no words at all every target is 0; an empty table gives an empty result.
+Nulls and edges: a null or wordless text has size 0 and takes 0 words; null is a source of its own, last in order;
+repeated rows are sampled each (n equal ones count as n times the fraction, so that a large group of copies meets its target to one row); a
+doc_id of any type and size stays as it is, null too; equal sizes are told apart by the rows' digests; further columns may have any name; with
+no words at all every target is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 BLOCK = 1024
 EPS = 1e-9
@@ -83,28 +85,35 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
     return per.select("source", "source_size", "n_docs", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * last["level"]).alias("target"))
 
 
+def _unit(docs: DataFrame) -> Column:
+    """A digest of all of a row's columns as they read. doc_ids of any type and size, null or not, so never go through pandas."""
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.sha2(F.concat(*(part(docs[c].cast("string")) for c in docs.columns)), 256)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 8) -> DataFrame:
-    """A row for each unit of docs (doc_id, text, source): doc_id, tk (hash of the text), size, source, source_size, target and copies, how
-    often the mix takes it. Rows with the same doc_id, text and source are one unit: they are taken together."""
-    sized = docs.select("doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORDS))).cast("long").alias("size"), F.xxhash64("text").alias("tk"))
-    sized = materialize(sized, "sizes")
+    """A row for each unit of docs (doc_id, text, source, ..), which is all rows that are equal in every column: unit (its digest), doc_id, size, n
+    (its rows), source, source_size, target, whole (how often the mix takes each row) and more (how many of the rows it takes once more)."""
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORDS))).cast("long")
+    sized = materialize(docs.select("doc_id", "source", size.alias("size"), _unit(docs).alias("unit")), "sizes")
     target = materialize(source_targets(sized, weights, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     r = F.when(F.abs(ratio - F.round(ratio)) < 1e-9, F.round(ratio)).otherwise(ratio)
-    plain = target.select(F.col("source").alias("of"), "source_size", "n_docs", "target", F.floor(r).alias("whole"), (r - F.floor(r)).alias("p"))
-    rows = sized.groupBy("doc_id", "tk", "size", "source").agg(F.count("*").alias("n")).join(plain, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-
-    flying = rows.where("p > 0 and size > 0").select("source", "doc_id", "tk", (F.col("size") * F.col("n")).alias("weight"), "p", F.xxhash64("doc_id", "tk", F.lit(seed)).alias("u"), F.col("n_docs").alias("left"))
-    schema = f"source string, doc_id {dict(docs.dtypes)['doc_id']}, tk long, weight long, p double, u long"
+    plain = target.select(F.col("source").alias("of"), "source_size", "n_docs", "target", F.floor(r).alias("whole"), (r - F.floor(r)).alias("share"))
+    units = sized.groupBy("unit", "size", "source").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    # of n equal rows with the fraction p each, floor(n p) are taken for certain, and the cube method decides on one more
+    rows = units.join(plain, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("sure", F.floor(F.col("n") * F.col("share"))).withColumn("p", F.col("n") * F.col("share") - F.col("sure"))
+    flying = rows.where("p > 0 and size > 0").select("source", "unit", F.col("size").alias("weight"), "p", F.xxhash64("unit", F.lit(seed)).alias("u"), F.col("n_docs").alias("left"))
+    schema = "source string, unit string, weight long, p double, u long"
 
     def fly(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["u", "tk"], kind="stable", ignore_index=True)
+            pdf = pdf.sort_values(["u", "unit"], kind="stable", ignore_index=True)
             noise = np.random.default_rng([seed, int(pdf["u"].iloc[0]) & 0x7FFFFFFF]).random(len(pdf))
             sizes = pdf["weight"].to_numpy(float)
             p = flight(pdf["p"].to_numpy(float), sizes, noise, LANDING if last else 2)
             pdf["p"] = land(p, sizes) if last else p
-            return pdf[["source", "doc_id", "tk", "weight", "p", "u"]]
+            return pdf[["source", "unit", "weight", "p", "u"]]
 
         return run
 
@@ -123,19 +132,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
         counts = rest.groupBy("source").agg(F.count("*").alias("left")).withColumnRenamed("source", "of")
         flying = rest.join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
         blocks = -(-int(counts.agg(F.max("left")).first()[0] or 0) // BLOCK)
-    extra = done.where("p = 1").select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("tk").alias("t"))
-    got = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    return got.select("doc_id", "tk", "size", "n", "source", "source_size", "target", (F.col("whole") + F.col("t").isNotNull().cast("long")).alias("copies"))
+    extra = done.where("p = 1").select("unit", F.lit(1).alias("extra"))
+    return rows.join(extra, "unit", "left").select("unit", "doc_id", "size", "n", "source", "source_size", "target", "whole", (F.col("sure") + F.coalesce("extra", F.lit(0))).alias("more"))
+
+
+def _times(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row n times, numbered from 0 in the column name: by stretches, so that no array grows with n as a whole."""
+    [start] = fresh(df.columns, "start")
+    stretches = df.withColumn(name, n).where(F.col(name) > 0).withColumn(start, F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1, F.lit(4096).cast("long"))))
+    return stretches.withColumn(name, F.explode(F.sequence(F.col(start), F.least(F.col(start) + 4095, F.col(name) - 1)))).drop(start)
 
 
 def mix_words(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 8) -> DataFrame:
     """A row for each row of docs: doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted)."""
-    out = mix(docs, weights, most, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "n")
-    return out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    out = _times(mix(docs.select("doc_id", "text", "source"), weights, most, seed), F.col("n"), "i")
+    return out.select("doc_id", "size", "source_size", "target", ((F.col("whole") + (F.col("i") < F.col("more")).cast("long")) * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 8) -> DataFrame:
     """The rows of docs as the mix has them: as many of each as it takes, with docs' columns."""
-    chosen = mix(docs, weights, most, seed).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("tk").alias("__t"), F.col("source").alias("__s"), F.col("copies").cast("int").alias("__copies"))
-    of = docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__t")) & docs["source"].eqNullSafe(F.col("__s"))
-    return docs.join(chosen, of).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    key, often, i = fresh(docs.columns, "unit_key", "often", "i")
+    chosen = mix(docs, weights, most, seed).select(F.col("unit").alias(key), "n", (F.col("n") * F.col("whole") + F.col("more")).alias(often)).where(F.col(often) > 0)
+    chosen = materialize(chosen, "chosen")
+    keyed = docs.withColumn(key, _unit(docs))
+    out = _times(keyed.join(chosen.where("n = 1").drop("n"), key), F.col(often), i).select(*docs.columns)
+    repeated = chosen.where("n > 1").drop("n")
+    if repeated.isEmpty():
+        return out
+    # rows that are equal in every column: one stands for all
+    return out.union(_times(keyed.join(repeated, key).dropDuplicates([key]), F.col(often), i).select(*docs.columns))
