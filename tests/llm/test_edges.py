@@ -1,10 +1,13 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, extra columns with clashing names: each operator has a defined result."""
 
+import random
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe_count, langid, media_chunks, minhash, mixing, ordinal, packing, quality_mcd, queries, secret_scan, warc
+from wardenlake.llm import bpe_count, common, langid, media_chunks, minhash, mixing, ordinal, packing, quality_mcd, queries, secret_scan, warc
 
 LONG = "lorem ipsum dolor sit amet " * 20000
 WORDS = " ".join(f"word{i}" for i in range(60))
@@ -136,3 +139,85 @@ def test_secrets(spark, docs, empty):
     clean = {r["doc_id"]: r for r in secret_scan.redacted_rows(more).collect()}
     assert clean[1]["text"] == '[ASSIGN]" and api_key=short and [ACCESS]' and clean[1]["n_chars"] == len(clean[1]["text"]) and clean[2]["text"] is None
     assert secret_scan.secret_digests(empty).count() == 0 and secret_scan.redacted_rows(empty).count() == 0
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """The Thue-Morse word over a, b and its counterpart: a polynomial modulo a power of two gives both the same value."""
+    x = "a"
+    for _ in range(11):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, x), (2, y), (3, f"{x} one two"), (4, f"{y} one two"), (5, x.upper())], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    data = np.frombuffer((x + " " + y).encode(), np.uint8)
+    starts, ends, _ = common.word_spans(data, np.array([0, len(data)]))
+    assert len(set(common.word_hashes(data, starts, ends, True).tolist())) == 2
+
+
+def test_word_hashes_see_every_byte():
+    words = [b"w" * n for n in range(1, 140)] + [b"w" * i + b"v" + b"w" * (n - i) for n in (3, 8, 15, 16, 63, 64, 65, 120) for i in range(n + 1)]
+    words = list(dict.fromkeys(words))
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends, _ = common.word_spans(data, np.array([0, len(data)]))
+    hashes = common.word_hashes(data, starts, ends, False)
+    assert len(hashes) == len(words) == len(set(hashes.tolist()))
+    again = np.frombuffer(b"  ".join(reversed(words)).upper(), np.uint8)  # other places, other case
+    starts, ends, _ = common.word_spans(again, np.array([0, len(again)]))
+    assert common.word_hashes(again, starts, ends, True)[::-1].tolist() == hashes.tolist()
+
+
+def test_many_similar_texts_below_the_threshold(spark):
+    """Every pair of 60 texts passes a loose estimate: the dense block's texts meet and none is linked; brute force agrees."""
+    rng = random.Random(6)
+    same = [f"c{i}" for i in range(90)]
+    rows = [(i, " ".join(same + [f"u{rng.randrange(10**6)}" for _ in range(12 + (i % 3))])) for i in range(60)] + [(100 + i, " ".join([*same, *("z z2 z3".split() * 4), str(i)])) for i in range(4)]
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows}
+    want = {i: min(j for j in sets if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in sets}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == want and want[103] == 100 and want[0] == 0
+
+
+def test_ids_at_both_ends_of_long(spark):
+    ids = [-(2**63), -1, 0, 2**63 - 1]
+    for i in range(len(ids)):
+        docs = spark.createDataFrame([(x, WORDS) for x in ids[i:]] + [(None, WORDS)], "doc_id long, text string")
+        assert {r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()} == {ids[i]}
+
+
+def test_packing_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = 1_200_000
+    texts = ["x" + " " * n + "y", "\n" * n, "x" * n, " \u00a0" * (n // 2) + "<|endoftext|>" + " " * n, "7" * n, "a " + "\u3000" * 60_000 + "\x1c b", "".join("a" + " " * 49_999 for _ in range(4)) + " " * n]
+    fast = packing.encoder(*queries.packing_encoder())
+    for t in texts:
+        assert fast(t) == library.encode(t, add_special_tokens=False).ids
+    out = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), queries.packing_encoder())
+    assert out.agg(F.sum("length")).first()[0] == len(fast(texts[0])) + 1
+
+
+def test_packing_many_small_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(100)
+    out = packing.pack(docs, queries.packing_encoder()).collect()
+    spans = {}
+    for r in out:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in spans.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and sum(s[-1]) <= 1024
+    assert len(spans) <= 1.03 * sum(r["length"] for r in out) / 1024
+
+
+def test_mixing_large_and_null_ids(spark):
+    """Ids above 2**53 beside null ones, and a text that a third of the rows repeat: every source meets its target."""
+    rng = random.Random(9)
+    rows = [(None if i % 50 == 0 else 2**60 + i, " ".join(["w"] * rng.randrange(1, 60)), f"s{i % 3}") for i in range(900)] + [(2**61 + 1, "same words here", "s1")] * 450 + [(None, "same words here", "s2")] * 450
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_words(docs)
+    assert out.count() == len(rows)
+    by = mixing.mixed_rows(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n"))
+    of = out.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") > 3 * F.col("size")).alias("over")).collect()
+    assert len(of) == 3 and all(abs(r["taken"] - r["target"]) <= 3 and not r["over"] for r in of)
+    assert sorted(r["n"] for r in by.collect()) == sorted(r["taken"] for r in of)
