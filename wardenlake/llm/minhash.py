@@ -34,6 +34,7 @@ from .common import bound_batches, discard, flat, materialize, mix, shingle_sets
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BLOCK, PARTS, MANY = 512, 4, 8  # nodes of a block's side; blocks of texts are PARTS times smaller; pairs a node that are listed
+SALT = 64
 _rng = np.random.default_rng(712)
 _A = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -230,9 +231,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # a hub's edges are SALT keys, so that no task has them all; each key's least node, then the hub's, meets them
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)))
+        part = both.groupBy("a", "salt").agg(F.min("b").alias("m"))
+        least = part.select("a", "salt").join(part.groupBy("a").agg(F.least(F.min("m"), F.first("a")).alias("m")), "a")
+        large = both.where("b > a").join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
         before, edges = edges, materialize(small, "edges")
