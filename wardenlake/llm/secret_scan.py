@@ -10,7 +10,7 @@ A rule's spans are leftmost and non-overlapping; matches that fail its length te
 rules may overlap. Redaction replaces the union of all spans.
 
 Nulls and edges: a null or empty text has no spans; a text of any length is searched whole; repeated rows each get their row; a
-null doc_id stays null; an empty table gives an empty result.
+null doc_id stays null; further columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .common import bound_batches, flat, slices, text_bytes
 
 @dataclass(frozen=True)
 class Rule:
-    """group: whose length must reach least (0: the whole match). base: part of the fixed contract, first in order."""
+    """group: whose length must reach least, span: what is the secret (0: the whole match). base: part of the fixed contract, first in order."""
 
     kind: str
     pattern: str
@@ -40,6 +40,7 @@ class Rule:
     least: int = 1
     either_case: bool = False
     base: bool = False
+    span: int = 0
 
     def compiled(self) -> re.Pattern:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.either_case else 0))
@@ -62,8 +63,9 @@ RULES = (
     Rule("private_key", _PRIVATE_KEY),
     Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{3,}@"),
+    # a search starts only where a run of the token's characters does and takes the run once, so that its cost is linear
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", span=1),
+    Rule("url_password", r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\s:/@]++:[^\s:/@]{3,}+@)", span=1),
 )
 
 # --- trigram queries: True (anything), or ("and"|"or", frozenset of trigrams and queries) -------------------------------
@@ -209,7 +211,7 @@ class Scanner:
         r = self.rules[rule]
         for m in self.searches[rule].finditer(text):
             if m.end(r.group) - m.start(r.group) >= r.least:
-                yield m.span()
+                yield m.span(r.span)
 
     def scan(self, values: pa.Array) -> list[list[tuple[str, int, int]]]:
         """The spans (kind, start, end) of each text, by start, then kind as listed."""
