@@ -10,7 +10,7 @@ parse_records() reads concatenated records of a file, gzip members or plain; rec
 
 Nulls and edges: a null record yields nothing; a record that isn't a whole response yields one row of type "rejected" with the reason;
 a null html (in responses()) is an empty body; an empty body yields empty text and both records; repeated rows yield their records
-each; a null page_id stays null; an empty table gives an empty result.
+each; a null page_id stays null; further columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import hashlib
 import html
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,46 +92,109 @@ def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
 
 
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
-HIDDEN = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "template", "noscript")}
-#: A comment, declaration or tag. Quantifiers are possessive, so that no page makes the search go back and forth.
-_TOKEN = re.compile(r"<!--.*?-->|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+HIDDEN = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "template", "noscript")}
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _VALUE = {n: re.compile(rf"(?:^|\s){n}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I) for n in ("href", "lang")}
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{12,}+|[xX][0-9a-fA-F]{12,}+);?")
+
+
+def unescape(text: str) -> str:
+    """Character references replaced; numbers beyond all characters become U+FFFD, however many digits they have."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
+class _Ends:
+    """Where a tag that begins at a place ends, for a page on which one didn't: every place is looked at once, however many tags stay open."""
+
+    def __init__(self, page: str) -> None:
+        self.names = [m.start() for m in _NAME_END.finditer(page)]
+        self.at = [m.start() for m in _SPECIAL.finditer(page)]
+        self.end = [-1] * (len(self.at) + 1)
+        after: dict[str, int] = {}
+        for i in range(len(self.at) - 1, -1, -1):
+            if (c := page[self.at[i]]) == ">":
+                self.end[i] = self.at[i]
+                continue
+            if (j := after.get(c)) is not None:  # a quoted stretch is passed over
+                self.end[i] = self.end[j + 1]
+            after[c] = i
+
+    def of(self, start: int) -> tuple[int, int] | None:
+        """End of the name and place of the closing sign, for a name that starts here."""
+        i = bisect_left(self.names, start)
+        if i == len(self.names):
+            return None
+        end = self.end[bisect_left(self.at, self.names[i])]
+        return (self.names[i], end) if end >= 0 else None
 
 
 class PlainText:
-    """A page's text in one pass over its tags: block elements end lines, scripts and styles go. A tag that never closes is text."""
+    """A page's text in one pass over its tags: block elements end lines, scripts and styles go. A tag or declaration that never closes is text. The
+    time is linear in the page, whatever it leaves open."""
 
     def __init__(self, page: str) -> None:
         self.out: list[str] = []
         self.title: list[str] = []
         self.links: list[str] = []
-        self.lang, at, into = "", 0, self.out
-        while m := _TOKEN.search(page, at):
-            if m.start() > at:
-                into.append(html.unescape(page[at : m.start()]))
-            at = m.end()
-            if not m[2]:
-                continue
-            closing, tag = m[1], m[2].lower()
-            if not closing and tag in HIDDEN:
-                end = HIDDEN[tag].search(page, at)
-                at = end.end() if end else len(page)
+        self.lang, into = "", self.out
+        self.page, self.ends, open_comment = page, None, False
+        text, at = 0, page.find("<")  # what isn't a tag goes out from text on
+        while at >= 0:
+            start, end, tag = at, -1, None
+            if page.startswith("<!--", at) and not open_comment:
+                end = page.find("-->", at + 4)
+                open_comment = end < 0
+                end += 3 if end >= 0 else 0
+            if end < 0 and page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at + 2) + 1
+                if not end:
+                    break  # no sign closes anything from here on
+            elif end < 0 and (tag := self._tag(at)):
+                end = tag[3]
+            if end < 0:
+                at = page.find("<", at + 1)
                 continue
-            if tag in BLOCKS:
-                self.out.append("\n")
-            if tag == "title":
-                into = self.out if closing else self.title
-            elif not closing and tag == "a" and (v := self._value("href", m[3])):
-                self.links.append(v)
-            elif not closing and tag == "html":
-                self.lang = self._value("lang", m[3]) or self.lang
-        if at < len(page):
-            into.append(html.unescape(page[at:]))
+            if start > text:
+                into.append(unescape(page[text:start]))
+            if tag:
+                closing, name, attributes, _ = tag
+                if not closing and name in HIDDEN:
+                    last = HIDDEN[name].search(page, end)
+                    end = page.find(">", last.end()) + 1 if last else 0
+                    end = end or len(page)
+                else:
+                    if name in BLOCKS:
+                        self.out.append("\n")
+                    if name == "title":
+                        into = self.out if closing else self.title
+                    elif not closing and name == "a" and (v := self._value("href", attributes)):
+                        self.links.append(v)
+                    elif not closing and name == "html":
+                        self.lang = self._value("lang", attributes) or self.lang
+            text, at = end, page.find("<", end)
+        if text < len(page):
+            into.append(unescape(page[text:]))
+
+    def _tag(self, at: int) -> tuple[str, str, str, int] | None:
+        """(slash, name, attributes, end) of the tag at a place, if there is one."""
+        page = self.page
+        if self.ends is None:
+            if m := _TAG.match(page, at):
+                return m[1], m[2].lower(), m[3], m.end()
+        slash = page[at + 1 : at + 2] == "/"
+        first = page[at + 1 + slash : at + 2 + slash]
+        if not (first.isascii() and first.isalpha()):
+            return None
+        if self.ends is None:
+            self.ends = _Ends(page)
+        found = self.ends.of(at + 1 + slash)
+        return found and ("/" * slash, page[at + 1 + slash : found[0]].lower(), page[found[0] : found[1]], found[1] + 1)
 
     @staticmethod
     def _value(name: str, attributes: str) -> str:
         m = _VALUE[name].search(attributes)
-        return html.unescape(m[1] or m[2] or m[3] or "") if m else ""
+        return unescape(m[1] or m[2] or m[3] or "") if m else ""
 
 
 def tidy(text: str) -> str:
