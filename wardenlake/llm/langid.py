@@ -4,9 +4,10 @@ A row's text, declared language (markup), and address give a posterior over the
 
     P(l | row)  ~  P(text | l) ** t  *  P(declared | l)  *  P(l | host)
 
-* P(text | l): naive Bayes over the letters' three-byte windows, hashed into 2**15 places, fitted to at most max_labelled rows with a
-  declared language, those with the least hash of their id (the only bound here). t caps the windows that count at EVIDENCE, since
-  neighbouring windows aren't independent.
+* P(text | l): naive Bayes over the letters' three-byte windows, hashed into 2**15 places, fitted to the distinct rows with a declared
+  language of at most max_labelled ids, those with the least hash. It knows the max_languages most frequent languages among them (by primary
+  subtag); all others are one class, OTHER. These are the only bounds here. t caps the windows that count at EVIDENCE, since neighbouring
+  windows aren't independent.
 * P(declared | l), from a grouped count of all rows by declared language and the language that the text alone suggests.
 * P(l | host): counts of the same kind by host, smoothed towards its domain's, that towards its address suffix's, and that towards all
   rows'. A row's own guess is taken out of its counts, so that no text speaks twice.
@@ -14,8 +15,8 @@ A row's text, declared language (markup), and address give a posterior over the
 A row is rejected if it has no letters or its best language has less than min_confidence.
 
 Nulls and edges: null or wordless texts have no text evidence and are rejected; a null declared language or address part is no
-evidence (the prior of the level above holds); languages tie to the first by name; repeated rows each get their row; without
-any labelled row everything is rejected with a null language; a null doc_id stays null; an empty table gives an empty result.
+evidence (the prior of the level above holds); languages tie to the first by name; repeated rows each get their row
+(and are fitted to once); further columns may have any name; without any labelled row everything is rejected with a null language; a null doc_id stays null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, flat, join_small, materialize, slices, text_bytes
+from .warc import PlainText
 
 PLACES = 1 << 15
 EVIDENCE = 40.0
 KAPPA = 8.0
+OTHER = "und"
 LEVELS = ("suffix", "domain", "host")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -59,22 +62,36 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)[same], doc[:-2][same]
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A row for each language: logarithms of its windows' smoothed shares."""
+def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each language of a partition: how often each place occurs."""
     counts: dict[str, np.ndarray] = {}
-    for lang, text in zip(pdf["lang"], pdf["b"], strict=True):
-        place, _ = windows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        counts[lang] = counts.get(lang, 0) + np.bincount(place, minlength=PLACES)
-    return pd.DataFrame({"lang": list(counts), "log_share": [np.log((c + 0.5) / (c.sum() + 0.5 * PLACES)).astype("<f4").tobytes() for c in counts.values()]})
+    for part in slices(batches, "b", 1 << 18):
+        langs, texts = part.column(0).to_pylist(), part.column(1)
+        for lang, text in zip(langs, texts, strict=True):
+            place, _ = windows(np.frombuffer(raw := text.as_buffer(), np.uint8), np.array([0, len(raw)]))
+            counts[lang] = counts.get(lang, 0) + np.bincount(place, minlength=PLACES)
+    if counts:
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.astype("<i8").tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
 
 
-def train(rows: DataFrame, max_labelled: int = 4000) -> tuple[list[str], np.ndarray]:
+def _log_shares(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Logarithms of a language's smoothed shares."""
+    c = np.sum([np.frombuffer(x, "<i8") for x in pdf["counts"]], axis=0)
+    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "log_share": [np.log((c + 0.5) / (c.sum() + 0.5 * PLACES)).astype("<f4").tobytes()]})
+
+
+def train(rows: DataFrame, max_labelled: int = 4000, max_languages: int = 64) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their tables, from rows (doc_id, text, declared)."""
     labelled = rows.where("declared is not null and text is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
-    chosen = materialize(labelled.select("doc_id", "h", "declared").orderBy("h", "doc_id", "declared").limit(max_labelled).select("doc_id").distinct(), "chosen")
-    sample = labelled.join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows
-    fitted = sample.select(F.col("declared").alias("lang"), text_bytes().alias("b")).groupBy().applyInPandas(_fit, "lang string, log_share binary")
-    found = sorted((r["lang"], r["log_share"]) for r in fitted.collect())  # a table of fixed size for each language
+    chosen = materialize(labelled.select("doc_id", "h").orderBy("h", "doc_id").limit(max_labelled).distinct().select("doc_id"), "chosen")
+    own = labelled.join(F.broadcast(chosen), "doc_id")  # at most max_labelled ids; equal rows of theirs count once
+    sample = materialize(own.groupBy("doc_id", F.xxhash64("text").alias("t"), "declared").agg(F.first(text_bytes()).alias("b")).select("declared", "b"), "sample")
+    most = Window.orderBy(F.desc("n"), "declared")  # over the sample's distinct languages
+    names = sample.groupBy("declared").agg(F.count("*").alias("n")).select("declared", F.when(F.row_number().over(most) <= max_languages, F.col("declared")).otherwise(OTHER).alias("lang"))
+    # windows are counted where the texts lie, however many they are; only counts meet
+    counted = join_small(sample, materialize(names, "languages"), ["declared"]).select("lang", "b").mapInArrow(_window_counts, "lang string, counts binary")
+    fitted = counted.groupBy("lang").applyInPandas(_log_shares, "lang string, log_share binary")
+    found = sorted((r["lang"], r["log_share"]) for r in fitted.collect())  # at most max_languages + 1 tables of fixed size
     return [x for x, _ in found], np.array([np.frombuffer(b, "<f4") for _, b in found], np.float32).reshape(-1, PLACES)
 
 
@@ -156,16 +173,27 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], min_confidenc
     return out.select("doc_id", "declared", "n_windows", "guess", "text_log", *counts, "of_declared").mapInArrow(_fuse(langs, np.array(every), counts, min_confidence), kept)
 
 
+def _primary(lang: Column) -> Column:
+    """The primary subtag in lower case: en of en-GB; null if there is none."""
+    return F.nullif(F.lower(F.trim(F.split(lang.cast("string"), "[-_]")[0])), F.lit(""))
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
     """Documents as rows: lang is what is declared and the source is the host; they have no address."""
     none = F.lit(None).cast("string")
-    return docs.select("doc_id", "text", F.col("lang").cast("string").alias("declared"), none.alias("suffix"), none.alias("domain"), F.col("source").cast("string").alias("host"))
+    return docs.select("doc_id", "text", _primary(F.col("lang")).alias("declared"), none.alias("suffix"), none.alias("domain"), F.col("source").cast("string").alias("host"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Pages as rows: page_id as doc_id, the html element's lang, the parts of the url's host, and the text between the tags."""
+    """Pages as rows: page_id as doc_id, the html element's lang, the parts of the url's host, and the page's plain text."""
+    bound_batches(pages.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "b"):
+            found = [PlainText(x.decode("utf-8", "replace")) for x in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(["".join(x.out) for x in found], pa.string()), pa.array([x.lang for x in found], pa.string())], ["page_id", "url", "text", "lang"])
+
+    own = pages.select("page_id", F.col("url").cast("string").alias("url"), text_bytes("html").alias("b")).mapInArrow(read, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, lang string")
     host = F.lower(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    lang = F.lower(F.nullif(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1), F.lit("")))
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[#A-Za-z0-9]+;", " ")
     parts = F.split(host, r"\.")
-    return pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), lang.alias("declared"), F.element_at(parts, -1).alias("suffix"), F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")).alias("domain"), host.alias("host"))
+    return own.select(F.col("page_id").alias("doc_id"), "text", _primary(F.col("lang")).alias("declared"), F.element_at(parts, -1).alias("suffix"), F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")).alias("domain"), host.alias("host"))
