@@ -2,12 +2,13 @@
 
 A text's features are the distinct lower-cased words and the distinct runs of symbols at word ends, hashed into 2**16 places. One
 weight vector w is shared by all grades; ordered thresholds t_1 < t_2 < ... cut the score: P(grade > k) = logistic(w.x - t_k).
-The fit maximizes the penalized likelihood by L-BFGS. It takes at most max_labelled labelled rows, those with the least hash of
-their doc_id (the only bound here; the rows that are scored, and the labels that are counted, are all). The model is one array of
+The fit maximizes the penalized likelihood by L-BFGS. It takes at most max_labelled ratings, those with the least hash of
+their doc_id, and at most as many distinct rows of theirs (the only bound here; all rows are scored). The model is one array of
 fixed size. Scores give the expected grade and the tail probability P(grade >= least_grade), by which a text is kept.
 
 Nulls and edges: a null or wordless text has no features and the prior's probabilities; unlabelled rows are scored alike; labels
-with null grades are left out; a doc_id that is labelled more than once takes part more than once; without labels of two grades at least
+with null grades are left out; a doc_id takes part once for each of its different grades
+and texts; further columns may have any name; without labels of two grades at least
 nothing can be told apart and every text is kept; a null doc_id stays null; an empty table gives an empty result.
 """
 
@@ -99,10 +100,17 @@ def fit(places: np.ndarray, row: np.ndarray, grade: np.ndarray, grades: int, pen
     return np.concatenate([v[:PLACES], v[PLACES] + np.concatenate([[0], np.cumsum(np.exp(v[PLACES + 1 :]))])])
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, t, grade, b) with a text's features instead of the text."""
+    for part in slices(batches, "b"):
+        places, first = features(*flat(part.column(3)))
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(places, pa.int32()))], ["h", "t", "grade", "places"])
+
+
 def _fit_group(grades: int, penalty: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "grade"], kind="stable")  # sums in one order: reruns agree
-        parts = [features(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0] for b in pdf["b"]]
+        pdf = pdf.sort_values(["h", "t", "grade"], kind="stable")  # sums in one order: reruns agree
+        parts = [np.asarray(x, np.int64) for x in pdf["places"]]
         grade = pdf["grade"].to_numpy(np.int64)
         if len(np.unique(grade)) < 2:
             return pd.DataFrame({"model": []})
@@ -115,8 +123,11 @@ def _fit_group(grades: int, penalty: float):
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_labelled: int = 6000, penalty: float = 3.0) -> np.ndarray | None:
     """The model of ratings (doc_id, grade from 0 to grades - 1) on docs (doc_id, text): one array of 2**16 + grades - 1 numbers, or None."""
     rated = ratings.where("grade is not null and doc_id is not null").select("doc_id", F.col("grade").cast("int").alias("grade"), F.xxhash64("doc_id").alias("h"))
-    rated = materialize(rated.orderBy("h", "doc_id", "grade").limit(max_labelled), "rated")
-    sample = docs.select("doc_id", text_bytes().alias("b")).join(F.broadcast(rated), "doc_id")  # at most max_labelled rows
+    rated = materialize(rated.orderBy("h", "doc_id", "grade").limit(max_labelled).distinct(), "rated")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), text_bytes().alias("b")).join(F.broadcast(rated), "doc_id")  # rated has at most max_labelled rows
+    # an id may stand for any number of rows: equal ones take part once, and the whole is cut to max_labelled rows again
+    found = rows.select("h", "t", "grade", "b").mapInArrow(_places, "h long, t long, grade int, places array<int>").groupBy("h", "t", "grade").agg(F.first("places").alias("places"))
+    sample = found.orderBy("h", "t", "grade").limit(max_labelled)
     got = sample.groupBy().applyInPandas(_fit_group(grades, penalty), "model binary").collect()  # one row at most
     return np.frombuffer(got[0]["model"], "<f8") if got else None
 
