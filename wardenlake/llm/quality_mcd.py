@@ -2,17 +2,18 @@
 
 Base rules fail a text with fewer than 50 words or with over half its words in repeated three-word windows. The texts that pass give
 a vector of transformed statistics. For each language and source (and for each language, and for all, as fallbacks for groups of
-fewer than MIN_ROWS) a minimum covariance determinant estimate is made by concentration steps: start from medians and MADs, then
-again and again take mean and covariance of the h = 3/4 of the rows that are nearest by Mahalanobis distance. A text is rejected
-if its squared distance, scaled so that the group's median is that of chi-square, exceeds CUT.
+fewer than MIN_ROWS) a minimum covariance determinant estimate is made by concentration steps: again and again take mean and covariance
+of the h = 3/4 of the rows that are nearest by Mahalanobis distance. STARTS starts (medians and MADs; mean and covariance of all rows; those
+of about SUBSET rows chosen by hash) take FIRST steps each, the one with the least determinant then goes on; a step that would raise
+the determinant isn't taken. A text is rejected if its squared distance, scaled so that the group's median is that of chi-square, exceeds CUT.
 
 Every step is one grouped aggregation over all rows: distances fall into bins of their logarithm, a bin's count and moment sums
 are added up (partially before the shuffle, so a hot source is no hot task), and each group's few hundred bins give the next
 estimate; the bin in which h is reached counts in part. A floor on each variance keeps statistics that are nearly constant (no
 repeated lines at all) from rejecting ordinary texts.
 
-Nulls and edges: a null text has no words and fails; a null language or source is a group of its own; repeated rows count each; a
-null doc_id stays null; an empty table gives an empty result.
+Nulls and edges: a null text has no words and fails; a null language or source is a group of its own; repeated rows count each; equal
+determinants go to the first start; a null doc_id stays null; further columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ FEATURES = ("log_words", "log_word_length", "log_symbols", "dup_lines", "repeats
 FLOOR = (0.30, 0.08, 0.60, 0.15, 0.10, 0.12, 0.50)
 D = len(FEATURES)
 KEEP = 0.75
-STEPS = 6
+STARTS, FIRST, STEPS = 4, 2, 5
+SUBSET = 3 * D
 MIN_ROWS = 100
 CUT = 60.0
 SCALE = 16  # bins a factor of e in squared distance
@@ -84,13 +86,19 @@ def _group(level: int):
     return F.concat(F.lit(f"{level}:"), F.to_json(name)) if level < 2 else F.lit("2:")
 
 
-def _estimate(mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], list[float]]:
-    """Mean and the flattened inverse Cholesky factor of the floored covariance."""
+def _estimate(mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], list[float], float]:
+    """Mean, the flattened inverse Cholesky factor of the floored covariance, and the logarithm of its determinant."""
     cov = cov + np.diag(np.maximum(np.square(FLOOR) - np.diag(cov), 0) + 1e-9)
-    return mean.tolist(), np.linalg.inv(np.linalg.cholesky(cov)).ravel().tolist()
+    factor = np.linalg.cholesky(cov)
+    return mean.tolist(), np.linalg.inv(factor).ravel().tolist(), float(2 * np.log(np.diag(factor)).sum())
 
 
-_PARAMETERS = "g string, n long, mean array<double>, root array<double>, unit double"
+_PARAMETERS = "g string, start int, n long, mean array<double>, root array<double>, log_det double, unit double"
+
+
+def _parameters(g: str, start: int, n: int, mean: np.ndarray, cov: np.ndarray, unit: float) -> pd.DataFrame:
+    m, root, log_det = _estimate(mean, cov)
+    return pd.DataFrame({"g": [g], "start": [start], "n": [n], "mean": [m], "root": [root], "log_det": [log_det], "unit": [unit]})
 
 
 def _begin(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,8 +110,25 @@ def _begin(pdf: pd.DataFrame) -> pd.DataFrame:
         mean[f] = middle(x)
         mad[f] = middle(np.abs(x - mean[f]))
         n = int(c.sum())
-    m, root = _estimate(mean, np.diag(np.square(1.4826 * mad)))
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [n], "mean": [m], "root": [root], "unit": [1.0]})
+    return _parameters(pdf["g"].iloc[0], 0, n, mean, np.diag(np.square(1.4826 * mad)), 1.0)
+
+
+def _moments(s1: np.ndarray, s2: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from a count, sums and the upper triangle of sums of products."""
+    mean, cov = s1 / n, np.zeros((D, D))
+    cov[np.triu_indices(D)] = s2 / n
+    return mean, np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
+
+
+_SUMS = [f"s{i}" for i in range(D)]
+_PRODUCTS = [f"q{i}_{j}" for i in range(D) for j in range(i, D)]
+
+
+def _from_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A start from moments of some of the rows."""
+    r = pdf.iloc[0]
+    mean, cov = _moments(r[_SUMS].to_numpy(float), r[_PRODUCTS].to_numpy(float), float(r["c"]))
+    return _parameters(r["g"], int(r["start"]), int(r["n"]), mean, cov, 1.0)
 
 
 def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -113,15 +138,9 @@ def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
     n, h = c.sum(), max(1.0, KEEP * c.sum())
     before = np.concatenate([[0], np.cumsum(c)[:-1]])
     share = np.clip((h - before) / c, 0, 1)  # of each bin
-    s1 = (pdf[[f"s{i}" for i in range(D)]].to_numpy(float) * share[:, None]).sum(0)
-    s2 = (pdf[[f"q{i}_{j}" for i in range(D) for j in range(i, D)]].to_numpy(float) * share[:, None]).sum(0)
-    mean = s1 / h
-    cov = np.zeros((D, D))
-    cov[np.triu_indices(D)] = s2 / h
-    cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
+    mean, cov = _moments((pdf[_SUMS].to_numpy(float) * share[:, None]).sum(0), (pdf[_PRODUCTS].to_numpy(float) * share[:, None]).sum(0), h)
     middle = math.exp((pdf["bin"].to_numpy(float)[np.searchsorted(np.cumsum(c), n / 2)] + 0.5) / SCALE)
-    m, root = _estimate(mean, cov)
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [int(n)], "mean": [m], "root": [root], "unit": [max(middle / MEDIAN, 1.0)]})
+    return _parameters(pdf["g"].iloc[0], int(pdf["start"].iloc[0]), int(n), mean, cov, max(middle / MEDIAN, 1.0))
 
 
 def _distance():
@@ -143,20 +162,36 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), text_bytes().alias("b")).mapInArrow(text_statistics, schema)
 
 
+def minimum_determinant(rows: DataFrame) -> DataFrame:
+    """The estimate of each group of rows (g, x): g, start (that it came from), n, mean, root, log_det, unit (scale of the last step's distances)."""
+    counts = rows.select("g", F.posexplode("x").alias("f", "v")).groupBy("g", "f", F.floor(F.col("v") * 64).alias("v")).agg(F.count("*").alias("c"))
+    first = materialize(counts.groupBy("g").applyInPandas(_begin, _PARAMETERS), "mcd")
+    # sums of the features and of their products: their logarithms and roots are small numbers, so that little cancels
+    sums = [F.count("*").alias("c"), *(F.sum(F.col("x")[i]).alias(s) for i, s in enumerate(_SUMS)), *(F.sum(F.col("x")[int(s[1])] * F.col("x")[int(s[3])]).alias(s) for s in _PRODUCTS)]
+    starts = join_small(rows, first.select("g", "n"), ["g"]).withColumn("start", F.explode(F.array(*(F.lit(i) for i in range(1, STARTS)))))
+    chosen = (F.col("start") == 1) | (F.pmod(F.xxhash64("x", "start"), F.greatest(F.floor(F.col("n") / SUBSET), F.lit(1))) == 0)
+    others = starts.where(chosen).groupBy("g", "start", "n").agg(*sums).groupBy("g", "start").applyInPandas(_from_rows, _PARAMETERS)
+    now = materialize(first.union(others), "mcd")
+    best = None
+    for step in range(FIRST + STEPS):
+        near = join_small(rows, now.drop("n"), ["g"]).withColumn("bin", F.floor(F.log(_distance() + 1e-12) * SCALE))
+        now = near.groupBy("g", "start", "bin").agg(*sums).groupBy("g", "start").applyInPandas(_concentrate, _PARAMETERS)
+        if step >= FIRST - 1:
+            # the starts' best; after that a step that raises the determinant (bins count in part) isn't taken
+            both = now if best is None else now.union(best)
+            fields = ["start", "n", "mean", "root", "log_det", "unit"]
+            best = now = materialize(both.groupBy("g").agg(F.min_by(F.struct(*fields), F.struct("log_det", "start")).alias("p")).select("g", *(f"p.{c}" for c in fields)), "mcd")
+        else:
+            now = materialize(now, "mcd")
+    return now
+
+
 def quality(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, cut: float = CUT) -> DataFrame:
     """For every row of docs (doc_id, text, lang, source): the base counts, base_failed, distance (squared, scaled; null where base_failed) and kept."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     stats = materialize(statistics(docs).withColumn("base_failed", failed), "statistics")
     vectors = stats.where("not base_failed").select("doc_id", "lang", "source", _vector().alias("x"))
-    rows = vectors.select(F.explode(F.array(*(_group(i) for i in range(3)))).alias("g"), "x")
-    counts = rows.select("g", F.posexplode("x").alias("f", "v")).groupBy("g", "f", F.floor(F.col("v") * 64).alias("v")).agg(F.count("*").alias("c"))
-    now = materialize(counts.groupBy("g").applyInPandas(_begin, _PARAMETERS), "mcd")
-    # a moment's sum, about the first medians, so that squares don't cancel
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(D)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i in range(D) for j in range(i, D)]
-    for _ in range(STEPS):
-        near = join_small(rows, now, ["g"]).withColumn("bin", F.floor(F.log(_distance() + 1e-12) * SCALE))
-        now = materialize(near.groupBy("g", "bin").agg(F.count("*").alias("c"), *sums).groupBy("g").applyInPandas(_concentrate, _PARAMETERS), "mcd")
-    large = now.where(F.col("n") >= MIN_ROWS)
+    large = minimum_determinant(vectors.select(F.explode(F.array(*(_group(i) for i in range(3)))).alias("g"), "x")).where(F.col("n") >= MIN_ROWS)
     chosen = stats.withColumn("x", F.when(~F.col("base_failed"), _vector()))
     for level in range(3):
         own = large.where(F.col("g").startswith(f"{level}:")).select(F.col("g").alias(f"g{level}"), F.struct("mean", "root", "unit").alias(f"p{level}"))
