@@ -53,6 +53,7 @@ def test_mix_and_packing(stages):
 
 
 def test_edges(spark):
+    clash = ("rows", "same", "unit_key", "often", "i", "start", "kept_id", "n", "size", "declared", "host", "spans", "b", "piece", "sequence_id")
     schema = "doc_id long, text string, lang string, source string, n_chars long, node string, kept boolean"
     empty = spark.createDataFrame([], schema)
     odd = spark.createDataFrame([(1, None, None, None, None, "n", True), (None, "some plain words here", "en", None, 1, "n", True), (2, "some plain words here", "en", "s", 1, None, None), (2, "some plain words here", "en", "s", 1, None, None)], schema)
@@ -60,3 +61,9 @@ def test_edges(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, FOLDER), "edge")
         docs.count()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.select("*", *(F.lit(c).alias(c) for c in clash))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, FOLDER), "edge")
+        assert out.columns == docs.columns and {tuple(r) for r in out.select(*clash).distinct().collect()} == {clash}
+        docs = out
