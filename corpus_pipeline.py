@@ -11,7 +11,7 @@ next stage's docs. All but the last return the columns of docs.
 
 Nulls and edges: see the operators. Rows that share a doc_id stay or go together in stages 1 and 2, and of those with the same text one
 stays; rows with a null doc_id can't be told apart by it, so stage 1 keeps all if it keeps one, and stage 2 drops exact copies among
-them only; an empty table goes through.
+them only; further columns may have any name; an empty table goes through.
 """
 
 from __future__ import annotations
@@ -20,26 +20,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenlake.llm import langid, minhash, mixing, packing, queries, secret_scan
-from wardenlake.llm.common import materialize
+from wardenlake.llm.common import fresh, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a language that is clear enough."""
     rows = langid.document_rows(docs)
+    [key] = fresh(docs.columns, "kept_id")
     kept = langid.identify(rows, langid.train(rows)).where("kept")
     # the ids are the hashed side: whole texts stream by, unsorted
-    ids = kept.select(F.col("doc_id").alias("__kept")).distinct().hint("shuffle_hash")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    ids = kept.select(F.col("doc_id").alias(key)).distinct().hint("shuffle_hash")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: that with the least doc_id."""
+    rows, same = fresh(docs.columns, "rows", "same")
     kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept")
-    ids = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows")).hint("shuffle_hash")
+    ids = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(rows)).hint("shuffle_hash")
     named = docs.join(ids, "doc_id")
     # only rows that share a doc_id are looked at for exact copies: all others pass as they are
-    once, often = named.where("__rows = 1"), named.where("__rows > 1").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
-    none = docs.where("doc_id is null").withColumn("__text", F.xxhash64("text")).dropDuplicates(["__text"])
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    once, often = named.where(F.col(rows) == 1), named.where(F.col(rows) > 1).withColumn(same, digest).dropDuplicates(["doc_id", same])
+    none = docs.where("doc_id is null").withColumn(same, digest).dropDuplicates([same])
     return once.select(*docs.columns).union(often.select(*docs.columns)).union(none.select(*docs.columns))
 
 
