@@ -67,13 +67,13 @@ def relationships(prints: DataFrame, sample_id: str = "sample_id", strategy: str
     return out.where(keep).select("a", "b", "p_distance", "d_distance", "similarity", ((F.col("p_distance") == 0) & (F.col("d_distance") == 0)).alias("exact"))
 
 
-def clusters(related: DataFrame, most_rounds: int = 64) -> DataFrame:
+def clusters(related: DataFrame) -> DataFrame:
     """node, root (least node) of each component of the pairs (a, b): labels fall to the least neighbour's and then jump to their label's."""
     from ..functions.shared import materialize
 
     edges = materialize(related.select("a", "b").union(related.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         step = labels.join(near, "node").select("node", F.least("root", "r").alias("root"))
         jump = step.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.coalesce(F.least("root", "far"), "root").alias("root"))
@@ -82,7 +82,6 @@ def clusters(related: DataFrame, most_rounds: int = 64) -> DataFrame:
         labels = new
         if not changed:
             return labels
-    raise RuntimeError("components didn't settle")
 
 
 def named_clusters(related: DataFrame) -> DataFrame:

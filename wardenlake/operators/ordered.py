@@ -86,3 +86,9 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str, ranges: int | Non
     apart = df.join(known, list(keys)) if keys else df.crossJoin(F.broadcast(known))  # one row
     mad = quantiles(apart.withColumn("__apart", F.abs(F.col(value) - F.col("median"))), keys, "__apart", {"mad": 0.5}, ranges)
     return middle.join(mad.select(*keys, "mad"), list(keys)) if keys else middle.crossJoin(F.broadcast(mad.select("mad")))
+
+
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column times says, without that column: in stretches, so that no array grows with the count."""
+    stretches = df.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(4096).cast("long"))))
+    return stretches.withColumn("__at", F.explode(F.sequence("__at", F.least(F.col("__at") + 4095, F.col(times) - 1)))).drop("__at", times)

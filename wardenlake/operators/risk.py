@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import materialize
-from ..functions.stats import clamp, noisy_or, risk_level
+from ..functions.stats import clamp, noisy_or, risk_level, round6
 
 # Fixed values.
 SEVERITY = {"critical": 1.00, "high": 0.70, "medium": 0.40, "low": 0.10, "info": 0.05}
@@ -76,13 +76,13 @@ def domain_attenuation(evidence: DataFrame, matrix: Sequence[Sequence[float]] =
     spark = evidence.sparkSession
     detect = F.col("layer") != "PROOF"
     term = clamp(severity_weight(F.col("severity"), SEVERITY_BY_CLASS, 0.2) * F.coalesce("confidence", F.lit(0.9)))
-    s = evidence.groupBy("project_id", "domain").agg(F.count("*").alias("n_evidence"), F.sum(detect.cast("long")).alias("n_detection"), F.round(clamp(F.coalesce(F.avg(F.when(detect, term)), F.lit(0.0))), 6).alias("mean_severity"))
+    s = evidence.groupBy("project_id", "domain").agg(F.count("*").alias("n_evidence"), F.sum(detect.cast("long")).alias("n_detection"), round6(clamp(F.coalesce(F.avg(F.when(detect, term)), F.lit(0.0)))).alias("mean_severity"))
     m = spark.createDataFrame([(a, b, float(x)) for a, row in zip(DOMAINS, matrix, strict=True) for b, x in zip(DOMAINS, row, strict=True) if x > 0], "domain string, other string, c double")
     source = s.where("mean_severity > 0").select("project_id", F.col("domain").alias("other"), F.col("mean_severity").alias("s"))
     factor = m.join(source, "other").groupBy("project_id", "domain").agg(F.product(clamp(1 - F.col("c") * F.col("s"))).alias("f"))
     out = s.join(factor, ["project_id", "domain"], "left")
-    att = F.when(F.col("mean_severity") > 0, F.round(clamp(F.coalesce("f", F.lit(1.0))), 6)).otherwise(1.0)
-    return out.withColumn("attenuation", att).withColumn("damped", F.round(F.col("mean_severity") * F.col("attenuation"), 6)).drop("f")
+    att = F.when(F.col("mean_severity") > 0, round6(clamp(F.coalesce("f", F.lit(1.0))))).otherwise(1.0)
+    return out.withColumn("attenuation", att).withColumn("damped", round6(F.col("mean_severity") * F.col("attenuation"))).drop("f")
 
 
 def asset_risk(evidence: DataFrame, attenuation: DataFrame | None = None, damping: float = INTRA, weights: dict[str, float] = SEVERITY) -> DataFrame:
@@ -95,8 +95,8 @@ def asset_risk(evidence: DataFrame, attenuation: DataFrame | None = None, dampin
     conf = F.coalesce("confidence", F.when(F.col("layer") == "PROOF", 1.0).otherwise(0.9))
     e = e.withColumn("term", clamp(severity_weight(F.col("severity"), weights) * conf * att))
     c = e.groupBy("project_id", "asset_id", "cluster").agg(F.max("term").alias("m"), F.sum("term").alias("s"), F.count("*").alias("k"), F.max("alone").alias("alone"))
-    c = c.withColumn("score", F.round(clamp(F.col("m") + damping * (F.col("s") - F.col("m"))), 6))
-    out = c.groupBy("project_id", "asset_id").agg(F.round(clamp(noisy_or(F.col("score"))), 6).alias("risk"), F.sum("k").alias("n_evidence"), F.count("*").alias("n_clusters"), (~F.max("alone")).alias("sufficient"))
+    c = c.withColumn("score", round6(clamp(F.col("m") + damping * (F.col("s") - F.col("m")))))
+    out = c.groupBy("project_id", "asset_id").agg(round6(clamp(noisy_or(F.col("score")))).alias("risk"), F.sum("k").alias("n_evidence"), F.count("*").alias("n_clusters"), (~F.max("alone")).alias("sufficient"))
     return out.withColumn("level", risk_level(F.col("risk")))
 
 
@@ -137,12 +137,12 @@ def propagate(assets: DataFrame, edges: DataFrame, gamma: float = GAMMA) -> Data
         raise ValueError("the asset graph has a cycle")
     top = lv.agg(F.max("level")).first()[0] or 0
     base = materialize(assets.join(lv, "node"), "base")
-    done = base.where("level = 0").select("node", "risk", F.round("risk", 6).alias("effective"))
+    done = base.where("level = 0").select("node", "risk", round6(F.col("risk")).alias("effective"))
     for k in range(1, top + 1):
         done = materialize(done, "effective")
         own = base.where(F.col("level") == k)
         parents = edges.join(done.select(F.col("node").alias("src"), "effective"), "src").groupBy(F.col("dst").alias("node")).agg(F.product(1 - clamp(gamma * F.col("weight") * F.col("effective"))).alias("f"))
-        done = done.union(own.join(parents, "node", "left").select("node", "risk", F.round(clamp(1 - (1 - F.col("risk")) * F.coalesce("f", F.lit(1.0))), 6).alias("effective")))
+        done = done.union(own.join(parents, "node", "left").select("node", "risk", round6(clamp(1 - (1 - F.col("risk")) * F.coalesce("f", F.lit(1.0)))).alias("effective")))
     return done
 
 
@@ -156,7 +156,7 @@ def chain_paths(assets: DataFrame, edges: DataFrame, depth: int = DEPTH, gamma:
     for _ in range(depth - 2):
         at = at.join(hop.withColumnRenamed("src", "end"), "end").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"), (F.col("keep") * (1 - F.col("h"))).alias("keep"))
         out = out.union(at)
-    return out.select("path", (F.size("path") - 1).alias("hops"), F.round(clamp(1 - F.col("keep")), 6).alias("score"))
+    return out.select("path", (F.size("path") - 1).alias("hops"), round6(clamp(1 - F.col("keep"))).alias("score"))
 
 
 def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def project_risk(assets: DataFrame, alpha: float = PEAK, inter: float = INTER, r
     risk, role."""
     w = F.coalesce(F.try_element_at(_map(roles), F.col("role")), F.lit(1.0))
     g = assets.groupBy("project_id").agg(F.max(F.struct("risk", "asset_id")).alias("x"), F.product(1 - clamp(inter * w * F.col("risk"))).alias("f"), F.count("*").alias("n_assets"))
-    out = g.select("project_id", F.round(clamp(1 - F.pow(1 - F.col("x.risk"), F.lit(alpha)) * F.col("f")), 6).alias("risk"), F.round("x.risk", 6).alias("peak"), F.col("x.asset_id").alias("peak_asset"), "n_assets")
+    out = g.select("project_id", round6(clamp(1 - F.pow(1 - F.col("x.risk"), F.lit(alpha)) * F.col("f"))).alias("risk"), round6(F.col("x.risk")).alias("peak"), F.col("x.asset_id").alias("peak_asset"), "n_assets")
     return out.withColumn("level", risk_level(F.col("risk")))
 
 
@@ -248,7 +248,7 @@ def fuse(evidence: DataFrame, category_weights: dict[str, float], damping: float
     out = g.join(broken, "project_id", "left")
     level = F.when(F.col("risk") >= 0.85, "CRITICAL").when(F.col("risk") >= 0.65, "HIGH").when(F.col("risk") >= 0.30, "MEDIUM").otherwise("LOW")
     state = F.when(F.col("broken"), "QUARANTINE").when(F.col("risk") < review, "ACCEPT").when(F.col("risk") < quarantine, "REVIEW").otherwise("QUARANTINE")
-    return out.select("project_id", F.round("risk", 6).alias("risk"), level.alias("level"), state.alias("disposition"), "n_clusters")
+    return out.select("project_id", round6(F.col("risk")).alias("risk"), level.alias("level"), state.alias("disposition"), "n_clusters")
 
 
 def compliance(controls: Sequence[dict], evidence: DataFrame, projects: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.shared import materialize
 from ..functions.stats import dual_gate
 from . import drift
+from .ordered import ranges_for, repeated
 from .multiple_testing import adjust
 
 
@@ -61,12 +63,15 @@ def against_reference(df: DataFrame, value: str, label: str, source: str = "cano
     base = ref.groupBy("value", "label").agg(F.count("*").alias("c"))
     # the reference's distinct (value, label) pairs meet every target group; the groups are a small table
     wide = base.crossJoin(targets.join(reference_name.withColumnRenamed("__ref", "target"), "target", "left_anti"))
-    base = wide.select("target", F.lit(False).alias("is_target"), "value", "label", F.explode(F.array_repeat(F.lit(1), F.col("c").cast("int"))).alias("__one")).drop("__one")
+    base = wide.select("target", F.lit(False).alias("is_target"), "value", "label", "c")
+    base = repeated(base, "c")
     long = own.where(F.col(source) != F.col("__ref")).select(F.col(source).alias("target"), F.lit(True).alias("is_target"), F.col(value).cast("double").alias("value"), F.col(label).cast("string").alias("label")).union(base)
     labels = drift.class_counts(long, "label", ["target"])
     totals = labels.groupBy("target").agg(F.sum("ref_count").alias("nr"), F.sum("target_count").alias("nt"))
     tvd = labels.join(totals, "target").groupBy("target").agg((F.sum(F.abs(F.col("ref_count") / F.col("nr") - F.col("target_count") / F.col("nt"))) / 2).alias("label_tvd"))
-    out = drift.ks(long, ["target"], ranges=1).join(drift.psi(long, ["target"], ranges=1), "target").join(tvd, "target")
+    long = materialize(long, "sources")
+    ranges = ranges_for(long, ["target"])  # a hot source is many tasks
+    out = drift.ks(long, ["target"], ranges).join(drift.psi(long, ["target"], ranges=ranges), "target").join(tvd, "target")
     out = adjust(out, "bh", level, name="target")
     out = out.withColumn("status", F.when(F.col("significant"), dual_gate(F.lit(True), F.col("psi") >= 0.10)).otherwise("NO_SHIFT_DETECTED")).withColumn("confounded", F.col("label_tvd") >= confounded_at)
     order = F.when(F.col("status") == "MATERIAL_SHIFT", 3).when(F.col("status") == "SIGNIFICANT_SHIFT", 2).otherwise(1)

@@ -9,7 +9,7 @@ from ..functions.shared import materialize
 from ..functions.stats import dual_gate
 from . import drift
 from .multiple_testing import adjust
-from .ordered import ranges_for
+from .ordered import ranges_for, repeated
 
 
 def normalize_time(column: str):
@@ -53,7 +53,8 @@ def comparisons(windowed: DataFrame, value: str, kind: str = "baseline", baselin
         known = valid.where(F.col("window_index") != baseline).select(F.col("window_index").alias("target"))
         targets = known.agg(F.sort_array(F.collect_set("target")).alias("all"))
         base = rows.where(F.col("window_index") == baseline).groupBy("value").agg(F.count("*").alias("c")).crossJoin(F.broadcast(targets))  # one row, a number a window
-        base = base.select(F.explode("all").alias("target"), F.lit(False).alias("is_target"), "value", F.explode(F.array_repeat(F.lit(1), F.col("c").cast("int"))).alias("__one")).drop("__one")
+        base = base.select(F.explode("all").alias("target"), F.lit(False).alias("is_target"), "value", "c")
+        base = repeated(base, "c")
         both = rows.where(F.col("window_index") != baseline).select(F.col("window_index").alias("target"), F.lit(True).alias("is_target"), "value").union(base)
     long = materialize(both.join(F.broadcast(known), "target"), "windows")  # four statistics read it, some of them twice
     std = long.where(~F.col("is_target")).groupBy("target").agg(F.stddev_pop("value").alias("std"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
+from ..functions.stats import LIFT, round6
 from ..operators import integrity, paired, risk
 
 
@@ -58,7 +59,7 @@ def merkle_leaves(spark, d):
 
 def merkle_root(spark, d):
     levels = integrity.merkle_levels(_leaves(spark, d))
-    return levels.select(F.col("level").cast("int").alias("level"), "i", "hash").where(F.col("level") >= 6)
+    return levels.select(F.col("level").cast("int").alias("level"), "i", "hash")
 
 
 def merkle_proof_verify(spark, d):
@@ -96,11 +97,11 @@ def _evidence(spark, d):
     i = table(spark, d, "lineitem").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     pick = lambda x, values: F.element_at(F.array(*(F.lit(v) for v in values)), (x % len(values) + 1).cast("int"))
     none = F.lit(None).cast("string")
-    return i.where(F.col("l_linenumber") <= 2).select(
+    return i.select(
         F.concat(F.lit("p"), F.col("s_nationkey").cast("string")).alias("project_id"), pick(F.col("l_partkey"), risk.DOMAINS).alias("domain"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("evidence_id"), F.when(F.col("l_partkey") % 19 == 0, "PROOF").otherwise("DETECTION").alias("layer"),
         pick(F.col("l_quantity").cast("long"), list(risk.SEVERITY)).alias("severity"), F.when(F.col("l_partkey") % 23 == 0, F.lit(None)).otherwise(F.col("l_discount") * 5).alias("confidence"),
-        F.concat(F.lit("a"), (F.col("l_partkey") % 40).cast("string")).alias("asset_id"), F.when(F.col("l_orderkey") % 3 == 0, F.col("l_orderkey").cast("string")).alias("sample_id"),
+        F.concat(F.lit("a"), (F.col("l_partkey") % 400).cast("string")).alias("asset_id"), F.when(F.col("l_orderkey") % 3 == 0, F.col("l_orderkey").cast("string")).alias("sample_id"),
         F.when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("v"), (F.col("l_orderkey") % 20).cast("string"))).alias("dataset_version_id"), none.alias("model_fingerprint"), none.alias("window_id"),
         F.when(F.col("l_orderkey") % 6 == 2, F.concat(F.lit("s"), (F.col("l_suppkey") % 10).cast("string"))).alias("source_id"),
     )
@@ -132,10 +133,10 @@ def asset_risk(spark, d):
 
 
 def _graph(spark, d):
-    """region -> nation -> supplier -> part, a part for each third supplier pair."""
+    """region -> nation -> supplier -> part, by every line item."""
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    ps = table(spark, d, "lineitem").where("l_linenumber = 1 and l_partkey % 40 = 3").select("l_suppkey", "l_partkey").distinct()
+    ps = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     edges = n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"), F.lit(0.8).alias("weight"))
     edges = edges.union(s.select(name("n", "s_nationkey"), name("s", "s_suppkey"), F.lit(0.5))).union(ps.select(name("s", "l_suppkey"), name("p", "l_partkey"), F.lit(0.2)))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
@@ -183,7 +184,7 @@ def _assets(spark, d):
 
 
 def _mild(spark, d):
-    return _assets(spark, d).withColumn("risk", F.round(F.col("risk") * 0.6, 6))
+    return _assets(spark, d).withColumn("risk", round6(F.col("risk") * 0.6))
 
 
 def project_risk(spark, d):
@@ -322,29 +323,29 @@ _SEV = "CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'medium
 _SEVC = "CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.4 ELSE 0.2 END"
 _DOM = "['DATASET_INTEGRITY', 'CONTRIBUTOR_RISK', 'MODEL_INTEGRITY', 'BEHAVIORAL_ANALYSIS', 'BACKDOOR_TRIGGER', 'INFERENCE_INTEGRITY', 'DISTRIBUTION_SHIFT']"
 _EVID = f"""e AS (SELECT 'p' || s_nationkey AS project_id, ({_DOM})[(l_partkey % 7) + 1] AS domain, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS evidence_id, CASE WHEN l_partkey % 19 = 0 THEN 'PROOF' ELSE 'DETECTION' END AS layer,
-  (['critical', 'high', 'medium', 'low', 'info'])[(l_quantity::BIGINT % 5) + 1] AS severity, CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE l_discount * 5 END AS confidence, 'a' || (l_partkey % 40) AS asset_id, CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey::VARCHAR END AS sample_id,
-  CASE WHEN l_orderkey % 3 = 1 THEN 'v' || (l_orderkey % 20) END AS dataset_version_id, CASE WHEN l_orderkey % 6 = 2 THEN 's' || (l_suppkey % 10) END AS source_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <= 2)"""
+  (['critical', 'high', 'medium', 'low', 'info'])[(l_quantity::BIGINT % 5) + 1] AS severity, CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE l_discount * 5 END AS confidence, 'a' || (l_partkey % 400) AS asset_id, CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey::VARCHAR END AS sample_id,
+  CASE WHEN l_orderkey % 3 = 1 THEN 'v' || (l_orderkey % 20) END AS dataset_version_id, CASE WHEN l_orderkey % 6 = 2 THEN 's' || (l_suppkey % 10) END AS source_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 _KEY = "coalesce('anc_sample_' || sample_id, 'anc_ds_' || dataset_version_id, 'anc_src_' || source_id, 'ev_ind_' || evidence_id)"
 _MATRIX = "mx AS (SELECT unnest([{}]) AS a, unnest([{}]) AS b, unnest([{}])::DOUBLE AS c)".format(
     ", ".join(f"'{a}'" for a, row in zip(risk.DOMAINS, risk.CORRELATION, strict=True) for x in row if x > 0), ", ".join(f"'{b}'" for row in risk.CORRELATION for b, x in zip(risk.DOMAINS, row, strict=True) if x > 0), ", ".join(str(x) for row in risk.CORRELATION for x in row if x > 0)
 )
-_ATT = f"""ds AS (SELECT project_id, domain, count(*) AS n_evidence, count(*) FILTER (layer <> 'PROOF') AS n_detection, round(coalesce(avg(least(1.0, {_SEVC} * coalesce(confidence, 0.9))) FILTER (layer <> 'PROOF'), 0), 6) AS ms FROM e GROUP BY ALL), {_MATRIX},
+_ATT = f"""ds AS (SELECT project_id, domain, count(*) AS n_evidence, count(*) FILTER (layer <> 'PROOF') AS n_detection, round(coalesce(avg(least(1.0, {_SEVC} * coalesce(confidence, 0.9))) FILTER (layer <> 'PROOF'), 0) + {LIFT}, 6) AS ms FROM e GROUP BY ALL), {_MATRIX},
 fx AS (SELECT s.project_id, mx.a AS domain, product(greatest(0.0, 1 - mx.c * s.ms)) AS f FROM mx JOIN ds s ON s.domain = mx.b AND s.ms > 0 GROUP BY ALL),
-an AS (SELECT ds.*, CASE WHEN ms > 0 THEN round(coalesce(f, 1.0), 6) ELSE 1.0 END AS att FROM ds LEFT JOIN fx ON fx.project_id = ds.project_id AND fx.domain = ds.domain)"""
+an AS (SELECT ds.*, CASE WHEN ms > 0 THEN round(coalesce(f, 1.0) + {LIFT}, 6) ELSE 1.0 END AS att FROM ds LEFT JOIN fx ON fx.project_id = ds.project_id AND fx.domain = ds.domain)"""
 
 
 def _risk(att: str = "1.0", join: str = "") -> str:
     return f"""tm AS (SELECT e.project_id, asset_id, {_KEY} AS cl, least(1.0, {_SEV} * coalesce(confidence, CASE WHEN layer = 'PROOF' THEN 1.0 ELSE 0.9 END) * CASE WHEN layer = 'PROOF' THEN 1.0 ELSE {att} END) AS t FROM e {join}),
-cs AS (SELECT project_id, asset_id, cl, count(*) AS k, round(least(1.0, max(t) + 0.15 * (sum(t) - max(t))), 6) AS s FROM tm GROUP BY ALL),
-ar AS (SELECT project_id, asset_id, round(least(1.0, greatest(0.0, 1 - product(1 - s))), 6) AS risk, sum(k)::BIGINT AS n_evidence, count(*) AS n_clusters, NOT bool_or(starts_with(cl, 'ev_ind_')) AS sufficient FROM cs GROUP BY ALL),
+cs AS (SELECT project_id, asset_id, cl, count(*) AS k, round(least(1.0, max(t) + 0.15 * (sum(t) - max(t))) + {LIFT}, 6) AS s FROM tm GROUP BY ALL),
+ar AS (SELECT project_id, asset_id, round(least(1.0, greatest(0.0, 1 - product(1 - s))) + {LIFT}, 6) AS risk, sum(k)::BIGINT AS n_evidence, count(*) AS n_clusters, NOT bool_or(starts_with(cl, 'ev_ind_')) AS sufficient FROM cs GROUP BY ALL),
 al AS (SELECT *, CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.3 THEN 'MEDIUM' WHEN risk > 0 THEN 'LOW' ELSE 'NONE' END AS level FROM ar)"""
 
 
-_MILD = f"""{_EVID}, {_risk()}, am AS (SELECT * REPLACE (round(risk * 0.6, 6) AS risk), CASE asset_id[2:]::INTEGER % 3 WHEN 0 THEN 'CORE_DEPLOYED' WHEN 1 THEN 'SUPPORTING_INPUT' ELSE 'PERIPHERAL_SAMPLE' END AS role, (asset_id[2:]::INTEGER + length(project_id)) % 37 = 1 AS proof_failed FROM al)"""
+_MILD = f"""{_EVID}, {_risk()}, am AS (SELECT * REPLACE (round(risk * 0.6 + {LIFT}, 6) AS risk), CASE asset_id[2:]::INTEGER % 3 WHEN 0 THEN 'CORE_DEPLOYED' WHEN 1 THEN 'SUPPORTING_INPUT' ELSE 'PERIPHERAL_SAMPLE' END AS role, (asset_id[2:]::INTEGER + length(project_id)) % 37 = 1 AS proof_failed FROM al)"""
 _BAND = "CASE WHEN {0} < 0.3 THEN 'ACCEPT' WHEN {0} < 0.65 THEN 'REVIEW' WHEN {0} < 0.85 THEN 'QUARANTINE' ELSE 'REJECT' END"
-_PROJECT = """pr AS (SELECT project_id, round(greatest(0.0, least(1.0, 1 - pow(1 - max(risk), 1.5) * product(1 - 0.1 * CASE role WHEN 'CORE_DEPLOYED' THEN 1.0 WHEN 'SUPPORTING_INPUT' THEN 0.75 ELSE 0.5 END * risk))), 6) AS risk, round(max(risk), 6) AS peak,
+_PROJECT = """pr AS (SELECT project_id, round(greatest(0.0, least(1.0, 1 - pow(1 - max(risk), 1.5) * product(1 - 0.1 * CASE role WHEN 'CORE_DEPLOYED' THEN 1.0 WHEN 'SUPPORTING_INPUT' THEN 0.75 ELSE 0.5 END * risk))) + 1.37e-10, 6) AS risk, round(max(risk) + 1.37e-10, 6) AS peak,
   arg_max(asset_id, {'r': risk, 'a': asset_id}) AS peak_asset, count(*) AS n_assets FROM am GROUP BY 1)"""
-_GRAPH = """ed AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 0.8::DOUBLE AS w FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 0.5 FROM supplier UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 0.2 FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 40 = 3),
+_GRAPH = """ed AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 0.8::DOUBLE AS w FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 0.5 FROM supplier UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 0.2 FROM lineitem),
 nd AS (SELECT node, (node[2:]::BIGINT % 10) / 10.0::DOUBLE AS risk FROM (SELECT src AS node FROM ed UNION SELECT dst FROM ed))"""
 _PAIRED = """cu AS (SELECT c_mktsegment AS candidate, c_custkey AS sample_id, c_custkey * 7919 % 1000 AS u, c_custkey * 104729 % 1000 AS v FROM customer),
 pp AS (SELECT candidate, sample_id, (u < CASE WHEN candidate IN ('AUTOMOBILE', 'BUILDING') THEN 900 ELSE 520 END)::INTEGER AS tr, (v < 250)::INTEGER AS sh, ((u + v) % 1000 < 200)::INTEGER AS no FROM cu)"""
@@ -358,7 +359,7 @@ SELECT user_id, count(*) AS n_failures, min(seq) AS first_failed, CASE WHEN bool
     "sequence_gaps": f"WITH RECURSIVE {_TAMPER}, g AS (SELECT user_id, seq, lead(seq) OVER (PARTITION BY user_id ORDER BY seq) AS nx FROM tp) SELECT user_id, seq AS after, nx - seq - 1 AS n_missing FROM g WHERE nx > seq + 1",
     "replay_nonce_dups": f"WITH RECURSIVE {_TAMPER} SELECT user_id, nonce, count(*) AS n FROM tp GROUP BY ALL HAVING count(*) > 1",
     "merkle_leaves": f"WITH {_LEAVES} SELECT i, path, hash FROM lv",
-    "merkle_root": f"WITH RECURSIVE {_MERKLE} SELECT level, unnest(range(0, len(hs))) AS i, unnest(hs) AS hash FROM mk WHERE level >= 6",
+    "merkle_root": f"WITH RECURSIVE {_MERKLE} SELECT level, unnest(range(0, len(hs))) AS i, unnest(hs) AS hash FROM mk",
     "merkle_proof_verify": f"WITH {_LEAVES} SELECT path, i % 50 <> 0 AS valid FROM lv",
     "ordered_set_hash": "SELECT l_orderkey, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT l_orderkey, sha256(l_partkey || '|' || l_suppkey) AS h FROM lineitem) GROUP BY 1",
     "tensor_diff": """WITH p AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS name, p_size AS shape, p_brand AS dtype, sha256(p_name) AS content FROM part),
@@ -375,21 +376,21 @@ UNION ALL SELECT project_id, count(*), reason FROM r WHERE reason IS NOT NULL GR
     "ancestry_clusters": f"WITH {_EVID} SELECT project_id, {_KEY} AS cluster, count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 1",
     "ancestry_links": f"""WITH {_EVID}, k AS (SELECT project_id, evidence_id, 'anc_sample_' || sample_id AS key FROM e WHERE sample_id IS NOT NULL UNION ALL SELECT project_id, evidence_id, 'anc_ds_' || dataset_version_id FROM e WHERE dataset_version_id IS NOT NULL UNION ALL SELECT project_id, evidence_id, 'anc_src_' || source_id FROM e WHERE source_id IS NOT NULL),
 m AS (SELECT *, min(evidence_id) OVER (PARTITION BY project_id, key) AS b FROM k) SELECT DISTINCT project_id, evidence_id AS a, b FROM m WHERE evidence_id <> b""",
-    "domain_attenuation": f"WITH {_EVID}, {_ATT} SELECT project_id, domain, n_evidence, n_detection, ms AS mean_severity, att AS attenuation, round(ms * att, 6) AS damped FROM an",
+    "domain_attenuation": f"WITH {_EVID}, {_ATT} SELECT project_id, domain, n_evidence, n_detection, ms AS mean_severity, att AS attenuation, round(ms * att + {LIFT}, 6) AS damped FROM an",
     "asset_risk": f"WITH {_EVID}, {_ATT}, {_risk('att', 'JOIN an ON an.project_id = e.project_id AND an.domain = e.domain')} SELECT * FROM al",
     "dag_check": f"WITH {_GRAPH} SELECT 'DANGLING_EDGE' AS code, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'SELF_LOOP', (SELECT count(*) FROM nd WHERE node LIKE 'r%') UNION ALL SELECT 'TOO_MANY_BRANCHES', (SELECT count(*) FROM (SELECT src FROM ed GROUP BY 1 HAVING count(*) > 100))",
     "dag_depth": f"WITH RECURSIVE {_GRAPH}, dp AS (SELECT node, 0 AS level FROM nd WHERE node NOT IN (SELECT dst FROM ed) UNION SELECT dst, level + 1 FROM dp JOIN ed ON src = node) SELECT node, max(level) AS level FROM dp GROUP BY 1",
     "cycle_check": f"WITH RECURSIVE {_GRAPH}, bk AS (SELECT 's1' AS node UNION SELECT 'n1'), rc AS (SELECT node FROM bk UNION SELECT dst FROM rc JOIN ed ON src = node) SELECT node, node IN (SELECT node FROM rc) AS in_or_behind_cycle FROM nd",
-    "lineage_propagation": f"""WITH {_GRAPH}, l0 AS (SELECT node, round(risk, 6) AS eff FROM nd WHERE node LIKE 'r%'),
-l1 AS (SELECT n.node, round(1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff), 6) AS eff FROM nd n JOIN ed ON dst = n.node JOIN l0 p ON p.node = src GROUP BY 1), l2 AS (SELECT n.node, round(1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff), 6) AS eff FROM nd n JOIN ed ON dst = n.node JOIN l1 p ON p.node = src GROUP BY 1),
-l3 AS (SELECT n.node, round(1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff), 6) AS eff FROM nd n JOIN ed ON dst = n.node JOIN l2 p ON p.node = src GROUP BY 1) SELECT node, eff AS effective FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2 UNION ALL FROM l3)""",
+    "lineage_propagation": f"""WITH {_GRAPH}, l0 AS (SELECT node, round(risk + {LIFT}, 6) AS eff FROM nd WHERE node LIKE 'r%'),
+l1 AS (SELECT n.node, round(1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff) + {LIFT}, 6) AS eff FROM nd n JOIN ed ON dst = n.node JOIN l0 p ON p.node = src GROUP BY 1), l2 AS (SELECT n.node, round(1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff) + {LIFT}, 6) AS eff FROM nd n JOIN ed ON dst = n.node JOIN l1 p ON p.node = src GROUP BY 1),
+l3 AS (SELECT n.node, round(1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff) + {LIFT}, 6) AS eff FROM nd n JOIN ed ON dst = n.node JOIN l2 p ON p.node = src GROUP BY 1) SELECT node, eff AS effective FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2 UNION ALL FROM l3)""",
     "chain_paths": f"""WITH RECURSIVE {_GRAPH}, hp AS (SELECT src, dst, 0.25 * a.risk * b.risk AS h FROM ed JOIN nd a ON a.node = src JOIN nd b ON b.node = dst), pa AS (SELECT src || '>' || dst AS path, dst AS fin, 1 AS hops, 1 - h AS k FROM hp UNION ALL SELECT path || '>' || dst, dst, hops + 1, k * (1 - h) FROM pa JOIN hp ON src = fin WHERE hops < 4)
-SELECT path, hops, round(1 - k, 6) AS score FROM pa""",
+SELECT path, hops, round(1 - k + {LIFT}, 6) AS score FROM pa""",
     "ancestor_closure": f"WITH RECURSIVE {_GRAPH}, up AS (SELECT node AS start, node FROM nd WHERE node LIKE 'p%' UNION SELECT start, src FROM up JOIN ed ON dst = node) SELECT start, node FROM up WHERE start <> node",
     "project_risk": f"WITH {_MILD}, {_PROJECT} SELECT *, CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.3 THEN 'MEDIUM' WHEN risk > 0 THEN 'LOW' ELSE 'NONE' END AS level FROM pr",
     "assurance_fusion": f"""WITH {_EVID}, x AS (SELECT *, CASE domain WHEN 'DATASET_INTEGRITY' THEN 0.8 WHEN 'MODEL_INTEGRITY' THEN 1.0 WHEN 'DISTRIBUTION_SHIFT' THEN 0.6 ELSE 0.5 END * {_SEVC} * coalesce(confidence, 0.9) * 0.05 AS t FROM e WHERE sample_id IS NOT NULL),
 c AS (SELECT project_id, asset_id, domain, least(1.0, max(t) + 0.1 * (sum(t) - max(t))) AS s FROM x GROUP BY ALL), g AS (SELECT project_id, 1 - product(1 - s) AS risk, count(*) AS n_clusters FROM c GROUP BY 1), b AS (SELECT DISTINCT project_id FROM x WHERE layer = 'PROOF' AND severity IN ('critical', 'high'))
-SELECT g.project_id, round(risk, 6) AS risk, CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN b.project_id IS NOT NULL THEN 'QUARANTINE' WHEN risk < 0.3 THEN 'ACCEPT' WHEN risk < 0.65 THEN 'REVIEW' ELSE 'QUARANTINE' END AS disposition, n_clusters FROM g LEFT JOIN b USING (project_id)""",
+SELECT g.project_id, round(risk + {LIFT}, 6) AS risk, CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN b.project_id IS NOT NULL THEN 'QUARANTINE' WHEN risk < 0.3 THEN 'ACCEPT' WHEN risk < 0.65 THEN 'REVIEW' ELSE 'QUARANTINE' END AS disposition, n_clusters FROM g LEFT JOIN b USING (project_id)""",
     "policy_bands": f"WITH {_MILD} SELECT project_id, asset_id, risk, {_BAND.format('risk')} AS decision FROM am",
     "policy_rules_escalation": f"""WITH {_MILD}, r AS (SELECT *, {_BAND.format('risk')} AS baseline, role = 'CORE_DEPLOYED' AND risk >= 0.5 AS core, NOT sufficient AND n_clusters > 20 AS weak, level LIKE '%CRIT%' AND role <> 'PERIPHERAL_SAMPLE' AND n_evidence < 50 AS lv FROM am),
 s AS (SELECT *, CASE WHEN lv THEN 4 WHEN core THEN 3 WHEN weak THEN 2 ELSE 0 END AS top, list_position(['ACCEPT', 'REVIEW', 'QUARANTINE', 'REJECT'], baseline) AS b FROM r)

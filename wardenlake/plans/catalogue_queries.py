@@ -30,7 +30,7 @@ def semi_join_ids(spark, d):
 
 def traceability(spark, d):
     """Orders with their first line as primary evidence, all lines as referenced, parts as assets, suppliers' records as provenance."""
-    i = table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    i = table(spark, d, "lineitem")
     eid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     e = i.select(eid.alias("evidence_id"), F.concat(F.lit("a"), F.col("l_partkey") % 100).alias("asset_id"), F.col("l_orderkey").alias("finding_id"), "l_linenumber")
     f = e.groupBy("finding_id").agg(F.min("evidence_id").alias("evidence_id")).join(e.select("evidence_id", "asset_id"), "evidence_id").select("finding_id", "evidence_id", "asset_id")
@@ -64,7 +64,7 @@ SQL = {
     "evidence_findings_join": "SELECT o_custkey % 25 AS project_id, o_orderstatus AS disposition, count(*) AS n, sum(l_quantity) AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL",
     "sample_version_join": "SELECT c_mktsegment, count(*) AS n, count(DISTINCT c_custkey) AS n_datasets FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1",
     "semi_join_ids": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000)",
-    "traceability": """WITH e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS eid, 'a' || (l_partkey % 100) AS aid, l_orderkey AS fid FROM lineitem WHERE l_orderkey % 10 = 0), p AS (SELECT DISTINCT 'a' || (p_partkey % 100) AS aid, 'r' || p_size AS rid FROM part)
+    "traceability": """WITH e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS eid, 'a' || (l_partkey % 100) AS aid, l_orderkey AS fid FROM lineitem), p AS (SELECT DISTINCT 'a' || (p_partkey % 100) AS aid, 'r' || p_size AS rid FROM part)
 SELECT fid AS finding_id, 'PRIMARY' AS kind, 1::BIGINT AS n FROM e GROUP BY fid UNION ALL SELECT fid, 'REFERENCED', count(DISTINCT eid) FROM e GROUP BY fid UNION ALL SELECT fid, 'ASSET', count(DISTINCT aid) FROM e GROUP BY fid UNION ALL SELECT fid, 'PROVENANCE', count(DISTINCT rid) FROM e JOIN p USING (aid) GROUP BY fid""",
     "proof_status": f"""WITH {_EVID}, x AS (SELECT project_id, asset_id, count(*) AS n, asset_id[2:]::INTEGER AS k FROM e WHERE layer = 'PROOF' GROUP BY ALL)
 SELECT project_id, asset_id, n, CASE WHEN k % 3 = 0 THEN 'MISSING' WHEN k % 5 = 1 THEN 'INVALID' ELSE 'VERIFIED' END AS status, k % 3 = 0 OR k % 5 = 1 AS fatal FROM x""",

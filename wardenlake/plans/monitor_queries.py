@@ -93,9 +93,9 @@ def median_mad(spark, d):
 
 
 def _metrics(spark, d):
-    """Baseline: values of the first fifteen days by type; observed: those of the last day."""
+    """Baseline: values of the first fifteen days by type; observed: all later ones."""
     e = table(spark, d, "events").select(F.col("event_type").alias("metric"), "value", "event_id", F.to_date("ts").alias("day"))
-    return e.where("day < date '2024-01-16'"), e.where("day >= date '2024-01-29'")
+    return e.where("day < date '2024-01-16'"), e.where("day >= date '2024-01-16'")
 
 
 def robust_z_anomalies(spark, d):
@@ -143,7 +143,7 @@ def _comparison(rows: str, kind: str, more: str = "") -> str:
 
 
 _SHOW = "SELECT feature AS target, nr AS n_ref, nt AS n_target, round(ks, 6) AS ks, round(adj, 6) AS adjusted_p, round(psi, 6) AS psi, status FROM g"
-_BASE = """b AS (SELECT event_type AS metric, value FROM events WHERE ts < TIMESTAMP '2024-01-16'), s AS (SELECT event_type AS metric, value, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-29'),
+_BASE = """b AS (SELECT event_type AS metric, value FROM events WHERE ts < TIMESTAMP '2024-01-16'), s AS (SELECT event_type AS metric, value, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-16'),
 m AS (SELECT metric, count(*) AS n, median(value) AS med FROM b GROUP BY metric), a AS (SELECT m.*, (SELECT median(abs(value - med)) FROM b WHERE b.metric = m.metric) AS mad FROM m),
 e AS (SELECT s.metric, s.value, s.event_id, max(n) AS n, max(med) AS med, max(mad) AS mad, count(*) FILTER (b.value <= s.value) AS le, count(*) FILTER (b.value >= s.value) AS ge, count(*) FILTER (b.value = s.value) AS eq
   FROM s JOIN a ON a.metric = s.metric JOIN b ON b.metric = s.metric GROUP BY ALL)"""

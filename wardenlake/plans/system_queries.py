@@ -142,7 +142,7 @@ def embedding_faults(spark, d):
 
 
 def _boxes(spark, d, shift):
-    i = table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    i = table(spark, d, "lineitem")
     x, y = (F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 40).cast("double")
     w, h = F.col("l_quantity") + 5, F.col("l_quantity") * 0.5 + 8
     return i.select("l_orderkey", F.array(x + shift, y, x + shift + w, y + h).alias("box"), (F.col("l_linenumber") % 3).alias("label"), (1 - F.col("l_discount") - F.col("l_partkey") / 1e7 - F.col("l_suppkey") / 1e9).alias("score"), "l_partkey", "l_suppkey", "l_linenumber")
@@ -213,7 +213,7 @@ QUERIES = {
 }
 
 _TENS = """tn AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i = 6 AND vec_id % 10 = 0 THEN 'nan'::DOUBLE WHEN i = 6 AND vec_id % 10 = 1 THEN 'inf'::DOUBLE WHEN i = 6 AND vec_id % 10 = 2 THEN 300.0 WHEN i = 6 AND vec_id % 10 = 3 THEN -0.5 ELSE x END) AS data FROM embeddings)"""
-_BOX = """bx AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_partkey % 50)::DOUBLE AS x1, (l_suppkey % 40)::DOUBLE AS y1, (l_partkey % 50) + (l_quantity + 5) AS x2, (l_suppkey % 40) + (l_quantity * 0.5 + 8) AS y2, l_linenumber % 3 AS label FROM lineitem WHERE l_orderkey % 5 = 0)"""
+_BOX = """bx AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_partkey % 50)::DOUBLE AS x1, (l_suppkey % 40)::DOUBLE AS y1, (l_partkey % 50) + (l_quantity + 5) AS x2, (l_suppkey % 40) + (l_quantity * 0.5 + 8) AS y2, l_linenumber % 3 AS label FROM lineitem)"""
 _PIX = """px AS (SELECT p_partkey AS k, x, y, ((x * (p_partkey % 7 + 1) + y * (p_partkey % 5 + 1) + p_partkey) % 256)::DOUBLE AS r, ((x * (p_partkey % 7 + 1) + y * (p_partkey % 5 + 1) + 40 + p_partkey) % 256)::DOUBLE AS g, ((x * (p_partkey % 7 + 1) + y * (p_partkey % 5 + 1) + 80 + p_partkey) % 256)::DOUBLE AS b
   FROM part, (SELECT unnest(range(0, 32)) AS x), (SELECT unnest(range(0, 32)) AS y)), gr AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS v, greatest(r, g, b) / 255 AS hi, least(r, g, b) / 255 AS lo FROM px)"""
 

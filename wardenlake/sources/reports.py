@@ -54,9 +54,12 @@ def redact(fields: Column) -> Column:
 
 
 def markdown(df: DataFrame, title: str, rows: int = 1000) -> str:
-    """A table of at most rows rows, which a reader can still take in."""
+    """A table for readers; beyond rows rows the last line says how many more there are (write_json has all)."""
     head = "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns)
-    lines = ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in df.limit(rows).collect()]
+    shown = df.limit(rows + 1).collect()
+    lines = ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in shown[:rows]]
+    if len(shown) > rows:
+        lines.append(f"\n{df.count() - rows} more rows aren't shown.")
     return "\n".join([f"# {title}", "", head, *lines, ""])
 
 
