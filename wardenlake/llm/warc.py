@@ -101,6 +101,8 @@ _LONG_NUMBER = re.compile(r"&#(?:[0-9]{12,}+|[xX][0-9a-fA-F]{12,}+);?")
 
 def unescape(text: str) -> str:
     """Character references replaced; numbers beyond all characters become U+FFFD, however many digits they have."""
+    if "&" not in text:
+        return text
     return html.unescape(_LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
 
 
@@ -141,28 +143,32 @@ class PlainText:
         self.page, self.ends, open_comment = page, None, False
         text, at = 0, page.find("<")  # what isn't a tag goes out from text on
         while at >= 0:
-            start, end, tag = at, -1, None
-            if page.startswith("<!--", at) and not open_comment:
-                end = page.find("-->", at + 4)
-                open_comment = end < 0
-                end += 3 if end >= 0 else 0
-            if end < 0 and page[at + 1 : at + 2] in ("!", "?"):
-                end = page.find(">", at + 2) + 1
-                if not end:
-                    break  # no sign closes anything from here on
-            elif end < 0 and (tag := self._tag(at)):
-                end = tag[3]
-            if end < 0:
-                at = page.find("<", at + 1)
-                continue
-            if start > text:
-                into.append(unescape(page[text:start]))
-            if tag:
-                closing, name, attributes, _ = tag
+            m = _TAG.match(page, at) if self.ends is None else None
+            if m:
+                closing, name, attributes = m.groups()
+                end = m.end()
+            else:
+                closing, name, attributes, end, first = "", "", "", -1, page[at + 1 : at + 2]
+                if first == "!" and not open_comment and page.startswith("--", at + 2):
+                    end = page.find("-->", at + 4)
+                    open_comment = end < 0
+                    end += 3 if end >= 0 else 0
+                if end < 0 and (first == "!" or first == "?"):
+                    end = page.find(">", at + 2) + 1
+                    if not end:
+                        break  # no sign closes anything from here on
+                elif end < 0 and (tag := self._tag(at)):
+                    closing, name, attributes, end = tag
+                if end < 0:
+                    at = page.find("<", at + 1)
+                    continue
+            if at > text:
+                into.append(unescape(page[text:at]))
+            if name:
+                name = name.lower()
                 if not closing and name in HIDDEN:
                     last = HIDDEN[name].search(page, end)
-                    end = page.find(">", last.end()) + 1 if last else 0
-                    end = end or len(page)
+                    end = (page.find(">", last.end()) + 1 if last else 0) or len(page)
                 else:
                     if name in BLOCKS:
                         self.out.append("\n")
@@ -177,11 +183,8 @@ class PlainText:
             into.append(unescape(page[text:]))
 
     def _tag(self, at: int) -> tuple[str, str, str, int] | None:
-        """(slash, name, attributes, end) of the tag at a place, if there is one."""
+        """(slash, name, attributes, end) of the tag at a place, if there is one, for a page on which a tag didn't close."""
         page = self.page
-        if self.ends is None:
-            if m := _TAG.match(page, at):
-                return m[1], m[2].lower(), m[3], m.end()
         slash = page[at + 1 : at + 2] == "/"
         first = page[at + 1 + slash : at + 2 + slash]
         if not (first.isascii() and first.isalpha()):
@@ -189,7 +192,7 @@ class PlainText:
         if self.ends is None:
             self.ends = _Ends(page)
         found = self.ends.of(at + 1 + slash)
-        return found and ("/" * slash, page[at + 1 + slash : found[0]].lower(), page[found[0] : found[1]], found[1] + 1)
+        return found and ("/" * slash, page[at + 1 + slash : found[0]], page[found[0] : found[1]], found[1] + 1)
 
     @staticmethod
     def _value(name: str, attributes: str) -> str:
