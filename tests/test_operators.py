@@ -332,3 +332,66 @@ def test_canonical_json(spark):
             reports.canonical_json(bad)
     row = spark.createDataFrame([({"user": "u", "api_key": "k"},)], "m map<string,string>").select(reports.redact(F.col("m")).alias("m")).first()
     assert row["m"] == {"user": "u", "api_key": "[REDACTED]"} and "a\\|b" in reports.markdown(spark.createDataFrame([("a|b",)], "x string"), "T")
+
+
+def test_output_profiles_edges(spark):
+    from wardenlake.operators import outputs
+
+    images = spark.createDataFrame([(1,), (2,), (None,)], "i long")
+    boxes = spark.createDataFrame([(1, [0.0, 0.0, 2.0, 3.0], 0.5, 1), (1, [2.0, 2.0, 1.0, 3.0], None, None)], "i long, box array<double>, score double, label int")
+    got = {r["measure"]: r for r in outputs.detection_profile(images, boxes, "i").collect()}
+    assert (got["count"]["n"], got["count"]["max"], round(got["count"]["zero_share"], 6)) == (3, 2.0, 0.666667)
+    assert (got["area"]["max"], got["area"]["min"], got["confidence"]["mean"]) == (6.0, 0.0, 0.5)
+    assert {(r["label"], r["n"]) for r in outputs.class_frequency(boxes).collect()} == {("1", 1), ("0", 1)}
+    masks = spark.createDataFrame([([0, 0, 1],), ([],), (None,)], "m array<int>")
+    out = outputs.segmentation_profile(masks, "m").orderBy("class").collect()
+    assert [(r["class"], r["n_pixels"], r["n_masks"], r["evaluation_case"], r["mean_iou"]) for r in out] == [(0, 2, 3, "UNAVAILABLE", None), (1, 1, 3, "UNAVAILABLE", None)]
+    assert outputs.segmentation_profile(masks.limit(0), "m").count() == 0 and outputs.detection_profile(images.limit(0), boxes.limit(0), "i").count() == 0
+
+
+def test_joint_drift_corrects_over_all_kinds(spark):
+    from wardenlake.operators import drift, multiple_testing, outputs
+
+    long = spark.createDataFrame([(i % 2 == 0, f, float(i % 17 + (3 if f == "b" and i % 2 else 0))) for i in range(400) for f in ("a", "b")], "is_target boolean, feature string, value double")
+    labels = spark.createDataFrame([(i % 2 == 0, "c", "xyz"[i % 3 if i % 2 else 0]) for i in range(400)], "is_target boolean, feature string, label string")
+    more = spark.createDataFrame([("d", 0.4, 0.03, False)], "feature string, statistic double, p_value double, practical boolean")
+    got = {r["feature"]: r for r in outputs.joint_drift(long, labels, multivariate=more).collect()}
+    plain = [(r["feature"], r["p_value"]) for r in drift.features(long).collect()] + [("c", drift.categorical(labels, keys=["feature"]).first()["p_value"]), ("d", 0.03)]
+    want = {r["name"]: r["adjusted_p"] for r in multiple_testing.adjust(spark.createDataFrame(plain, "name string, p_value double")).collect()}
+    assert {k: round(v["adjusted_p"], 12) for k, v in got.items()} == {k: round(v, 12) for k, v in want.items()}
+    assert got["c"]["status"] == "MATERIAL_SHIFT" and got["d"]["status"] == "SIGNIFICANT_SHIFT" and got["a"]["status"] != "MATERIAL_SHIFT"
+    assert outputs.global_drift(outputs.joint_drift(long, labels)).first()["status"] == "MATERIAL_SHIFT"
+
+
+def test_times_maps_and_json(spark):
+    from wardenlake.operators import outputs
+
+    rows = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-03 00:00:00",), ("x",), ("  ",), (None,)], "t string")
+    got = outputs.time_accounting(rows, "t", F.try_to_timestamp("t", F.lit("yyyy-MM-dd HH:mm:ss")), delay_s=86400).first()
+    assert tuple(got) == (5, 2, 1, 1, 1)
+    j = spark.createDataFrame([('{"a":1,"a":2}',), ('{"a":{"b":1,"b":2}}',), ("[1]",), (None,), ("{}",)], "j string")
+    assert [r[0] for r in j.select(outputs.has_duplicate_keys(F.col("j"))).collect()] == [True, False, None, None, False]
+    m = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "2", "a": "1"}), ({"a": "1"}, {"a": "2"}), (None, None)], "x map<string,string>, y map<string,string>")
+    assert [r[0] for r in m.select(outputs.same_map(F.col("x"), F.col("y"))).collect()] == [True, False, True]
+    assert m.select(outputs.merged(F.col("x"), F.col("y")).alias("z")).collect()[1]["z"] == {"a": "2"}
+
+
+def test_risk_hangs_on_no_order(spark):
+    """The same evidence in many orders and partitions: sums of doubles differ in their last bits, risks don't."""
+    from wardenlake.operators import risk
+
+    rows = [("p", "DATASET_INTEGRITY", f"e{i}", "DETECTION", ("high", "low", "medium")[i % 3], 0.05 * (i % 11), f"a{i % 2}", "s" if i % 4 else None, None, None, None, None) for i in range(300)]
+    schema = "project_id string, domain string, evidence_id string, layer string, severity string, confidence double, asset_id string, sample_id string, dataset_version_id string, model_fingerprint string, window_id string, source_id string"
+    seen = set()
+    for n in range(1, 6):
+        e = spark.createDataFrame(rows[::-1] if n % 2 else rows, schema).repartition(n)
+        seen.add(tuple(sorted((r["asset_id"], r["risk"]) for r in risk.asset_risk(e, risk.domain_attenuation(e)).collect())))
+    assert len(seen) == 1
+
+
+def test_reports_say_what_they_leave_out(spark):
+    from wardenlake.sources import reports
+
+    text = reports.markdown(spark.range(7), "t", rows=5)
+    assert text.count("\n| ") == 6 and "2 more rows aren't shown." in text
+    assert "shown" not in reports.markdown(spark.range(5), "t", rows=5)
