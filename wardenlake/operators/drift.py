@@ -11,7 +11,7 @@ from ..functions.shared import materialize
 from ..functions.special import chi_square_p
 from ..functions.stats import clamp, dual_gate, ks_p_value
 from .multiple_testing import adjust
-from .ordered import quantiles, ranges_for, ranked, running
+from .ordered import carried, quantiles, ranges_for, running
 
 EPSILON = 1e-6
 
@@ -51,11 +51,21 @@ def categorical(df: DataFrame, label: str = "label", keys: Sequence[str] = (), l
     return out.withColumn("status", dual_gate(significant, practical)).drop("__chi2", "k")
 
 
-def ks(long: DataFrame, keys: Sequence[str] = ("feature",), ranges: int | None = None) -> DataFrame:
-    """keys, n_ref, n_target, ks, p_value: one pass over the distinct pooled values."""
-    ranges = ranges_for(long, keys) if ranges is None else ranges
+def pooled(df: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """keys, value, r, t: how often either population has each finite value, added up before the shuffle. A table that has r and t passes as
+    it is, so that a caller counts once for all statistics."""
+    if {"r", "t"} <= set(df.columns):
+        return df
     ref, target = (~F.col("is_target")).cast("long"), F.col("is_target").cast("long")
-    values = long.groupBy(*keys, "value").agg(F.sum(ref).alias("r"), F.sum(target).alias("t"))
+    v = F.col("value").cast("double")
+    finite = df.where(F.col("is_target").isNotNull() & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return finite.groupBy(*keys, v.alias("value")).agg(F.sum(ref).alias("r"), F.sum(target).alias("t"))
+
+
+def ks(df: DataFrame, keys: Sequence[str] = ("feature",), ranges: int | None = None) -> DataFrame:
+    """keys, n_ref, n_target, ks, p_value: one pass over the distinct pooled values. df: rows or counts (pooled)."""
+    ranges = ranges_for(df, keys) if ranges is None else ranges
+    values = pooled(df, keys)
     cumulated = running(values, keys, "value", {"cr": F.col("r"), "ct": F.col("t")}, ranges)
     sizes = values.groupBy(*keys).agg(F.sum("r").alias("n_ref"), F.sum("t").alias("n_target"), F.count("*").alias("__distinct"))
     gap = F.abs(F.col("cr") / F.col("n_ref") - F.col("ct") / F.col("n_target"))
@@ -65,17 +75,17 @@ def ks(long: DataFrame, keys: Sequence[str] = ("feature",), ranges: int | None =
     return out.withColumn("p_value", p).drop("__distinct")
 
 
-def psi(long: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10, ranges: int | None = None) -> DataFrame:
-    """keys, psi, bins: reference quantiles as edges (distinct ones), open ends, smoothed shares. A constant reference gives 0 or 1."""
-    ranges = ranges_for(long, keys) if ranges is None else ranges
-    ref = long.where(~F.col("is_target")).select(*keys, "value")
-    edges = quantiles(ref, keys, "value", {f"e{i}": i / bins for i in range(bins + 1)}, ranges)
+def psi(df: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10, ranges: int | None = None) -> DataFrame:
+    """keys, psi, bins: reference quantiles as edges (distinct ones), open ends, smoothed shares. A constant reference gives 0 or 1.
+    Edges and bins both come from the counts of distinct values (df: rows or counts)."""
+    ranges = ranges_for(df, keys) if ranges is None else ranges
+    values = pooled(df, keys)
+    edges = quantiles(values.where("r > 0"), keys, "value", {f"e{i}": i / bins for i in range(bins + 1)}, ranges, weight="r")
     edges = edges.select(*keys, F.array_sort(F.array_distinct(F.array(*(f"e{i}" for i in range(bins + 1))))).alias("edges"))
     inner = F.slice(F.col("edges"), 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    placed = long.join(edges.withColumn("inner", inner), list(keys)).withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
-    ref_n, target_n = F.sum((~F.col("is_target")).cast("long")), F.sum(F.col("is_target").cast("long"))
+    placed = values.join(edges.withColumn("inner", inner), list(keys)).withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
     same = F.abs(F.col("value") - F.col("edges")[0]) <= 1e-8 + 1e-5 * F.abs(F.col("edges")[0])
-    counts = placed.groupBy(*keys, "bin", F.size("edges").alias("n_edges")).agg(ref_n.alias("r"), target_n.alias("t"), F.min((~F.col("is_target")) | same).alias("same"))
+    counts = placed.groupBy(*keys, "bin", F.size("edges").alias("n_edges")).agg(F.sum("r").alias("r"), F.sum("t").alias("t"), F.min((F.col("t") == 0) | same).alias("same"))
     every = edges.select(*keys, F.size("edges").alias("n_edges"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
     full = every.join(counts, [*keys, "n_edges", "bin"], "left")
     total = counts.groupBy(*keys).agg(F.sum("r").alias("n_ref"), F.sum("t").alias("n_target"))
@@ -87,31 +97,61 @@ def psi(long: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10, ran
     return out.select(*keys, value.alias("psi"), F.greatest(F.col("n_edges") - 1, F.lit(1)).alias("bins"))
 
 
-def wasserstein(long: DataFrame, keys: Sequence[str] = ("feature",), grid: int = 2000, ranges: int | None = None) -> DataFrame:
+def _pieces(values: DataFrame, keys: Sequence[str], grid: int, ranges: int) -> DataFrame:
+    """keys, g, is_target, x (first, last, y, slope): either population's quantile function as straight stretches of the grid points 0 to g - 1.
+
+    A distinct value is one level stretch; the slope that leads up to it from the value before is another. Stretches without a point are left out."""
+    sizes = values.groupBy(*keys).agg(F.sum("r").alias("n_ref"), F.sum("t").alias("n_target")).where("n_ref > 0 and n_target > 0")
+    g = F.when(F.col("n_ref") == F.col("n_target"), F.col("n_ref")).otherwise(F.greatest(F.lit(grid).cast("long"), "n_ref", "n_target"))
+    sides = F.explode(F.array(*(F.struct(F.lit(t).alias("is_target"), F.col(c).alias("c")) for t, c in ((False, "r"), (True, "t")))))
+    own = values.select(*keys, "value", sides.alias("s")).select(*keys, "value", "s.*").where("c > 0")
+    of = [*keys, "is_target"]
+    own = carried(running(own, of, "value", {"below": F.col("c")}, ranges), of, "value", {"prior": F.col("value")}, ranges, with_own=False)
+    own = own.join(sizes.withColumn("g", g), list(keys)).withColumn("n", F.when(F.col("is_target"), F.col("n_target")).otherwise(F.col("n_ref")))
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731 products of two counts are beyond a long
+    steps, points = F.greatest(F.col("n") - 1, F.lit(1)), F.col("g") - 1
+    floor = lambda at: F.call_function("div", wide(at) * wide(points), wide(steps))  # noqa: E731 the last point at or before a place
+    ceil = lambda at: F.call_function("div", wide(at) * wide(points) + wide(steps) - 1, wide(steps))
+    start, end, rise = F.col("below") - F.col("c"), F.col("below") - 1, F.col("value") - F.col("prior")
+    level = F.struct(ceil(start).alias("first"), F.when(F.col("n") == 1, points).otherwise(floor(end)).alias("last"), F.col("value").alias("y"), F.lit(0.0).alias("slope"))
+    up = floor(start - 1) + 1
+    gone = (wide(up) * wide(F.col("n") - 1) - wide(start - 1) * wide(points)).cast("double") / points
+    slope = F.struct(up.alias("first"), (ceil(start) - 1).alias("last"), (F.col("prior") + rise * gone).alias("y"), (rise * (F.col("n") - 1) / points).alias("slope"))
+    both = F.when(F.col("prior").isNull(), F.array(level)).otherwise(F.array(slope, level))
+    return own.where("g > 1").select(*keys, "g", "is_target", F.explode(both).alias("x")).where("x.first <= x.last").union(own.where("g = 1").select(*keys, "g", "is_target", level.alias("x")))
+
+
+def wasserstein(df: DataFrame, keys: Sequence[str] = ("feature",), grid: int = 2000, ranges: int | None = None) -> DataFrame:
     """keys, w1: with equal sizes the mean gap of order statistics, else of quantiles on a grid of max(grid, sizes) points.
 
-    A grid point needs two neighbouring order statistics of either population, so it meets them by an equality join on their place."""
-    ranges = ranges_for(long, keys) if ranges is None else ranges
-    placed = ranked(long, [*keys, "is_target"], "value", "place", ranges)
-    sizes = long.groupBy(*keys).agg(F.sum((~F.col("is_target")).cast("long")).alias("n_ref"), F.sum(F.col("is_target").cast("long")).alias("n_target"))
-    sizes = sizes.withColumn("g", F.when(F.col("n_ref") == F.col("n_target"), F.col("n_ref")).otherwise(F.greatest(F.lit(grid).cast("long"), "n_ref", "n_target")))
-    points = sizes.select(*keys, "n_ref", "n_target", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("i"))
-    at = lambda n: F.when(F.col("g") > 1, F.col("i") * (F.col(n) - 1) / (F.col("g") - 1)).otherwise(0.0)
-    out = points.withColumns({"fr": at("n_ref"), "ft": at("n_target")})
-    values = {t: placed.where(F.col("is_target") == t).select(*keys, F.col("place"), F.col("value")) for t in (False, True)}
-    for name, t, f in (("r", False, "fr"), ("t", True, "ft")):
-        for end, place in (("lo", F.floor(f)), ("hi", F.ceil(f))):
-            out = out.withColumn("place", place.cast("long")).join(values[t].withColumnRenamed("value", f"{name}_{end}"), [*keys, "place"]).drop("place")
-    q = lambda name, f: F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (F.col(f) - F.floor(f))
-    return out.groupBy(*keys).agg(F.avg(F.abs(q("r", "fr") - q("t", "ft"))).alias("w1"))
+    Between neighbouring steps of the two quantile functions both are straight, so that each stretch of points is added up in closed form: the work
+    follows the distinct values, not the rows or points (df: rows or counts)."""
+    ranges = ranges_for(df, keys) if ranges is None else ranges
+    pieces = _pieces(pooled(df, keys), keys, grid, ranges)
+    starts = pieces.groupBy(*keys, "g", F.col("x.first").alias("i")).agg(F.max(F.when(~F.col("is_target"), F.col("x"))).alias("a"), F.max(F.when(F.col("is_target"), F.col("x"))).alias("b"))
+    met = carried(starts, keys, "i", {"p": F.col("a"), "q": F.col("b")}, ranges)
+    at = lambda x: F.col(f"{x}.y") + F.col(f"{x}.slope") * (F.col("i") - F.col(f"{x}.first"))
+    met = met.select(*keys, "g", (F.least("p.last", "q.last") - F.col("i") + 1).alias("n"), (at("p") - at("q")).alias("d"), (F.col("p.slope") - F.col("q.slope")).alias("s"))
+    d, s, n = F.col("d"), F.col("s"), F.col("n")
+    end = d + s * (n - 1)
+    turn = F.least(n - 1, F.floor(F.abs(d / F.when(s != 0, s))) + 1)  # so many points lie before the lines cross
+    crossed = turn * F.abs(2 * d + s * (turn - 1)) / 2 + (n - turn) * F.abs(d + s * turn + end) / 2
+    gap = F.when(d * end < 0, crossed).otherwise(n * F.abs(d + end) / 2)
+    return met.groupBy(*keys, "g").agg(F.sum(gap).alias("__gap")).select(*keys, (F.col("__gap") / F.col("g")).alias("w1"))
+
+
+def spread(counts: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """keys, std: the reference's standard deviation (of a population), about its mean."""
+    mean = counts.groupBy(*keys).agg((F.sum(F.col("value") * F.col("r")) / F.sum("r")).alias("mean"), F.sum("r").alias("n"))
+    apart = counts.join(mean.where("n > 0"), list(keys))
+    return apart.groupBy(*keys).agg(F.sqrt(F.sum(F.col("r") * (F.col("value") - F.col("mean")) ** 2) / F.max("n")).alias("std"))
 
 
 def features(long: DataFrame, level: float = 0.05, psi_at: float = 0.10, w1_at: float = 0.10, method: str = "bh", ranges: int | None = None) -> DataFrame:
     """The drift engine over numeric features: KS with a correction over the family, PSI and standardized W1 as effect sizes, dual gate."""
-    long = materialize(long, "features")  # four statistics read it, some of them twice
-    ranges = ranges_for(long, ["feature"]) if ranges is None else ranges
-    std = long.where(~F.col("is_target")).groupBy("feature").agg(F.stddev_pop("value").alias("std"))
-    out = ks(long, ranges=ranges).join(psi(long, ranges=ranges), "feature").join(wasserstein(long, ranges=ranges), "feature").join(std, "feature")
+    counts = materialize(pooled(long), "features")  # four statistics read it, some of them twice
+    ranges = ranges_for(counts, ["feature"]) if ranges is None else ranges
+    out = ks(counts, ranges=ranges).join(psi(counts, ranges=ranges), "feature").join(wasserstein(counts, ranges=ranges), "feature").join(spread(counts), "feature")
     out = out.withColumn("w1_std", F.when(F.col("std") > 1e-12, F.col("w1") / F.col("std")).otherwise(F.col("w1"))).drop("std")
     out = adjust(out, method, level, name="feature")
     return out.withColumn("status", dual_gate(F.col("significant"), (F.col("psi") >= psi_at) | (F.col("w1_std") >= w1_at)))

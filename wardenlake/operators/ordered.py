@@ -57,16 +57,32 @@ def ranked(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", r
     return out.withColumn(name, F.row_number().over(w) + F.col("__n") - 1).drop("__range", "__n")
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
-    """keys, value, c, below (how many are at most value) for the finite values: one row a distinct value."""
+def carried(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, Column], ranges: int | None = None, with_own: bool = True) -> DataFrame:
+    """df with, for each of columns, its last value that isn't null in the rows before (with_own: or in the row itself). No two rows tie."""
+    ranges = ranges_for(df, keys) if ranges is None else ranges
+    until = 0 if with_own else -1
+    if ranges <= 1:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, until)
+        return df.withColumns({n: F.last(c, ignorenulls=True).over(w) for n, c in columns.items()})
+    cut = _ranged(df, keys, order, ranges)
+    lasts = cut.groupBy(*keys, "__range").agg(*(F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(f"__{n}") for n, c in columns.items()))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select(*keys, "__range", *(F.last(f"__{n}", ignorenulls=True).over(before).alias(f"__{n}") for n in columns))
+    w = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, until)
+    out = cut.join(lasts, [*keys, "__range"])
+    return out.withColumns({n: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"__{n}")) for n, c in columns.items()}).drop("__range", *(f"__{n}" for n in columns))
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None, weight: str | None = None) -> DataFrame:
+    """keys, value, c, below (how many are at most value) for the finite values: one row a distinct value. A row counts weight times."""
     ranges = ranges_for(df, keys) if ranges is None else ranges
     finite = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    return running(finite.groupBy(*keys, value).agg(F.count("*").alias("c")), keys, value, {"below": F.col("c")}, ranges)
+    return running(finite.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("c")), keys, value, {"below": F.col("c")}, ranges)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], ranges: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], ranges: int | None = None, weight: str | None = None) -> DataFrame:
     """keys, n and, for each name, the exact quantile with linear interpolation, by order statistics of the distinct values."""
-    counts = value_counts(df, keys, value, ranges)
+    counts = value_counts(df, keys, value, ranges, weight)
     sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
     both = counts.join(sizes, list(keys)) if keys else counts.crossJoin(F.broadcast(sizes))  # one row
     aggs = []
@@ -86,9 +102,3 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str, ranges: int | Non
     apart = df.join(known, list(keys)) if keys else df.crossJoin(F.broadcast(known))  # one row
     mad = quantiles(apart.withColumn("__apart", F.abs(F.col(value) - F.col("median"))), keys, "__apart", {"mad": 0.5}, ranges)
     return middle.join(mad.select(*keys, "mad"), list(keys)) if keys else middle.crossJoin(F.broadcast(mad.select("mad")))
-
-
-def repeated(df: DataFrame, times: str) -> DataFrame:
-    """Each row as often as its column times says, without that column: in stretches, so that no array grows with the count."""
-    stretches = df.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(4096).cast("long"))))
-    return stretches.withColumn("__at", F.explode(F.sequence("__at", F.least(F.col("__at") + 4095, F.col(times) - 1)))).drop("__at", times)

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from ..functions.shared import materialize
 from ..functions.stats import dual_gate
 from . import drift
-from .ordered import ranges_for, repeated
+from .ordered import ranges_for
 from .multiple_testing import adjust
 
 
@@ -59,19 +59,22 @@ def against_reference(df: DataFrame, value: str, label: str, source: str = "cano
         reference_name = eligible.where(F.col(source) == reference).select(F.col(source).alias("__ref"))
     own = df.join(eligible.select(source, "n"), source).crossJoin(F.broadcast(reference_name))  # one row
     targets = eligible.select(F.col(source).alias("target"), F.col("n").alias("n_group"))
-    ref = own.where(F.col(source) == F.col("__ref")).select(F.col(value).cast("double").alias("value"), F.col(label).cast("string").alias("label"))
-    base = ref.groupBy("value", "label").agg(F.count("*").alias("c"))
-    # the reference's distinct (value, label) pairs meet every target group; the groups are a small table
-    wide = base.crossJoin(targets.join(reference_name.withColumnRenamed("__ref", "target"), "target", "left_anti"))
-    base = wide.select("target", F.lit(False).alias("is_target"), "value", "label", "c")
-    base = repeated(base, "c")
-    long = own.where(F.col(source) != F.col("__ref")).select(F.col(source).alias("target"), F.lit(True).alias("is_target"), F.col(value).cast("double").alias("value"), F.col(label).cast("string").alias("label")).union(base)
-    labels = drift.class_counts(long, "label", ["target"])
-    totals = labels.groupBy("target").agg(F.sum("ref_count").alias("nr"), F.sum("target_count").alias("nt"))
-    tvd = labels.join(totals, "target").groupBy("target").agg((F.sum(F.abs(F.col("ref_count") / F.col("nr") - F.col("target_count") / F.col("nt"))) / 2).alias("label_tvd"))
-    long = materialize(long, "sources")
-    ranges = ranges_for(long, ["target"])  # a hot source is many tasks
-    out = drift.ks(long, ["target"], ranges).join(drift.psi(long, ["target"], ranges=ranges), "target").join(tvd, "target")
+    others = targets.join(reference_name.withColumnRenamed("__ref", "target"), "target", "left_anti").select("target")
+    no = F.lit(0).cast("long")
+
+    def counted(column: str, kind: str, name: str) -> DataFrame:
+        """target, name, r, t: the reference's counts meet every other group, which is a small table, as counts and not as rows."""
+        c = own.groupBy(source, "__ref", F.col(column).cast(kind).alias(name)).agg(F.count("*").alias("c"))
+        base = c.where(F.col(source) == F.col("__ref")).select(name, F.col("c").alias("r")).crossJoin(others).select("target", name, "r", no.alias("t"))
+        mine = c.where(F.col(source) != F.col("__ref")).select(F.col(source).alias("target"), name, no.alias("r"), F.col("c").alias("t"))
+        return mine.union(base).groupBy("target", name).agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
+
+    labels = counted(label, "string", "label")
+    totals = labels.groupBy("target").agg(F.sum("r").alias("nr"), F.sum("t").alias("nt"))
+    tvd = labels.join(totals, "target").groupBy("target").agg((F.sum(F.abs(F.col("r") / F.col("nr") - F.col("t") / F.col("nt"))) / 2).alias("label_tvd"))
+    counts = materialize(counted(value, "double", "value").where("value is not null and not isnan(value) and abs(value) < double('inf')"), "sources")
+    ranges = ranges_for(counts, ["target"])  # a hot source is many tasks
+    out = drift.ks(counts, ["target"], ranges).join(drift.psi(counts, ["target"], ranges=ranges), "target").join(tvd, "target")
     out = adjust(out, "bh", level, name="target")
     out = out.withColumn("status", F.when(F.col("significant"), dual_gate(F.lit(True), F.col("psi") >= 0.10)).otherwise("NO_SHIFT_DETECTED")).withColumn("confounded", F.col("label_tvd") >= confounded_at)
     order = F.when(F.col("status") == "MATERIAL_SHIFT", 3).when(F.col("status") == "SIGNIFICANT_SHIFT", 2).otherwise(1)

@@ -9,7 +9,7 @@ from ..functions.shared import materialize
 from ..functions.stats import dual_gate
 from . import drift
 from .multiple_testing import adjust
-from .ordered import ranges_for, repeated
+from .ordered import ranges_for
 
 
 def normalize_time(column: str):
@@ -46,20 +46,21 @@ def comparisons(windowed: DataFrame, value: str, kind: str = "baseline", baselin
     valid = describe_windows(windowed, least).where("valid").select("window_index")
     rows = windowed.join(F.broadcast(valid), "window_index") if kind == "adjacent" else windowed.join(F.broadcast(valid), "window_index").union(windowed.where(F.col("window_index") == baseline).join(F.broadcast(valid), "window_index", "left_anti").select("window_index", *[c for c in windowed.columns if c != "window_index"]))
     rows = rows.select("window_index", F.col(value).cast("double").alias("value"))
+    own = rows.groupBy("window_index", "value").agg(F.count("*").alias("c"))  # windows meet as counts of distinct values, not as rows
+    no = F.lit(0).cast("long")
     if kind == "adjacent":
-        both = rows.select(F.col("window_index").alias("target"), F.lit(True).alias("is_target"), "value").union(rows.select(F.col("window_index") + 1, F.lit(False), "value"))
+        both = own.select(F.col("window_index").alias("target"), "value", no.alias("r"), F.col("c").alias("t")).union(own.select(F.col("window_index") + 1, "value", "c", no))
         known = valid.select(F.col("window_index").alias("target")).join(valid.select((F.col("window_index") + 1).alias("target")), "target")
     else:
         known = valid.where(F.col("window_index") != baseline).select(F.col("window_index").alias("target"))
         targets = known.agg(F.sort_array(F.collect_set("target")).alias("all"))
-        base = rows.where(F.col("window_index") == baseline).groupBy("value").agg(F.count("*").alias("c")).crossJoin(F.broadcast(targets))  # one row, a number a window
-        base = base.select(F.explode("all").alias("target"), F.lit(False).alias("is_target"), "value", "c")
-        base = repeated(base, "c")
-        both = rows.where(F.col("window_index") != baseline).select(F.col("window_index").alias("target"), F.lit(True).alias("is_target"), "value").union(base)
-    long = materialize(both.join(F.broadcast(known), "target"), "windows")  # four statistics read it, some of them twice
-    std = long.where(~F.col("is_target")).groupBy("target").agg(F.stddev_pop("value").alias("std"))
-    ranges = ranges_for(long, ["target"])
-    out = drift.ks(long, ["target"], ranges).join(drift.psi(long, ["target"], ranges=ranges), "target").join(drift.wasserstein(long, ["target"], ranges=ranges), "target").join(std, "target")
+        base = own.where(F.col("window_index") == baseline).crossJoin(F.broadcast(targets))  # one row, a number a window
+        base = base.select(F.explode("all").alias("target"), "value", F.col("c").alias("r"), no.alias("t"))
+        both = own.where(F.col("window_index") != baseline).select(F.col("window_index").alias("target"), "value", no.alias("r"), F.col("c").alias("t")).union(base)
+    finite = both.where("value is not null and not isnan(value) and abs(value) < double('inf')").join(known, "target")
+    counts = materialize(finite.groupBy("target", "value").agg(F.sum("r").alias("r"), F.sum("t").alias("t")), "windows")  # four statistics read it, some of them twice
+    ranges = ranges_for(counts, ["target"])
+    out = drift.ks(counts, ["target"], ranges).join(drift.psi(counts, ["target"], ranges=ranges), "target").join(drift.wasserstein(counts, ["target"], ranges=ranges), "target").join(drift.spread(counts, ["target"]), "target")
     out = out.withColumn("w1_std", F.when(F.col("std") > 1e-12, F.col("w1") / F.col("std")).otherwise(F.col("w1"))).drop("std")
     out = adjust(out, "bh", level, name="target")
     practical = (F.col("psi") >= 0.10) | (F.col("w1_std") >= 0.10)
