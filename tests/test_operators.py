@@ -25,8 +25,8 @@ def test_ks_of_constants(spark, ref, target, want):
 
 def test_ks_and_wasserstein_against_numpy(spark):
     rng = np.random.default_rng(1)
-    for n, m in ((300, 300), (200, 310)):
-        a, b = rng.normal(0, 1, n).round(1), rng.normal(0.3, 1.2, m).round(1)
+    for n, m, digits in ((300, 300, 1), (200, 310, 1), (2100, 40, 3), (1, 7, 0)):
+        a, b = rng.normal(0, 1, n).round(digits), rng.normal(0.3, 1.2, m).round(digits)
         t = long(spark, a, b)
         pooled = np.concatenate([a, b])
         gap = max(abs((a <= x).mean() - (b <= x).mean()) for x in pooled)

@@ -108,17 +108,24 @@ def _pieces(values: DataFrame, keys: Sequence[str], grid: int, ranges: int) -> D
     of = [*keys, "is_target"]
     own = carried(running(own, of, "value", {"below": F.col("c")}, ranges), of, "value", {"prior": F.col("value")}, ranges, with_own=False)
     own = own.join(sizes.withColumn("g", g), list(keys)).withColumn("n", F.when(F.col("is_target"), F.col("n_target")).otherwise(F.col("n_ref")))
-    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731 products of two counts are beyond a long
     steps, points = F.greatest(F.col("n") - 1, F.lit(1)), F.col("g") - 1
-    floor = lambda at: F.call_function("div", wide(at) * wide(points), wide(steps))  # noqa: E731 the last point at or before a place
-    ceil = lambda at: F.call_function("div", wide(at) * wide(points) + wide(steps) - 1, wide(steps))
+
+    def div(at: Column, more: Column) -> Column:
+        """(at * points + more) div steps: in longs where the product fits one, else in decimals, which are slow."""
+        wide = lambda c: c.cast("decimal(19,0)")
+        long = F.call_function("div", at * points + more, steps)
+        return F.when(F.col("g") < 3_000_000_000, long).otherwise(F.call_function("div", wide(at) * wide(points) + wide(more), wide(steps)))
+
+    floor = lambda at: div(at, F.lit(0).cast("long"))  # noqa: E731 the last point at or before a place
+    ceil = lambda at: div(at, steps - 1)
     start, end, rise = F.col("below") - F.col("c"), F.col("below") - 1, F.col("value") - F.col("prior")
     level = F.struct(ceil(start).alias("first"), F.when(F.col("n") == 1, points).otherwise(floor(end)).alias("last"), F.col("value").alias("y"), F.lit(0.0).alias("slope"))
     up = floor(start - 1) + 1
-    gone = (wide(up) * wide(F.col("n") - 1) - wide(start - 1) * wide(points)).cast("double") / points
-    slope = F.struct(up.alias("first"), (ceil(start) - 1).alias("last"), (F.col("prior") + rise * gone).alias("y"), (rise * (F.col("n") - 1) / points).alias("slope"))
+    pace = (F.col("n") - 1) / F.greatest(points, F.lit(1))  # places a point
+    gone = up * pace - (start - 1)
+    slope = F.struct(up.alias("first"), (ceil(start) - 1).alias("last"), (F.col("prior") + rise * gone).alias("y"), (rise * pace).alias("slope"))
     both = F.when(F.col("prior").isNull(), F.array(level)).otherwise(F.array(slope, level))
-    return own.where("g > 1").select(*keys, "g", "is_target", F.explode(both).alias("x")).where("x.first <= x.last").union(own.where("g = 1").select(*keys, "g", "is_target", level.alias("x")))
+    return own.select(*keys, "g", "is_target", F.explode(both).alias("x")).where("x.first <= x.last")
 
 
 def wasserstein(df: DataFrame, keys: Sequence[str] = ("feature",), grid: int = 2000, ranges: int | None = None) -> DataFrame:
@@ -128,10 +135,11 @@ def wasserstein(df: DataFrame, keys: Sequence[str] = ("feature",), grid: int = 2
     follows the distinct values, not the rows or points (df: rows or counts)."""
     ranges = ranges_for(df, keys) if ranges is None else ranges
     pieces = _pieces(pooled(df, keys), keys, grid, ranges)
-    starts = pieces.groupBy(*keys, "g", F.col("x.first").alias("i")).agg(F.max(F.when(~F.col("is_target"), F.col("x"))).alias("a"), F.max(F.when(F.col("is_target"), F.col("x"))).alias("b"))
-    met = carried(starts, keys, "i", {"p": F.col("a"), "q": F.col("b")}, ranges)
+    # a stretch of one population meets the other's latest; where both begin at a point, the earlier row's stretch has no points
+    starts = pieces.withColumns({"i": F.col("x.first"), "at": F.col("x.first") * 2 + F.col("is_target").cast("int")})
+    met = carried(starts, keys, "at", {"p": F.when(~F.col("is_target"), F.col("x")), "q": F.when(F.col("is_target"), F.col("x"))}, ranges)
     at = lambda x: F.col(f"{x}.y") + F.col(f"{x}.slope") * (F.col("i") - F.col(f"{x}.first"))
-    met = met.select(*keys, "g", (F.least("p.last", "q.last") - F.col("i") + 1).alias("n"), (at("p") - at("q")).alias("d"), (F.col("p.slope") - F.col("q.slope")).alias("s"))
+    met = met.select(*keys, "g", (F.least("p.last", "q.last") - F.col("i") + 1).alias("n"), (at("p") - at("q")).alias("d"), (F.col("p.slope") - F.col("q.slope")).alias("s")).where("n > 0")
     d, s, n = F.col("d"), F.col("s"), F.col("n")
     end = d + s * (n - 1)
     turn = F.least(n - 1, F.floor(F.abs(d / F.when(s != 0, s))) + 1)  # so many points lie before the lines cross
