@@ -1,5 +1,6 @@
 """Operators on small hand-made tables: closed forms, nulls, ties, empty populations."""
 
+import hashlib
 import json
 import math
 import struct
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardenlake.functions import special, stats
-from wardenlake.operators import contributors, drift, duplicates, images, inference, integrity, labels, multiple_testing, ordered, paired, population, profiles, risk, source, temporal, vectors
+from wardenlake.operators import activation, contributors, drift, duplicates, images, inference, integrity, labels, multiple_testing, ordered, paired, population, profiles, risk, source, temporal, vectors
 from wardenlake.sources import datasets, models, reports
 
 
@@ -395,3 +396,58 @@ def test_reports_say_what_they_leave_out(spark):
     text = reports.markdown(spark.range(7), "t", rows=5)
     assert text.count("\n| ") == 6 and "2 more rows aren't shown." in text
     assert "shown" not in reports.markdown(spark.range(5), "t", rows=5)
+
+
+def test_chains_are_linear_and_keep_columns(spark):
+    r = spark.createDataFrame([("a", 2, None, "x"), ("a", 1, "p", None), ("b", 1, "q", "y"), (None, 5, "z", "w")], "k string, i long, payload string, more string")
+    h = lambda prev, x: hashlib.sha256((prev if x is None else f"{prev}|{x}").encode()).hexdigest()
+    g = {(x["k"], x["sequence_number"]): x for x in integrity.build_chain(r, ["k"], "i", F.col("payload")).collect()}
+    first = h(integrity.GENESIS, "p")
+    assert g["a", 0]["record_hash"] == first and g["a", 0]["more"] is None and g["a", 1]["previous_hash"] == first
+    assert g["a", 1]["record_hash"] == h(first, None) and g["b", 0]["previous_hash"] == integrity.GENESIS and g[None, 0]["i"] == 5
+    assert integrity.build_chain(r.where("false"), ["k"], "i", F.col("payload")).count() == 0
+    long_chain = spark.range(30_000).select(F.lit(1).alias("k"), "id")
+    assert integrity.build_chain(long_chain, ["k"], "id", F.col("id")).agg(F.max("sequence_number")).first()[0] == 29_999
+    assert {x["sequence_number"] for x in integrity.build_chain(r, [], "i", F.col("payload")).collect()} == {0, 1, 2, 3}
+
+
+def test_graph_root(spark):
+    s = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    a, b, c = sorted(s(x) for x in "abc")
+    rows = spark.createDataFrame([(x,) for x in (c, a, b)], "h string")
+    assert integrity.graph_root(rows, "h").first()[0] == s(s(a + b) + s(c + c))
+    assert integrity.graph_root(rows.where("false"), "h").first()[0] == s("empty_merkle_tree")
+
+
+def test_activation_criteria(spark):
+    box = "array<struct<box:array<double>,label:int,score:double>>"
+    b = lambda x, label=0, score=0.9: ([x, 0.0, x + 10.0, 10.0], label, score)
+    row = ([0.7, 0.2, 0.1], [0.3, 0.2, 0.5], [0.5], [0.6], [b(0.0), b(50.0)], [b(2.0), b(50.0), b(80.0, 3)], [], [0, 0, 1, 1], [0, 1, 1, 2], [0, 0, 1, 1], [float("nan")], None)
+    names = "p array<double>, q array<double>, one array<double>, two array<double>, " + f"c {box}, o {box}, e {box}, " + "m array<int>, n array<int>, t array<int>, bad array<double>, none array<double>"
+    df = spark.createDataFrame([row], names)
+    x = F.col
+    made = {
+        "changed": activation.prediction_changed(x("p"), x("q"), 2), "same": activation.prediction_changed(x("p"), x("p"), 2), "drop": activation.confidence_drop(x("p"), x("q"), 0.35), "no_target": activation.target_matched(x("p"), x("q"), None),
+        "target": activation.target_matched(x("p"), x("q"), 2), "one": activation.prediction_changed(x("one"), x("two")), "l2": activation.tensor_distance(x("p"), x("q"), 0.5), "nan": activation.tensor_distance(x("bad"), x("one")), "missing": activation.prediction_changed(x("p"), x("none")),
+        "shape": activation.tensor_distance(x("p"), x("one")), "count": activation.detection_count(x("c"), x("o")), "iou": activation.detection_iou_drop(x("c"), x("o"), at=0.15), "iou_truth": activation.detection_iou_drop(x("c"), x("o"), x("o")), "empty": activation.detection_iou_drop(x("e"), x("e")),
+        "injected": activation.detection_injected(x("c"), x("o"), 3), "mask": activation.mask_disagreement(x("m"), x("n"), 3), "truth": activation.mask_truth_drop(x("m"), x("n"), x("t"), 3), "no_truth": activation.mask_truth_drop(x("m"), x("n"), F.lit(None).cast("array<int>"), 3),
+        "reference": activation.mask_reference_drop(x("m"), x("n"), x("t"), 3, 0.9), "emerged": activation.mask_target_emergence(x("m"), x("n"), 2),
+    }
+    got = {n: df.select(c.alias("x")).first()["x"] for n, c in made.items()}
+    want = {
+        "changed": "ACTIVATED", "same": "NOT_ACTIVATED", "drop": "ACTIVATED", "no_target": "NOT_APPLICABLE", "target": "ACTIVATED", "one": "ACTIVATED", "l2": "ACTIVATED", "nan": "NOT_APPLICABLE", "missing": "UNAVAILABLE", "shape": "NOT_APPLICABLE",
+        "count": "ACTIVATED", "iou": "ACTIVATED", "iou_truth": "NOT_ACTIVATED", "empty": "NOT_ACTIVATED", "injected": "ACTIVATED", "mask": "ACTIVATED", "truth": "ACTIVATED", "no_truth": "UNAVAILABLE", "reference": "NOT_ACTIVATED", "emerged": "ACTIVATED",
+    }
+    assert {n: got[n]["decision"] for n in want} == want
+    assert got["changed"]["target_matched"] and got["same"]["target_matched"] is False and got["nan"]["status"] == "NON_FINITE_VALUES"
+    assert abs(got["iou"]["value"] - (1 - (80 / 120 + 1) / 2)) < 1e-12 and got["empty"]["value"] == 0.0
+    assert abs(got["mask"]["value"] - (1 - (1 / 2 + 1 / 3 + 0) / 3)) < 1e-12 and got["no_truth"]["status"] == "UNAVAILABLE_GROUND_TRUTH_MISSING"
+
+
+def test_activation_analysis(spark):
+    rows = [("strong", i, 1, 0, 0, 1) for i in range(120)] + [("weak", i, i % 2, i % 2, i % 2, 1) for i in range(60)] + [("few", i, 1, 0, 0, 1) for i in range(5)]
+    got = {r["c"]: r for r in activation.analyse(spark.createDataFrame(rows, "c string, s long, trigger int, shuffled int, noise int, activated int"), "c", permutations=4999).collect()}
+    assert got["strong"]["result"] == "STRONG_TRIGGER_CONSISTENCY" and got["strong"]["status"] == "PROMOTED" and got["strong"]["rank"] == 1
+    assert abs(got["strong"]["low"] - 0.025 ** (1 / 120)) < 1e-9 and got["strong"]["high"] == 1.0
+    assert got["weak"]["result"] == "NORMAL_SENSITIVITY_ONLY" and not got["weak"]["significant"] and got["weak"]["status"] == "NOT_PROMOTED_LOW_SEPARATION"
+    assert got["few"]["result"] == "INSUFFICIENT_SUPPORT" and got["few"]["p_value"] is None and got["few"]["adjusted_p"] is None and got["few"]["low"] is None

@@ -77,17 +77,11 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(w * h, area(a) + area(b) - w * h), F.lit(0.0))
 
 
-def match_detections(reference: DataFrame, candidate: DataFrame, image: str, at: float = 0.5) -> DataFrame:
-    """image, n_reference, n_candidate, n_matched, mean_iou, class_agreement: greedy one-to-one matching by IoU, class agreement, confidence.
-
-    Boxes: box, label, score. Pairs are made within an image; the greedy step folds over an image's sorted pairs."""
-    r = reference.select(image, F.struct("box", "label", "score").alias("r")).groupBy(image).agg(F.collect_list("r").alias("rs"))
-    c = candidate.select(image, F.struct("box", "label", "score").alias("c")).groupBy(image).agg(F.collect_list("c").alias("cs"))
-    j = r.join(c, image, "full_outer")
-    for n in ("rs", "cs"):
-        j = j.withColumn(n, F.array_sort(n, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise(0)))
-    e = j.select(image, F.coalesce(F.size("rs"), F.lit(0)).alias("n_reference"), F.coalesce(F.size("cs"), F.lit(0)).alias("n_candidate"), "rs", "cs")
-    pairs = F.flatten(F.transform("rs", lambda x, i: F.transform("cs", lambda y, k: F.struct((-iou(x["box"], y["box"])).alias("d"), (-(x["label"] == y["label"]).cast("int")).alias("s"), (-y["score"]).alias("z"), i.alias("i"), k.alias("k")))))
+def matched(reference: Column, candidate: Column, at: float = 0.5) -> Column:
+    """n, mean_iou, same (pairs of one label) of two arrays of boxes (box, label, score): greedy one-to-one matching by IoU, class agreement, confidence,
+    as a fold over the sorted pairs. Two empty arrays agree wholly; without a match mean_iou is 0."""
+    by_score = lambda v: F.array_sort(v, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise(0))
+    pairs = F.flatten(F.transform(by_score(reference), lambda x, i: F.transform(by_score(candidate), lambda y, k: F.struct((-iou(x["box"], y["box"])).alias("d"), (-(x["label"] == y["label"]).cast("int")).alias("s"), (-y["score"]).alias("z"), i.alias("i"), k.alias("k")))))
     sorted_pairs = F.array_sort(F.filter(pairs, lambda p: -p["d"] >= at))
     start = F.struct(F.array().cast("array<int>").alias("i"), F.array().cast("array<int>").alias("k"), F.lit(0.0).alias("t"), F.lit(0).alias("same"))
 
@@ -95,10 +89,20 @@ def match_detections(reference: DataFrame, candidate: DataFrame, image: str, at:
         free = ~F.array_contains(a["i"], p["i"]) & ~F.array_contains(a["k"], p["k"])
         return F.when(free, F.struct(F.concat(a["i"], F.array(p["i"])).alias("i"), F.concat(a["k"], F.array(p["k"])).alias("k"), (a["t"] - p["d"]).alias("t"), (a["same"] - p["s"]).alias("same"))).otherwise(a)
 
-    e = e.withColumn("m", F.aggregate(F.coalesce(sorted_pairs, F.array().cast("array<struct<d:double,s:int,z:double,i:int,k:int>>")), start, take))
-    n = F.size("m.i")
-    both_empty = (F.col("n_reference") == 0) & (F.col("n_candidate") == 0)
-    return e.select(image, "n_reference", "n_candidate", n.alias("n_matched"), F.when(both_empty, 1.0).otherwise(F.coalesce(F.try_divide(F.col("m.t"), n.cast("double")), F.lit(0.0))).alias("mean_iou"), F.try_divide(F.col("m.same"), n).alias("class_agreement"))
+    def finish(a: Column) -> Column:
+        n = F.size(a["i"])
+        empty = (F.coalesce(F.size(reference), F.lit(0)) <= 0) & (F.coalesce(F.size(candidate), F.lit(0)) <= 0)
+        return F.struct(n.alias("n"), F.when(empty, 1.0).otherwise(F.coalesce(F.try_divide(a["t"], n.cast("double")), F.lit(0.0))).alias("mean_iou"), a["same"].alias("same"))
+
+    return F.aggregate(F.coalesce(sorted_pairs, F.array().cast("array<struct<d:double,s:int,z:double,i:int,k:int>>")), start, take, finish)
+
+
+def match_detections(reference: DataFrame, candidate: DataFrame, image: str, at: float = 0.5) -> DataFrame:
+    """image, n_reference, n_candidate, n_matched, mean_iou, class_agreement (see matched). Boxes: box, label, score. Pairs are made within an image."""
+    r = reference.select(image, F.struct("box", "label", "score").alias("r")).groupBy(image).agg(F.collect_list("r").alias("rs"))
+    c = candidate.select(image, F.struct("box", "label", "score").alias("c")).groupBy(image).agg(F.collect_list("c").alias("cs"))
+    j = r.join(c, image, "full_outer").withColumn("m", matched(F.col("rs"), F.col("cs"), at))
+    return j.select(image, F.coalesce(F.size("rs"), F.lit(0)).alias("n_reference"), F.coalesce(F.size("cs"), F.lit(0)).alias("n_candidate"), F.col("m.n").alias("n_matched"), F.col("m.mean_iou").alias("mean_iou"), F.try_divide("m.same", "m.n").alias("class_agreement"))
 
 
 def sensitivity(out_l2: Column, in_l2: Column) -> tuple[Column, Column]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.shared import materialize
 from .ordered import ranked
@@ -14,15 +17,37 @@ GENESIS = "0" * 64
 
 
 def build_chain(records: DataFrame, keys: Sequence[str], order: str, content: Column) -> DataFrame:
-    """records with sequence_number, previous_hash and record_hash = sha256(previous hash | content).
+    """records with sequence_number, previous_hash and record_hash = sha256(previous hash | content), a chain for each value of keys.
 
-    A record's hash needs the one before it, so a chain is folded in order: chains are independent, each is one list."""
-    rows = records.withColumn("__content", content)
+    A record's hash needs the one before it, so a chain is a sequential pass: the shuffle brings each into one task, sorts it there (spilling where it
+    must), and rows stream by with only the last hash held. A null content adds nothing to the hash."""
+    body = next(f"body{i or ''}" for i in range(len(records.columns) + 1) if f"body{i or ''}" not in records.columns)
     others = [c for c in records.columns if c not in keys]
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.col("__content").alias("__c"), *others))).alias("x"))
-    hashes = F.aggregate("x", F.array(F.lit(GENESIS)), lambda a, r: F.concat(a, F.array(F.sha2(F.concat_ws("|", F.element_at(a, -1), r["__c"]), 256))))
-    out = packed.withColumn("h", hashes).select(*keys, "h", F.posexplode("x").alias("sequence_number", "r"))
-    return out.select(*keys, F.col("sequence_number").cast("long").alias("sequence_number"), *(F.col(f"r.{c}").alias(c) for c in others), F.element_at("h", F.col("sequence_number") + 1).alias("previous_hash"), F.element_at("h", F.col("sequence_number") + 2).alias("record_hash"))
+    ties = [c for c in others if "map<" not in dict(records.dtypes)[c]]  # maps have no order
+    rows = records.select(*keys, *others, content.cast("string").alias(body))
+    rows = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, order, body, *ties)
+    n_keys = len(keys)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last, at = None, GENESIS, 0
+        for batch in batches:
+            owners = zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True) if n_keys else [()] * batch.num_rows
+            places, before, after = [], [], []
+            for own, text in zip(owners, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if own != chain:
+                    chain, last, at = own, GENESIS, 0
+                places.append(at)
+                before.append(last)
+                last = hashlib.sha256((last if text is None else f"{last}|{text}").encode()).hexdigest()
+                after.append(last)
+                at += 1
+            made = [pa.array(places, pa.int64()), *batch.columns[n_keys:-1], pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], *made], names)
+
+    names = [*keys, "sequence_number", *others, "previous_hash", "record_hash"]
+    kept = {f.name: f for f in rows.schema.fields}
+    schema = StructType([*(kept[c] for c in keys), StructField("sequence_number", LongType()), *(kept[c] for c in others), StructField("previous_hash", StringType()), StructField("record_hash", StringType())])
+    return rows.mapInArrow(link, schema)
 
 
 def verify_chain(records: DataFrame, keys: Sequence[str], content: Column | None = None, sequence: str = "sequence_number", nonce: str = "nonce", time: str | None = None, place: str | None = None) -> DataFrame:
@@ -77,15 +102,17 @@ def ordered_leaves(samples: DataFrame, path: str, fingerprint: str) -> DataFrame
     return ranked(samples.select(F.col(path).cast("string").alias("path"), F.col(fingerprint).alias("fingerprint")).withColumn("__k", F.conv(F.rpad(F.substring(F.hex(F.col("path").cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")), [], "__k", "i", ties=["path"]).select("i", "path", "fingerprint", leaf_hash(F.col("fingerprint")).alias("hash"))
 
 
-def merkle_levels(leaves: DataFrame) -> DataFrame:
+def merkle_levels(leaves: DataFrame, join: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """level, i, hash of every node, leaves (i, hash) being level 0. Neighbours are hashed in pairs and a lone last one rises as it is,
-    which gives RFC 6962's tree. Each level halves the rows: one grouped aggregation a level."""
+    which gives RFC 6962's tree; join(left, right) gives another tree's nodes, right being null for a lone one. Each level halves the rows:
+    one grouped aggregation a level."""
+    join = join or (lambda left, right: F.coalesce(node_hash(left, right), left))
     level = materialize(leaves.select(F.lit(0).alias("level"), F.col("i").cast("long").alias("i"), "hash"), "merkle")
     out, n, k = level, level.count(), 0
     while n > 1:
         k += 1
         pair = level.groupBy(F.floor(F.col("i") / 2).alias("p")).agg(F.min(F.when(F.col("i") % 2 == 0, F.col("hash"))).alias("l"), F.min(F.when(F.col("i") % 2 == 1, F.col("hash"))).alias("r"))
-        level = pair.select(F.lit(k).alias("level"), F.col("p").alias("i"), F.coalesce(node_hash(F.col("l"), F.col("r")), F.col("l")).alias("hash"))
+        level = pair.select(F.lit(k).alias("level"), F.col("p").alias("i"), join(F.col("l"), F.col("r")).alias("hash"))
         n = (n + 1) // 2
         if n <= 1 or k % 4 == 0:
             level = materialize(level, "merkle")
@@ -98,17 +125,17 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
     return levels.orderBy(F.col("level").desc()).limit(1).select("hash")
 
 
-def graph_root(hashes: Sequence[str] | DataFrame) -> str:
-    """The graph's own tree: hex digests sorted, an odd level's last one doubled, sha256 over the joined hex strings. Graphs are bounded."""
-    import hashlib
+def graph_levels(hashes: DataFrame, digest: str) -> DataFrame:
+    """level, i, hash of the graph's own tree: hex digests in order, a lone last one taken twice, sha256 over the joined hex strings."""
+    number = F.conv(F.substring("hash", 1, 12), 16, 10).cast("double")
+    leaves = ranked(hashes.select(F.col(digest).alias("hash")).withColumn("__k", number), [], "__k", "i", ties=["hash"]).select("i", "hash")
+    return merkle_levels(leaves, lambda left, right: F.sha2(F.concat(left, F.coalesce(right, left)), 256))
 
-    level = sorted(r[0] for r in hashes.collect()) if isinstance(hashes, DataFrame) else sorted(hashes)
-    if not level:
-        return hashlib.sha256(b"empty_merkle_tree").hexdigest()
-    while len(level) > 1:
-        level += level[-1:] * (len(level) % 2)
-        level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2], strict=True)]
-    return level[0]
+
+def graph_root(hashes: DataFrame, digest: str) -> DataFrame:
+    """hash: one row, the root; that of an empty graph is a fixed name's."""
+    top = graph_levels(hashes, digest).agg(F.max_by("hash", "level").alias("hash"))
+    return top.select(F.coalesce("hash", F.sha2(F.lit("empty_merkle_tree"), 256)).alias("hash"))
 
 
 def inclusion_proofs(levels: DataFrame, chosen: DataFrame | None = None) -> DataFrame:

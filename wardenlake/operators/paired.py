@@ -34,13 +34,13 @@ def permutation_test(paired: DataFrame, keys: Sequence[str], permutations: int =
 
     A pair's sign flips only matter through its differences, so a group is reduced to nine counts of (trigger - shuffled, trigger - noise); for a
     permutation the number of kept signs in each is binomial. So no group is gathered, whatever its size."""
-    counts = paired.groupBy(*keys, (F.col("trigger") - F.col("shuffled")).alias("ds"), (F.col("trigger") - F.col("noise")).alias("dn")).agg(F.count("*").alias("c"))
+    counts = paired.groupBy(*keys, (F.col("trigger") - F.col("shuffled")).alias("ds"), (F.col("trigger") - F.col("noise")).alias("dn")).agg(F.count("*").alias("pairs"))
     names = list(keys)
     kinds = dict(paired.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ds", "dn"])
-        ds, dn, c = (pdf[x].to_numpy(np.int64) for x in ("ds", "dn", "c"))
+        ds, dn, c = (pdf[x].to_numpy(np.int64) for x in ("ds", "dn", "pairs"))
         n = int(c.sum())
         row = {k: [pdf[k].iloc[0]] for k in names} | {"n": [n]}
         if n < 10:

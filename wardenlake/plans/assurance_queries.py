@@ -62,6 +62,11 @@ def merkle_root(spark, d):
     return levels.select(F.col("level").cast("int").alias("level"), "i", "hash")
 
 
+def graph_merkle(spark, d):
+    p = table(spark, d, "part").select(F.sha2(F.concat_ws("|", "p_name", F.col("p_partkey").cast("string")), 256).alias("h"))
+    return integrity.graph_levels(p, "h").select(F.col("level").cast("int").alias("level"), "i", "hash")
+
+
 def merkle_proof_verify(spark, d):
     leaves = _leaves(spark, d)
     levels = integrity.merkle_levels(leaves)
@@ -301,7 +306,7 @@ def detection_rates(spark, d):
 
 
 QUERIES = {
-    "hash_chain_build": hash_chain_build, "chain_verify": chain_verify, "tamper_triage": tamper_triage, "sequence_gaps": sequence_gaps, "replay_nonce_dups": replay_nonce_dups, "merkle_leaves": merkle_leaves,
+    "hash_chain_build": hash_chain_build, "chain_verify": chain_verify, "tamper_triage": tamper_triage, "sequence_gaps": sequence_gaps, "replay_nonce_dups": replay_nonce_dups, "merkle_leaves": merkle_leaves, "graph_merkle": graph_merkle,
     "merkle_root": merkle_root, "merkle_proof_verify": merkle_proof_verify, "ordered_set_hash": ordered_set_hash, "tensor_diff": tensor_diff, "model_drift_class": model_drift_class,
     "evidence_normalize": evidence_normalize, "ancestry_clusters": ancestry_clusters, "ancestry_links": ancestry_links, "domain_attenuation": domain_attenuation, "asset_risk": asset_risk, "dag_check": dag_check,
     "dag_depth": dag_depth, "cycle_check": cycle_check, "lineage_propagation": lineage_propagation, "chain_paths": chain_paths, "ancestor_closure": ancestor_closure, "project_risk": project_risk,
@@ -359,6 +364,9 @@ SELECT user_id, count(*) AS n_failures, min(seq) AS first_failed, CASE WHEN bool
     "sequence_gaps": f"WITH RECURSIVE {_TAMPER}, g AS (SELECT user_id, seq, lead(seq) OVER (PARTITION BY user_id ORDER BY seq) AS nx FROM tp) SELECT user_id, seq AS after, nx - seq - 1 AS n_missing FROM g WHERE nx > seq + 1",
     "replay_nonce_dups": f"WITH RECURSIVE {_TAMPER} SELECT user_id, nonce, count(*) AS n FROM tp GROUP BY ALL HAVING count(*) > 1",
     "merkle_leaves": f"WITH {_LEAVES} SELECT i, path, hash FROM lv",
+    "graph_merkle": """WITH RECURSIVE t AS (SELECT 0 AS level, list(h ORDER BY h) AS hs FROM (SELECT sha256(p_name || '|' || p_partkey) AS h FROM part)
+  UNION ALL SELECT level + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda k: sha256(hs[2 * k + 1] || coalesce(hs[2 * k + 2], hs[2 * k + 1]))) FROM t WHERE len(hs) > 1)
+SELECT level, unnest(range(len(hs)))::BIGINT AS i, unnest(hs) AS hash FROM t""",
     "merkle_root": f"WITH RECURSIVE {_MERKLE} SELECT level, unnest(range(0, len(hs))) AS i, unnest(hs) AS hash FROM mk",
     "merkle_proof_verify": f"WITH {_LEAVES} SELECT path, i % 50 <> 0 AS valid FROM lv",
     "ordered_set_hash": "SELECT l_orderkey, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT l_orderkey, sha256(l_partkey || '|' || l_suppkey) AS h FROM lineitem) GROUP BY 1",

@@ -6,12 +6,13 @@ source."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.shared import shared_folder
@@ -44,28 +45,43 @@ def deduplicate(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys)
 
 
-def sequence_check(df: DataFrame, key: str, sequence: str, nonce: str) -> DataFrame:
-    """key, n, n_gaps, n_back, n_replayed of a key's records so far: gaps and steps back in the sequence, repeated nonces. State: the counters, the
-    last number and the nonces seen (a real source bounds them by its own replay window)."""
-    kind = dict(df.dtypes)[key]
+class _Sequences(StatefulProcessor):
+    """A key's counters and last number in one value state, its nonces in a map state: a lookup reads one nonce, not all of them."""
 
-    def check(group: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, gaps, back, replayed, last, seen = state.get if state.exists else (0, 0, 0, 0, -1, [])
-        known = set(seen)
-        rows = pd.concat(list(batches)).sort_values([sequence, nonce], kind="stable")
-        for s, x in zip(rows[sequence], rows[nonce], strict=True):
+    def __init__(self, key: str, sequence: str, nonce: str, window_ms: int | None) -> None:
+        self.key, self.sequence, self.nonce, self.window_ms = key, sequence, nonce, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counters = handle.getValueState("counters", "n long, gaps long, back long, replayed long, last long")
+        self.seen = handle.getMapState("seen", "nonce string", "n int", self.window_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        n, gaps, back, replayed, last = self.counters.get() if self.counters.exists() else (0, 0, 0, 0, -1)
+        records = pd.concat(list(rows)).sort_values([self.sequence, self.nonce], kind="stable")
+        for s, x in zip(records[self.sequence], records[self.nonce], strict=True):
             n += 1
             if last >= 0:
-                gaps += s > last + 1
-                back += s <= last
-            replayed += x in known
-            known.add(x)
+                gaps += int(s > last + 1)
+                back += int(s <= last)
+            if self.seen.containsKey((x,)):
+                replayed += 1
+            else:
+                self.seen.updateValue((x,), (1,))
             last = max(last, int(s))
-        state.update((n, int(gaps), int(back), int(replayed), last, sorted(known)))
-        yield pd.DataFrame({key: [group[0]], "n": [n], "n_gaps": [int(gaps)], "n_back": [int(back)], "n_replayed": [int(replayed)]})
+        self.counters.update((n, gaps, back, replayed, last))
+        yield pd.DataFrame({self.key: [key[0]], "n": [n], "n_gaps": [gaps], "n_back": [back], "n_replayed": [replayed]})
+
+    def close(self) -> None:
+        pass
+
 
-    out, held = f"{key} {kind}, n long, n_gaps long, n_back long, n_replayed long", "n long, gaps long, back long, replayed long, last long, seen array<string>"
-    return df.groupBy(key).applyInPandasWithState(check, out, held, "update", GroupStateTimeout.NoTimeout)
+def sequence_check(df: DataFrame, key: str, sequence: str, nonce: str, replay_window_ms: int | None = None) -> DataFrame:
+    """key, n, n_gaps, n_back, n_replayed of a key's records so far: gaps and steps back in the sequence, repeated nonces. Nonces live in RocksDB, on disk
+    where they don't fit; with replay_window_ms each is forgotten so long after it was first seen, which bounds the state of an endless source."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = f"{key} {dict(df.dtypes)[key]}, n long, n_gaps long, n_back long, n_replayed long"
+    mode = "None" if replay_window_ms is None else "ProcessingTime"
+    return df.groupBy(key).transformWithStateInPandas(_Sequences(key, sequence, nonce, replay_window_ms), out, "Update", mode)
 
 
 def run_available(stream: DataFrame, mode: str, latest_by: list[str] | None = None) -> DataFrame:
