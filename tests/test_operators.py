@@ -451,3 +451,26 @@ def test_activation_analysis(spark):
     assert abs(got["strong"]["low"] - 0.025 ** (1 / 120)) < 1e-9 and got["strong"]["high"] == 1.0
     assert got["weak"]["result"] == "NORMAL_SENSITIVITY_ONLY" and not got["weak"]["significant"] and got["weak"]["status"] == "NOT_PROMOTED_LOW_SEPARATION"
     assert got["few"]["result"] == "INSUFFICIENT_SUPPORT" and got["few"]["p_value"] is None and got["few"]["adjusted_p"] is None and got["few"]["low"] is None
+
+
+def test_redaction_at_any_depth(spark):
+    schema = "a struct<Token:int,b:array<struct<my_password:string,c:string>>>, m map<string,string>, n map<string,array<string>>, plain string, cookie struct<x:int>"
+    jwt = "eyJhbGciOi.eyJzdWIi.c2ln"
+    df = spark.createDataFrame([((7, [("pw", "ok"), (None, jwt)]), {"api-key": "k", "z": "v"}, {"q": [jwt, "w"]}, None, (1,)), (None, None, None, "-----BEGIN EC PRIVATE KEY-----", None)], schema)
+    mask = lambda x: f"[REDACTED_SECRET:sha256_{hashlib.sha256(x.encode()).hexdigest()[:12]}]"
+    one, two = reports.redacted(df).collect()
+    assert one["a"].asDict(True) == {"Token": mask("7"), "b": [{"my_password": mask("pw"), "c": "ok"}, {"my_password": None, "c": mask(jwt)}]}
+    assert one["m"] == {"api-key": mask("k"), "z": "v"} and one["n"] == {"q": [mask(jwt), "w"]} and one["plain"] is None and one["cookie"] == mask('{"x":1}')
+    assert two["a"] is None and two["m"] is None and two["cookie"] is None and two["plain"] == mask("-----BEGIN EC PRIVATE KEY-----")
+
+
+def test_audit_report_of_sparse_projects(spark):
+    e = spark.createDataFrame([("p", "D1", "PROOF"), ("p", "D1", "DETECTION"), ("q", None, None)], "project_id string, domain string, layer string")
+    a = spark.createDataFrame([("p", "b", 0.5), ("p", "a", 0.5), ("r", "c", None)], "project_id string, asset_id string, risk double")
+    f = spark.createDataFrame([("p", "HIGH"), ("p", "high")], "project_id string, severity string")
+    d = spark.createDataFrame([("p", "a", "REVIEW"), ("p", "b", "QUARANTINE")], "project_id string, asset_id string, decision string")
+    got = {r["project_id"]: r for r in reports.audit_report(e, a, f, d).collect()}
+    assert set(got) == {"p", "q", "r"} and (got["p"]["n_proof"], got["p"]["peak_asset_id"], got["p"]["decision"]) == (1, "a", "QUARANTINE")
+    assert got["p"]["domains"] == {"D1": 2} and got["p"]["findings"] == {"high": 2} and got["p"]["n_by_decision"] == {"QUARANTINE": 1, "REVIEW": 1}
+    assert got["q"]["n_assets"] == 0 and got["q"]["n_evidence"] == 1 and got["q"]["domains"] is None and got["r"]["decision"] == "ACCEPT"
+    assert {r["content_hash"] for r in reports.audit_report(e, a, f, d).collect()} == {r["content_hash"] for r in got.values()}

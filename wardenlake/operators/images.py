@@ -85,7 +85,8 @@ def descriptors(image: np.ndarray) -> dict[str, float]:
     c, g = rgb(image).astype(np.float64), gray(image)
     share = np.bincount(np.clip(g, 0, 255).astype(int).ravel(), minlength=256) / g.size
     share = share[share > 0]
-    out = {"aspect_ratio": g.shape[1] / g.shape[0], "mean_intensity": float(g.mean()), "std_intensity": float(g.std()), "entropy": float(-(share * np.log2(share)).sum())}
+    out = {"width": float(g.shape[1]), "height": float(g.shape[0]), "channels": float(image.shape[2] if image.ndim == 3 else 1), "n_bytes": float(image.nbytes), "aspect_ratio": g.shape[1] / g.shape[0]}
+    out |= {"mean_intensity": float(g.mean()), "std_intensity": float(g.std()), "brightness": float(g.mean()), "rms_contrast": float(g.std()), "entropy": float(-(share * np.log2(share)).sum())}
     out |= {f"{n}_mean": float(c[..., i].mean()) for i, n in enumerate("rgb")} | {f"{n}_std": float(c[..., i].std()) for i, n in enumerate("rgb")}
     lap = float(correlate(g, [[0, 1, 0], [1, -4, 1], [0, 1, 0]]).var()) if min(g.shape) >= 3 else 0.0
     return out | {"laplacian_variance": lap, "clipping": float(((g <= 0) | (g >= 255)).mean()), "mean_saturation": saturation(c)}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import catalogue
-from .assurance_queries import _EVID, _evidence
+from ..operators import catalogue, risk
+from ..sources import reports
+from .assurance_queries import _BAND, _EVID, _MILD, _evidence, _mild
 
 
 def evidence_findings_join(spark, d):
@@ -55,9 +56,27 @@ def sample_fingerprints(spark, d):
     return catalogue.fingerprints(docs, F.col("text"), [F.col("lang"), F.col("source")]).select("doc_id", "fingerprint")
 
 
+def redacted_records(spark, d):
+    """Events as nested records with keys, tokens and passwords in structs, arrays, maps and texts."""
+    k = F.col("event_id")
+    e = table(spark, d, "events").select(
+        "event_id", F.struct(F.concat(F.lit("k"), "user_id").alias("api_key"), F.col("event_type").alias("name")).alias("account"), F.array(F.struct(k.alias("Token"), (k % 7).alias("n"))).alias("calls"),
+        F.create_map(F.lit("Password"), F.col("event_type"), F.lit("kind"), F.col("event_type")).alias("fields"), F.when(k % 5 == 0, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----"), k)).otherwise(F.col("props")).alias("note"),
+    )
+    return reports.redacted(e).select("event_id", F.col("account.api_key").alias("api_key"), F.col("account.name").alias("name"), F.col("calls")[0]["Token"].alias("token"), F.col("calls")[0]["n"].alias("n"), F.col("fields")["Password"].alias("password"), F.col("fields")["kind"].alias("kind"), "note")
+
+
+def audit_report(spark, d):
+    """Evidence, damped asset risks and their bands as a report for each project; maps as texts."""
+    e, a = _evidence(spark, d), _mild(spark, d).select("project_id", "asset_id", "risk")
+    out = reports.audit_report(e, a, e.where("layer = 'DETECTION'").select("project_id", "severity"), a.withColumn("decision", risk.band(F.col("risk"))))
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], x["value"])), ";").alias(c)
+    return out.select(*(text(c) if c in ("domains", "findings", "n_by_decision") else c for c in out.columns if c != "content_hash"))
+
+
 QUERIES = {
     "evidence_findings_join": evidence_findings_join, "sample_version_join": sample_version_join, "semi_join_ids": semi_join_ids, "traceability": traceability, "proof_status": proof_status,
-    "evidence_cube": evidence_cube, "sample_fingerprints": sample_fingerprints,
+    "evidence_cube": evidence_cube, "sample_fingerprints": sample_fingerprints, "redacted_records": redacted_records, "audit_report": audit_report,
 }
 
 SQL = {
@@ -70,4 +89,10 @@ SELECT fid AS finding_id, 'PRIMARY' AS kind, 1::BIGINT AS n FROM e GROUP BY fid
 SELECT project_id, asset_id, n, CASE WHEN k % 3 = 0 THEN 'MISSING' WHEN k % 5 = 1 THEN 'INVALID' ELSE 'VERIFIED' END AS status, k % 3 = 0 OR k % 5 = 1 AS fatal FROM x""",
     "evidence_cube": f"WITH {_EVID} SELECT layer, severity, grouping_id(layer, severity)::BIGINT AS grouping, count(*) AS n, count(*) AS total FROM e GROUP BY CUBE (layer, severity)",
     "sample_fingerprints": "SELECT doc_id, sha256(sha256(text) || '|' || array_to_string(list_sort([sha256(lang), sha256(source)]), '|')) AS fingerprint FROM documents",
+    "redacted_records": """SELECT event_id, '[REDACTED_SECRET:sha256_' || sha256('k' || user_id)[1:12] || ']' AS api_key, event_type AS name, '[REDACTED_SECRET:sha256_' || sha256(event_id::VARCHAR)[1:12] || ']' AS token, event_id % 7 AS n, '[REDACTED_SECRET:sha256_' || sha256(event_type)[1:12] || ']' AS password, event_type AS kind,
+  CASE WHEN event_id % 5 = 0 THEN '[REDACTED_SECRET:sha256_' || sha256('-----BEGIN RSA PRIVATE KEY-----' || event_id)[1:12] || ']' ELSE props END AS note FROM events""",
+    "audit_report": f"""WITH {_MILD}, dc AS (SELECT *, {_BAND.format('risk')} AS decision FROM am), a AS (SELECT project_id, count(*) AS n_assets, max(risk) AS peak_risk, arg_min(asset_id, {{'r': -risk, 'a': asset_id}}) AS peak_asset_id, (['ACCEPT', 'REVIEW', 'QUARANTINE', 'REJECT'])[max(list_position(['ACCEPT', 'REVIEW', 'QUARANTINE', 'REJECT'], decision))] AS decision FROM dc GROUP BY 1),
+f AS (SELECT project_id, count(*) AS n_evidence, count(*) FILTER (layer = 'DETECTION') AS n_detection, count(*) FILTER (layer = 'PROOF') AS n_proof, 0::BIGINT AS n_policy FROM e GROUP BY 1), k AS (SELECT project_id, 'd' AS m, domain AS k, count(*) AS v FROM e GROUP BY ALL UNION ALL SELECT project_id, 'f', severity, count(*) FROM e WHERE layer = 'DETECTION' GROUP BY ALL UNION ALL SELECT project_id, 'n', decision, count(*) FROM dc GROUP BY ALL),
+t AS (SELECT project_id, string_agg(k || '=' || v, ';' ORDER BY k) FILTER (m = 'd') AS domains, string_agg(k || '=' || v, ';' ORDER BY k) FILTER (m = 'f') AS findings, string_agg(k || '=' || v, ';' ORDER BY k) FILTER (m = 'n') AS n_by_decision FROM k GROUP BY 1)
+SELECT * FROM a JOIN f USING (project_id) JOIN t USING (project_id)""",
 }

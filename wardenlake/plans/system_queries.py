@@ -228,7 +228,7 @@ SELECT user_id, count(*) AS n, count(*) FILTER (event_id > p + 1) AS n_gaps, cou
     "image_descriptors": f"""WITH {_PIX}, lp AS (SELECT k, lag(v) OVER rx + lead(v) OVER rx + lag(v) OVER ry + lead(v) OVER ry - 4 * v AS l FROM gr WINDOW rx AS (PARTITION BY k, y ORDER BY x), ry AS (PARTITION BY k, x ORDER BY y)), lv AS (SELECT k, var_pop(l) AS l FROM lp GROUP BY 1),
 hs AS (SELECT k, floor(v)::INTEGER AS bin, count(*) / 1024.0::DOUBLE AS p FROM gr GROUP BY ALL), en AS (SELECT k, -sum(p * log2(p)) AS e FROM hs GROUP BY 1),
 ag AS (SELECT k, avg(v) AS mv, stddev_pop(v) AS sv, avg(r) AS rm, avg(g) AS gm, avg(b) AS bm, stddev_pop(r) AS rs, stddev_pop(g) AS gs, stddev_pop(b) AS bs, avg((v <= 0 OR v >= 255)::INTEGER) AS cl, avg(CASE WHEN hi > 1e-6 THEN (hi - lo) / (hi + 1e-6) ELSE 0 END) AS sa FROM gr GROUP BY 1)
-SELECT k AS image_id, 1.0::DOUBLE AS aspect_ratio, round(mv, 6) AS mean_intensity, round(sv, 6) AS std_intensity, round(e, 6) AS entropy, round(rm, 6) AS r_mean, round(gm, 6) AS g_mean, round(bm, 6) AS b_mean, round(rs, 6) AS r_std, round(gs, 6) AS g_std, round(bs, 6) AS b_std,
+SELECT k AS image_id, 32::DOUBLE AS width, 32::DOUBLE AS height, 3::DOUBLE AS channels, 3072::DOUBLE AS n_bytes, 1.0::DOUBLE AS aspect_ratio, round(mv, 6) AS mean_intensity, round(sv, 6) AS std_intensity, round(mv, 6) AS brightness, round(sv, 6) AS rms_contrast, round(e, 6) AS entropy, round(rm, 6) AS r_mean, round(gm, 6) AS g_mean, round(bm, 6) AS b_mean, round(rs, 6) AS r_std, round(gs, 6) AS g_std, round(bs, 6) AS b_std,
   round(l, 6) AS laplacian_variance, round(cl, 6) AS clipping, round(sa, 6) AS mean_saturation FROM ag JOIN lv USING (k) JOIN en USING (k)""",
     "tensor_summary": f"""WITH {_TENS}, s AS (SELECT *, list_filter(data, lambda x: isfinite(x)) AS f FROM tn)
 SELECT vec_id, len(data)::BIGINT AS n, len(list_filter(data, lambda x: isnan(x)))::BIGINT AS n_nan, len(list_filter(data, lambda x: x = 'inf'::DOUBLE))::BIGINT AS n_pos_inf, 0::BIGINT AS n_neg_inf, round(list_min(f), 6) AS low, round(list_max(f), 6) AS high, round(list_sum(f) / len(f), 6) AS mean,
