@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe_count, langid, media_chunks, minhash, mixing, ordinal, packing, quality_mcd, secret_scan, warc
+from . import bpe_count, langid, media_chunks, minhash, mixing, ordinal, packing, prefix_trie, quality_mcd, secret_scan, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,11 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_gear_chunks": op2_gear_chunks, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op6_warc_derivatives": op6_warc_derivatives, "op7_evidence_fusion": op7_evidence_fusion, "langid_pages": langid_pages, "op8_cube_mix": op8_cube_mix, "op9_ordinal_quality": op9_ordinal_quality, "op10_trigram_secrets": op10_trigram_secrets}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_gear_chunks": op2_gear_chunks, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op6_warc_derivatives": op6_warc_derivatives, "op7_evidence_fusion": op7_evidence_fusion, "langid_pages": langid_pages, "op8_cube_mix": op8_cube_mix, "op9_ordinal_quality": op9_ordinal_quality, "op10_trigram_secrets": op10_trigram_secrets, "op11_prefix_trie": op11_prefix_trie}
 
 #: Words by RE2 and list functions; the links by counting common shingles; components by recursion with UNION.
 OP1_SQL = r"""
@@ -90,4 +94,32 @@ SELECT n.doc_id, n.n_shingles, m.component_id, n.doc_id = m.component_id AS kept
 FROM n JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) m ON m.node = n.doc_id
 """
 
-SQL = {"op1_minhash": OP1_SQL}
+#: CRC-32 bit by bit, since the engine has no such function. {0} is the integer.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+  list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295)"""
+
+#: Paths as running concatenations of digests; a node adds to all its ancestors, which are the prefixes of its least member.
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {CRC32_SQL.format("conv_id")} % 9 AS h FROM t),
+r AS (
+  SELECT c.conv_id, 0 AS part, i, x, strlen(text) AS b FROM c JOIN t ON t.conv_id = c.base AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, x, strlen(text) FROM c JOIN t ON t.conv_id = c.conv_id AND i > h
+), s AS (SELECT conv_id, x, b, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d FROM r),
+m AS (
+  SELECT conv_id, d, b, string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM s
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), n AS (SELECT path, any_value(d) AS d, any_value(b) AS b, min(conv_id) AS conv_id, count(*) AS n_convs, left(path, greatest(length(path) - 64, 0)) AS above FROM m GROUP BY path),
+k AS (SELECT above AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY above),
+z AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+a AS (SELECT m.path, count(*) FILTER (z.n_children = 0) AS n_leaves, sum((z.n_convs - 1) * z.b) AS saved FROM z JOIN m ON m.conv_id = z.conv_id AND m.d <= z.d GROUP BY m.path),
+e AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id) JOIN m USING (conv_id, d) GROUP BY path)
+SELECT z.conv_id, z.d::BIGINT AS depth, u.conv_id AS parent_conv_id, z.n_convs::BIGINT AS n_convs, z.n_children::BIGINT AS n_children, a.n_leaves::BIGINT AS n_leaves,
+  a.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM z JOIN a USING (path) LEFT JOIN n u ON z.d > 0 AND u.path = z.above LEFT JOIN e ON e.path = z.path
+"""
+
+SQL = {"op1_minhash": OP1_SQL, "op11_prefix_trie": OP11_SQL}
