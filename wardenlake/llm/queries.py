@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe_count, langid, media_chunks, minhash, mixing, ordinal, packing, prefix_trie, quality_mcd, secret_scan, warc
+from . import bpe_count, langid, media_chunks, merkle_manifest, minhash, mixing, ordinal, packing, prefix_trie, quality_mcd, secret_scan, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_gear_chunks": op2_gear_chunks, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op6_warc_derivatives": op6_warc_derivatives, "op7_evidence_fusion": op7_evidence_fusion, "langid_pages": langid_pages, "op8_cube_mix": op8_cube_mix, "op9_ordinal_quality": op9_ordinal_quality, "op10_trigram_secrets": op10_trigram_secrets, "op11_prefix_trie": op11_prefix_trie}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_gear_chunks": op2_gear_chunks, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op6_warc_derivatives": op6_warc_derivatives, "op7_evidence_fusion": op7_evidence_fusion, "langid_pages": langid_pages, "op8_cube_mix": op8_cube_mix, "op9_ordinal_quality": op9_ordinal_quality, "op10_trigram_secrets": op10_trigram_secrets, "op11_prefix_trie": op11_prefix_trie, "op12_merkle_manifest": op12_merkle_manifest}
 
 #: Words by RE2 and list functions; the links by counting common shingles; components by recursion with UNION.
 OP1_SQL = r"""
@@ -122,4 +126,34 @@ SELECT z.conv_id, z.d::BIGINT AS depth, u.conv_id AS parent_conv_id, z.n_convs::
 FROM z JOIN a USING (path) LEFT JOIN n u ON z.d > 0 AND u.path = z.above LEFT JOIN e ON e.path = z.path
 """
 
-SQL = {"op1_minhash": OP1_SQL, "op11_prefix_trie": OP11_SQL}
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+#: A level at a time by recursion; the groups' roots are leaves of a tree of their own, g = -1; a proof climbs both.
+OP12_SQL = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, {CRC32_SQL.format("doc_id")} % 7 = 0 AS bad,
+    {_LEAF.format(n="(n_chars + 1)")} AS forged, n_chars FROM documents
+), p AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l
+), t AS (
+  SELECT g, 0 AS k, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p
+  UNION ALL SELECT g, k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY g, k, i // 2
+), s AS (SELECT g, k AS top, h AS subroot FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS k, g AS i, subroot AS h, count(*) OVER () AS n FROM s
+  UNION ALL SELECT k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY k, i // 2
+), f AS (
+  SELECT p.g, p.i, p.doc_id, p.leaf, s.top, s.subroot, 0 AS k, p.i AS at, false AS over, '' AS proof, CASE WHEN bad AND n_chars IS NOT NULL THEN forged ELSE leaf END AS h FROM p JOIN s USING (g)
+  UNION ALL
+  SELECT f.g, f.i, f.doc_id, f.leaf, f.top, f.subroot, CASE WHEN o.turn THEN 0 ELSE f.k + 1 END, CASE WHEN o.turn THEN f.g ELSE f.at // 2 END, f.over OR o.turn,
+    f.proof || coalesce(b.h, ''), CASE WHEN o.turn THEN f.h WHEN f.at % 2 = 1 THEN sha256(b.h || f.h) ELSE sha256(f.h || coalesce(b.h, '')) END
+  FROM f CROSS JOIN (SELECT max(k) AS high FROM u) q
+  JOIN LATERAL (SELECT NOT f.over AND f.k = f.top AS turn) o ON true
+  LEFT JOIN (SELECT g, k, i, h FROM t UNION ALL SELECT -1, k, i, h FROM u) b ON NOT o.turn AND b.g = CASE WHEN f.over THEN -1 ELSE f.g END AND b.k = f.k AND b.i = xor(f.at, 1)
+  WHERE NOT (f.over AND f.k = q.high)
+)
+SELECT f.doc_id, f.leaf, f.subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM f CROSS JOIN (SELECT h FROM u WHERE n = 1) r WHERE f.over AND f.k = (SELECT max(k) FROM u)
+"""
+
+SQL = {"op1_minhash": OP1_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
