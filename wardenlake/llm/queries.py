@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe_count, langid, media_chunks, merkle_manifest, minhash, mixing, ordinal, packing, prefix_trie, quality_mcd, secret_scan, warc
+from . import bpe_count, langid, link_trust, media_chunks, merkle_manifest, minhash, mixing, ordinal, packing, prefix_trie, quality_mcd, secret_scan, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_gear_chunks": op2_gear_chunks, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op6_warc_derivatives": op6_warc_derivatives, "op7_evidence_fusion": op7_evidence_fusion, "langid_pages": langid_pages, "op8_cube_mix": op8_cube_mix, "op9_ordinal_quality": op9_ordinal_quality, "op10_trigram_secrets": op10_trigram_secrets, "op11_prefix_trie": op11_prefix_trie, "op12_merkle_manifest": op12_merkle_manifest}
+def op13_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_gear_chunks": op2_gear_chunks, "op3_mcd_outliers": op3_mcd_outliers, "op4_bpe_count": op4_bpe_count, "op5_best_fit": op5_best_fit, "op6_warc_derivatives": op6_warc_derivatives, "op7_evidence_fusion": op7_evidence_fusion, "langid_pages": langid_pages, "op8_cube_mix": op8_cube_mix, "op9_ordinal_quality": op9_ordinal_quality, "op10_trigram_secrets": op10_trigram_secrets, "op11_prefix_trie": op11_prefix_trie, "op12_merkle_manifest": op12_merkle_manifest, "op13_link_trust": op13_link_trust}
 
 #: Words by RE2 and list functions; the links by counting common shingles; components by recursion with UNION.
 OP1_SQL = r"""
@@ -156,4 +160,37 @@ SELECT f.doc_id, f.leaf, f.subroot, r.h AS root, sha256(f.proof) AS proof_sha256
 FROM f CROSS JOIN (SELECT h FROM u WHERE n = 1) r WHERE f.over AND f.k = (SELECT max(k) FROM u)
 """
 
-SQL = {"op1_minhash": OP1_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+_FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(link_trust.RULES, key=lambda r: -len(r[0] + r[1]))]
+_RULE = " ".join(f"WHEN {fits} THEN '{rule}'" for fits, rule, _ in _FITS)
+_VERDICT = " ".join(f"WHEN {fits} THEN '{verdict}'" for fits, _, verdict in _FITS)
+_AZ = f"'{link_trust.UPPER}', '{link_trust.LOWER}'"
+_LINK = link_trust.LINK.replace("*+", "*").replace("?+", "?").replace("++", "+").replace("'", "''")
+
+#: The rounds are written out, one table each; integers as in the operator, so that equal is equal.
+OP13_SQL = f"""
+WITH u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), {_AZ}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS MATERIALIZED (SELECT page_id, host, path, CASE {_RULE} END AS rule, CASE {_VERDICT} END AS by_rule FROM p),
+l AS MATERIALIZED (
+  SELECT src, dst, count(*) AS w FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{_LINK}', 1), lambda h: translate(h, {_AZ})))) AS dst FROM p)
+  WHERE src <> '' AND src <> dst GROUP BY src, dst
+), h AS (SELECT host FROM j UNION SELECT dst FROM l),
+s AS (SELECT string_split(host, '.') AS x FROM h WHERE length(host) <= 253 AND regexp_matches(host, '[a-z]')),
+f AS (SELECT DISTINCT array_to_string(x[i:], '.') AS a, array_to_string(x[i + 1:], '.') AS b FROM (SELECT x, unnest(range(1, len(x) - 1)) AS i FROM s)),
+e AS (SELECT src, dst, sum(w)::BIGINT AS w FROM (SELECT src, dst, w FROM l UNION ALL SELECT a, b, 1 FROM f WHERE a <> '' AND b <> '' UNION ALL SELECT b, a, 1 FROM f WHERE a <> '' AND b <> '') GROUP BY src, dst),
+g AS (SELECT 't' AS kind, src AS host, dst AS v, w FROM e UNION ALL SELECT 'd', dst, src, w FROM e),
+o AS MATERIALIZED (SELECT *, (sum(w) OVER (PARTITION BY kind, host))::BIGINT AS total FROM g),
+q AS (SELECT CASE by_rule WHEN 'allow' THEN 't' ELSE 'd' END AS kind, host, count(*) AS n FROM j WHERE by_rule IS NOT NULL GROUP BY ALL),
+r0 AS MATERIALIZED (SELECT kind, host, n * ({link_trust.MASS} // (sum(n) OVER (PARTITION BY kind))::BIGINT) AS mass FROM q),
+""" + ",\n".join(
+    f"""r{i} AS MATERIALIZED (
+  SELECT kind, host, sum(mass)::BIGINT AS mass FROM (
+    SELECT o.kind, o.v AS host, (m // total) * w + (m % total) * w // total AS mass FROM (SELECT kind, host, mass * {link_trust.DAMPING} // 100 AS m FROM r{i - 1}) JOIN o USING (kind, host)
+    UNION ALL SELECT kind, host, mass * {100 - link_trust.DAMPING} // 100 FROM r0) GROUP BY kind, host)"""
+    for i in range(1, link_trust.ROUNDS + 1)
+) + f""", z AS (SELECT host, coalesce(sum(mass) FILTER (kind = 't'), 0)::BIGINT AS trust, coalesce(sum(mass) FILTER (kind = 'd'), 0)::BIGINT AS distrust FROM r{link_trust.ROUNDS} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM j LEFT JOIN z ON z.host = j.host
+"""
+
+SQL = {"op1_minhash": OP1_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_link_trust": OP13_SQL}
