@@ -144,20 +144,22 @@ def _block(bottom: int):
 
 def climb(tops: DataFrame, width: int = WIDTH) -> DataFrame:
     """grp, level, pos, path (siblings up to the root of grp's tree, null where a node is alone), root. Tops cover their tree's leaves once."""
-    rounds, bottom, found = -(-(height(tops.agg(F.max("total")).first()[0] or 1)) // width) or 1, 0, None
+    rounds = -(-height(tops.agg(F.max("total")).first()[0] or 1) // width) or 1
     live = tops.select("grp", "level", "pos", "total", "node")
-    for k in range(1, rounds + 1):
-        bottom = k * width
-        here = live.withColumn("block", F.expr(f"shiftright(pos, int({bottom} - level))"))
+    found = live.select("grp", "level", "pos", F.expr(f"cast(array() as {PATH})").alias("path"), F.col("level").alias("at"), F.col("pos").alias("at_pos"), F.col("node").alias("at_node"))
+    for bottom in range(width, rounds * width + 1, width):
+        here = live.where(F.col("level") <= bottom).withColumn("block", F.expr(f"shiftright(pos, int({bottom} - level))"))
         made = here.groupBy("grp", "block").applyInPandas(_block(bottom), f"grp string, level int, pos long, total long, path {PATH}, up_level int, up_pos long, up_node string")
         made = materialize(made, "manifest_level")
-        if found is None:
-            found = made.select("grp", "level", "pos", "path", "up_level", "up_pos", "up_node")
-        else:
-            more = made.select("grp", F.col("level").alias("up_level"), F.col("pos").alias("up_pos"), F.col("path").alias("more"), F.col("up_level").alias("l2"), F.col("up_pos").alias("p2"), F.col("up_node").alias("n2"))
-            found = found.join(more, ["grp", "up_level", "up_pos"]).select("grp", "level", "pos", F.concat("path", "more").alias("path"), F.col("l2").alias("up_level"), F.col("p2").alias("up_pos"), F.col("n2").alias("up_node"))
-        live = made.select("grp", F.col("up_level").alias("level"), F.col("up_pos").alias("pos"), "total", F.col("up_node").alias("node")).distinct()
-    return found.select("grp", "level", "pos", "path", F.col("up_node").alias("root"))
+        more = made.select("grp", F.col("level").alias("at"), F.col("pos").alias("at_pos"), F.col("path").alias("more"), "up_level", "up_pos", "up_node")
+        # tops above this round's blocks wait
+        found = found.join(more, ["grp", "at", "at_pos"], "left").select(
+            "grp", "level", "pos", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"),
+            *(F.coalesce(new, old).alias(old) for new, old in (("up_level", "at"), ("up_pos", "at_pos"), ("up_node", "at_node"))),
+        )
+        above = live.where(F.col("level") > bottom)
+        live = made.select("grp", F.col("up_level").alias("level"), F.col("up_pos").alias("pos"), "total", F.col("up_node").alias("node")).distinct().unionByName(above)
+    return found.select("grp", "level", "pos", "path", F.col("at_node").alias("root"))
 
 
 def fold(start: Column, path: Column) -> Column:
