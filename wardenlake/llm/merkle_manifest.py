@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import SMALL_ROWS, materialize
 
 ROWS_A_TASK = 100_000
-WIDTH = 20
+WIDTH = 12
 PATH = "array<struct<sibling: string, before: boolean>>"
 
 
