@@ -16,13 +16,9 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
-#: Far below six places, and no short decimal: it lifts exact halves off the border, on which sums fall either way by the order of their terms.
-LIFT = 1.37e-10
-
-
 def round6(x: Column) -> Column:
-    """Half-up rounding to six places that doesn't hang on the last bits of x."""
-    return F.round(x + F.lit(LIFT), 6)
+    """Half-up rounding to six places, in decimals. Sums of doubles differ in their last bits by the order of their terms; the twelfth place is free of that."""
+    return F.round(x.cast("decimal(28,12)"), 6).cast("double")
 
 
 def z_of(confidence: float) -> float:

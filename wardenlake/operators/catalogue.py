@@ -14,8 +14,8 @@ def evidence_of_findings(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def samples_of_datasets(samples: DataFrame, versions: DataFrame, datasets: DataFrame) -> DataFrame:
-    """samples with their version's and dataset's columns."""
-    return samples.join(versions, "version_id").join(datasets, "dataset_id")
+    """samples with their version's and dataset's columns, within their project."""
+    return samples.join(versions, ["project_id", "version_id"]).join(datasets, ["project_id", "dataset_id"])
 
 
 def of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -24,22 +24,30 @@ def of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def traceability(findings: DataFrame, evidence: DataFrame, links: DataFrame, provenance: DataFrame) -> DataFrame:
-    """A row for each thing a finding rests on: finding_id, kind (PRIMARY, REFERENCED, ASSET, PROVENANCE), ref.
-
-    findings: finding_id, evidence_id, asset_id; links: finding_id, evidence_id; evidence: evidence_id, asset_id; provenance: asset_id, record_id."""
-    primary = findings.select("finding_id", F.lit("PRIMARY").alias("kind"), F.col("evidence_id").alias("ref"))
-    referenced = links.select("finding_id", F.lit("REFERENCED").alias("kind"), F.col("evidence_id").alias("ref"))
-    own = findings.select("finding_id", "asset_id").union(links.join(evidence, "evidence_id").select("finding_id", "asset_id")).where("asset_id is not null").distinct()
-    assets = own.select("finding_id", F.lit("ASSET").alias("kind"), F.col("asset_id").alias("ref"))
-    records = own.join(provenance, "asset_id").select("finding_id", F.lit("PROVENANCE").alias("kind"), F.col("record_id").alias("ref"))
+    """A row for each thing a finding rests on: project_id, finding_id, kind (PRIMARY, REFERENCED, ASSET, PROVENANCE), ref. Equal ids of two projects are different things.
+
+    findings: project_id, finding_id, evidence_id, asset_id; links: project_id, finding_id, evidence_id; evidence: project_id, evidence_id, asset_id; provenance: project_id, asset_id, record_id."""
+    of = ["project_id", "finding_id"]
+    primary = findings.select(*of, F.lit("PRIMARY").alias("kind"), F.col("evidence_id").alias("ref"))
+    referenced = links.select(*of, F.lit("REFERENCED").alias("kind"), F.col("evidence_id").alias("ref"))
+    own = findings.select(*of, "asset_id").union(links.join(evidence, ["project_id", "evidence_id"]).select(*of, "asset_id")).where("asset_id is not null").distinct()
+    assets = own.select(*of, F.lit("ASSET").alias("kind"), F.col("asset_id").alias("ref"))
+    records = own.join(provenance, ["project_id", "asset_id"]).select(*of, F.lit("PROVENANCE").alias("kind"), F.col("record_id").alias("ref"))
     return primary.union(referenced).union(assets).union(records).where("ref is not null").distinct()
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str], outgoing: bool = True) -> DataFrame:
-    """node, other, kind over edges of the given kinds, with the other node's type."""
+    """project_id, node, other, kind, other_type over edges of the given kinds: the many-to-many lookups between findings and evidence, within a project."""
     a, b = ("src", "dst") if outgoing else ("dst", "src")
-    e = edges.where(F.col("kind").isin(list(kinds))).select(F.col(a).alias("node"), F.col(b).alias("other"), "kind")
-    return e.join(nodes.select(F.col("node").alias("other"), F.col("type").alias("other_type")), "other")
+    e = edges.where(F.col("kind").isin(list(kinds))).select("project_id", F.col(a).alias("node"), F.col(b).alias("other"), "kind")
+    return e.join(nodes.select("project_id", F.col("node").alias("other"), F.col("type").alias("other_type")), ["project_id", "other"]).select("project_id", "node", "other", "kind", "other_type")
+
+
+def by_key(df: DataFrame, keys: dict[str, object]) -> DataFrame:
+    """The rows with these values of a primary or an alternate key; null finds null. The comparison reaches the scan's filters."""
+    for name, value in keys.items():
+        df = df.where(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return df
 
 
 def proof_status(evidence: DataFrame, provenance: DataFrame) -> DataFrame:

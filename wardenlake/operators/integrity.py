@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.shared import materialize
-from .ordered import ranked
+from .ordered import carried, join_groups, ranges_for, ranked
 
 GENESIS = "0" * 64
 
@@ -50,30 +50,51 @@ def build_chain(records: DataFrame, keys: Sequence[str], order: str, content: Co
     return rows.mapInArrow(link, schema)
 
 
-def verify_chain(records: DataFrame, keys: Sequence[str], content: Column | None = None, sequence: str = "sequence_number", nonce: str = "nonce", time: str | None = None, place: str | None = None) -> DataFrame:
-    """records with codes, the failures of each: gaps and repeats in the sequence, repeated nonces and hashes, broken links, altered content;
-    clock steps back are warnings. place: the order of storage (the sequence itself unless given). One window a chain."""
-    w = Window.partitionBy(*keys).orderBy(place or sequence, "record_hash")
-    first = lambda c: F.row_number().over(Window.partitionBy(*keys, c).orderBy(place or sequence, "record_hash")) > 1
-    out = records.withColumn("__at", F.row_number().over(w) - 1).withColumn("__prev", F.coalesce(F.lag("record_hash").over(w), F.lit(GENESIS)))
-    repeated = first(sequence)
+def verify_chain(records: DataFrame, keys: Sequence[str], content: Column | None = None, sequence: str = "sequence_number", nonce: str = "nonce", time: str | None = None, place: str | None = None, ranges: int | None = None) -> DataFrame:
+    """records with codes, the failures of each: gaps and repeats in the sequence, repeated nonces and hashes, broken links, altered content, and what is
+    missing (a null sequence, nonce or hash is a failure of its own and never a repeat); clock steps back are warnings.
+
+    place: the order of storage (the sequence itself unless given), a number or a time; records without one come last. A null content adds nothing to a
+    hash, as in build_chain. Chains of up to a million records are a window each. Beyond that a chain is cut into ranges: places are counted
+    over the ranges, each range's first record gets its predecessor from the range before, and the first of each nonce, hash and number comes from an aggregation."""
+    ranges = ranges_for(records, keys) if ranges is None else ranges
+    place, order = place or sequence, F.col(place or sequence).cast("double")
+    placed = records.withColumn("__order", F.coalesce(order, F.lit(float("inf"))))
+    link = F.struct(F.col("record_hash").alias("hash"), *([F.col(time).alias("time")] if time else []))  # never null, so that a missing hash is carried too
+    if ranges <= 1:
+        w = Window.partitionBy(*keys).orderBy("__order", F.col(place).asc_nulls_last(), F.col("record_hash").asc_nulls_last())
+        out = placed.withColumns({"__at": F.row_number().over(w).cast("long") - 1, "__before": F.lag(link).over(w)})
+    else:
+        out = ranked(placed, keys, "__order", "__at", ranges, [F.col(place).asc_nulls_last(), F.col("record_hash").asc_nulls_last()])
+        out = carried(out, keys, "__at", {"__before": link}, ranges, with_own=False)
+    repeated = {}
+    for i, c in enumerate((sequence, nonce, "record_hash")):
+        if ranges <= 1:
+            repeated[c] = F.col(c).isNotNull() & (F.col("__at") > F.min("__at").over(Window.partitionBy(*keys, c)))
+        else:
+            firsts = out.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.min("__at").alias(f"__first{i}"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+            out = join_groups(out, firsts, [*keys, c], "left")
+            repeated[c] = F.coalesce(F.col("__at") > F.col(f"__first{i}"), F.lit(False))
+    expected = F.when(F.col("__before").isNull(), GENESIS).otherwise(F.col("__before.hash"))
+    missing = F.col("record_hash").isNull() | F.col("previous_hash").isNull()
     codes = [
-        F.when(repeated, "DUPLICATE_SEQUENCE").when(F.col(sequence) > F.col("__at"), "SEQUENCE_GAP").when(F.col(sequence) < F.col("__at"), "SEQUENCE_VIOLATION"),
-        F.when(first(nonce), "DUPLICATE_NONCE"), F.when(F.col("previous_hash") != F.col("__prev"), "BROKEN_CHAIN"), F.when(first("record_hash"), "DUPLICATE_RECORD"),
+        F.when(F.col(sequence).isNull(), "MISSING_SEQUENCE").when(repeated[sequence], "DUPLICATE_SEQUENCE").when(F.col(sequence) > F.col("__at"), "SEQUENCE_GAP").when(F.col(sequence) < F.col("__at"), "SEQUENCE_VIOLATION"),
+        F.when(F.col(nonce).isNull(), "MISSING_NONCE").when(repeated[nonce], "DUPLICATE_NONCE"), F.when(missing, "MISSING_HASH"), F.when(~F.col("previous_hash").eqNullSafe(expected), "BROKEN_CHAIN"),
+        F.when(repeated["record_hash"], "DUPLICATE_RECORD"),
     ]
     if content is not None:
         codes.append(F.when(F.sha2(F.concat_ws("|", "previous_hash", content), 256) != F.col("record_hash"), "CONTENT_ALTERED"))
     out = out.withColumn("codes", F.array_compact(F.array(*codes)))
     if time is not None:
-        out = out.withColumn("clock_step_back", F.coalesce(F.col(time) < F.lag(time).over(w), F.lit(False)))
-    return out.drop("__at", "__prev")
+        out = out.withColumn("clock_step_back", F.coalesce(F.col(time) < F.col("__before.time"), F.lit(False)))
+    return out.drop("__at", "__before", "__order", *(f"__first{i}" for i in range(3)))
 
 
 def triage(verified: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, n_failures, first_failed, class of tampering by the worst code of a chain."""
     x = verified.select(*keys, "sequence_number", F.explode("codes").alias("code"))
     has = lambda c: F.max(F.col("code") == c)
-    kind = F.when(has("CONTENT_ALTERED"), "CONTENT_TAMPERING").when(has("DUPLICATE_NONCE") | has("DUPLICATE_RECORD"), "REPLAY").when(has("SEQUENCE_GAP"), "DELETION").when(has("DUPLICATE_SEQUENCE"), "INSERTION").otherwise("REORDERING")
+    kind = F.when(has("CONTENT_ALTERED") | has("MISSING_HASH"), "CONTENT_TAMPERING").when(has("DUPLICATE_NONCE") | has("DUPLICATE_RECORD"), "REPLAY").when(has("SEQUENCE_GAP"), "DELETION").when(has("DUPLICATE_SEQUENCE"), "INSERTION").otherwise("REORDERING")
     return x.groupBy(*keys).agg(F.count("*").alias("n_failures"), F.min("sequence_number").alias("first_failed"), kind.alias("kind"))
 
 

@@ -21,10 +21,18 @@ def ranges_for(df: DataFrame, keys: Sequence[str]) -> int:
     return min(4096, -(-largest // ROWS_A_RANGE) or 1)
 
 
+def join_groups(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on the keys of groups, in which null is a key like others."""
+    if not keys:
+        return df.crossJoin(F.broadcast(other))  # the one group's one row
+    named = other.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in other.columns if c not in keys))
+    return df.join(named, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], how).drop(*(f"__k{i}" for i in range(len(keys))))
+
+
 def _ranged(df: DataFrame, keys: Sequence[str], order: str, ranges: int) -> DataFrame:
     at = [i / ranges for i in range(1, ranges)]
     splits = df.groupBy(*keys).agg(F.percentile_approx(order, at, 1000).alias("__splits"))
-    out = df.join(splits, list(keys)) if keys else df.crossJoin(F.broadcast(splits))  # one row of a fixed number of splits
+    out = join_groups(df, splits, keys)
     return out.withColumn("__range", F.size(F.filter("__splits", lambda s: s < F.col(order)))).drop("__splits")
 
 
@@ -42,7 +50,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Colu
         return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
     cut = _ranged(df, keys, order, ranges)
     w = Window.partitionBy(*keys, "__range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
-    out = cut.join(_offsets(cut, keys, sums), [*keys, "__range"])
+    out = join_groups(cut, _offsets(cut, keys, sums), [*keys, "__range"])
     return out.withColumns({n: F.sum(c).over(w) + F.col(f"__{n}") for n, c in sums.items()}).drop("__range", *(f"__{n}" for n in sums))
 
 
@@ -53,7 +61,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", r
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties)).cast("long") - 1)
     cut = _ranged(df, keys, order, ranges)
     w = Window.partitionBy(*keys, "__range").orderBy(order, *ties)
-    out = cut.join(_offsets(cut, keys, {"n": F.lit(1)}), [*keys, "__range"])
+    out = join_groups(cut, _offsets(cut, keys, {"n": F.lit(1)}), [*keys, "__range"])
     return out.withColumn(name, F.row_number().over(w) + F.col("__n") - 1).drop("__range", "__n")
 
 
@@ -69,7 +77,7 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, C
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     lasts = lasts.select(*keys, "__range", *(F.last(f"__{n}", ignorenulls=True).over(before).alias(f"__{n}") for n in columns))
     w = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, until)
-    out = cut.join(lasts, [*keys, "__range"])
+    out = join_groups(cut, lasts, [*keys, "__range"])
     return out.withColumns({n: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"__{n}")) for n, c in columns.items()}).drop("__range", *(f"__{n}" for n in columns))
 
 
@@ -84,7 +92,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
     """keys, n and, for each name, the exact quantile with linear interpolation, by order statistics of the distinct values."""
     counts = value_counts(df, keys, value, ranges, weight)
     sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
-    both = counts.join(sizes, list(keys)) if keys else counts.crossJoin(F.broadcast(sizes))  # one row
+    both = join_groups(counts, sizes, keys)
     aggs = []
     for name, p in probabilities.items():
         place = F.lit(float(p)) * (F.col("n") - 1)
@@ -99,6 +107,6 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str, ranges: int | Non
     ranges = ranges_for(df, keys) if ranges is None else ranges
     middle = quantiles(df, keys, value, {"median": 0.5}, ranges)
     known = middle.select(*keys, "median")
-    apart = df.join(known, list(keys)) if keys else df.crossJoin(F.broadcast(known))  # one row
+    apart = join_groups(df, known, keys)
     mad = quantiles(apart.withColumn("__apart", F.abs(F.col(value) - F.col("median"))), keys, "__apart", {"mad": 0.5}, ranges)
-    return middle.join(mad.select(*keys, "mad"), list(keys)) if keys else middle.crossJoin(F.broadcast(mad.select("mad")))
+    return join_groups(middle, mad.select(*keys, "mad"), keys)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..functions.stats import LIFT, round6
+from ..functions.shared import materialize
+from ..functions.stats import round6
 from ..operators import integrity, paired, risk
 
 
@@ -19,11 +20,12 @@ def _chain(spark, d):
 
 
 def _tampered(spark, d):
-    """Some records altered, some gone, some nonces repeated."""
+    """Some records altered, some gone, some nonces repeated, some hashes and nonces lost."""
     c = _chain(spark, d)
     c = c.where((F.col("event_id") % 97 != 5) | (F.col("sequence_number") == 0))
     c = c.withColumn("payload", F.when(F.col("event_id") % 101 == 7, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
-    return c.withColumn("nonce", F.when(F.col("event_id") % 211 == 3, F.sha2(F.lit("same"), 256)).otherwise(F.col("nonce")))
+    c = c.withColumn("nonce", F.when(F.col("event_id") % 211 == 3, F.sha2(F.lit("same"), 256)).when(F.col("event_id") % 213 != 17, F.col("nonce")))
+    return c.withColumns({"record_hash": F.when(F.col("event_id") % 207 != 11, F.col("record_hash")), "previous_hash": F.when(F.col("event_id") % 209 != 13, F.col("previous_hash"))})
 
 
 def hash_chain_build(spark, d):
@@ -68,12 +70,12 @@ def graph_merkle(spark, d):
 
 
 def merkle_proof_verify(spark, d):
-    leaves = _leaves(spark, d)
+    leaves = materialize(_leaves(spark, d), "leaves")  # ranked once, read twice
     levels = integrity.merkle_levels(leaves)
-    root = integrity.merkle_root(leaves).first()[0]
-    proofs = integrity.inclusion_proofs(levels).join(leaves.select(F.col("i").cast("long").alias("i"), "path", "hash"), "i")
+    root = levels.agg(F.max_by("hash", "level").alias("root"))  # one row
+    proofs = integrity.inclusion_proofs(levels).join(leaves.select(F.col("i").cast("long").alias("i"), "path", "hash"), "i").crossJoin(F.broadcast(root))
     broken = F.when(F.col("i") % 50 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("hash"))
-    return proofs.select("path", integrity.verify_proof(broken, F.col("proof"), F.lit(root)).alias("valid"))
+    return proofs.select("path", integrity.verify_proof(broken, F.col("proof"), F.col("root")).alias("valid"))
 
 
 def ordered_set_hash(spark, d):
@@ -197,7 +199,7 @@ def project_risk(spark, d):
 
 
 def assurance_fusion(spark, d):
-    e = _evidence(spark, d).where("sample_id is not null").withColumn("confidence", F.coalesce("confidence", F.lit(0.9)) * 0.05)
+    e = _evidence(spark, d).withColumn("confidence", F.coalesce("confidence", F.lit(0.9)) * 0.002)
     return risk.fuse(e, {"DATASET_INTEGRITY": 0.8, "MODEL_INTEGRITY": 1.0, "DISTRIBUTION_SHIFT": 0.6})
 
 
@@ -318,9 +320,9 @@ QUERIES = {
 _CHAIN = """ev AS (SELECT user_id, event_id, ts, event_id || ':' || event_type AS payload, sha256(event_id::VARCHAR) AS nonce, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
 ch AS (SELECT user_id, event_id, ts, payload, nonce, seq, repeat('0', 64) AS prev, sha256(repeat('0', 64) || '|' || payload) AS h FROM ev WHERE seq = 0
   UNION ALL SELECT e.user_id, e.event_id, e.ts, e.payload, e.nonce, e.seq, c.h, sha256(c.h || '|' || e.payload) FROM ch c JOIN ev e ON e.user_id = c.user_id AND e.seq = c.seq + 1)"""
-_TAMPER = f"""{_CHAIN}, tp AS (SELECT user_id, event_id, seq, prev, h, CASE WHEN event_id % 101 = 7 THEN payload || '!' ELSE payload END AS payload, CASE WHEN event_id % 211 = 3 THEN sha256('same') ELSE nonce END AS nonce FROM ch WHERE event_id % 97 <> 5 OR seq = 0),
-vx AS (SELECT *, row_number() OVER w - 1 AS pos, coalesce(lag(h) OVER w, repeat('0', 64)) AS lp, row_number() OVER (PARTITION BY user_id, nonce ORDER BY seq, h) > 1 AS dn FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY seq, h)),
-vc AS (SELECT *, list_sort(list_filter([CASE WHEN seq > pos THEN 'SEQUENCE_GAP' END, CASE WHEN dn THEN 'DUPLICATE_NONCE' END, CASE WHEN prev <> lp THEN 'BROKEN_CHAIN' END, CASE WHEN sha256(prev || '|' || payload) <> h THEN 'CONTENT_ALTERED' END], lambda x: x IS NOT NULL)) AS codes FROM vx)"""
+_TAMPER = f"""{_CHAIN}, tp AS (SELECT user_id, event_id, seq, CASE WHEN event_id % 209 <> 13 THEN prev END AS prev, CASE WHEN event_id % 207 <> 11 THEN h END AS h, CASE WHEN event_id % 101 = 7 THEN payload || '!' ELSE payload END AS payload, CASE WHEN event_id % 211 = 3 THEN sha256('same') WHEN event_id % 213 <> 17 THEN nonce END AS nonce FROM ch WHERE event_id % 97 <> 5 OR seq = 0),
+vx AS (SELECT *, row_number() OVER w - 1 AS pos, CASE WHEN row_number() OVER w = 1 THEN repeat('0', 64) ELSE lag(h) OVER w END AS lp, nonce IS NOT NULL AND row_number() OVER (PARTITION BY user_id, nonce ORDER BY seq, h) > 1 AS dn FROM tp WINDOW w AS (PARTITION BY user_id ORDER BY seq, h)),
+vc AS (SELECT *, list_sort(list_filter([CASE WHEN seq > pos THEN 'SEQUENCE_GAP' END, CASE WHEN nonce IS NULL THEN 'MISSING_NONCE' WHEN dn THEN 'DUPLICATE_NONCE' END, CASE WHEN prev IS NULL OR h IS NULL THEN 'MISSING_HASH' END, CASE WHEN prev IS DISTINCT FROM lp THEN 'BROKEN_CHAIN' END, CASE WHEN sha256(concat_ws('|', prev, payload)) <> h THEN 'CONTENT_ALTERED' END], lambda x: x IS NOT NULL)) AS codes FROM vx)"""
 _LEAVES = "lv AS (SELECT row_number() OVER (ORDER BY p_partkey::VARCHAR) - 1 AS i, p_partkey::VARCHAR AS path, sha256(unhex('00' || sha256(p_name || '|' || p_brand || '|' || p_type))) AS hash FROM part)"
 _MERKLE = f"""{_LEAVES}, mk AS (SELECT 0 AS level, list(hash ORDER BY i) AS hs FROM lv
   UNION ALL SELECT level + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda k: CASE WHEN 2 * k + 2 <= len(hs) THEN sha256(unhex('01' || hs[2 * k + 1] || hs[2 * k + 2])) ELSE hs[2 * k + 1] END) FROM mk WHERE len(hs) > 1)"""
@@ -334,19 +336,19 @@ _KEY = "coalesce('anc_sample_' || sample_id, 'anc_ds_' || dataset_version_id, 'a
 _MATRIX = "mx AS (SELECT unnest([{}]) AS a, unnest([{}]) AS b, unnest([{}])::DOUBLE AS c)".format(
     ", ".join(f"'{a}'" for a, row in zip(risk.DOMAINS, risk.CORRELATION, strict=True) for x in row if x > 0), ", ".join(f"'{b}'" for row in risk.CORRELATION for b, x in zip(risk.DOMAINS, row, strict=True) if x > 0), ", ".join(str(x) for row in risk.CORRELATION for x in row if x > 0)
 )
-_ATT = f"""ds AS (SELECT project_id, domain, count(*) AS n_evidence, count(*) FILTER (layer <> 'PROOF') AS n_detection, round(coalesce(avg(least(1.0, {_SEVC} * coalesce(confidence, 0.9))) FILTER (layer <> 'PROOF'), 0) + {LIFT}, 6) AS ms FROM e GROUP BY ALL), {_MATRIX},
+_ATT = f"""ds AS (SELECT project_id, domain, count(*) AS n_evidence, count(*) FILTER (layer <> 'PROOF') AS n_detection, round((coalesce(avg(least(1.0, {_SEVC} * coalesce(confidence, 0.9))) FILTER (layer <> 'PROOF'), 0))::DECIMAL(28, 12), 6)::DOUBLE AS ms FROM e GROUP BY ALL), {_MATRIX},
 fx AS (SELECT s.project_id, mx.a AS domain, product(greatest(0.0, 1 - mx.c * s.ms)) AS f FROM mx JOIN ds s ON s.domain = mx.b AND s.ms > 0 GROUP BY ALL),
-an AS (SELECT ds.*, CASE WHEN ms > 0 THEN round(coalesce(f, 1.0) + {LIFT}, 6) ELSE 1.0 END AS att FROM ds LEFT JOIN fx ON fx.project_id = ds.project_id AND fx.domain = ds.domain)"""
+an AS (SELECT ds.*, CASE WHEN ms > 0 THEN round((coalesce(f, 1.0))::DECIMAL(28, 12), 6)::DOUBLE ELSE 1.0 END AS att FROM ds LEFT JOIN fx ON fx.project_id = ds.project_id AND fx.domain = ds.domain)"""
 
 
 def _risk(att: str = "1.0", join: str = "") -> str:
     return f"""tm AS (SELECT e.project_id, asset_id, {_KEY} AS cl, least(1.0, {_SEV} * coalesce(confidence, CASE WHEN layer = 'PROOF' THEN 1.0 ELSE 0.9 END) * CASE WHEN layer = 'PROOF' THEN 1.0 ELSE {att} END) AS t FROM e {join}),
-cs AS (SELECT project_id, asset_id, cl, count(*) AS k, round(least(1.0, max(t) + 0.15 * (sum(t) - max(t))) + {LIFT}, 6) AS s FROM tm GROUP BY ALL),
-ar AS (SELECT project_id, asset_id, round(least(1.0, greatest(0.0, 1 - product(1 - s))) + {LIFT}, 6) AS risk, sum(k)::BIGINT AS n_evidence, count(*) AS n_clusters, NOT bool_or(starts_with(cl, 'ev_ind_')) AS sufficient FROM cs GROUP BY ALL),
+cs AS (SELECT project_id, asset_id, cl, count(*) AS k, round((least(1.0, max(t) + 0.15 * (sum(t) - max(t))))::DECIMAL(28, 12), 6)::DOUBLE AS s FROM tm GROUP BY ALL),
+ar AS (SELECT project_id, asset_id, round((least(1.0, greatest(0.0, 1 - product(1 - s))))::DECIMAL(28, 12), 6)::DOUBLE AS risk, sum(k)::BIGINT AS n_evidence, count(*) AS n_clusters, NOT bool_or(starts_with(cl, 'ev_ind_')) AS sufficient FROM cs GROUP BY ALL),
 al AS (SELECT *, CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.3 THEN 'MEDIUM' WHEN risk > 0 THEN 'LOW' ELSE 'NONE' END AS level FROM ar)"""
 
 
-_MILD = f"""{_EVID}, {_risk()}, am AS (SELECT * REPLACE (round(risk * 0.6 + {LIFT}, 6) AS risk), CASE asset_id[2:]::INTEGER % 3 WHEN 0 THEN 'CORE_DEPLOYED' WHEN 1 THEN 'SUPPORTING_INPUT' ELSE 'PERIPHERAL_SAMPLE' END AS role, (asset_id[2:]::INTEGER + length(project_id)) % 37 = 1 AS proof_failed FROM al)"""
+_MILD = f"""{_EVID}, {_risk()}, am AS (SELECT * REPLACE (round((risk * 0.6)::DECIMAL(28, 12), 6)::DOUBLE AS risk), CASE asset_id[2:]::INTEGER % 3 WHEN 0 THEN 'CORE_DEPLOYED' WHEN 1 THEN 'SUPPORTING_INPUT' ELSE 'PERIPHERAL_SAMPLE' END AS role, (asset_id[2:]::INTEGER + length(project_id)) % 37 = 1 AS proof_failed FROM al)"""
 _BAND = "CASE WHEN {0} < 0.3 THEN 'ACCEPT' WHEN {0} < 0.65 THEN 'REVIEW' WHEN {0} < 0.85 THEN 'QUARANTINE' ELSE 'REJECT' END"
 _PROJECT = """pr AS (SELECT project_id, round(greatest(0.0, least(1.0, 1 - pow(1 - max(risk), 1.5) * product(1 - 0.1 * CASE role WHEN 'CORE_DEPLOYED' THEN 1.0 WHEN 'SUPPORTING_INPUT' THEN 0.75 ELSE 0.5 END * risk))) + 1.37e-10, 6) AS risk, round(max(risk) + 1.37e-10, 6) AS peak,
   arg_max(asset_id, {'r': risk, 'a': asset_id}) AS peak_asset, count(*) AS n_assets FROM am GROUP BY 1)"""
@@ -360,7 +362,7 @@ SQL = {
     "hash_chain_build": f"WITH RECURSIVE {_CHAIN} SELECT user_id, event_id, seq AS sequence_number, prev AS previous_hash, h AS record_hash FROM ch",
     "chain_verify": f"WITH RECURSIVE {_TAMPER} SELECT user_id, event_id, array_to_string(codes, ',') AS codes FROM vc WHERE len(codes) > 0",
     "tamper_triage": f"""WITH RECURSIVE {_TAMPER}, x AS (SELECT user_id, seq, unnest(codes) AS code FROM vc)
-SELECT user_id, count(*) AS n_failures, min(seq) AS first_failed, CASE WHEN bool_or(code = 'CONTENT_ALTERED') THEN 'CONTENT_TAMPERING' WHEN bool_or(code = 'DUPLICATE_NONCE') THEN 'REPLAY' WHEN bool_or(code = 'SEQUENCE_GAP') THEN 'DELETION' ELSE 'REORDERING' END AS kind FROM x GROUP BY 1""",
+SELECT user_id, count(*) AS n_failures, min(seq) AS first_failed, CASE WHEN bool_or(code IN ('CONTENT_ALTERED', 'MISSING_HASH')) THEN 'CONTENT_TAMPERING' WHEN bool_or(code = 'DUPLICATE_NONCE') THEN 'REPLAY' WHEN bool_or(code = 'SEQUENCE_GAP') THEN 'DELETION' ELSE 'REORDERING' END AS kind FROM x GROUP BY 1""",
     "sequence_gaps": f"WITH RECURSIVE {_TAMPER}, g AS (SELECT user_id, seq, lead(seq) OVER (PARTITION BY user_id ORDER BY seq) AS nx FROM tp) SELECT user_id, seq AS after, nx - seq - 1 AS n_missing FROM g WHERE nx > seq + 1",
     "replay_nonce_dups": f"WITH RECURSIVE {_TAMPER} SELECT user_id, nonce, count(*) AS n FROM tp GROUP BY ALL HAVING count(*) > 1",
     "merkle_leaves": f"WITH {_LEAVES} SELECT i, path, hash FROM lv",
@@ -384,21 +386,21 @@ UNION ALL SELECT project_id, count(*), reason FROM r WHERE reason IS NOT NULL GR
     "ancestry_clusters": f"WITH {_EVID} SELECT project_id, {_KEY} AS cluster, count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 1",
     "ancestry_links": f"""WITH {_EVID}, k AS (SELECT project_id, evidence_id, 'anc_sample_' || sample_id AS key FROM e WHERE sample_id IS NOT NULL UNION ALL SELECT project_id, evidence_id, 'anc_ds_' || dataset_version_id FROM e WHERE dataset_version_id IS NOT NULL UNION ALL SELECT project_id, evidence_id, 'anc_src_' || source_id FROM e WHERE source_id IS NOT NULL),
 m AS (SELECT *, min(evidence_id) OVER (PARTITION BY project_id, key) AS b FROM k) SELECT DISTINCT project_id, evidence_id AS a, b FROM m WHERE evidence_id <> b""",
-    "domain_attenuation": f"WITH {_EVID}, {_ATT} SELECT project_id, domain, n_evidence, n_detection, ms AS mean_severity, att AS attenuation, round(ms * att + {LIFT}, 6) AS damped FROM an",
+    "domain_attenuation": f"WITH {_EVID}, {_ATT} SELECT project_id, domain, n_evidence, n_detection, ms AS mean_severity, att AS attenuation, round((ms * att)::DECIMAL(28, 12), 6)::DOUBLE AS damped FROM an",
     "asset_risk": f"WITH {_EVID}, {_ATT}, {_risk('att', 'JOIN an ON an.project_id = e.project_id AND an.domain = e.domain')} SELECT * FROM al",
     "dag_check": f"WITH {_GRAPH} SELECT 'DANGLING_EDGE' AS code, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'SELF_LOOP', (SELECT count(*) FROM nd WHERE node LIKE 'r%') UNION ALL SELECT 'TOO_MANY_BRANCHES', (SELECT count(*) FROM (SELECT src FROM ed GROUP BY 1 HAVING count(*) > 100))",
     "dag_depth": f"WITH RECURSIVE {_GRAPH}, dp AS (SELECT node, 0 AS level FROM nd WHERE node NOT IN (SELECT dst FROM ed) UNION SELECT dst, level + 1 FROM dp JOIN ed ON src = node) SELECT node, max(level) AS level FROM dp GROUP BY 1",
     "cycle_check": f"WITH RECURSIVE {_GRAPH}, bk AS (SELECT 's1' AS node UNION SELECT 'n1'), rc AS (SELECT node FROM bk UNION SELECT dst FROM rc JOIN ed ON src = node) SELECT node, node IN (SELECT node FROM rc) AS in_or_behind_cycle FROM nd",
-    "lineage_propagation": f"""WITH {_GRAPH}, l0 AS (SELECT node, round(risk + {LIFT}, 6) AS eff FROM nd WHERE node LIKE 'r%'),
-l1 AS (SELECT n.node, round(1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff) + {LIFT}, 6) AS eff FROM nd n JOIN ed ON dst = n.node JOIN l0 p ON p.node = src GROUP BY 1), l2 AS (SELECT n.node, round(1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff) + {LIFT}, 6) AS eff FROM nd n JOIN ed ON dst = n.node JOIN l1 p ON p.node = src GROUP BY 1),
-l3 AS (SELECT n.node, round(1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff) + {LIFT}, 6) AS eff FROM nd n JOIN ed ON dst = n.node JOIN l2 p ON p.node = src GROUP BY 1) SELECT node, eff AS effective FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2 UNION ALL FROM l3)""",
+    "lineage_propagation": f"""WITH {_GRAPH}, l0 AS (SELECT node, round((risk)::DECIMAL(28, 12), 6)::DOUBLE AS eff FROM nd WHERE node LIKE 'r%'),
+l1 AS (SELECT n.node, round((1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff))::DECIMAL(28, 12), 6)::DOUBLE AS eff FROM nd n JOIN ed ON dst = n.node JOIN l0 p ON p.node = src GROUP BY 1), l2 AS (SELECT n.node, round((1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff))::DECIMAL(28, 12), 6)::DOUBLE AS eff FROM nd n JOIN ed ON dst = n.node JOIN l1 p ON p.node = src GROUP BY 1),
+l3 AS (SELECT n.node, round((1 - (1 - max(n.risk)) * product(1 - 0.25 * w * p.eff))::DECIMAL(28, 12), 6)::DOUBLE AS eff FROM nd n JOIN ed ON dst = n.node JOIN l2 p ON p.node = src GROUP BY 1) SELECT node, eff AS effective FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2 UNION ALL FROM l3)""",
     "chain_paths": f"""WITH RECURSIVE {_GRAPH}, hp AS (SELECT src, dst, 0.25 * a.risk * b.risk AS h FROM ed JOIN nd a ON a.node = src JOIN nd b ON b.node = dst), pa AS (SELECT src || '>' || dst AS path, dst AS fin, 1 AS hops, 1 - h AS k FROM hp UNION ALL SELECT path || '>' || dst, dst, hops + 1, k * (1 - h) FROM pa JOIN hp ON src = fin WHERE hops < 4)
-SELECT path, hops, round(1 - k + {LIFT}, 6) AS score FROM pa""",
+SELECT path, hops, round((1 - k)::DECIMAL(28, 12), 6)::DOUBLE AS score FROM pa""",
     "ancestor_closure": f"WITH RECURSIVE {_GRAPH}, up AS (SELECT node AS start, node FROM nd WHERE node LIKE 'p%' UNION SELECT start, src FROM up JOIN ed ON dst = node) SELECT start, node FROM up WHERE start <> node",
     "project_risk": f"WITH {_MILD}, {_PROJECT} SELECT *, CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.3 THEN 'MEDIUM' WHEN risk > 0 THEN 'LOW' ELSE 'NONE' END AS level FROM pr",
-    "assurance_fusion": f"""WITH {_EVID}, x AS (SELECT *, CASE domain WHEN 'DATASET_INTEGRITY' THEN 0.8 WHEN 'MODEL_INTEGRITY' THEN 1.0 WHEN 'DISTRIBUTION_SHIFT' THEN 0.6 ELSE 0.5 END * {_SEVC} * coalesce(confidence, 0.9) * 0.05 AS t FROM e WHERE sample_id IS NOT NULL),
+    "assurance_fusion": f"""WITH {_EVID}, x AS (SELECT *, CASE domain WHEN 'DATASET_INTEGRITY' THEN 0.8 WHEN 'MODEL_INTEGRITY' THEN 1.0 WHEN 'DISTRIBUTION_SHIFT' THEN 0.6 ELSE 0.5 END * {_SEVC} * (coalesce(confidence, 0.9) * 0.002) AS t FROM e),
 c AS (SELECT project_id, asset_id, domain, least(1.0, max(t) + 0.1 * (sum(t) - max(t))) AS s FROM x GROUP BY ALL), g AS (SELECT project_id, 1 - product(1 - s) AS risk, count(*) AS n_clusters FROM c GROUP BY 1), b AS (SELECT DISTINCT project_id FROM x WHERE layer = 'PROOF' AND severity IN ('critical', 'high'))
-SELECT g.project_id, round(risk + {LIFT}, 6) AS risk, CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN b.project_id IS NOT NULL THEN 'QUARANTINE' WHEN risk < 0.3 THEN 'ACCEPT' WHEN risk < 0.65 THEN 'REVIEW' ELSE 'QUARANTINE' END AS disposition, n_clusters FROM g LEFT JOIN b USING (project_id)""",
+SELECT g.project_id, round((risk)::DECIMAL(28, 12), 6)::DOUBLE AS risk, CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN b.project_id IS NOT NULL THEN 'QUARANTINE' WHEN risk < 0.3 THEN 'ACCEPT' WHEN risk < 0.65 THEN 'REVIEW' ELSE 'QUARANTINE' END AS disposition, n_clusters FROM g LEFT JOIN b USING (project_id)""",
     "policy_bands": f"WITH {_MILD} SELECT project_id, asset_id, risk, {_BAND.format('risk')} AS decision FROM am",
     "policy_rules_escalation": f"""WITH {_MILD}, r AS (SELECT *, {_BAND.format('risk')} AS baseline, role = 'CORE_DEPLOYED' AND risk >= 0.5 AS core, NOT sufficient AND n_clusters > 20 AS weak, level LIKE '%CRIT%' AND role <> 'PERIPHERAL_SAMPLE' AND n_evidence < 50 AS lv FROM am),
 s AS (SELECT *, CASE WHEN lv THEN 4 WHEN core THEN 3 WHEN weak THEN 2 ELSE 0 END AS top, list_position(['ACCEPT', 'REVIEW', 'QUARANTINE', 'REJECT'], baseline) AS b FROM r)

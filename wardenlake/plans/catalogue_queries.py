@@ -18,10 +18,11 @@ def evidence_findings_join(spark, d):
 
 
 def sample_version_join(spark, d):
-    """Line items as samples, orders as versions, customers as datasets."""
-    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), "l_quantity")
-    v = table(spark, d, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("dataset_id"))
-    return catalogue.samples_of_datasets(s, v, table(spark, d, "customer").select(F.col("c_custkey").alias("dataset_id"), "c_mktsegment")).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.countDistinct("dataset_id").alias("n_datasets"))
+    """Line items as samples, orders as versions, customers as datasets of four projects each."""
+    s = table(spark, d, "lineitem").select((F.col("l_orderkey") % 4).alias("project_id"), (F.col("l_orderkey") / 4).cast("long").alias("version_id"), "l_quantity")
+    v = table(spark, d, "orders").select((F.col("o_orderkey") % 4).alias("project_id"), (F.col("o_orderkey") / 4).cast("long").alias("version_id"), F.col("o_custkey").alias("dataset_id"))
+    c = table(spark, d, "customer").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("project_id"), F.col("c_custkey").alias("dataset_id"), "c_mktsegment")
+    return catalogue.samples_of_datasets(s, v, c).groupBy("project_id", "c_mktsegment").agg(F.count("*").alias("n"), F.countDistinct("dataset_id").alias("n_datasets"))
 
 
 def semi_join_ids(spark, d):
@@ -30,14 +31,32 @@ def semi_join_ids(spark, d):
 
 
 def traceability(spark, d):
-    """Orders with their first line as primary evidence, all lines as referenced, parts as assets, suppliers' records as provenance."""
+    """Orders with their least line as primary evidence, all lines as referenced, parts as assets and records. Evidence and assets have the same ids in all five projects, and are others in each."""
+    k, p = F.col("l_partkey") % 500, F.col("l_suppkey") % 5
+    e = table(spark, d, "lineitem").select(p.alias("project_id"), F.concat(F.lit("e"), k).alias("evidence_id"), F.concat(F.lit("a"), (k * 7 + p) % 100).alias("asset_id"), F.col("l_orderkey").alias("finding_id"))
+    known = e.select("project_id", "evidence_id", "asset_id").distinct()
+    f = e.groupBy("project_id", "finding_id").agg(F.min("evidence_id").alias("evidence_id")).join(known, ["project_id", "evidence_id"])
+    r = table(spark, d, "part").select((F.col("p_partkey") % 5).alias("project_id"), F.concat(F.lit("a"), F.col("p_partkey") % 100).alias("asset_id"), F.concat(F.lit("r"), F.col("p_size")).alias("record_id")).distinct()
+    out = catalogue.traceability(f, known, e.select("project_id", "finding_id", "evidence_id"), r)
+    return out.groupBy("project_id", "finding_id", "kind").agg(F.count("*").alias("n"), F.min("ref").alias("least"), F.max("ref").alias("greatest"))
+
+
+def finding_evidence_lookup(spark, d):
+    """The finding's evidence and the evidence's findings, over edges that many findings share; ids repeat in other projects."""
+    k, p = F.col("l_partkey") % 500, F.col("l_suppkey") % 5
     i = table(spark, d, "lineitem")
-    eid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    e = i.select(eid.alias("evidence_id"), F.concat(F.lit("a"), F.col("l_partkey") % 100).alias("asset_id"), F.col("l_orderkey").alias("finding_id"), "l_linenumber")
-    f = e.groupBy("finding_id").agg(F.min("evidence_id").alias("evidence_id")).join(e.select("evidence_id", "asset_id"), "evidence_id").select("finding_id", "evidence_id", "asset_id")
-    p = table(spark, d, "part").select(F.concat(F.lit("a"), F.col("p_partkey") % 100).alias("asset_id"), F.concat(F.lit("r"), F.col("p_size")).alias("record_id")).distinct()
-    out = catalogue.traceability(f, e.select("evidence_id", "asset_id"), e.select("finding_id", "evidence_id"), p)
-    return out.groupBy("finding_id", "kind").agg(F.count("*").alias("n"))
+    edges = i.select(p.alias("project_id"), F.concat(F.lit("f"), F.col("l_orderkey")).alias("src"), F.concat(F.lit("e"), k).alias("dst"), F.when(F.col("l_linenumber") == 1, "PRIMARY").when(F.col("l_linenumber") < 4, "SUPPORTS").otherwise("MENTIONS").alias("kind")).distinct()
+    nodes = edges.select("project_id", F.col("src").alias("node"), F.lit("FINDING").alias("type")).union(edges.select("project_id", "dst", F.lit("EVIDENCE"))).distinct()
+    out = catalogue.neighbours(nodes, edges, ["PRIMARY", "SUPPORTS"]).union(catalogue.neighbours(nodes, edges, ["PRIMARY", "SUPPORTS"], outgoing=False))
+    return out.groupBy("project_id", "node", "kind", "other_type").agg(F.count("*").alias("n"), F.min("other").alias("least"))
+
+
+def lookup_by_primary_key(spark, d):
+    return catalogue.by_key(table(spark, d, "orders"), {"o_orderkey": 7}).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+def lookup_by_alternate_key(spark, d):
+    return catalogue.by_key(table(spark, d, "lineitem"), {"l_partkey": 17, "l_returnflag": "N"}).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def proof_status(spark, d):
@@ -75,16 +94,21 @@ def audit_report(spark, d):
 
 
 QUERIES = {
-    "evidence_findings_join": evidence_findings_join, "sample_version_join": sample_version_join, "semi_join_ids": semi_join_ids, "traceability": traceability, "proof_status": proof_status,
+    "evidence_findings_join": evidence_findings_join, "sample_version_join": sample_version_join, "semi_join_ids": semi_join_ids, "traceability": traceability, "finding_evidence_lookup": finding_evidence_lookup, "lookup_by_primary_key": lookup_by_primary_key, "lookup_by_alternate_key": lookup_by_alternate_key, "proof_status": proof_status,
     "evidence_cube": evidence_cube, "sample_fingerprints": sample_fingerprints, "redacted_records": redacted_records, "audit_report": audit_report,
 }
 
 SQL = {
     "evidence_findings_join": "SELECT o_custkey % 25 AS project_id, o_orderstatus AS disposition, count(*) AS n, sum(l_quantity) AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL",
-    "sample_version_join": "SELECT c_mktsegment, count(*) AS n, count(DISTINCT c_custkey) AS n_datasets FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1",
+    "sample_version_join": "SELECT o_orderkey % 4 AS project_id, c_mktsegment, count(*) AS n, count(DISTINCT c_custkey) AS n_datasets FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2",
     "semi_join_ids": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000)",
-    "traceability": """WITH e AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS eid, 'a' || (l_partkey % 100) AS aid, l_orderkey AS fid FROM lineitem), p AS (SELECT DISTINCT 'a' || (p_partkey % 100) AS aid, 'r' || p_size AS rid FROM part)
-SELECT fid AS finding_id, 'PRIMARY' AS kind, 1::BIGINT AS n FROM e GROUP BY fid UNION ALL SELECT fid, 'REFERENCED', count(DISTINCT eid) FROM e GROUP BY fid UNION ALL SELECT fid, 'ASSET', count(DISTINCT aid) FROM e GROUP BY fid UNION ALL SELECT fid, 'PROVENANCE', count(DISTINCT rid) FROM e JOIN p USING (aid) GROUP BY fid""",
+    "traceability": """WITH e AS (SELECT l_suppkey % 5 AS p, 'e' || (l_partkey % 500) AS eid, 'a' || (((l_partkey % 500) * 7 + l_suppkey % 5) % 100) AS aid, l_orderkey AS fid FROM lineitem), r AS (SELECT DISTINCT p_partkey % 5 AS p, 'a' || (p_partkey % 100) AS aid, 'r' || p_size AS rid FROM part),
+x AS (SELECT p, fid, 'PRIMARY' AS kind, min(eid) AS ref FROM e GROUP BY p, fid UNION SELECT p, fid, 'REFERENCED', eid FROM e UNION SELECT p, fid, 'ASSET', aid FROM e UNION SELECT p, fid, 'PROVENANCE', rid FROM e JOIN r USING (p, aid))
+SELECT p AS project_id, fid AS finding_id, kind, count(*) AS n, min(ref) AS least, max(ref) AS greatest FROM x GROUP BY ALL""",
+    "finding_evidence_lookup": """WITH e AS (SELECT DISTINCT l_suppkey % 5 AS p, 'f' || l_orderkey AS f, 'e' || (l_partkey % 500) AS e, CASE WHEN l_linenumber = 1 THEN 'PRIMARY' WHEN l_linenumber < 4 THEN 'SUPPORTS' ELSE 'MENTIONS' END AS kind FROM lineitem)
+SELECT p AS project_id, f AS node, kind, 'EVIDENCE' AS other_type, count(*) AS n, min(e) AS least FROM e WHERE kind <> 'MENTIONS' GROUP BY ALL UNION ALL SELECT p, e, kind, 'FINDING', count(*), min(f) FROM e WHERE kind <> 'MENTIONS' GROUP BY ALL""",
+    "lookup_by_primary_key": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7",
+    "lookup_by_alternate_key": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey = 17 AND l_returnflag = 'N'",
     "proof_status": f"""WITH {_EVID}, x AS (SELECT project_id, asset_id, count(*) AS n, asset_id[2:]::INTEGER AS k FROM e WHERE layer = 'PROOF' GROUP BY ALL)
 SELECT project_id, asset_id, n, CASE WHEN k % 3 = 0 THEN 'MISSING' WHEN k % 5 = 1 THEN 'INVALID' ELSE 'VERIFIED' END AS status, k % 3 = 0 OR k % 5 = 1 AS fatal FROM x""",
     "evidence_cube": f"WITH {_EVID} SELECT layer, severity, grouping_id(layer, severity)::BIGINT AS grouping, count(*) AS n, count(*) AS total FROM e GROUP BY CUBE (layer, severity)",

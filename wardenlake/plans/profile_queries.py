@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..functions.stats import LIFT
 from ..operators import drift, inference, integrity, outputs, risk
 from .assurance_queries import _EVID, _KEY, _evidence
 from .drift_queries import _flag
@@ -129,9 +128,9 @@ SELECT event_type, count(*) AS n, count(*) FILTER (mi) AS n_missing, count(*) FI
     "canonical_seconds": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time FROM events",
     "duplicate_json_keys": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN TRUE WHEN event_id % 11 = 0 THEN NULL ELSE FALSE END AS twice FROM events",
     "metadata_maps": "SELECT p_partkey, p_partkey % 3 <> 0 AS same, 'brand=own;size=' || p_size || ';type=' || p_type AS items FROM part",
-    "hierarchical_risk": f"""WITH {_EVID}, tm AS (SELECT project_id, asset_id, {_KEY} AS cl, least(1.0, {_SEVC} * coalesce(confidence, CASE WHEN layer = 'PROOF' THEN 1.0 ELSE 0.9 END)) AS t FROM e), cs AS (SELECT project_id, asset_id, cl, round(least(1.0, max(t) + 0.15 * (sum(t) - max(t))) + {LIFT}, 6) AS s FROM tm GROUP BY ALL),
-ar AS (SELECT project_id, asset_id, round(least(1.0, greatest(0.0, 1 - product(1 - s))) + {LIFT}, 6) AS risk, NOT bool_or(starts_with(cl, 'ev_ind_')) AS ok FROM cs GROUP BY ALL),
-pr AS (SELECT project_id, round(greatest(0.0, least(1.0, 1 - pow(1 - max(risk), 1.5) * product(1 - 0.1 * risk))) + {LIFT}, 6) AS risk, bool_and(ok) AS ok FROM ar GROUP BY 1), x AS (SELECT 'ASSET' AS tier, project_id, asset_id, risk, ok FROM ar UNION ALL SELECT 'PROJECT', project_id, NULL, risk, ok FROM pr)
+    "hierarchical_risk": f"""WITH {_EVID}, tm AS (SELECT project_id, asset_id, {_KEY} AS cl, least(1.0, {_SEVC} * coalesce(confidence, CASE WHEN layer = 'PROOF' THEN 1.0 ELSE 0.9 END)) AS t FROM e), cs AS (SELECT project_id, asset_id, cl, round((least(1.0, max(t) + 0.15 * (sum(t) - max(t))))::DECIMAL(28, 12), 6)::DOUBLE AS s FROM tm GROUP BY ALL),
+ar AS (SELECT project_id, asset_id, round((least(1.0, greatest(0.0, 1 - product(1 - s))))::DECIMAL(28, 12), 6)::DOUBLE AS risk, NOT bool_or(starts_with(cl, 'ev_ind_')) AS ok FROM cs GROUP BY ALL),
+pr AS (SELECT project_id, round((greatest(0.0, least(1.0, 1 - pow(1 - max(risk), 1.5) * product(1 - 0.1 * risk))))::DECIMAL(28, 12), 6)::DOUBLE AS risk, bool_and(ok) AS ok FROM ar GROUP BY 1), x AS (SELECT 'ASSET' AS tier, project_id, asset_id, risk, ok FROM ar UNION ALL SELECT 'PROJECT', project_id, NULL, risk, ok FROM pr)
 SELECT tier, project_id, asset_id, risk, {_LEVEL} AS level, CASE WHEN ok THEN 'SUFFICIENT' ELSE 'INSUFFICIENT_ANCESTRY' END AS sufficiency FROM x""",
     "model_comparison": """WITH x AS (SELECT p_brand AS model, p_partkey % 97 = 0 AS gone, p_partkey % 89 = 0 AS s, p_partkey % 83 = 0 AS w, p_partkey % 101 = 0 AS c FROM part), m AS (SELECT model, bool_or(gone OR s) AS s, bool_or(NOT gone AND w) AS w, bool_or(NOT gone AND c) AS c, count(*) FILTER (gone) AS n_gone FROM x GROUP BY 1)
 SELECT model, n_gone, CASE WHEN NOT s AND NOT w AND NOT c THEN 'EXACT_INTEGRITY_MATCH' WHEN NOT s AND w AND NOT c THEN 'WEIGHT_ONLY_DRIFT' WHEN s AND NOT w AND NOT c THEN 'STRUCTURAL_ONLY_DRIFT' WHEN NOT s AND NOT w AND c THEN 'CONTRACT_ONLY_DRIFT'
