@@ -1,4 +1,4 @@
-"""Tables in the folder that all machines share, to cut the lineage of iterations."""
+"""Tables in the folder that all machines share, to cut the lineage of iterations. All of a session's lie below one folder, which goes when the session's JVM ends."""
 
 from __future__ import annotations
 
@@ -11,17 +11,58 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where that is unset, a temporary folder of our own, but only if the master is this very process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_own_shared_dir", None)
-    if not folder:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_own_shared_dir", None)
+    if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = spark.sparkContext._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared_")
+        found = spark.sparkContext._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared_")
+    return found.rstrip("/")
+
+
+def _on(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This session's folder below the shared one; the file system deletes it when the JVM ends."""
+    folder = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_run_folder", None) != folder:
+        fs, path = _on(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        spark.sparkContext._run_folder = folder
     return folder
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written below the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cut the lineage: df written as Parquet below the shared folder and read again, so that lost executors cost no recomputation."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these, once nothing reads it any more."""
+    for df in tables:
+        fs, path = _on(df.sparkSession, df._written_to)
+        fs.delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all of the session's tables. Results that aren't written yet read them: write those first."""
+    fs, path = _on(spark, run_folder(spark))
+    fs.delete(path, True)
+    fs.mkdirs(path)
+
+
+def kept(spark: SparkSession) -> list[str]:
+    """The names of the session's tables that are still there."""
+    fs, path = _on(spark, run_folder(spark))
+    return sorted(s.getPath().getName() for s in fs.listStatus(path))

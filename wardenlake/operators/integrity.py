@@ -174,9 +174,44 @@ def verify_proof(leaf: Column, proof: Column, root: Column) -> Column:
     return F.aggregate(proof, leaf, lambda h, s: F.when(s["left"], node_hash(s["hash"], h)).otherwise(node_hash(h, s["hash"]))) == root
 
 
+def joined_digests(members: DataFrame, keys: Sequence[str], member: str, separator: str = "") -> DataFrame:
+    """keys, n, digest (sha256 of the group's members in byte order, joined). A group is sorted in its task, spilling where it must, and streams by."""
+    rows = members.where(F.col(member).isNotNull()).select(*keys, F.col(member).cast("string").alias("__member"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "__member")
+    n_keys, names = len(keys), [*keys, "n", "digest"]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, digest, n, kinds = None, None, 0, None
+        done: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            columns = [*zip(*done, strict=True)]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:-2], kinds, strict=True)), pa.array(columns[-2], pa.int64()), pa.array(columns[-1], pa.string())], names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(n_keys)]
+            for own, text in zip(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True), batch.column(n_keys).to_pylist(), strict=True):
+                if digest is not None and own == group:
+                    digest.update(f"{separator}{text}".encode())
+                    n += 1
+                    continue
+                if digest is not None:
+                    done.append((*group, n, digest.hexdigest()))
+                group, digest, n = own, hashlib.sha256(text.encode()), 1
+            if len(done) >= 5000:
+                yield made()
+                done.clear()
+        if digest is not None:
+            done.append((*group, n, digest.hexdigest()))
+            yield made()
+
+    kept = {f.name: f for f in rows.schema.fields}
+    return rows.mapInArrow(stream, StructType([*(kept[k] for k in keys), StructField("n", LongType()), StructField("digest", StringType())]))
+
+
 def ordered_set_hash(df: DataFrame, keys: Sequence[str], digest: Column) -> DataFrame:
     """keys, digest of the sorted member digests joined."""
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ""), 256).alias("digest"))
+    return joined_digests(df.withColumn("__digest", digest), keys, "__digest").drop("n")
 
 
 def snapshot_diff(reference: DataFrame, candidate: DataFrame, name: str, meta: Sequence[str], content: str) -> DataFrame:

@@ -6,12 +6,13 @@ ancestry columns sample_id, dataset_version_id, model_fingerprint, window_id, so
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import chain, count
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.shared import materialize
+from ..functions.shared import discard, fresh_path, materialize
 from ..functions.stats import clamp, noisy_or, risk_level, round6
 
 # Fixed values.
@@ -110,40 +111,71 @@ def check_graph(nodes: DataFrame, edges: DataFrame, most_branches: int = 100) ->
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, level: the longest way from a root, by peeling (Kahn) until no node is free. Nodes in or behind a cycle have a null level."""
-    left = materialize(nodes.select("node").distinct(), "nodes")
-    live = materialize(edges.select("src", "dst").distinct(), "edges")
-    done = None
-    for k in count():
-        free = left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-        now = materialize(free.withColumn("level", F.lit(k)), "level")
-        if not now.limit(1).count():
-            break
-        done = now if done is None else done.union(now)
-        if k % 50 == 49:  # the plan of a long chain stays small
-            done = materialize(done, "levels")
-        gone = now.select(F.col("node").alias("src"))
-        left = materialize(left.join(gone, F.col("node").eqNullSafe(F.col("src")), "left_anti"), "nodes")  # a null node goes too, or the rounds wouldn't end
-        live = materialize(live.join(gone, "src", "left_anti"), "edges")
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.union(rest)
+    """node, level: the longest way from a root. Nodes in or behind a cycle have a null level.
+
+    Edges of unknown nodes count for nothing. In-degree counters: a node is free once all its edges have been counted off. A round joins the nodes freed last with the edges and adds to the counters of
+    those they touch; it writes the nodes it frees, each once in all, and the counters of nodes half counted, and leaves all other tables as they are."""
+    spark = nodes.sparkSession
+    ids = materialize(nodes.where("node is not null").select("node").distinct(), "nodes")
+    live = materialize(edges.where("dst is not null").select("src", "dst").distinct().join(ids.withColumnRenamed("node", "src"), "src", "left_semi"), "edges")
+    needed = materialize(live.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("needed")).join(ids, "node", "left_semi"), "needed")
+    path, schema = fresh_path(spark, "levels"), T.StructType([*ids.schema.fields, T.StructField("level", T.IntegerType())])
+    write = lambda free, k: free.select("node").write.parquet(f"{path}/level={k}")
+    read = lambda k: spark.read.schema(ids.schema).parquet(f"{path}/level={k}")
+    write(ids.join(needed, "node", "left_anti"), 0)
+    half, k = None, 0
+    while read(k).limit(1).count():
+        met = live.join(read(k).withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("met"))
+        met = met if half is None else met.union(half).groupBy("node").agg(F.sum("met").alias("met"))
+        counted = materialize(met.join(needed, "node"), "counted")
+        k += 1
+        write(counted.where("met = needed"), k)
+        older, half = half, counted.where("met < needed").select("node", "met")
+        half._written_to = counted._written_to
+        if older is not None:
+            discard(older)
+    discard(live, needed, *([half] if half is not None else []))
+    done = spark.read.schema(schema).parquet(path)
+    rest = nodes.select("node").distinct().join(done.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
+    return done.unionByName(rest.withColumn("level", F.lit(None).cast("int")))
 
 
 def propagate(assets: DataFrame, edges: DataFrame, gamma: float = GAMMA) -> DataFrame:
     """node, risk, effective: R_eff = 1 - (1 - R) * product over parents (1 - gamma * weight * R_eff(parent)), level by level, rounded to 6.
-    assets: node, risk; edges: src, dst, weight. Raises on a cycle."""
-    lv = materialize(levels(assets, edges), "levels")
-    if lv.where("level is null").limit(1).count():
+    assets: node, risk; edges: src, dst, weight. Raises on a cycle.
+
+    Nodes lie by their level and edges by their source's. A level reads what was sent to it, its own nodes and their edges, and sends factors on to the levels of its
+    edges' targets: every node, edge and factor is written and read once, however deep the graph."""
+    spark = assets.sparkSession
+    lv = materialize(levels(assets, edges), "node_levels")
+    if lv.where("level is null and node is not null").limit(1).count():
         raise ValueError("the asset graph has a cycle")
     top = lv.agg(F.max("level")).first()[0] or 0
-    base = materialize(assets.join(lv, "node"), "base")
-    done = base.where("level = 0").select("node", "risk", round6(F.col("risk")).alias("effective"))
-    for k in range(1, top + 1):
-        done = materialize(done, "effective")
-        own = base.where(F.col("level") == k)
-        parents = edges.join(done.select(F.col("node").alias("src"), "effective"), "src").groupBy(F.col("dst").alias("node")).agg(F.product(1 - clamp(gamma * F.col("weight") * F.col("effective"))).alias("f"))
-        done = done.union(own.join(parents, "node", "left").select("node", "risk", round6(clamp(1 - (1 - F.col("risk")) * F.coalesce("f", F.lit(1.0)))).alias("effective")))
-    return done
+    folder = fresh_path(spark, "lineage")
+    by_level = lambda df, name, level, key: df.repartitionByRange(level, key).write.partitionBy(level).parquet(f"{folder}/{name}")
+    by_level(assets.join(lv.where("level is not null"), "node").select("node", "risk", "level"), "nodes", "level", "node")
+    known = lv.where("level is not null")
+    ends = edges.join(known.select(F.col("node").alias("src"), F.col("level").alias("from")), "src").join(known.select(F.col("node").alias("dst"), F.col("level").alias("to")), "dst")
+    by_level(ends.select("src", "dst", F.col("weight").cast("double").alias("weight"), "from", "to"), "edges", "from", "src")
+    node_type = assets.schema["node"].dataType
+    nodes = spark.read.schema(T.StructType([T.StructField("node", node_type), assets.schema["risk"], T.StructField("level", T.IntegerType())])).parquet(f"{folder}/nodes")
+    out_edges = spark.read.schema(T.StructType([T.StructField("src", node_type), T.StructField("dst", node_type), T.StructField("weight", T.DoubleType()), T.StructField("to", T.IntegerType()), T.StructField("from", T.IntegerType())])).parquet(f"{folder}/edges")
+    sent = T.StructType([T.StructField("node", node_type), T.StructField("f", T.DoubleType()), T.StructField("to", T.IntegerType())])
+    result = T.StructType([T.StructField("node", node_type), assets.schema["risk"], T.StructField("effective", T.DoubleType())])
+    for k in range(top + 1):
+        own = nodes.where(F.col("level") == k).drop("level")
+        if k == 0:
+            own = own.withColumn("effective", round6(F.col("risk")))
+        else:
+            factors = spark.read.schema(sent).parquet(f"{folder}/sent").where(F.col("to") == k).groupBy("node").agg(F.product("f").alias("f"))
+            own = own.join(factors, "node", "left").select("node", "risk", round6(clamp(1 - (1 - F.col("risk")) * F.coalesce("f", F.lit(1.0)))).alias("effective"))
+        own.write.parquet(f"{folder}/done/at={k}")
+        if k < top:
+            now = spark.read.schema(result).parquet(f"{folder}/done/at={k}")
+            factor = 1 - clamp(gamma * F.col("weight") * F.col("effective"))
+            on = out_edges.where(F.col("from") == k).join(now.select(F.col("node").alias("src"), "effective"), "src").select(F.col("dst").alias("node"), factor.alias("f"), "to")
+            on.write.mode("append").partitionBy("to").parquet(f"{folder}/sent")
+    return spark.read.schema(T.StructType([*result.fields, T.StructField("at", T.IntegerType())])).parquet(f"{folder}/done").drop("at")
 
 
 def chain_paths(assets: DataFrame, edges: DataFrame, depth: int = DEPTH, gamma: float = GAMMA) -> DataFrame:

@@ -109,7 +109,7 @@ def _related(strategy):
 
 
 def dup_clusters(spark, d):
-    return duplicates.named_clusters(duplicates.relationships(_prints(spark, d), strategy="any"))
+    return duplicates.named_clusters(duplicates.duplicate_groups(_prints(spark, d), strategy="any"))
 
 
 def exact_dup_docs(spark, d):

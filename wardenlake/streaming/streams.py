@@ -5,7 +5,6 @@ source."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.shared import shared_folder
+from ..functions.shared import fresh_path
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -88,7 +87,7 @@ def run_available(stream: DataFrame, mode: str, latest_by: list[str] | None = No
     """The result table after everything available was read. Complete mode: the last batch's table; update mode: each key's last row; append:
     all rows. Batches are written into the shared folder, under their number, so that a repeated batch overwrites itself."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "stream")
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
