@@ -1,10 +1,14 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, extra columns with clashing names: each operator has a defined result."""
 
+import gzip
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from wardenlake.llm import bpe_count, common, langid, media_chunks, minhash, mixing, ordinal, packing, quality_mcd, queries, secret_scan, warc
@@ -98,6 +102,53 @@ def test_warc(spark):
     assert warc.derivatives(broken.limit(0)).count() == 0
 
 
+def test_warc_of_damaged_records(spark):
+    """Every byte of a compressed response is damaged in turn: each record gives its rows, none fails the job."""
+    page = b"<html><title>T</title><p>" + b"some text " * 20
+    good = warc.response("http://a.org/", gzip.compress(page, mtime=0), "2024-01-01T00:00:00Z", (("Content-Type", "text/html"), ("Content-Encoding", "gzip")))
+    packed = gzip.compress(good, mtime=0)
+    rows = [(i, bytearray(x[:i] + bytes([x[i] ^ 0x55]) + x[i + 1 :]), "clash", 1) for x in (good, packed) for i in range(len(x))]
+    df = spark.createDataFrame([*rows, (-1, bytearray(good), "clash", 1), (-2, bytearray(packed), "clash", 1)], "page_id long, record binary, text string, reason int").repartition(4)
+    out = warc.derivatives(df).collect()
+    assert {r["warc_type"] for r in out if r["page_id"] < 0} == {"conversion", "metadata"} and len([r for r in out if r["page_id"] < 0]) == 4
+    assert len({(r["page_id"]) for r in out}) == max(len(good), len(packed)) + 2 and all(r["reason"] for r in out if r["warc_type"] == "rejected")
+    assert sum(r["warc_type"] == "rejected" for r in out) > len(packed)
+
+
+def test_warc_codings_and_digests(spark):
+    page = "<p>Grüße</p>".encode()
+    chunked = b"5\r\n<p>Gr\r\n9;x=1\r\n" + page[5:] + b"\r\n0\r\n\r\n"
+
+    def made(body, *headers, **said):
+        block = b"HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"\r\n" + body
+        return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), *((k.replace("_", "-"), v) for k, v in said.items())], block)
+
+    text = lambda data: warc.derive(data)[0][2].decode()
+    raw = zlib.compressobj(wbits=-15)
+    for body, coding in ((gzip.compress(page) + gzip.compress(b"<p>2"), "gzip"), (zlib.compress(page), "deflate"), (raw.compress(page) + raw.flush(), "deflate"), (zstandard.compress(page), "zstd"), (gzip.compress(zlib.compress(page)), "deflate, gzip"), (page, "identity")):
+        assert text(made(body, ("Content-Encoding", coding), ("Content-Type", "text/html"))).startswith("Grüße"), coding
+    assert len(page) == 14 and text(made(chunked, ("Transfer-Encoding", "chunked"))) == "Grüße"
+    hexed = "sha256:" + hashlib.sha256(page).hexdigest()
+    facts = warc.derive(made(chunked, ("Transfer-Encoding", "chunked"), WARC_Payload_Digest=hexed))[1][2].decode()
+    assert f"source-payload-digest: {hexed}" in facts and "Transfer-Encoding: chunked" in facts
+    assert text(made(chunked, ("Transfer-Encoding", "chunked"), WARC_Payload_Digest=warc.sha1(chunked))) == "Grüße"
+    bad = [
+        made(page, WARC_Payload_Digest="sha1:WRONG"), made(page, WARC_Payload_Digest="crc9:00"), made(page, ("Content-Type", "image/png")), made(page, ("Content-Encoding", "br")), made(b"zz\r\n", ("Transfer-Encoding", "chunked")),
+        made(page, ("Content-Encoding", "gzip")), made(gzip.compress(page)[:-9], ("Content-Encoding", "gzip")),
+    ]
+    out = warc.derivatives(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bad)], "page_id long, record binary")).collect()
+    assert [r["warc_type"] for r in out] == ["rejected"] * len(bad)
+    assert [r["reason"].split()[0] for r in sorted(out, key=lambda r: r["page_id"])] == ["payload", "unknown", "not", "content", "broken", "broken", "body"]
+    with pytest.raises(ValueError, match="too large"):
+        warc.decoded(gzip.compress(b"0" * 5_000_000), "gzip", most=1_000_000)
+
+
+def test_warc_of_a_long_page(spark):
+    page = bytearray(warc.response("http://a.org/", b"<p>" + b"word " * 4_000_000, "2024-01-01T00:00:00Z"))
+    [conversion] = [r for r in warc.derivatives(spark.createDataFrame([(1, page, "x")], "page_id long, record binary, title string")).collect() if r["warc_type"] == "conversion"]
+    assert conversion["content_length"] == 4_000_000 * 5 - 1
+
+
 def test_langid(docs, empty):
     rows = langid.document_rows(docs)
     out = langid.identify(rows, langid.train(rows)).collect()

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,39 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import discard, materialize  # noqa: F401  the operators take them from here
+
 SLICE_BYTES = 2 << 20
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, a temporary one, but only if the master is this very process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark.sparkContext, "_own_shared_dir", None)
-        if not found:
-            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-            found = "file://" + tempfile.mkdtemp(prefix="shared_")
-            spark.sparkContext._own_shared_dir = found
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again, so that lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialize wrote for df, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._written_to)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each made longer until it clashes with no taken one (Spark compares them without case)."""
     low, out = {x.lower() for x in taken}, []

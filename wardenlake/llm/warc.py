@@ -6,6 +6,10 @@ links and counts (application/warc-fields). Both keep the response's target URI
 block and payload digests of their own; the metadata record is WARC-Concurrent-To the conversion record. The source's HTTP status,
 content type and digest are kept as fields. Record identifiers are made from the response's identifier (UUID 5), so reruns agree.
 
+Digests are checked by any algorithm of DIGESTS, in base32 or hexadecimal; the payload is the body without its transfer coding (or with it, as some writers
+have it). Chunked transfer and gzip, deflate and zstd contents are undone, up to 256 MB. A response that isn't text, has another coding, an unknown
+or wrong digest, or is broken anywhere, is rejected with the reason.
+
 parse_records() reads concatenated records of a file, gzip members or plain; record() writes one.
 
 Nulls and edges: a null record yields nothing; a record that isn't a whole response yields one row of type "rejected" with the reason;
@@ -16,21 +20,24 @@ each; a null page_id stays null; further columns may have any name; an empty tab
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, slices
 
 VERSION = b"WARC/1.1"
+DIGESTS = ("md5", "sha1", "sha256", "sha384", "sha512")
+TEXTUAL = re.compile(r"text/.*|application/(.*[+])?(xml|json|xhtml|javascript|ecmascript|x-javascript)|application/xhtml[+]xml")
 _CLEAN = str.maketrans("", "", "\r\n")
 
 
@@ -82,7 +89,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[list[tuple[str, str]], bytes
 def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     """All records of a file's bytes."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)  # all members
+        data = decoded(data, "gzip", most=1 << 30)  # all members
     at = 0
     while at < len(data):
         fields, block, at = parse_record(data, at)
@@ -204,35 +211,108 @@ def tidy(text: str) -> str:
     return "\n".join(line for x in text.split("\n") if (line := " ".join(x.split())))
 
 
-def http_response(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
-    head, gap, body = block.partition(b"\r\n\r\n")
+def matches_digest(said: str, data: bytes) -> bool:
+    """Whether data has the labelled digest (algorithm:value in base32 or hexadecimal). An algorithm that can't be checked is an error."""
+    name, _, value = said.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in DIGESTS:
+        raise ValueError(f"unknown digest algorithm {name[:20]}")
+    made = hashlib.new(name, data).digest()
+    return value.strip().lower() == made.hex() or value.strip().upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
+def unchunk(body: bytes) -> bytes:
+    """The body without its chunked transfer coding."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"[ \t]*([0-9A-Fa-f]{1,15})[ \t]*(;.*)?", body[at:end] if end >= 0 else b"", re.DOTALL)
+        if not size:
+            raise ValueError("broken chunk size")
+        n, at = int(size[1], 16), end + 2
+        if n == 0:
+            return b"".join(out)
+        if body[at + n : at + n + 2] != b"\r\n":
+            raise ValueError("broken chunk")
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+def _inflate(data: bytes, wbits: int, most: int) -> bytes:
+    """All members of a deflated body, at most `most` bytes of it."""
+    out, size = [], 0
+    while data:
+        z = zlib.decompressobj(wbits)
+        out.append(z.decompress(data, most + 1 - size))
+        size += len(out[-1])
+        if size > most:
+            raise ValueError("body too large")
+        if not z.eof:
+            raise ValueError("body is cut off")
+        data = z.unused_data.lstrip(b"\0") if wbits > 15 else b""
+    return b"".join(out)
+
+
+def decoded(body: bytes, coding: str, most: int = 1 << 28) -> bytes:
+    """The body without one content coding."""
+    try:
+        if coding in ("gzip", "x-gzip"):
+            return _inflate(body, 31, most)
+        if coding == "deflate":  # with a zlib header, or without, as some servers send it
+            try:
+                return _inflate(body, 15, most)
+            except zlib.error:
+                return _inflate(body, -15, most)
+        if coding == "zstd":
+            with zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True) as z:
+                out = z.read(most + 1)
+            if len(out) > most:
+                raise ValueError("body too large")
+            return out
+    except (zlib.error, zstandard.ZstdError) as e:
+        raise ValueError(f"broken {coding} body: {e}") from e
+    raise ValueError(f"content coding {coding[:20]} isn't supported")
+
+
+def http_response(block: bytes) -> tuple[int, list[tuple[str, str]], bytes, bytes, bytes]:
+    """Status, headers, the body as it was sent, without its transfer coding, and without its content codings."""
+    head, gap, sent = block.partition(b"\r\n\r\n")
     status = re.match(rb"HTTP/\d(?:\.\d)? +(\d{3})", head)
     if not gap or not status:
         raise ValueError("no HTTP response")
     fields = _fields(head.partition(b"\r\n")[2])
-    if field(fields, "Content-Encoding").lower() in ("gzip", "x-gzip"):
-        body = gzip.decompress(body)
-    return int(status[1]), fields, body
+    codings = lambda name: [x for x in (x.strip().lower() for x in field(fields, name).split(",")) if x not in ("", "identity")]
+    payload = body = sent
+    for coding in reversed(codings("Transfer-Encoding")):
+        payload = body = unchunk(body) if coding == "chunked" else decoded(body, coding)
+    for coding in reversed(codings("Content-Encoding")):
+        body = decoded(body, coding) if body else body
+    return int(status[1]), fields, sent, payload, body
 
 
 def derive(data: bytes) -> list[tuple[str, list[tuple[str, str]], bytes, bytes]]:
-    """The (type, headers, block, record) of the conversion and the metadata record of one response record."""
-    fields, block, _ = parse_record(data)
+    """The (type, headers, block, record) of the conversion and the metadata record of one response record, plain or as a gzip member."""
+    fields, block, _ = parse_record(decoded(data, "gzip", most=1 << 30) if data[:2] == b"\x1f\x8b" else data)
     if field(fields, "WARC-Type") != "response":
         raise ValueError("not a response")
     source, uri, date = (field(fields, f"WARC-{x}") for x in ("Record-ID", "Target-URI", "Date"))
     if not source:
         raise ValueError("no WARC-Record-ID")
-    if (said := field(fields, "WARC-Block-Digest")).startswith("sha1:") and said != sha1(block):
+    if (said := field(fields, "WARC-Block-Digest")) and not matches_digest(said, block):
         raise ValueError("block digest differs")
-    status, http, body = http_response(block)
-    digest = field(fields, "WARC-Payload-Digest") or sha1(body)
+    status, http, sent, payload, body = http_response(block)
+    digest = field(fields, "WARC-Payload-Digest")
+    if digest and not matches_digest(digest, payload) and not matches_digest(digest, sent):  # writers differ on transfer codings
+        raise ValueError("payload digest differs")
+    digest = digest or sha1(payload)
+    kind = field(http, "Content-Type").partition(";")[0].strip().lower()
+    if kind and not TEXTUAL.fullmatch(kind):
+        raise ValueError(f"not text: {kind[:60]}")
     charset = re.search(r"charset=[\"']?([\w-]+)", field(http, "Content-Type"))
     try:
         page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
-    kind = field(http, "Content-Type").partition(";")[0].strip().lower()
     found = PlainText(page if "html" in kind or not kind else html.escape(page))
     text = tidy("".join(found.out)).encode()
     ids = {t: record_id(source, t) for t in ("conversion", "metadata")}
@@ -277,7 +357,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     def rows(data: bytes) -> list[dict]:
         try:
             made = derive(data)
-        except (ValueError, OSError, EOFError) as e:
+        except ValueError as e:
             return [{"warc_type": "rejected", "reason": str(e)}]
         facts = _fields(made[1][2])
         same = {"source_payload_digest": field(facts, "source-payload-digest"), "title": field(facts, "title"), "language": field(facts, "language") or None, "http_status": int(field(facts, "http-status")), "n_links": sum(k == "outlink" for k, _ in facts)}
