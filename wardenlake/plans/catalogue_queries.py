@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
+from ..functions.shared import fresh_path
 from ..operators import catalogue, risk
-from ..sources import reports
+from ..sources import datasets, reports
 from .assurance_queries import _BAND, _EVID, _MILD, _evidence, _mild
 
 
@@ -93,12 +94,36 @@ def audit_report(spark, d):
     return out.select(*(text(c) if c in ("domains", "findings", "n_by_decision") else c for c in out.columns if c != "content_hash"))
 
 
+def coco_scan(spark, d):
+    """Parts as images and their line items as annotations, written as COCO documents of 500 parts each, and read back by blocks."""
+    group = (F.col("p_partkey") / 500).cast("long")
+    p = table(spark, d, "part")
+    i = table(spark, d, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("category_id")), "l_partkey")
+    q = F.col("l_quantity").cast("double")
+    note = F.struct(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("image_id"), "category_id", F.array(F.lit(0.0), F.lit(1.0), q, q + 1).alias("bbox"), (q * (q + 1)).alias("area"),
+        (F.col("l_linenumber") % 2).alias("iscrowd"), F.array(F.array(F.lit(0.0), F.lit(0.0), q, F.lit(0.0), q, q)).alias("segmentation"), F.concat(F.lit("}"), "l_returnflag").alias("mode"),
+    )
+    images = p.groupBy(group.alias("g")).agg(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.concat(F.lit("img/"), F.col("p_partkey"), F.lit(".png")).alias("file_name"), F.lit(8).alias("width"), F.lit(8).alias("height"))).alias("images"))
+    notes = i.groupBy((F.col("l_partkey") / 500).cast("long").alias("g")).agg(F.collect_list(note).alias("annotations"))
+    kinds = F.when(F.col("g") == 0, F.transform(F.sequence(F.lit(1), F.lit(50)), lambda k: F.struct(k.alias("id"), F.concat(F.lit("size "), k).alias("name")))).alias("categories")
+    folder = fresh_path(spark, "coco")
+    images.join(notes, "g", "left").select(F.to_json(F.struct("images", "annotations", kinds)).alias("value")).write.text(folder)
+    _, found, faults = datasets.read_coco(spark, folder)
+    out = found.groupBy("category_name", "is_crowd", F.col("attributes")["mode"].alias("mode")).agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("n_samples"), F.sum("area").cast("long").alias("area"), F.max(F.length("segmentation")).cast("long").alias("longest"))
+    bad = faults.groupBy(F.col("code").alias("category_name")).agg(F.count("*").alias("n"))
+    return out.unionByName(bad, allowMissingColumns=True)
+
+
 QUERIES = {
-    "evidence_findings_join": evidence_findings_join, "sample_version_join": sample_version_join, "semi_join_ids": semi_join_ids, "traceability": traceability, "finding_evidence_lookup": finding_evidence_lookup, "lookup_by_primary_key": lookup_by_primary_key, "lookup_by_alternate_key": lookup_by_alternate_key, "proof_status": proof_status,
+    "coco_scan": coco_scan, "evidence_findings_join": evidence_findings_join, "sample_version_join": sample_version_join, "semi_join_ids": semi_join_ids, "traceability": traceability, "finding_evidence_lookup": finding_evidence_lookup, "lookup_by_primary_key": lookup_by_primary_key, "lookup_by_alternate_key": lookup_by_alternate_key, "proof_status": proof_status,
     "evidence_cube": evidence_cube, "sample_fingerprints": sample_fingerprints, "redacted_records": redacted_records, "audit_report": audit_report,
 }
 
 SQL = {
+    "coco_scan": """SELECT 'size ' || p_size AS category_name, l_linenumber % 2 = 1 AS is_crowd, '}' || l_returnflag AS mode, count(*) AS n, count(DISTINCT l_partkey) AS n_samples, sum(l_quantity * (l_quantity + 1))::BIGINT AS area,
+  max(length('[[0.0,0.0,' || l_quantity::DOUBLE || ',0.0,' || l_quantity::DOUBLE || ',' || l_quantity::DOUBLE || ']]')) AS longest FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL
+UNION ALL SELECT 'DUPLICATE_ANNOTATION', NULL, NULL, count(*), NULL, NULL, NULL FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) HAVING count(*) > 0""",
     "evidence_findings_join": "SELECT o_custkey % 25 AS project_id, o_orderstatus AS disposition, count(*) AS n, sum(l_quantity) AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL",
     "sample_version_join": "SELECT o_orderkey % 4 AS project_id, c_mktsegment, count(*) AS n, count(DISTINCT c_custkey) AS n_datasets FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2",
     "semi_join_ids": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000)",

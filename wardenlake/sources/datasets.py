@@ -1,6 +1,6 @@
 """Dataset scans: COCO, YOLO and image folders as the same two tables.
 
-samples: sample_id, relative_path, file_size_bytes, width, height, channels; annotations: sample_id, category_name, x, y, w, h. Faults
+samples: sample_id, relative_path, file_size_bytes, width, height, channels; annotations: sample_id, category_name, x, y, w, h (COCO has more). Faults
 (duplicate ids, dangling references, boxes that aren't) come as a table of code and detail; checked() raises on them."""
 
 from __future__ import annotations
@@ -10,6 +10,10 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.shared import materialize
+from .json_elements import elements
 
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff")
 
@@ -52,24 +56,43 @@ def detect_format(spark: SparkSession, root: str) -> str:
     return found[0]
 
 
-_COCO = "images array<struct<id:bigint,file_name:string,width:int,height:int>>, annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:int>>, categories array<struct<id:bigint,name:string>>"
+# The fields of COCO's elements; all others are kept as attributes.
+_COCO = {
+    "images": "id bigint, file_name string, width int, height int",
+    "annotations": "id bigint, image_id bigint, category_id bigint, bbox array<double>, area double, iscrowd string, is_crowd string, segmentation string",
+    "categories": "id bigint, name string, supercategory string",
+}
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """samples, annotations, faults of one COCO file or many."""
-    doc = spark.read.schema(_COCO).json(path, multiLine=True)
-    part = lambda c: doc.select(F.explode(c).alias("x")).select("x.*")
-    images, notes, kinds = part("images"), part("annotations"), part("categories")
-    samples = images.select(F.col("id").cast("string").alias("sample_id"), safe_path(F.col("file_name")).alias("relative_path"), F.lit(None).cast("long").alias("file_size_bytes"), "width", "height", F.lit(3).alias("channels"))
-    joined = notes.join(kinds.select(F.col("id").alias("category_id"), F.col("name").alias("category_name")), "category_id", "left")
-    annotations = joined.select(F.col("image_id").cast("string").alias("sample_id"), "category_name", *(F.col("bbox")[i].alias(c) for i, c in enumerate("xywh")))
+    """samples, annotations, faults of one COCO file or many, each read by many tasks (see json_elements).
+
+    Annotations also have annotation_id, area, is_crowd, segmentation (JSON: polygons, or run lengths of a crowd), supercategory and attributes (all other
+    fields, as JSON); samples have attributes too."""
+    found, ends = elements(spark, path)
+
+    def part(section: str) -> DataFrame:
+        fields = T.StructType.fromDDL(_COCO[section])
+        rest = F.map_filter(F.from_json("text", T.MapType(T.StringType(), T.StringType())), lambda k, _: ~k.isin(*fields.names))
+        return found.where(F.col("section") == section).select(F.from_json("text", fields).alias("x"), rest.alias("attributes"), "text").select("x.*", "attributes", "text")
+
+    images, notes, kinds = (materialize(part(s), f"coco_{s}") for s in _COCO)
+    samples = images.select(F.col("id").cast("string").alias("sample_id"), safe_path(F.col("file_name")).alias("relative_path"), F.lit(None).cast("long").alias("file_size_bytes"), "width", "height", F.lit(3).alias("channels"), "attributes")
+    joined = notes.join(kinds.select(F.col("id").alias("category_id"), F.trim("name").alias("category_name"), "supercategory"), "category_id", "left")
+    crowd = F.coalesce(F.coalesce("iscrowd", "is_crowd").isin("1", "true"), F.lit(False))
+    annotations = joined.select(F.col("image_id").cast("string").alias("sample_id"), "category_name", *(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate("xywh")), F.col("id").alias("annotation_id"), "area", crowd.alias("is_crowd"), "segmentation", "supercategory", "attributes")
     fault = lambda code, df, detail: df.select(F.lit(code).alias("code"), detail.cast("string").alias("detail"))
-    twice = lambda df: df.groupBy("id").count().where("count > 1")
+    twice = lambda df, key: df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+    outline = F.from_json("segmentation", "array<array<double>>")
+    bad_outline = F.col("segmentation").startswith("[") & (outline.isNull() | F.exists(outline, lambda p: F.coalesce((F.size(p) < 6) | (F.size(p) % 2 == 1), F.lit(True))))
     faults = (
-        fault("DUPLICATE_IMAGE", twice(images), F.col("id")).union(fault("DUPLICATE_ANNOTATION", twice(notes), F.col("id"))).union(fault("DUPLICATE_CATEGORY", twice(kinds), F.col("id")))
+        fault("DUPLICATE_IMAGE", twice(images, "id"), F.col("id")).union(fault("DUPLICATE_ANNOTATION", twice(notes, "id"), F.col("id"))).union(fault("DUPLICATE_CATEGORY", twice(kinds, "id"), F.col("id")))
+        .union(fault("DUPLICATE_PATH", twice(samples, "relative_path"), F.col("relative_path")))
         .union(fault("DANGLING_IMAGE", notes.join(images, notes["image_id"] == images["id"], "left_anti"), F.col("id"))).union(fault("DANGLING_CATEGORY", joined.where("category_name is null"), F.col("id")))
         .union(fault("BAD_BOX", notes.where("size(bbox) <> 4 or bbox[2] <= 0 or bbox[3] <= 0"), F.col("id"))).union(fault("NEGATIVE_AREA", notes.where("area < 0"), F.col("id")))
-        .union(fault("UNSAFE_PATH", samples.where("relative_path is null"), F.col("sample_id")))
+        .union(fault("BAD_SEGMENTATION", notes.where(bad_outline), F.col("id"))).union(fault("UNSAFE_PATH", samples.where("relative_path is null"), F.col("sample_id")))
+        .union(fault("BAD_CATEGORY", kinds.where("id is null or id < 0 or coalesce(trim(name), '') = ''"), F.col("text"))).union(fault("NO_ID", images.where("id is null").select("text").union(notes.where("id is null").select("text")), F.col("text")))
+        .union(fault("MALFORMED", ends.where("depth not in (0, -1) or in_string = 1"), F.col("file")))  # the reader adds a brace behind the last one
     )
     return samples, annotations, faults
 
