@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _on(spark: SparkSession, path: str):
+def on_store(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path, for what must be done once and not by tasks."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
@@ -28,7 +29,7 @@ def run_folder(spark: SparkSession) -> str:
     """This session's folder below the shared one; the file system deletes it when the JVM ends."""
     folder = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
     if getattr(spark.sparkContext, "_run_folder", None) != folder:
-        fs, path = _on(spark, folder)
+        fs, path = on_store(spark, folder)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
         spark.sparkContext._run_folder = folder
@@ -51,18 +52,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what materialize wrote for these, once nothing reads it any more."""
     for df in tables:
-        fs, path = _on(df.sparkSession, df._written_to)
+        fs, path = on_store(df.sparkSession, df._written_to)
         fs.delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all of the session's tables. Results that aren't written yet read them: write those first."""
-    fs, path = _on(spark, run_folder(spark))
+    fs, path = on_store(spark, run_folder(spark))
     fs.delete(path, True)
     fs.mkdirs(path)
 
 
 def kept(spark: SparkSession) -> list[str]:
     """The names of the session's tables that are still there."""
-    fs, path = _on(spark, run_folder(spark))
+    fs, path = on_store(spark, run_folder(spark))
     return sorted(s.getPath().getName() for s in fs.listStatus(path))

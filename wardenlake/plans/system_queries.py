@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..catalog import table
+from ..functions.shared import fresh_path
 from ..functions import text
 from ..operators import drift, images, inference, mutations
+from ..sources import catalog_sink
 from ..streaming import streams
 
 
@@ -38,10 +40,34 @@ def stream_dedupe(spark, d):
 
 
 def stream_replay_state(spark, d):
-    s = _stream(spark, d).select("user_id", "event_id", F.floor("value").cast("string").alias("nonce"))
+    s = _stream(spark, d).select("user_id", F.when(F.col("event_id") % 97 != 9, F.col("event_id")).alias("event_id"), F.floor("value").cast("string").alias("nonce"))
     return streams.run_available(streams.sequence_check(s, "user_id", "event_id", "nonce"), "update", ["user_id"])
 
 
+def stream_late_rows(spark, d):
+    """Events that arrive in four deliveries, some without a time, some with none that can be read, some three days late: accepted rows by type and dead rows by reason."""
+    e = table(spark, d, "events")
+    n, k, time = e.count(), F.col("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    raw = F.when(k % 50 == 3, F.lit(None)).when(k % 50 == 5, " ").when(k % 50 == 7, "yesterday").when(k % 50 == 11, F.date_format(F.col("ts") - F.expr("INTERVAL 3 DAYS"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).otherwise(time)
+    folder, files = fresh_path(spark, "deliveries"), 8
+    sent = e.select("event_id", "event_type", raw.alias("observed_at"))
+    for part in range(4):  # a delivery has as many files as a batch takes
+        sent.where(F.floor(k * 4 / n) == part).repartition(files).write.mode("append").parquet(folder)
+    accepted, dead, _ = streams.run_accounted(streams.read_stream(spark, folder, files), "observed_at", F.try_to_timestamp("observed_at", F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")), 86_400)
+    count = [F.count("*").alias("n"), F.sum("event_id").alias("ids")]
+    return accepted.groupBy("event_type").agg(*count).withColumn("reason", F.lit(None).cast("string")).unionByName(dead.groupBy("event_type", "reason").agg(*count))
+
+
+def catalog_ingest(spark, d):
+    """Documents and their sources written together to a catalogue, half of them first, then all, then all again: what a reader finds."""
+    root, docs = fresh_path(spark, "catalogue"), table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    for part in (docs.where("doc_id % 2 = 0"), docs, docs):
+        catalog_sink.write(root, {"documents": (part, "doc_id"), "sources": (part.groupBy("source", "lang").agg(F.min("doc_id").alias("first_id")).select("first_id", "source", "lang"), "first_id")})
+    gapless = (F.countDistinct("sequence") == F.count("*")) & (F.max("sequence") == F.count("*") - 1) & (F.min("sequence") == 0)
+    shown = [F.count("*").alias("n"), F.countDistinct("content_hash").alias("n_contents"), gapless.alias("gapless")]
+    return catalog_sink.read(spark, root, "documents").agg(*shown).withColumn("name", F.lit("documents")).unionByName(catalog_sink.read(spark, root, "sources").agg(*shown).withColumn("name", F.lit("sources")))
+
+
 def _images(spark, d):
     """A 32 x 32 picture for each part: pixel = (x * (k % 7 + 1) + y * (k % 5 + 1) + 40 * channel + k) % 256."""
 
@@ -205,7 +231,7 @@ def mutation_suite(spark, d):
 
 
 QUERIES = {
-    "stream_tumbling": stream_tumbling, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_dedupe": stream_dedupe, "stream_replay_state": stream_replay_state,
+    "stream_tumbling": stream_tumbling, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_dedupe": stream_dedupe, "stream_replay_state": stream_replay_state, "stream_late_rows": stream_late_rows, "catalog_ingest": catalog_ingest,
     "image_descriptors": image_descriptors, "image_quality": image_quality, "image_findings": image_findings, "image_hashes": image_hashes, "image_drift": image_drift,
     "perturbation_sensitivity": perturbation_sensitivity, "trigger_patterns": trigger_patterns, "image_preprocess": image_preprocess, "tensor_summary": tensor_summary, "output_faults": output_faults,
     "embedding_faults": embedding_faults, "detection_faults": detection_faults, "detection_matching": detection_matching, "box_iou": box_iou, "mask_agreement": mask_agreement, "stage_rollup": stage_rollup,
@@ -223,8 +249,13 @@ SQL = {
     "stream_sessions": """WITH a AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, TRUE)::INTEGER AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
 SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n FROM b GROUP BY user_id, s""",
     "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
-    "stream_replay_state": """WITH a AS (SELECT user_id, event_id, floor(value)::BIGINT AS nonce, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
-SELECT user_id, count(*) AS n, count(*) FILTER (event_id > p + 1) AS n_gaps, count(*) FILTER (event_id <= p) AS n_back, count(*) - count(DISTINCT nonce) AS n_replayed FROM a GROUP BY 1""",
+    "stream_replay_state": """WITH a AS (SELECT user_id, event_id, floor(value)::BIGINT AS nonce, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_id % 97 <> 9),
+k AS (SELECT user_id, count(*) FILTER (event_id > p + 1) AS n_gaps, count(*) FILTER (event_id <= p) AS n_back, count(*) - count(DISTINCT nonce) AS n_replayed FROM a GROUP BY 1)
+SELECT user_id, count(*) AS n, coalesce(any_value(n_gaps), 0) AS n_gaps, coalesce(any_value(n_back), 0) AS n_back, coalesce(any_value(n_replayed), 0) AS n_replayed, count(*) FILTER (event_id % 97 = 9) AS n_unknown FROM events LEFT JOIN k USING (user_id) GROUP BY 1""",
+    "stream_late_rows": """WITH e AS (SELECT event_id, event_type, event_id * 4 // count(*) OVER () AS part, event_id % 50 AS k, ts - CASE WHEN event_id % 50 = 11 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END AS seen FROM events),
+w AS (SELECT part, max(max(seen)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark FROM e WHERE k NOT IN (3, 5, 7) GROUP BY part)
+SELECT event_type, CASE WHEN k IN (3, 5) THEN 'MISSING_TIME' WHEN k = 7 THEN 'INVALID_TIME' WHEN seen < mark THEN 'TOO_LATE' END AS reason, count(*) AS n, sum(event_id)::BIGINT AS ids FROM e JOIN w USING (part) GROUP BY ALL""",
+    "catalog_ingest": """SELECT 'documents' AS name, count(*) AS n, count(*) AS n_contents, TRUE AS gapless FROM (SELECT DISTINCT lang, source, text FROM documents) UNION ALL SELECT 'sources', count(*), count(*), TRUE FROM (SELECT DISTINCT source, lang FROM documents)""",
     "image_descriptors": f"""WITH {_PIX}, lp AS (SELECT k, lag(v) OVER rx + lead(v) OVER rx + lag(v) OVER ry + lead(v) OVER ry - 4 * v AS l FROM gr WINDOW rx AS (PARTITION BY k, y ORDER BY x), ry AS (PARTITION BY k, x ORDER BY y)), lv AS (SELECT k, var_pop(l) AS l FROM lp GROUP BY 1),
 hs AS (SELECT k, floor(v)::INTEGER AS bin, count(*) / 1024.0::DOUBLE AS p FROM gr GROUP BY ALL), en AS (SELECT k, -sum(p * log2(p)) AS e FROM hs GROUP BY 1),
 ag AS (SELECT k, avg(v) AS mv, stddev_pop(v) AS sv, avg(r) AS rm, avg(g) AS gm, avg(b) AS bm, stddev_pop(r) AS rs, stddev_pop(g) AS gs, stddev_pop(b) AS bs, avg((v <= 0 OR v >= 255)::INTEGER) AS cl, avg(CASE WHEN hi > 1e-6 THEN (hi - lo) / (hi + 1e-6) ELSE 0 END) AS sa FROM gr GROUP BY 1)
