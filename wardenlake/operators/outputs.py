@@ -65,7 +65,7 @@ def global_drift(joint: DataFrame) -> DataFrame:
 
 def novelty_shift(x: DataFrame, y: DataFrame, permutations: int = 50, level: float = 0.05, mmd_at: float = 0.02, energy_at: float = 1.0, divergence_at: float = 0.05) -> DataFrame:
     """One row of two tables (v): mmd and energy (square roots), p_value by permutations, shifted, diverges (mean gap of the components' means)."""
-    energy = float(vectors.energy_distance(x, y)) ** 0.5
+    energy = float(vectors.energy_distance(x, y).first()[0]) ** 0.5
     means = [t.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")) for t in (x, y)]
     gap = means[0].join(means[1].withColumnRenamed("m", "n"), "i").agg(F.avg(F.abs(F.col("m") - F.col("n"))).alias("gap"))
     test = vectors.permutation_mmd(x, y, vectors.median_gamma(x, y), permutations)

@@ -76,12 +76,12 @@ def _halves(spark, d):
 
 def mmd_rbf(spark, d):
     x, y = _halves(spark, d)
-    return spark.createDataFrame([(round(vectors.mmd_rbf(x, y, 0.5), 6),)], "mmd2 double")
+    return vectors.mmd_rbf(x, y, 0.5).select(F.round("mmd2", 6).alias("mmd2"))
 
 
 def energy_distance(spark, d):
     x, y = _halves(spark, d)
-    return spark.createDataFrame([(round(vectors.energy_distance(x, y), 6),)], "energy double")
+    return vectors.energy_distance(x, y).select(F.round("energy", 6).alias("energy"))
 
 
 def mmd_permutation(spark, d):
@@ -89,6 +89,17 @@ def mmd_permutation(spark, d):
     return vectors.permutation_mmd(x, y, vectors.median_gamma(x, y)).select(F.round("observed", 6).alias("observed"), "p_value")
 
 
+def mmd_sketch_permutation(spark, d):
+    """The same test from random Fourier features: linear in the rows."""
+    x, y = _halves(spark, d)
+    return vectors.sketched_permutation_mmd(x, y, vectors.median_gamma(x, y)).select(F.round("observed", 6).alias("observed"), "p_value")
+
+
+def energy_sketch(spark, d):
+    x, y = _halves(spark, d)
+    return vectors.sliced_energy(x, y).select(F.round("energy", 6).alias("energy"), F.round("error", 6).alias("error"))
+
+
 def _prints(spark, d):
     """Each vector, and a copy of it with five or six components turned around."""
     e = _embeddings(spark, d).select("vec_id", "embedding")
@@ -119,7 +130,7 @@ def exact_dup_docs(spark, d):
 
 QUERIES = {
     "l2_normalize": l2_normalize, "cosine_knn": cosine_knn, "ood_mad_threshold": ood_mad_threshold, "ood_findings": ood_findings, "tensor_stability": tensor_stability,
-    "classification_stability": classification_stability, "replay_compare": replay_compare, "mmd_rbf": mmd_rbf, "energy_distance": energy_distance, "mmd_permutation": mmd_permutation,
+    "classification_stability": classification_stability, "replay_compare": replay_compare, "mmd_rbf": mmd_rbf, "energy_distance": energy_distance, "mmd_permutation": mmd_permutation, "mmd_sketch_permutation": mmd_sketch_permutation, "energy_sketch": energy_sketch,
     "sign_hash64": sign_hash64, "hamming_pairs_both": _related("both"), "hamming_pairs_any": _related("any"), "hamming_pairs_weighted": _related("weighted"), "dup_clusters": dup_clusters,
     "exact_dup_docs": exact_dup_docs,
 }
