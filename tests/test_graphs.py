@@ -112,7 +112,7 @@ def test_lineage_of_a_deep_chain(spark):
 def test_levels_of_cycles_and_strays(spark):
     a = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("c", 0.3), ("d", 0.4), ("e", 0.5), (None, 0.6), ("a", 0.1)], "node string, risk double")
     e = spark.createDataFrame([("b", "c", 1.0), ("c", "b", 1.0), ("c", "d", 1.0), ("ghost", "e", 1.0), (None, "a", 1.0), ("a", None, 1.0)], "src string, dst string, weight double")
-    assert {r["node"]: r["level"] for r in risk.levels(a, e).collect()} == {"a": 0, "b": None, "c": None, "d": None, "e": 0, None: None}
+    assert {r["node"]: r["level"] for r in risk.levels(a, e).collect()} == {"a": 0, "b": None, "c": None, "d": None, "e": 0, None: 0}
     with pytest.raises(ValueError, match="cycle"):
         risk.propagate(a, e)
     assert risk.levels(a.limit(0), e.limit(0)).count() == 0

@@ -137,7 +137,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     discard(live, needed, *([half] if half is not None else []))
     done = spark.read.schema(schema).parquet(path)
     rest = nodes.select("node").distinct().join(done.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
-    return done.unionByName(rest.withColumn("level", F.lit(None).cast("int")))
+    return done.unionByName(rest.withColumn("level", F.when(F.col("node").isNull(), 0)))  # nothing leads to a null node
 
 
 def propagate(assets: DataFrame, edges: DataFrame, gamma: float = GAMMA) -> DataFrame:
@@ -147,16 +147,17 @@ def propagate(assets: DataFrame, edges: DataFrame, gamma: float = GAMMA) -> Data
     Nodes lie by their level and edges by their source's. A level reads what was sent to it, its own nodes and their edges, and sends factors on to the levels of its
     edges' targets: every node, edge and factor is written and read once, however deep the graph."""
     spark = assets.sparkSession
+    assets, edges = materialize(assets, "assets"), materialize(edges.select("src", "dst", "weight"), "asset_edges")  # each is read several times
     lv = materialize(levels(assets, edges), "node_levels")
     if lv.where("level is null and node is not null").limit(1).count():
         raise ValueError("the asset graph has a cycle")
     top = lv.agg(F.max("level")).first()[0] or 0
     folder = fresh_path(spark, "lineage")
-    by_level = lambda df, name, level, key: df.repartitionByRange(level, key).write.partitionBy(level).parquet(f"{folder}/{name}")
-    by_level(assets.join(lv.where("level is not null"), "node").select("node", "risk", "level"), "nodes", "level", "node")
-    known = lv.where("level is not null")
+    by_level = lambda df, name, level: df.write.partitionBy(level).parquet(f"{folder}/{name}")
+    by_level(assets.join(lv.where("level is not null"), "node").select("node", "risk", "level"), "nodes", "level")
+    known = lv.where("level is not null and node is not null")
     ends = edges.join(known.select(F.col("node").alias("src"), F.col("level").alias("from")), "src").join(known.select(F.col("node").alias("dst"), F.col("level").alias("to")), "dst")
-    by_level(ends.select("src", "dst", F.col("weight").cast("double").alias("weight"), "from", "to"), "edges", "from", "src")
+    by_level(ends.select("src", "dst", F.col("weight").cast("double").alias("weight"), "from", "to"), "edges", "from")
     node_type = assets.schema["node"].dataType
     nodes = spark.read.schema(T.StructType([T.StructField("node", node_type), assets.schema["risk"], T.StructField("level", T.IntegerType())])).parquet(f"{folder}/nodes")
     out_edges = spark.read.schema(T.StructType([T.StructField("src", node_type), T.StructField("dst", node_type), T.StructField("weight", T.DoubleType()), T.StructField("to", T.IntegerType()), T.StructField("from", T.IntegerType())])).parquet(f"{folder}/edges")

@@ -146,6 +146,7 @@ def _graph(spark, d):
     ps = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     edges = n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"), F.lit(0.8).alias("weight"))
     edges = edges.union(s.select(name("n", "s_nationkey"), name("s", "s_suppkey"), F.lit(0.5))).union(ps.select(name("s", "l_suppkey"), name("p", "l_partkey"), F.lit(0.2)))
+    edges = materialize(edges, "graph")  # nodes come from it, and both are read several times
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     number = F.regexp_extract("node", r"\d+", 0).cast("long")
     return nodes.withColumn("risk", (number % 10) / 10.0), edges
