@@ -12,7 +12,8 @@ FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def _flag():
-    return F.when(F.col("l_returnflag") == "A", False).when(F.col("l_returnflag") == "R", True)
+    """Returned line items against all others."""
+    return F.col("l_returnflag") == "R"
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +23,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Line items returned as A (reference) and R (target), one row a feature."""
+    """Line items returned as R (target) and all others (reference), one row a feature."""
     return drift.melt(table(spark, d, "lineitem"), _flag(), FEATURES)
 
 
@@ -127,7 +128,7 @@ c AS (SELECT label, count(*) FILTER (NOT tgt) AS r, count(*) FILTER (tgt) AS t F
 n AS (SELECT sum(r)::DOUBLE AS nr, sum(t)::DOUBLE AS nt, count(*) AS k FROM c)"""
 _LONG = """l AS (SELECT l_returnflag = 'R' AS tgt, f.feature, f.value FROM lineitem,
   LATERAL (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value) f
-  WHERE l_returnflag IN ('A', 'R'))"""
+  WHERE l_returnflag IS NOT NULL)"""
 _KS_P = """CASE WHEN lam <= 1e-8 THEN 1.0 WHEN lam > 5 THEN 0.0 ELSE greatest(0.0, least(1.0,
   list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END)::DOUBLE * exp(-2.0 * k * k * lam * lam))))) END"""
 _KS = f"""v AS (SELECT feature, value, count(*) FILTER (NOT tgt) AS r, count(*) FILTER (tgt) AS t FROM l GROUP BY ALL),
@@ -148,7 +149,7 @@ w1 AS (SELECT g.feature, avg(abs((a.value + (b.value - a.value) * (fr - floor(fr
   JOIN wr a ON a.feature = g.feature AND NOT a.tgt AND a.i = floor(fr)::BIGINT JOIN wr b ON b.feature = g.feature AND NOT b.tgt AND b.i = ceil(fr)::BIGINT
   JOIN wr c ON c.feature = g.feature AND c.tgt AND c.i = floor(ft)::BIGINT JOIN wr d ON d.feature = g.feature AND d.tgt AND d.i = ceil(ft)::BIGINT GROUP BY g.feature)"""
 _GATE = "CASE WHEN sig AND prac THEN 'MATERIAL_SHIFT' WHEN sig THEN 'SIGNIFICANT_SHIFT' WHEN prac THEN 'SHIFT_DETECTED' ELSE 'NO_SHIFT_DETECTED' END"
-_FAMILY = f"""l AS (SELECT l_returnflag = 'R' AS tgt, s_nationkey::VARCHAR AS feature, l_quantity AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag IN ('A', 'R')),
+_FAMILY = f"""l AS (SELECT l_returnflag = 'R' AS tgt, s_nationkey::VARCHAR AS feature, l_quantity AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag IS NOT NULL),
 {_KS}, f AS (SELECT feature AS name, p, row_number() OVER (ORDER BY p, feature) AS rank, count(*) OVER () AS k FROM ks)"""
 
 
