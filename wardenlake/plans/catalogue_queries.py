@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..functions.shared import fresh_path
+from ..functions.shared import fresh_path, materialize, on_store
 from ..operators import catalogue, risk
-from ..sources import datasets, reports
+from ..sources import datasets, models, reports
 from .assurance_queries import _BAND, _EVID, _MILD, _evidence, _mild
 
 
@@ -115,12 +115,57 @@ def coco_scan(spark, d):
     return out.unionByName(bad, allowMissingColumns=True)
 
 
+def _model_files(tensors, folder, limit=16 << 20):
+    """path, size of safetensors files of `limit` bytes or one tensor (name, data), written by the tasks; files of attempts that failed aren't listed."""
+    import json
+    import struct
+    import uuid
+
+    import pyarrow as pa
+
+    def made(held):
+        table, at = {}, 0
+        for name, data in held:
+            table[name] = {"dtype": "U8", "shape": [len(data)], "data_offsets": [at, at := at + len(data)]}
+        head, path = json.dumps(table).encode(), f"{folder}/{uuid.uuid4().hex}.safetensors"
+        with models.create_path(path) as f:
+            f.write(struct.pack("<Q", len(head)) + head)
+            for _, data in held:
+                f.write(data)
+        return pa.RecordBatch.from_pydict({"path": [path], "size": [8 + len(head) + at]})
+
+    def run(batches):
+        held, n = {}, 0
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name in held or n + len(data) > limit and held:
+                    yield made([*held.items()])
+                    held, n = {}, 0
+                held[name] = data
+                n += len(data)
+        if held:
+            yield made([*held.items()])
+
+    return materialize(tensors.select("name", "data").mapInArrow(run, "path string, size long"), "model_files")
+
+
+def model_scan(spark, d):
+    """All texts as tensors of bytes in safetensors files, found by their headers and hashed by ranges."""
+    folder = fresh_path(spark, "models")
+    fs, path = on_store(spark, folder)
+    fs.mkdirs(path)
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    found = models.scan_ranges(_model_files(texts, folder))
+    return found.select(F.col("name").cast("long").alias("doc_id"), "format", "dtype", F.get("shape", F.lit(0)).alias("length"), "byte_length", "content_hash", "status")
+
+
 QUERIES = {
-    "coco_scan": coco_scan, "evidence_findings_join": evidence_findings_join, "sample_version_join": sample_version_join, "semi_join_ids": semi_join_ids, "traceability": traceability, "finding_evidence_lookup": finding_evidence_lookup, "lookup_by_primary_key": lookup_by_primary_key, "lookup_by_alternate_key": lookup_by_alternate_key, "proof_status": proof_status,
+    "model_scan": model_scan, "coco_scan": coco_scan, "evidence_findings_join": evidence_findings_join, "sample_version_join": sample_version_join, "semi_join_ids": semi_join_ids, "traceability": traceability, "finding_evidence_lookup": finding_evidence_lookup, "lookup_by_primary_key": lookup_by_primary_key, "lookup_by_alternate_key": lookup_by_alternate_key, "proof_status": proof_status,
     "evidence_cube": evidence_cube, "sample_fingerprints": sample_fingerprints, "redacted_records": redacted_records, "audit_report": audit_report,
 }
 
 SQL = {
+    "model_scan": """SELECT doc_id, 'safetensors' AS format, 'U8' AS dtype, octet_length(encode(coalesce(text, '')))::BIGINT AS length, octet_length(encode(coalesce(text, '')))::BIGINT AS byte_length, sha256(coalesce(text, '')) AS content_hash, 'VALID' AS status FROM documents""",
     "coco_scan": """SELECT 'size ' || p_size AS category_name, l_linenumber % 2 = 1 AS is_crowd, '}' || l_returnflag AS mode, count(*) AS n, count(DISTINCT l_partkey) AS n_samples, sum(l_quantity * (l_quantity + 1))::BIGINT AS area,
   max(length('[[0.0,0.0,' || l_quantity::DOUBLE || ',0.0,' || l_quantity::DOUBLE || ',' || l_quantity::DOUBLE || ']]')) AS longest FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL
 UNION ALL SELECT 'DUPLICATE_ANNOTATION', NULL, NULL, count(*), NULL, NULL, NULL FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) HAVING count(*) > 0""",
