@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import discard, materialize
 from ..functions.stats import clamp
 
 
@@ -97,12 +102,80 @@ def matched(reference: Column, candidate: Column, at: float = 0.5) -> Column:
     return F.aggregate(F.coalesce(sorted_pairs, F.array().cast("array<struct<d:double,s:int,z:double,i:int,k:int>>")), start, take, finish)
 
 
+def _sides(box: Column) -> tuple[Column, Column, Column, Column]:
+    x1, y1, x2, y2 = (F.get(box, F.lit(i)) for i in range(4))
+    return (x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1
+
+
+def overlapping(reference: DataFrame, candidate: DataFrame, image: str, at: float) -> DataFrame:
+    """image, r, c, iou of the pairs of boxes (id, box) of one image that overlap by at least `at`, which is above 0. Boxes meet by the cell of their centre on a grid as fine as
+    they are large, not by image: boxes whose IoU is `at` differ by at most 1 / at in their longer side and by (1 - at) times that side in their centres. So a crowded
+    image is no group, and each pair meets in one cell. Boxes without a positive, finite area pair with none."""
+    if not 0 < at <= 1:
+        raise ValueError("at must be above 0 and at most 1")
+
+    def placed(df: DataFrame) -> DataFrame:
+        x, y, w, h = _sides(F.col("box"))
+        side = F.greatest(w, h)
+        good = (w > 0) & (h > 0) & _finite(x) & _finite(y) & _finite(side) & (F.size("box") == 4)
+        return df.where(good).select(image, "id", "box", x.alias("x"), y.alias("y"), side.alias("side"), F.floor(F.log2(side)).cast("int").alias("size"))
+
+    cell = lambda v, size: F.floor(v / F.pow(F.lit(2.0), size + 1))
+    reach = math.ceil(math.log2(1 / at)) + 1  # one more, since a logarithm may be rounded
+    c = placed(candidate).select(image, "size", cell(F.col("x"), F.col("size")).alias("u"), cell(F.col("y"), F.col("size")).alias("v"), F.col("id").alias("c"), F.col("box").alias("q"))
+    r = placed(reference).select("*", F.explode(F.sequence(F.col("size") - reach, F.col("size") + reach)).alias("other"))
+    far = F.greatest(F.col("side"), F.least(F.pow(F.lit(2.0), F.col("other") + 1), F.col("side") / at)) * (1 - at + 1e-9)
+    spread = lambda v: F.sequence(cell(v - far, F.col("other")), cell(v + far, F.col("other")))
+    r = r.where(F.pow(F.lit(2.0), F.col("other")) <= F.col("side") / at * 1.000001).where(F.pow(F.lit(2.0), F.col("other") + 1) >= F.col("side") * at * 0.999999)
+    r = r.select(image, "id", "box", "other", F.explode(spread(F.col("x"))).alias("u"), "y", "side").select(image, F.col("id").alias("r"), F.col("box").alias("p"), F.col("other").alias("size"), "u", F.explode(spread(F.col("y"))).alias("v"))
+    return r.join(c, [image, "size", "u", "v"]).withColumn("iou", iou(F.col("p"), F.col("q"))).where(F.col("iou") >= at).select(image, "r", "c", "iou")
+
+
+def dominant(pairs: DataFrame, left: str, right: str, order: str, n_left: str, n_right: str) -> DataFrame:
+    """The pairs that a greedy pass by ascending order takes, with n, how often: each left can be taken n_left times and each right n_right times. Order must be without ties. In a
+    round, every pair that comes first for both its sides is taken as often as they allow; no pair before it can use them up, so the greedy pass takes the same. Pairs of which a side is used up go.
+    Rounds are as many as the longest chain in which each pair waits for the one before, two or three where boxes are apart; a round writes what it takes and what is left."""
+    rest, taken = materialize(pairs, "pairs"), []
+    while rest.head() is not None:
+        first = lambda side: rest.groupBy(side).agg(F.min(order).alias(f"__{side}"))  # noqa: E731, B023
+        best = rest.join(first(left), left).join(first(right), right).where((F.col(f"__{left}") == F.col(order)) & (F.col(f"__{right}") == F.col(order)))
+        best = materialize(best.select(*pairs.columns, F.least(n_left, n_right).alias("n")), "taken")
+        taken.append(best)
+        used = lambda side, n: best.select(side, F.col("n").alias(f"__{n}"))  # noqa: E731, B023
+        after = rest.join(used(left, n_left), left, "left").join(used(right, n_right), right, "left")
+        after = after.withColumns({n: F.col(n) - F.coalesce(F.col(f"__{n}"), F.lit(0)) for n in (n_left, n_right)}).where((F.col(n_left) > 0) & (F.col(n_right) > 0))
+        after = materialize(after.select(*pairs.columns), "pairs")
+        discard(rest)
+        rest = after
+    return reduce(DataFrame.unionByName, taken) if taken else rest.withColumn("n", F.lit(0).cast("long"))
+
+
 def match_detections(reference: DataFrame, candidate: DataFrame, image: str, at: float = 0.5) -> DataFrame:
-    """image, n_reference, n_candidate, n_matched, mean_iou, class_agreement (see matched). Boxes: box, label, score. Pairs are made within an image."""
-    r = reference.select(image, F.struct("box", "label", "score").alias("r")).groupBy(image).agg(F.collect_list("r").alias("rs"))
-    c = candidate.select(image, F.struct("box", "label", "score").alias("c")).groupBy(image).agg(F.collect_list("c").alias("cs"))
-    j = r.join(c, image, "full_outer").withColumn("m", matched(F.col("rs"), F.col("cs"), at))
-    return j.select(image, F.coalesce(F.size("rs"), F.lit(0)).alias("n_reference"), F.coalesce(F.size("cs"), F.lit(0)).alias("n_candidate"), F.col("m.n").alias("n_matched"), F.col("m.mean_iou").alias("mean_iou"), F.try_divide("m.same", "m.n").alias("class_agreement"))
+    """image, n_reference, n_candidate, n_matched, mean_iou, class_agreement, as `matched` has them, for images with any number of boxes. Boxes: box, label, score. Pairs with the greatest
+    IoU come first, then those of one label, then by the candidate's and the reference's score, null scores last; pairs that are alike in all of these go by box and label. Boxes that are alike
+    in all are one with a count, so that copies make no pairs among themselves. Images that are null are one image. Boxes without a positive area count and match nothing.
+    `matched` is the fold for arrays that a row holds already."""
+
+    def classes(df: DataFrame) -> DataFrame:
+        score = F.coalesce(-F.col("score").cast("double"), F.lit(float("inf")))
+        rows = df.select(F.struct(F.col(image).alias("image")).alias("__image"), F.col("box").cast("array<double>").alias("box"), "label", score.alias("score"))  # a struct of null joins as a value
+        kept = rows.groupBy("__image", "box", "label", "score").agg(F.count("*").alias("k"))
+        return materialize(kept.withColumn("id", F.monotonically_increasing_id()), "boxes")  # written, so that numbers stay what they are
+
+    r, c = classes(reference), classes(candidate)
+    side = lambda df, n: df.select(F.col("id").alias(n), F.col("k").alias(f"k{n}"), F.struct("box", "label", "score").alias(f"__{n}"))
+    pairs = overlapping(r, c, "__image", at).join(side(r, "r"), "r").join(side(c, "c"), "c")
+    same = F.col("__r.label").eqNullSafe(F.col("__c.label"))
+    order = F.struct((-F.col("iou")).alias("d"), (~same).alias("other"), *(F.col(f"__{x}").alias(x.replace(".", "_")) for x in ("c.score", "r.score", "r.box", "c.box", "r.label", "c.label")), "r", "c")
+    taken = dominant(pairs.select("__image", "r", "c", "kr", "kc", "iou", same.cast("long").alias("same"), order.alias("order")), "r", "c", "order", "kr", "kc")
+    zero = F.lit(0).cast("long")
+    counted = [r.select("__image", F.col("k").alias("a"), zero.alias("b"), zero.alias("m"), zero.alias("s"), F.lit(0.0).alias("t")), c.select("__image", zero, "k", zero, zero, F.lit(0.0))]
+    counted.append(taken.select("__image", zero, zero, "n", F.col("same") * F.col("n"), F.col("iou") * F.col("n")))
+    total = reduce(DataFrame.union, counted).groupBy("__image").agg(*(F.sum(x).alias(x) for x in "abmst"))
+    return total.select(
+        F.col("__image.image").alias(image), F.col("a").cast("int").alias("n_reference"), F.col("b").cast("int").alias("n_candidate"), F.col("m").cast("int").alias("n_matched"),
+        F.coalesce(F.try_divide("t", F.col("m").cast("double")), F.lit(0.0)).alias("mean_iou"), F.try_divide("s", "m").alias("class_agreement"),
+    )
 
 
 def sensitivity(out_l2: Column, in_l2: Column) -> tuple[Column, Column]:

@@ -266,6 +266,14 @@ SELECT vec_id, len(data)::BIGINT AS n, len(list_filter(data, lambda x: isnan(x))
   CASE WHEN list_min(f) >= 0 AND list_max(f) <= 1 THEN 'UNIT' WHEN list_min(f) >= -1 AND list_max(f) <= 1 THEN 'SIGNED_UNIT' WHEN list_min(f) >= 0 AND list_max(f) <= 255 THEN 'BYTE' ELSE 'UNBOUNDED' END AS range_class FROM s""",
     "output_faults": "SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN 'NON_FINITE' WHEN 1 THEN 'NON_FINITE' WHEN 5 THEN 'SUM_NOT_ONE' WHEN 6 THEN 'OUT_OF_RANGE,SUM_NOT_ONE' ELSE '' END AS faults FROM embeddings",
     "embedding_faults": f"WITH {_TENS} SELECT vec_id, CASE WHEN vec_id % 10 IN (0, 1) THEN 'NON_FINITE' WHEN abs(sqrt(list_dot_product(data, data)) - 1) > 1e-3 THEN 'NOT_UNIT' ELSE '' END AS faults FROM tn",
+    "detection_matching": """WITH RECURSIVE b AS (SELECT l_orderkey AS k, row_number() OVER () AS id, (l_partkey % 50)::DOUBLE AS x1, (l_suppkey % 40)::DOUBLE AS y1, (l_suppkey % 40)::DOUBLE + (l_quantity * 0.5 + 8) AS y2, (l_partkey % 50)::DOUBLE + (l_quantity + 5) AS x2,
+  (l_partkey % 50)::DOUBLE + 3 AS u1, (l_partkey % 50)::DOUBLE + 3 + (l_quantity + 5) AS u2, l_linenumber % 3 AS label, 1 - l_discount - l_partkey / 1e7 - l_suppkey / 1e9 AS score FROM lineitem),
+w AS (SELECT r.k, r.id AS r, c.id AS c, r.label = c.label AS same, r.score AS y, c.score AS z, greatest(0.0, least(r.x2, c.u2) - greatest(r.x1, c.u1)) * greatest(0.0, least(r.y2, c.y2) - greatest(r.y1, c.y1)) AS i, (r.x2 - r.x1) * (r.y2 - r.y1) + (c.u2 - c.u1) * (c.y2 - c.y1) AS a FROM b r JOIN b c ON r.k = c.k),
+p AS (SELECT k, r, c, same, i / (a - i) AS iou, row_number() OVER (ORDER BY i / (a - i) DESC, same DESC, z DESC, y DESC, r, c) AS o FROM w WHERE i / (a - i) >= 0.5),
+s AS (SELECT *, false AS taken FROM p UNION ALL SELECT k, r, c, same, iou, o, best FROM (SELECT *, bool_or(best) OVER (PARTITION BY r) OR bool_or(best) OVER (PARTITION BY c) AS gone FROM
+  (SELECT *, o = min(o) OVER (PARTITION BY r) AND o = min(o) OVER (PARTITION BY c) AS best FROM s WHERE NOT taken)) WHERE best OR NOT gone),
+m AS (SELECT k, count(*) AS n, sum(iou) AS t, count(*) FILTER (same) AS q FROM s WHERE taken GROUP BY k)
+SELECT k AS l_orderkey, count(*)::INTEGER AS n_reference, count(*)::INTEGER AS n_candidate, coalesce(any_value(n), 0)::INTEGER AS n_matched, round(coalesce(any_value(t) / any_value(n), 0), 6) AS mean_iou, round(any_value(q) / any_value(n), 6) AS class_agreement FROM b LEFT JOIN m USING (k) GROUP BY k""",
     "detection_faults": f"WITH {_BOX}, f AS (SELECT array_to_string(list_filter([CASE WHEN x2 > 90 OR y2 > 60 THEN 'OUT_OF_IMAGE' END, CASE WHEN label >= 2 THEN 'UNKNOWN_CLASS' END], lambda x: x IS NOT NULL), ',') AS faults FROM bx) SELECT faults, count(*) AS n FROM f GROUP BY 1",
     "box_iou": f"""WITH {_BOX}, i AS (SELECT *, greatest(0.0, least(x2, x2 + 2) - greatest(x1, x1 + 2)) * greatest(0.0, least(y2, y2 - 1) - greatest(y1, y1 - 1)) AS inter, (x2 - x1) * (y2 - y1) AS area FROM bx)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(inter / (2 * area - inter), 6) AS iou FROM i""",
