@@ -24,7 +24,9 @@ def melt(df: DataFrame, is_target: Column, features: Sequence[str], keys: Sequen
 
 
 def class_counts(df: DataFrame, label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
-    """keys, label, ref_count, target_count: the full outer join of both populations' counts as one aggregation."""
+    """keys, label, ref_count, target_count: the full outer join of both populations' counts as one aggregation. A table of such counts passes as it is."""
+    if {"ref_count", "target_count"} <= set(df.columns):
+        return df
     ref, target = (~F.col("is_target")).cast("long"), F.col("is_target").cast("long")
     return df.groupBy(*keys, F.col(label).cast("string").alias("label")).agg(F.sum(ref).alias("ref_count"), F.sum(target).alias("target_count"))
 
@@ -32,23 +34,50 @@ def class_counts(df: DataFrame, label: str = "label", keys: Sequence[str] = ())
 def categorical(df: DataFrame, label: str = "label", keys: Sequence[str] = (), level: float = 0.05, tvd_at: float = 0.05, jsd_at: float = 0.02) -> DataFrame:
     """One row a key: TVD, JSD (bits), smoothed chi-square goodness of fit, unseen and missing classes, dual gate."""
     counts = class_counts(df, label, keys)
-    total = counts.groupBy(*keys).agg(F.sum("ref_count").alias("n_ref"), F.sum("target_count").alias("n_target"), F.count("*").alias("k"))
+    total = counts.groupBy(*keys).agg(F.sum("ref_count").alias("n_ref"), F.sum("target_count").alias("n_target"), F.count("*").alias("__k"))
     c = counts.join(total, list(keys)) if keys else counts.crossJoin(F.broadcast(total))  # one row
     p, q = F.col("ref_count") / F.col("n_ref"), F.col("target_count") / F.col("n_target")
     m = (p + q) / 2
     kl = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    expected = F.col("n_target") * (F.col("ref_count") + EPSILON) / (F.col("n_ref") + F.col("k") * EPSILON)
-    out = c.groupBy(*keys, "n_ref", "n_target", "k").agg(
+    expected = F.col("n_target") * (F.col("ref_count") + EPSILON) / (F.col("n_ref") + F.col("__k") * EPSILON)
+    out = c.groupBy(*keys, "n_ref", "n_target", "__k").agg(
         clamp(F.sum(F.abs(p - q)) / 2).alias("tvd"), clamp(F.sum(kl(p) + kl(q)) / 2).alias("jsd"),
         F.sum((F.col("target_count") - expected) ** 2 / expected).alias("__chi2"),
         F.array_sort(F.collect_list(F.when((F.col("ref_count") == 0) & (F.col("target_count") > 0), F.col("label")))).alias("unseen"),
         F.array_sort(F.collect_list(F.when((F.col("ref_count") > 0) & (F.col("target_count") == 0), F.col("label")))).alias("missing"),
     )
-    one = F.col("k") <= 1
-    out = out.withColumn("chi_square", F.when(one, 0.0).otherwise(F.col("__chi2"))).withColumn("df", F.greatest(F.lit(1), F.col("k") - 1).cast("int"))
+    one = F.col("__k") <= 1
+    out = out.withColumn("chi_square", F.when(one, 0.0).otherwise(F.col("__chi2"))).withColumn("df", F.greatest(F.lit(1), F.col("__k") - 1).cast("int"))
     out = out.withColumn("p_value", F.when(one, 1.0).otherwise(chi_square_p("chi_square", "df")))
     significant, practical = F.col("p_value") <= level, (F.col("tvd") >= tvd_at) | (F.col("jsd") >= jsd_at) | (F.size("unseen") > 0)
-    return out.withColumn("status", dual_gate(significant, practical)).drop("__chi2", "k")
+    return out.withColumn("status", dual_gate(significant, practical)).drop("__chi2", "__k")
+
+
+def feature_impact(status: Column, effect: Column) -> Column:
+    """Operational impact of a numeric feature's shift."""
+    return F.when(status == "MATERIAL_SHIFT", F.when(effect >= 0.25, "HIGH").otherwise("MEDIUM")).when(status == "SIGNIFICANT_SHIFT", "LOW").when(status == "SHIFT_DETECTED", "MEDIUM").otherwise("NEGLIGIBLE")
+
+
+def label_impact(status: Column, tvd: Column, n_unseen: Column) -> Column:
+    """Operational impact of a shift of classes; classes that the reference lacks weigh most."""
+    known = F.when(status == "MATERIAL_SHIFT", F.when(tvd >= 0.20, "HIGH").otherwise("MEDIUM")).when(status == "SIGNIFICANT_SHIFT", "LOW").when(status == "SHIFT_DETECTED", "MEDIUM").otherwise("NEGLIGIBLE")
+    return F.when(n_unseen >= 3, "CRITICAL").when(n_unseen > 0, "HIGH").otherwise(known)
+
+
+def label_profile(df: DataFrame, label: str = "label", keys: Sequence[str] = (), imbalanced_at: float = 10.0) -> DataFrame:
+    """categorical, and of the target's classes: n_classes, imbalance_ratio (its most frequent class to its rarest; null with fewer than two), imbalanced, impact. Rows are counted once.
+    A key that is null or has no reference or no target is a row with the status INSUFFICIENT_DATA and no statistics; a null label is a class, which names leave out."""
+    counts = materialize(class_counts(df.where("is_target is not null"), label, keys), "classes")
+    seen = F.when(F.col("target_count") > 0, F.col("target_count"))
+    sizes = counts.groupBy(*keys).agg(F.sum("ref_count").alias("n_ref"), F.sum("target_count").alias("n_target"), F.count(seen).alias("n_classes"), F.max(seen).alias("__most"), F.min(seen).alias("__least")).where("n_ref + n_target > 0")
+    both = counts.join(sizes.where("n_ref > 0 and n_target > 0").select(*keys), list(keys), "left_semi") if keys else counts.join(F.broadcast(sizes.where("n_ref > 0 and n_target > 0").select("n_ref").withColumnRenamed("n_ref", "__n")), how="left_semi")
+    found = categorical(both, keys=keys)
+    out = sizes.join(found.drop("n_ref", "n_target"), list(keys), "left") if keys else sizes.join(F.broadcast(found.drop("n_ref", "n_target")), how="left")  # one row each
+    share = F.col("__least") / F.greatest(F.col("n_target"), F.lit(1))
+    ratio = F.when(F.col("n_classes") > 1, F.when(share > 1e-6, F.col("__most") / F.col("__least")).otherwise(100.0))
+    out = out.withColumn("imbalance_ratio", ratio).withColumn("imbalanced", F.coalesce(ratio >= imbalanced_at, F.lit(False)))
+    out = out.withColumn("status", F.coalesce("status", F.lit("INSUFFICIENT_DATA")))
+    return out.withColumn("impact", label_impact(F.col("status"), F.col("tvd"), F.coalesce(F.size("unseen"), F.lit(0)))).drop("__most", "__least")
 
 
 def pooled(df: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:

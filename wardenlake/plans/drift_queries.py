@@ -39,6 +39,14 @@ def label_drift(spark, d):
     return out.select(*(F.round(c, 6).alias(c) for c in ("tvd", "jsd", "chi_square", "p_value")), "df", "n_ref", "n_target", F.array_join("unseen", ",").alias("unseen"), F.array_join("missing", ",").alias("missing"), "status")
 
 
+def label_profile(spark, d):
+    """Sizes of line items as classes, returned against all others, for each nation of their suppliers."""
+    items = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    size = F.when(F.col("l_quantity") <= 2, "tiny").when(F.col("l_quantity") <= 20, "small").otherwise("large")
+    out = drift.label_profile(items.select("s_nationkey", _flag().alias("is_target"), size.alias("label")), keys=["s_nationkey"])
+    return out.select("s_nationkey", "n_ref", "n_target", "n_classes", *(F.round(c, 6).alias(c) for c in ("tvd", "jsd", "p_value", "imbalance_ratio")), "imbalanced", "status", "impact")
+
+
 def unseen_missing_classes(spark, d):
     """Ship months that only one of the two populations has: returned before, or still open."""
     df = table(spark, d, "lineitem").select((F.col("l_linestatus") == "O").alias("is_target"), F.date_format("l_shipdate", "yyyy-MM").alias("label"))
@@ -117,7 +125,7 @@ def exact_quantiles(spark, d):
 
 
 QUERIES = {
-    "label_counts": label_counts, "label_drift": label_drift, "unseen_missing_classes": unseen_missing_classes, "ks_two_sample": ks_two_sample, "psi_deciles": psi_deciles,
+    "label_counts": label_counts, "label_drift": label_drift, "label_profile": label_profile, "unseen_missing_classes": unseen_missing_classes, "ks_two_sample": ks_two_sample, "psi_deciles": psi_deciles,
     "wasserstein_grid": wasserstein_grid, "wasserstein_equal_n": wasserstein_equal_n, "feature_drift": feature_drift, "bh_fdr": _adjusted("bh"), "holm_fwer": _adjusted("holm"),
     "bonferroni": _adjusted("bonferroni"), "uncorrected": _adjusted("none"), "population_filter": population_filter, "hash_rank_subsample": hash_rank_subsample, "group_subsample": group_subsample,
     "population_identity": population_identity, "distribution_boundary": distribution_boundary, "exact_quantiles": exact_quantiles,
@@ -165,6 +173,12 @@ s AS (SELECT sum(abs(p - q)) / 2 AS tvd, sum((CASE WHEN p > 0 THEN p * log2(p /
 u AS (SELECT *, exp(-x / 2) * (1 + x / 2) AS pv FROM s),
 g AS (SELECT *, pv <= 0.05 AS sig, tvd >= 0.05 OR jsd >= 0.02 OR unseen <> '' AS prac FROM u)
 SELECT round(tvd, 6) AS tvd, round(jsd, 6) AS jsd, round(x, 6) AS chi_square, round(pv, 6) AS p_value, df::INTEGER AS df, n_ref, n_target, unseen, missing, {_GATE} AS status FROM g""",
+    "label_profile": f"""WITH c AS (SELECT s_nationkey, CASE WHEN l_quantity <= 2 THEN 'tiny' WHEN l_quantity <= 20 THEN 'small' ELSE 'large' END AS label, count(*) FILTER (l_returnflag <> 'R') AS r, count(*) FILTER (l_returnflag = 'R') AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+w AS (SELECT *, sum(r) OVER k AS nr, sum(t) OVER k AS nt, count(*) OVER k AS k FROM c WINDOW k AS (PARTITION BY s_nationkey)), p AS (SELECT *, r / nr AS p, t / nt AS q, (r / nr + t / nt) / 2 AS m, nt * (r + 1e-6) / (nr + k * 1e-6) AS ex FROM w),
+s AS (SELECT s_nationkey, max(nr)::BIGINT AS n_ref, max(nt)::BIGINT AS n_target, count(*) FILTER (t > 0) AS n_classes, sum(abs(p - q)) / 2 AS tvd, sum((CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END)) / 2 AS jsd, exp(-sum((t - ex) * (t - ex) / ex) / 2) AS pv,
+  CASE WHEN count(*) FILTER (t > 0) > 1 THEN max(t) / min(t) FILTER (t > 0) END AS ratio, bool_or(r = 0 AND t > 0) AS unseen FROM p GROUP BY 1), g AS (SELECT *, pv <= 0.05 AS sig, tvd >= 0.05 OR jsd >= 0.02 OR unseen AS prac FROM s), h AS (SELECT *, {_GATE} AS status FROM g)
+SELECT s_nationkey, n_ref, n_target, n_classes, round(tvd, 6) AS tvd, round(jsd, 6) AS jsd, round(pv, 6) AS p_value, round(ratio, 6) AS imbalance_ratio, coalesce(ratio >= 10, false) AS imbalanced, status,
+  CASE WHEN unseen THEN 'HIGH' WHEN status = 'MATERIAL_SHIFT' THEN CASE WHEN tvd >= 0.2 THEN 'HIGH' ELSE 'MEDIUM' END WHEN status = 'SIGNIFICANT_SHIFT' THEN 'LOW' WHEN status = 'SHIFT_DETECTED' THEN 'MEDIUM' ELSE 'NEGLIGIBLE' END AS impact FROM h""",
     "unseen_missing_classes": "SELECT strftime(l_shipdate, '%Y-%m') AS label, CASE WHEN count(*) FILTER (l_linestatus <> 'O') = 0 THEN 'unseen' WHEN count(*) FILTER (l_linestatus = 'O') = 0 THEN 'missing' ELSE 'shared' END AS kind FROM lineitem GROUP BY 1",
     "ks_two_sample": f"WITH {_LONG}, {_KS} SELECT feature, nr AS n_ref, nt AS n_target, round(ks, 6) AS ks, round(p, 6) AS p_value FROM ks",
     "psi_deciles": f"WITH {_LONG}, {_PSI} SELECT feature, round(psi, 6) AS psi, bins FROM psi",
