@@ -118,16 +118,16 @@ def overlapping(reference: DataFrame, candidate: DataFrame, image: str, at: floa
         x, y, w, h = _sides(F.col("box"))
         side = F.greatest(w, h)
         good = (w > 0) & (h > 0) & _finite(x) & _finite(y) & _finite(side) & (F.size("box") == 4)
-        return df.where(good).select(image, "id", "box", x.alias("x"), y.alias("y"), side.alias("side"), F.floor(F.log2(side)).cast("int").alias("size"))
+        return df.where(good).select(image, "id", "box", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), side.alias("side"), F.floor(F.log2(side)).cast("int").alias("size"))
 
     cell = lambda v, size: F.floor(v / F.pow(F.lit(2.0), size + 1))
     reach = math.ceil(math.log2(1 / at)) + 1  # one more, since a logarithm may be rounded
     c = placed(candidate).select(image, "size", cell(F.col("x"), F.col("size")).alias("u"), cell(F.col("y"), F.col("size")).alias("v"), F.col("id").alias("c"), F.col("box").alias("q"))
     r = placed(reference).select("*", F.explode(F.sequence(F.col("size") - reach, F.col("size") + reach)).alias("other"))
-    far = F.greatest(F.col("side"), F.least(F.pow(F.lit(2.0), F.col("other") + 1), F.col("side") / at)) * (1 - at + 1e-9)
-    spread = lambda v: F.sequence(cell(v - far, F.col("other")), cell(v + far, F.col("other")))
+    far = lambda w: F.greatest(w, F.least(F.pow(F.lit(2.0), F.col("other") + 1), w / at)) * (1 - at + 1e-9)
+    spread = lambda v, w: F.sequence(cell(v - far(w), F.col("other")), cell(v + far(w), F.col("other")))
     r = r.where(F.pow(F.lit(2.0), F.col("other")) <= F.col("side") / at * 1.000001).where(F.pow(F.lit(2.0), F.col("other") + 1) >= F.col("side") * at * 0.999999)
-    r = r.select(image, "id", "box", "other", F.explode(spread(F.col("x"))).alias("u"), "y", "side").select(image, F.col("id").alias("r"), F.col("box").alias("p"), F.col("other").alias("size"), "u", F.explode(spread(F.col("y"))).alias("v"))
+    r = r.select(image, "id", "box", "other", F.explode(spread(F.col("x"), F.col("w"))).alias("u"), "y", "h").select(image, F.col("id").alias("r"), F.col("box").alias("p"), F.col("other").alias("size"), "u", F.explode(spread(F.col("y"), F.col("h"))).alias("v"))
     return r.join(c, [image, "size", "u", "v"]).withColumn("iou", iou(F.col("p"), F.col("q"))).where(F.col("iou") >= at).select(image, "r", "c", "iou")
 
 
