@@ -109,6 +109,8 @@ def psi(df: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10, range
     Edges and bins both come from the counts of distinct values (df: rows or counts)."""
     ranges = ranges_for(df, keys) if ranges is None else ranges
     values = pooled(df, keys)
+    if ranges > 1:
+        values = materialize(values, "pooled")  # brackets read it a few times
     edges = quantiles(values.where("r > 0"), keys, "value", {f"e{i}": i / bins for i in range(bins + 1)}, ranges, weight="r")
     edges = edges.select(*keys, F.array_sort(F.array_distinct(F.array(*(f"e{i}" for i in range(bins + 1))))).alias("edges"))
     inner = F.slice(F.col("edges"), 2, F.greatest(F.size("edges") - 2, F.lit(0)))

@@ -12,7 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialize
+
 ROWS_A_RANGE = 1_000_000
+#: A counting pass cuts a bracket at CELLS - 1 approximate quantiles, searched in strides of STRIDE.
+CELLS, STRIDE = 256, 16
 
 
 def ranges_for(df: DataFrame, keys: Sequence[str]) -> int:
@@ -24,7 +28,7 @@ def ranges_for(df: DataFrame, keys: Sequence[str]) -> int:
 def join_groups(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join on the keys of groups, in which null is a key like others."""
     if not keys:
-        return df.crossJoin(F.broadcast(other))  # the one group's one row
+        return df.crossJoin(F.broadcast(other))  # the one group's few rows
     named = other.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in other.columns if c not in keys))
     return df.join(named, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], how).drop(*(f"__k{i}" for i in range(len(keys))))
 
@@ -88,8 +92,60 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, ranges: int | N
     return running(finite.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("c")), keys, value, {"below": F.col("c")}, ranges)
 
 
+def _cells(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """keys, __rank0 (weight in the cells before), __c (weight in this one), __rows, __lo, __hi (its least and greatest value). Borders are approximate quantiles, which are values
+    themselves: each is a cell of its own and the values between two are one, so that a value of many rows never shares a cell. Only counts of cells are shuffled."""
+    at = [i / CELLS for i in range(1, CELLS)]
+    splits = rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx("__v", at, 1000))).alias("__splits"))
+    splits = splits.withColumn("__coarse", F.filter("__splits", lambda x, i: i % STRIDE == STRIDE - 1))
+    less = lambda c: F.size(F.filter(c, lambda x: x < F.col("__v")))
+    met = join_groups(rows, splits, keys).withColumn("__skip", less("__coarse") * STRIDE)
+    met = met.withColumn("__less", F.col("__skip") + less(F.slice("__splits", F.col("__skip") + 1, F.lit(STRIDE))))
+    own = F.coalesce(F.get("__splits", F.col("__less")) == F.col("__v"), F.lit(False)).cast("int")
+    cells = met.groupBy(*keys, (F.col("__less") * 2 + own).alias("__cell")).agg(F.sum("__w").alias("__c"), F.count("*").alias("__rows"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * CELLS rows a key
+    return materialize(cells.withColumn("__rank0", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__cell"), name)
+
+
+def bracketed(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], weight: str | None = None, few: int = ROWS_A_RANGE) -> DataFrame:
+    """quantiles for large groups, without a sort of all distinct values. Each pass reads df, counts the cells of the brackets that hold the wanted order statistics, and leaves of each
+    bracket the one cell that holds it (under a hundredth of its rows), until none has over few rows; the values of these are counted and ranked. Exact: borders only balance
+    the cells, places come from counts. Passes run when the plan is built; the driver reads one number a pass. df must give the same rows each time."""
+    v = F.col(value)
+    finite = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = finite.select(*keys, v.alias("__v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("__w")).where("__w > 0")
+    cells = _cells(rows, keys, "cells")
+    n = cells.groupBy(*keys).agg(F.sum("__c").alias("n"))
+    places = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in probabilities.items()}
+    wanted = F.array_distinct(F.array(*(f(x).cast("long") for x in places.values() for f in (F.floor, F.ceil))))
+    found = join_groups(cells, n.withColumn("__rank", F.explode(wanted)), keys).where("__rank0 <= __rank and __rank < __rank0 + __c").select(*keys, "n", "__rank", "__rank0", "__rows", "__lo", "__hi")
+    while (found.where("__lo < __hi").agg(F.max("__rows")).first()[0] or 0) > few:
+        inner = _cells(_within(rows, found.where("__lo < __hi"), keys), [*keys, "__at"], "cells").withColumnsRenamed({"__rank0": "__skipped", "__lo": "__lo2", "__hi": "__hi2", "__rows": "__rows2"})
+        narrow = join_groups(found.where("__lo < __hi").withColumn("__at", F.col("__lo")), inner, [*keys, "__at"]).withColumn("__rank0", F.col("__rank0") + F.col("__skipped"))
+        narrow = narrow.where("__rank0 <= __rank and __rank < __rank0 + __c").select(*keys, "n", "__rank", "__rank0", F.col("__rows2").alias("__rows"), F.col("__lo2").alias("__lo"), F.col("__hi2").alias("__hi"))
+        found = materialize(found.where("__lo = __hi").unionByName(narrow), "brackets")
+    open_ = found.where("__lo < __hi")
+    counts = _within(rows, open_, keys).groupBy(*keys, "__at", "__v").agg(F.sum("__w").alias("__c"))
+    counts = counts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*keys, "__at").orderBy("__v")))  # at most few rows a bracket
+    got = join_groups(open_.withColumn("__at", F.col("__lo")), counts, [*keys, "__at"]).withColumn("__upto", F.col("__upto") + F.col("__rank0"))
+    got = got.where("__upto - __c <= __rank and __rank < __upto").select(*keys, "n", "__rank", "__v")
+    every = found.where("__lo = __hi").select(*keys, "n", "__rank", F.col("__lo").alias("__v")).unionByName(got)
+    at = lambda x, f: F.max(F.when(F.col("__rank") == f(x).cast("long"), F.col("__v")))
+    wide = every.groupBy(*keys, "n").agg(*(a for name, x in places.items() for a in (at(x, F.floor).alias(f"__lo_{name}"), at(x, F.ceil).alias(f"__hi_{name}"))))
+    return wide.select(*keys, "n", *((F.col(f"__lo_{m}") + (F.col(f"__hi_{m}") - F.col(f"__lo_{m}")) * (x - F.floor(x))).alias(m) for m, x in places.items()))
+
+
+def _within(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that lie in a bracket (__lo to __hi) of their key, with its __lo as __at. A key has two brackets a quantile at most, and no two overlap."""
+    each = brackets.select(*keys, F.col("__lo").alias("__at"), F.col("__hi").alias("__until")).distinct()
+    return join_groups(rows, each, keys).where("__at <= __v and __v <= __until").drop("__until")
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], ranges: int | None = None, weight: str | None = None) -> DataFrame:
-    """keys, n and, for each name, the exact quantile with linear interpolation, by order statistics of the distinct values."""
+    """keys, n and, for each name, the exact quantile with linear interpolation: by ranks of the distinct values, or where groups are large (ranges above 1) by brackets."""
+    ranges = ranges_for(df, keys) if ranges is None else ranges
+    if ranges > 1:
+        return bracketed(df, keys, value, probabilities, weight)
     counts = value_counts(df, keys, value, ranges, weight)
     sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
     both = join_groups(counts, sizes, keys)

@@ -124,11 +124,17 @@ def exact_quantiles(spark, d):
     return out.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("p05", "p25", "p50", "p75", "p95")))
 
 
+def bracketed_quantiles(spark, d):
+    """Lengths of the documents of each source, one of which may hold most: brackets of counts, whatever the size."""
+    out = ordered.bracketed(table(spark, d, "documents"), ["source"], "n_chars", {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+    return out.select("source", "n", *(F.round(c, 6).alias(c) for c in ("p05", "p25", "p50", "p75", "p95")))
+
+
 QUERIES = {
     "label_counts": label_counts, "label_drift": label_drift, "label_profile": label_profile, "unseen_missing_classes": unseen_missing_classes, "ks_two_sample": ks_two_sample, "psi_deciles": psi_deciles,
     "wasserstein_grid": wasserstein_grid, "wasserstein_equal_n": wasserstein_equal_n, "feature_drift": feature_drift, "bh_fdr": _adjusted("bh"), "holm_fwer": _adjusted("holm"),
     "bonferroni": _adjusted("bonferroni"), "uncorrected": _adjusted("none"), "population_filter": population_filter, "hash_rank_subsample": hash_rank_subsample, "group_subsample": group_subsample,
-    "population_identity": population_identity, "distribution_boundary": distribution_boundary, "exact_quantiles": exact_quantiles,
+    "population_identity": population_identity, "distribution_boundary": distribution_boundary, "exact_quantiles": exact_quantiles, "bracketed_quantiles": bracketed_quantiles,
 }
 
 _ORDERS = """o AS (SELECT o_orderdate >= TIMESTAMP '1998-01-01' AS tgt, o_orderpriority AS label FROM orders),
@@ -201,5 +207,6 @@ WHERE user_id BETWEEN 1 AND 39 AND strftime(ts, '%Y-%m-%d %H:%M:%S') BETWEEN '20
     "population_identity": "SELECT o_orderstatus AS population, count(DISTINCT o_orderkey) AS n, sha256(string_agg(DISTINCT o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey::VARCHAR)) AS digest FROM orders GROUP BY 1",
     "distribution_boundary": """WITH c AS (SELECT o_orderpriority AS grp, count(*) FILTER (o_orderdate < TIMESTAMP '1998-01-01') AS n_ref, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-01-01') AS n_target FROM orders GROUP BY 1)
 SELECT grp, n_ref, n_target, CASE WHEN n_ref = 0 OR n_target = 0 THEN 'EMPTY_POPULATION' WHEN least(n_ref, n_target) < 30 THEN 'INSUFFICIENT_DATA' ELSE 'READY' END AS status FROM c""",
+    "bracketed_quantiles": "SELECT source, count(*) AS n, round(quantile_cont(n_chars, 0.05), 6) AS p05, round(quantile_cont(n_chars, 0.25), 6) AS p25, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.75), 6) AS p75, round(quantile_cont(n_chars, 0.95), 6) AS p95 FROM documents WHERE n_chars IS NOT NULL GROUP BY 1",
     "exact_quantiles": "SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.05), 6) AS p05, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.75), 6) AS p75, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY 1",
 }
