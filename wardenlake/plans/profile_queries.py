@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import drift, inference, integrity, outputs, risk
+from ..operators import comparison, drift, inference, integrity, outputs, risk
 from .assurance_queries import _EVID, _KEY, _evidence
 from .drift_queries import _flag
 from .system_queries import _BOX, _boxes
@@ -104,10 +104,44 @@ def model_comparison(spark, d):
     return per.select("model", "n_gone", integrity.drift_class(F.col("s"), F.col("w"), F.col("c")).alias("state"))
 
 
+def _parts(p):
+    """A brand's parts as a model: a tensor each, operators by container, inputs by size, one output, a step."""
+    none, nothing, text = F.lit(None).cast("array<long>"), F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+    out = lambda df, kind, name, shape=none, dtype=nothing, layout=nothing, size=F.lit(None).cast("long"), content=nothing: df.select(
+        F.col("p_brand").alias("model"), F.lit(kind).alias("kind"), name.alias("name"), shape.alias("shape"), dtype.alias("dtype"), layout.alias("layout"), size.alias("size"), content.alias("content"))
+    ops, ins, all_ = p.groupBy("p_brand", "p_type").count(), p.groupBy("p_brand", (F.col("p_size") % 4).alias("port")).agg(F.max("p_partkey").alias("k"), F.max("p_type").alias("t")), p.groupBy("p_brand").agg(F.max("p_size").alias("s"), F.count("*").alias("n"))
+    return [
+        out(p, "tensor", text("p_partkey"), F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 3 + 1), F.col("p_type"), size=F.col("p_size") * F.lit(4).cast("long"), content=F.sha2("p_name", 256)),
+        out(ops, "operator", F.col("p_type"), size=F.col("count")), out(ins, "input", text("port"), F.array("k"), F.col("t"), F.when(F.col("k") % 2 == 0, "NCHW").otherwise("NHWC")),
+        out(all_, "output", F.lit("scores"), F.array(F.col("s").cast("long")), F.lit("F32")), out(all_, "preprocessing", F.lit("resize_shape"), content=text("n")),
+    ]
+
+
+def _models(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    q = p.where((k % 97 != 0) & (k % 25 != 3)).withColumns({
+        "p_size": F.when(k % 89 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")), "p_name": F.when(k % 83 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")),
+        "p_type": F.when(k % 101 == 0, F.lit("other")).otherwise(F.lower("p_type")), "p_partkey": F.when(k % 103 == 0, -k).otherwise(k),
+    })
+    union = lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+    return comparison.paired_parts(union(_parts(p)), union(_parts(q)), ["model"])
+
+
+def model_differences(spark, d):
+    """Every difference of structure and contract between two snapshots of each brand as a model."""
+    return comparison.model_differences(_models(spark, d), ["model"])
+
+
+def model_tiers(spark, d):
+    """The same models by tier: statuses, one of eight states, codes and counts of tensor changes."""
+    out = comparison.compare_models(_models(spark, d), ["model"])
+    return out.withColumn("reason_codes", F.array_join("reason_codes", ","))
+
+
 QUERIES = {
     "detection_profile": detection_profile, "detection_classes": detection_classes, "segmentation_profile": segmentation_profile, "latency_profile": latency_profile, "joint_drift": joint_drift,
     "global_drift": global_drift, "novelty_shift": novelty_shift, "time_accounting": time_accounting, "canonical_seconds": canonical_seconds, "duplicate_json_keys": duplicate_json_keys,
-    "metadata_maps": metadata_maps, "hierarchical_risk": hierarchical_risk, "model_comparison": model_comparison,
+    "metadata_maps": metadata_maps, "hierarchical_risk": hierarchical_risk, "model_comparison": model_comparison, "model_differences": model_differences, "model_tiers": model_tiers,
 }
 
 _FIVE = """count(*) AS n, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(quantile_cont(x, 0.25), 6) AS p25, round(median(x), 6) AS median,
@@ -115,7 +149,43 @@ _FIVE = """count(*) AS n, round(min(x), 6) AS min, round(max(x), 6) AS max, roun
 _SEVC = "CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.4 ELSE 0.2 END"
 _LEVEL = "CASE WHEN risk >= 0.85 THEN 'CRITICAL' WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.3 THEN 'MEDIUM' WHEN risk > 0 THEN 'LOW' ELSE 'NONE' END"
 
+_MODELS = """p AS (SELECT p_brand AS model, p_partkey AS k, p_size AS sz, p_type AS ty, p_name AS nm FROM part),
+q AS (SELECT p_brand AS model, CASE WHEN p_partkey % 103 = 0 THEN -p_partkey ELSE p_partkey END AS k, CASE WHEN p_partkey % 89 = 0 THEN p_size + 1 ELSE p_size END AS sz, CASE WHEN p_partkey % 101 = 0 THEN 'other' ELSE lower(p_type) END AS ty,
+  CASE WHEN p_partkey % 83 = 0 THEN p_name || '!' ELSE p_name END AS nm FROM part WHERE p_partkey % 97 <> 0 AND p_partkey % 25 <> 3),
+b AS (SELECT 'r' AS side, * FROM p UNION ALL SELECT 'c', * FROM q),
+t AS (SELECT side, model, k::VARCHAR AS name, '[' || sz || ',' || (k % 3 + 1) || ']' AS shape, sz * (k % 3 + 1) AS params, ty AS dtype, sha256(nm) AS content FROM b),
+o AS (SELECT side, model, ty AS name, count(*) AS n FROM b GROUP BY ALL), i AS (SELECT side, model, (sz % 4)::VARCHAR AS name, '[' || max(k) || ']' AS shape, max(ty) AS dtype, CASE WHEN max(k) % 2 = 0 THEN 'NCHW' ELSE 'NHWC' END AS layout FROM b GROUP BY ALL),
+a AS (SELECT side, model, '[' || max(sz) || ']' AS shape, count(*)::VARCHAR AS n FROM b GROUP BY ALL),
+tt AS (SELECT coalesce(x.model, y.model) AS model, coalesce(x.name, y.name) AS name, x.name IS NULL AS added, y.name IS NULL AS removed, x.shape AS rs, y.shape AS cs, x.dtype AS rd, y.dtype AS cd, x.content <> y.content AS cc FROM (SELECT * FROM t WHERE side = 'r') x FULL JOIN (SELECT * FROM t WHERE side = 'c') y USING (model, name)),
+oo AS (SELECT coalesce(x.model, y.model) AS model, coalesce(x.name, y.name) AS name, x.n AS r, y.n AS c FROM (SELECT * FROM o WHERE side = 'r') x FULL JOIN (SELECT * FROM o WHERE side = 'c') y USING (model, name)),
+ii AS (SELECT coalesce(x.model, y.model) AS model, coalesce(x.name, y.name) AS name, x.shape AS rs, y.shape AS cs, x.dtype AS rd, y.dtype AS cd, x.layout AS rl, y.layout AS cl, x.name IS NULL AS added, y.name IS NULL AS removed FROM (SELECT * FROM i WHERE side = 'r') x FULL JOIN (SELECT * FROM i WHERE side = 'c') y USING (model, name)),
+aa AS (SELECT model, x.shape AS rs, y.shape AS cs, x.n AS rn, y.n AS cn FROM (SELECT * FROM a WHERE side = 'r') x JOIN (SELECT * FROM a WHERE side = 'c') y USING (model)),
+m AS (SELECT model, count(*) FILTER (side = 'r') AS rt, count(*) FILTER (side = 'c') AS ct, sum(params) FILTER (side = 'r') AS rp, sum(params) FILTER (side = 'c') AS cp FROM t GROUP BY 1),
+n AS (SELECT model, count(*) FILTER (side = 'r') AS r, count(*) FILTER (side = 'c') AS c FROM i GROUP BY 1),
+f AS (SELECT model, 'tensor_schema' AS category, 'tensors.' || name AS path, NULL AS reference_value, cd || ' ' || cs AS candidate_value, 'HIGH' AS severity, 'ADDED_TENSOR_DETECTED' AS reason_code FROM tt WHERE added
+UNION ALL SELECT model, 'tensor_schema', 'tensors.' || name, rd || ' ' || rs, NULL, 'HIGH', 'REMOVED_TENSOR_DETECTED' FROM tt WHERE removed
+UNION ALL SELECT model, 'tensor_schema', 'tensors.' || name || '.shape', rs, cs, 'HIGH', 'TENSOR_SHAPE_MUTATION' FROM tt WHERE rs <> cs UNION ALL SELECT model, 'tensor_schema', 'tensors.' || name || '.dtype', rd, cd, 'HIGH', 'TENSOR_DTYPE_MUTATION' FROM tt WHERE upper(rd) <> upper(cd)
+UNION ALL SELECT model, 'operator', 'operators.' || name, r::VARCHAR, c::VARCHAR, CASE WHEN r IS NULL OR c IS NULL THEN 'HIGH' ELSE 'MEDIUM' END, CASE WHEN r IS NULL OR c IS NULL THEN 'OPERATOR_PRESENCE_MISMATCH' ELSE 'OPERATOR_COUNT_MISMATCH' END FROM oo WHERE r IS DISTINCT FROM c
+UNION ALL SELECT model, 'input_descriptor', 'inputs.' || name, NULL, cd || ' ' || cs, 'HIGH', 'ADDED_INPUT_CONTRACT' FROM ii WHERE added UNION ALL SELECT model, 'input_descriptor', 'inputs.' || name, rd || ' ' || rs, NULL, 'HIGH', 'REMOVED_INPUT_CONTRACT' FROM ii WHERE removed
+UNION ALL SELECT model, 'input_descriptor', 'inputs.' || name || '.shape', rs, cs, 'HIGH', 'INPUT_SHAPE_MUTATION' FROM ii WHERE rs <> cs UNION ALL SELECT model, 'input_descriptor', 'inputs.' || name || '.dtype', rd, cd, 'HIGH', 'INPUT_DTYPE_MUTATION' FROM ii WHERE upper(rd) <> upper(cd)
+UNION ALL SELECT model, 'input_descriptor', 'inputs.' || name || '.layout', rl, cl, 'MEDIUM', 'INPUT_LAYOUT_MUTATION' FROM ii WHERE rl <> cl
+UNION ALL SELECT model, 'output_descriptor', 'outputs.scores.shape', rs, cs, 'HIGH', 'OUTPUT_SHAPE_MUTATION' FROM aa WHERE rs <> cs UNION ALL SELECT model, 'preprocessing', 'preprocessing.resize_shape', rn, cn, 'HIGH', 'PREPROCESSING_RESIZE_MUTATION' FROM aa WHERE rn <> cn
+UNION ALL SELECT model, 'tensor_count', 'tensor_count', rt::VARCHAR, ct::VARCHAR, 'HIGH', 'TENSOR_COUNT_MISMATCH' FROM m WHERE rt <> ct AND ct > 0 UNION ALL SELECT model, 'parameter_count', 'parameter_count', rp::BIGINT::VARCHAR, cp::BIGINT::VARCHAR, 'HIGH', 'PARAMETER_COUNT_MISMATCH' FROM m WHERE rp <> cp AND ct > 0
+UNION ALL SELECT model, 'input_count', 'inputs.count', r::VARCHAR, c::VARCHAR, 'HIGH', 'INPUT_COUNT_MISMATCH' FROM n WHERE r <> c AND c > 0)"""
+
 SQL = {
+    "model_differences": f"WITH {_MODELS} SELECT f.* FROM f JOIN m USING (model) WHERE rt > 0 AND ct > 0",
+    "model_tiers": f"""WITH {_MODELS}, g AS (SELECT model, CASE WHEN added THEN 'ADDED' WHEN removed THEN 'REMOVED' WHEN cc AND (rs <> cs OR upper(rd) <> upper(cd)) THEN 'CONTENT_AND_METADATA_CHANGED' WHEN cc THEN 'CONTENT_CHANGED' WHEN rs <> cs OR upper(rd) <> upper(cd) THEN 'METADATA_CHANGED' ELSE 'UNCHANGED' END AS change FROM tt),
+u AS (SELECT model, count(*) FILTER (change = 'UNCHANGED') AS n_unchanged, count(*) FILTER (change = 'ADDED') AS n_added, count(*) FILTER (change = 'REMOVED') AS n_removed, count(*) FILTER (change = 'CONTENT_CHANGED') AS n_content_changed, count(*) FILTER (change = 'METADATA_CHANGED') AS n_metadata_changed,
+  count(*) FILTER (change = 'CONTENT_AND_METADATA_CHANGED') AS n_content_and_metadata_changed, bool_or(change <> 'UNCHANGED') AS w FROM g GROUP BY 1),
+h AS (SELECT model, coalesce(bool_or(category IN ('tensor_schema', 'operator')), FALSE) AS s, coalesce(bool_or(category IN ('input_descriptor', 'output_descriptor', 'preprocessing')), FALSE) AS c FROM m LEFT JOIN f USING (model) GROUP BY 1),
+v AS (SELECT u.*, s, c, ct > 0 AND rt > 0 AS ok FROM u JOIN h USING (model) JOIN m USING (model)),
+x AS (SELECT *, CASE WHEN ok THEN 'PARTIALLY_COMPARABLE' ELSE 'UNCOMPARABLE' END AS comparison_status, CASE WHEN NOT ok THEN 'STRUCTURE_UNAVAILABLE' WHEN s THEN 'STRUCTURAL_DRIFT' ELSE 'STRUCTURE_MATCH' END AS structural_status,
+  CASE WHEN NOT ok THEN 'WEIGHT_COMPARISON_UNAVAILABLE' WHEN w THEN 'WEIGHT_DRIFT' ELSE 'WEIGHT_MERKLE_MATCH' END AS weight_status, CASE WHEN NOT ok THEN 'CONTRACT_COMPARISON_UNAVAILABLE' WHEN c THEN 'CONTRACT_DRIFT' ELSE 'CONTRACT_MATCH' END AS contract_status,
+  CASE WHEN NOT ok THEN 'DRIFT_UNAVAILABLE' WHEN s AND w AND c THEN 'STRUCTURAL_WEIGHT_CONTRACT_DRIFT' WHEN s AND w THEN 'STRUCTURAL_AND_WEIGHT_DRIFT' WHEN s AND c THEN 'STRUCTURAL_AND_CONTRACT_DRIFT' WHEN w AND c THEN 'WEIGHT_AND_CONTRACT_DRIFT' WHEN s THEN 'STRUCTURAL_ONLY_DRIFT' WHEN w THEN 'WEIGHT_ONLY_DRIFT'
+    WHEN c THEN 'CONTRACT_ONLY_DRIFT' ELSE 'EXACT_INTEGRITY_MATCH' END AS drift FROM v)
+SELECT model, comparison_status, drift, 'ARTIFACT_UNAVAILABLE' AS artifact_status, structural_status, weight_status, contract_status, n_unchanged, n_added, n_removed, n_content_changed, n_metadata_changed, n_content_and_metadata_changed,
+  array_to_string(list_sort(list_distinct([comparison_status, drift, 'ARTIFACT_BYTES_DIFFER', 'MASTER_FINGERPRINT_MISMATCH', structural_status, weight_status, contract_status])), ',') AS reason_codes FROM x""",
     "detection_profile": f"""WITH {_BOX}, c AS (SELECT o_orderkey, count(l_orderkey)::DOUBLE AS x FROM orders LEFT JOIN bx ON l_orderkey = o_orderkey GROUP BY 1), m AS (SELECT 'count' AS measure, x FROM c UNION ALL SELECT 'area', greatest(0.0, (x2 - x1) * (y2 - y1)) FROM bx UNION ALL SELECT 'confidence', 1 - l_discount - l_partkey / 1e7 - l_suppkey / 1e9 FROM lineitem)
 SELECT measure, {_FIVE}, round(avg((x = 0)::INTEGER), 6) AS zero_share FROM m GROUP BY 1""",
     "detection_classes": f"WITH {_BOX} SELECT label::VARCHAR AS label, count(*) AS n FROM bx GROUP BY 1",
