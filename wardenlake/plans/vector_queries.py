@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import duplicates, vectors
+from ..operators import duplicates, representation, vectors
+
+#: Of the embeddings table.
+DIMENSION = 64
 
 
 def _embeddings(spark, d):
@@ -100,6 +103,23 @@ def energy_sketch(spark, d):
     return vectors.sliced_energy(x, y).select(F.round("energy", 6).alias("energy"), F.round("error", 6).alias("error"))
 
 
+def _models(spark, d):
+    """Embeddings of five models, labels from 5 up being the target's; some extractions failed or are too short."""
+    k, e = F.col("vec_id"), F.col("embedding")
+    broken = F.when(k % 37 == 0, F.lit(None)).when(k % 41 == 0, F.slice(e, 1, 3)).when(k % 43 == 0, F.transform(e, lambda x: x * 0)).otherwise(e)
+    return _embeddings(spark, d).select((F.col("label") % 5).alias("model"), (F.col("label") >= 5).alias("is_target"), broken.alias("embedding"))
+
+
+def representation_accounting(spark, d):
+    return representation.representation_accounting(_models(spark, d), ["model"], "embedding", DIMENSION)
+
+
+def representation_drift(spark, d):
+    """Drift of each model's embeddings: accounting, MMD and energy distance, status and severity."""
+    out = representation.representation_drift(_models(spark, d), ["model"], "embedding", DIMENSION)
+    return out.select(*(F.round(c, 6).alias(c) if c in ("gamma", "mmd2", "error", "energy") else F.col(c) for c in out.columns))
+
+
 def _prints(spark, d):
     """Each vector, and a copy of it with five or six components turned around."""
     e = _embeddings(spark, d).select("vec_id", "embedding")
@@ -130,7 +150,7 @@ def exact_dup_docs(spark, d):
 
 QUERIES = {
     "l2_normalize": l2_normalize, "cosine_knn": cosine_knn, "ood_mad_threshold": ood_mad_threshold, "ood_findings": ood_findings, "tensor_stability": tensor_stability,
-    "classification_stability": classification_stability, "replay_compare": replay_compare, "mmd_rbf": mmd_rbf, "energy_distance": energy_distance, "mmd_permutation": mmd_permutation, "mmd_sketch_permutation": mmd_sketch_permutation, "energy_sketch": energy_sketch,
+    "classification_stability": classification_stability, "replay_compare": replay_compare, "mmd_rbf": mmd_rbf, "energy_distance": energy_distance, "mmd_permutation": mmd_permutation, "mmd_sketch_permutation": mmd_sketch_permutation, "energy_sketch": energy_sketch, "representation_accounting": representation_accounting, "representation_drift": representation_drift,
     "sign_hash64": sign_hash64, "hamming_pairs_both": _related("both"), "hamming_pairs_any": _related("any"), "hamming_pairs_weighted": _related("weighted"), "dup_clusters": dup_clusters,
     "exact_dup_docs": exact_dup_docs,
 }
@@ -152,6 +172,9 @@ _SOFT = "list_transform({0}, lambda x: exp(x * 4.0) / list_sum(list_transform({0
 _KL = "list_sum(list_transform(list_zip({0}, {1}), lambda z: greatest(z[1], 1e-12) * ln(greatest(z[1], 1e-12) / greatest(z[2], 1e-12))))"
 
 SQL = {
+    "representation_accounting": """WITH e AS (SELECT label % 5 AS model, label >= 5 AS t, CASE WHEN vec_id % 37 = 0 THEN 'f' WHEN vec_id % 41 = 0 THEN 'i' WHEN vec_id % 43 = 0 THEN 'f' ELSE 'v' END AS s FROM embeddings WHERE label IS NOT NULL)
+SELECT model, count(*) FILTER (NOT t) AS reference_total, count(*) FILTER (NOT t AND s = 'v') AS reference_valid, count(*) FILTER (NOT t AND s = 'f') AS reference_failed, count(*) FILTER (NOT t AND s = 'i') AS reference_invalid,
+  count(*) FILTER (t) AS target_total, count(*) FILTER (t AND s = 'v') AS target_valid, count(*) FILTER (t AND s = 'f') AS target_failed, count(*) FILTER (t AND s = 'i') AS target_invalid FROM e GROUP BY 1""",
     "l2_normalize": f"WITH {_U.format(src='embeddings')} SELECT vec_id, (unnest(range(1, 65)) - 1)::INTEGER AS i, round(unnest(v), 6) AS x FROM u",
     "cosine_knn": f"WITH {_U.format(src='embeddings')}, {_PAIRS}, k AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(dist, 12), r) <= 10) SELECT q AS vec_id, round(avg(dist), 6) AS mean_distance, round(max(dist), 6) AS kth_distance FROM k GROUP BY q",
     "ood_mad_threshold": f"WITH {_U.format(src='embeddings')}, {_NOVEL} SELECT round(med, 6) AS median, round(mad, 6) AS mad, round(tau, 6) AS tau FROM ta",
