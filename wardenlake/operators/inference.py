@@ -82,6 +82,33 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(w * h, area(a) + area(b) - w * h), F.lit(0.0))
 
 
+#: How a box of four numbers is written: corners, least corner and sides, centre and sides.
+BOX_FORMS = ("xyxy", "xywh", "cxcywh")
+
+
+def box_form(box: Column, given: str, wanted: str, width: Column | None = None, height: Column | None = None) -> Column:
+    """The box in another form; with width and height given numbers are shares of the image's sides and become pixels. Null unless box has four numbers that are finite."""
+    if given not in BOX_FORMS or wanted not in BOX_FORMS:
+        raise ValueError(f"a form of boxes is one of {BOX_FORMS}")
+    a, b, c, d = (F.get(box, F.lit(i)).cast("double") * (F.lit(1.0) if side is None else side) for i, side in enumerate((width, height, width, height)))
+    w, h = (c - a, d - b) if given == "xyxy" else (c, d)
+    x, y = (a - w / 2, b - h / 2) if given == "cxcywh" else (a, b)
+    out = {"xyxy": (x, y, x + w, y + h), "xywh": (x, y, w, h), "cxcywh": (x + w / 2, y + h / 2, w, h)}[wanted]
+    return F.when((F.size(box) == 4) & F.forall(box, lambda v: F.coalesce(_finite(v), F.lit(False))), F.array(*out))
+
+
+def box_area(box: Column) -> Column:
+    """Of corners; a box turned inside out has none."""
+    w, h = (F.get(box, F.lit(i + 2)) - F.get(box, F.lit(i)) for i in (0, 1))
+    return F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
+
+
+def displacement(a: Column, b: Column) -> Column:
+    """How far the centres of two boxes (corners) lie apart."""
+    x, y = ((F.get(b, F.lit(i)) + F.get(b, F.lit(i + 2)) - F.get(a, F.lit(i)) - F.get(a, F.lit(i + 2))) / 2 for i in (0, 1))
+    return F.sqrt(x * x + y * y)
+
+
 def matched(reference: Column, candidate: Column, at: float = 0.5) -> Column:
     """n, mean_iou, same (pairs of one label) of two arrays of boxes (box, label, score): greedy one-to-one matching by IoU, class agreement, confidence,
     as a fold over the sorted pairs. Two empty arrays agree wholly; without a match mean_iou is 0."""

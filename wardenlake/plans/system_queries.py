@@ -190,6 +190,16 @@ def box_iou(spark, d):
     return _rounded(b.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", inference.iou(F.col("box"), moved).alias("iou")))
 
 
+def box_geometry(spark, d):
+    """Boxes as centre and sides, back to corners, their area and how far their centres lie from those of the boxes moved and grown."""
+    b = _boxes(spark, d, 0.0)
+    centred = inference.box_form(F.col("box"), "xyxy", "cxcywh")
+    again = inference.box_form(centred, "cxcywh", "xyxy")
+    moved = inference.box_form(F.transform(inference.box_form(F.col("box"), "xyxy", "xywh"), lambda x, i: x + F.when(i % 2 == 0, 3.0).otherwise(1.0)), "xywh", "xyxy")
+    parts = {n: F.get(centred, F.lit(i)) for i, n in enumerate(("cx", "cy", "w", "h"))}
+    return _rounded(b.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *(c.alias(n) for n, c in parts.items()), inference.box_area(again).alias("area"), inference.displacement(again, moved).alias("displacement")))
+
+
 def mask_agreement(spark, d):
     e = table(spark, d, "embeddings")
     cls = lambda x, at: F.when(x > 0.1, 2).when(x > at, 1).otherwise(0)
@@ -234,7 +244,7 @@ QUERIES = {
     "stream_tumbling": stream_tumbling, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_dedupe": stream_dedupe, "stream_replay_state": stream_replay_state, "stream_late_rows": stream_late_rows, "catalog_ingest": catalog_ingest,
     "image_descriptors": image_descriptors, "image_quality": image_quality, "image_findings": image_findings, "image_hashes": image_hashes, "image_drift": image_drift,
     "perturbation_sensitivity": perturbation_sensitivity, "trigger_patterns": trigger_patterns, "image_preprocess": image_preprocess, "tensor_summary": tensor_summary, "output_faults": output_faults,
-    "embedding_faults": embedding_faults, "detection_faults": detection_faults, "detection_matching": detection_matching, "box_iou": box_iou, "mask_agreement": mask_agreement, "stage_rollup": stage_rollup,
+    "embedding_faults": embedding_faults, "detection_faults": detection_faults, "detection_matching": detection_matching, "box_iou": box_iou, "box_geometry": box_geometry, "mask_agreement": mask_agreement, "stage_rollup": stage_rollup,
     "json_projection": json_projection, "vocabulary_filter": vocabulary_filter, "mutation_suite": mutation_suite,
 }
 
@@ -244,6 +254,8 @@ _PIX = """px AS (SELECT p_partkey AS k, x, y, ((x * (p_partkey % 7 + 1) + y * (p
   FROM part, (SELECT unnest(range(0, 32)) AS x), (SELECT unnest(range(0, 32)) AS y)), gr AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS v, greatest(r, g, b) / 255 AS hi, least(r, g, b) / 255 AS lo FROM px)"""
 
 SQL = {
+    "box_geometry": f"""WITH {_BOX} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((x1 + x2) / 2, 6) AS cx, round((y1 + y2) / 2, 6) AS cy, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h, round((x2 - x1) * (y2 - y1), 6) AS area,
+  round(sqrt(pow(3 + 3.0 / 2, 2) + pow(1 + 1.0 / 2, 2)), 6) AS displacement FROM bx""",
     "stream_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_sliding": "WITH x AS (SELECT unnest([date_trunc('day', ts)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY]) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY ALL",
     "stream_sessions": """WITH a AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, TRUE)::INTEGER AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
