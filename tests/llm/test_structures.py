@@ -264,6 +264,15 @@ def test_trust_rules(spark):
     assert by[16] == by[17] == ("", "", None, "allow") and by[18] == ("", "/fr", None, "allow")
 
 
+def test_trust_query_has_the_rules_of_its_contract(spark, tmp_path):
+    """com/fr/ and com/de/ end with a slash: pages beside these folders have no rule, and seed nothing."""
+    graph = [("http://x.com/fr/1", []), ("http://x.com/fr", []), ("http://a.x.com/france/1", []), ("http://y.com/de/", []), ("http://z.com/de", []), ("http://z.com/demo?/de/", []), ("http://com/de/1", []), ("http://example.org/en/12", []), ("http://example.org/es/", []), ("http://example.org/es", [])]
+    pages(spark, graph).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op13_link_trust(spark, str(tmp_path)).collect()}
+    assert [got[i][0] for i in range(len(graph))] == ["com/fr/", None, None, "com/de/", None, None, "com/de/", "example.org/en/1", "example.org/es/", "org/"]
+    assert [got[i][1] for i in (0, 3, 4, 5, 6, 7, 8, 9)] == ["allow", "block", "allow", "allow", "block", "block", "block", "allow"]
+
+
 def test_trust_edges(spark):
     assert link_trust.verdicts(pages(spark, GRAPH).limit(0)).count() == 0
     odd = [("http://" + "a." * 5000 + "com/q", []), ("http://1.2.3.4:80/x", []), ("://h.x.y#/p", []), ("a://b://c", []), ("http://x.com/fr\n/ü?", [])] * 2
