@@ -3,6 +3,9 @@
 import gzip
 import hashlib
 import random
+import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -272,3 +275,25 @@ def test_mixing_large_and_null_ids(spark):
     of = out.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") > 3 * F.col("size")).alias("over")).collect()
     assert len(of) == 3 and all(abs(r["taken"] - r["target"]) <= 3 and not r["over"] for r in of)
     assert sorted(r["n"] for r in by.collect()) == sorted(r["taken"] for r in of)
+
+
+def test_words_of_mixing(spark):
+    """Only the six ASCII characters of white space part words."""
+    texts = [None, "", " ", "a", " a", "a ", "x\u00a0x y", "a\x0bb\x0cc\rd\te\nf", "\x1c \x00 \x85", "\U0001f600 \U0001f600\u0301 $1 \\ x", "x" * 70_000 + " \n" * 70_000 + "x"]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", mixing.n_words(F.col("text")).alias("n")).collect()
+    assert [r["n"] for r in sorted(out)] == [len(re.findall(mixing.WORDS, t or "")) for t in texts]
+
+
+LARGE_TEXT = """
+from pyspark.sql import SparkSession, functions as F
+from wardenlake.llm import mixing
+spark = SparkSession.builder.master("local[1]").config("spark.driver.memory", "600m").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 12_000_000).alias("text"), F.lit("s").alias("source"))
+print("taken", mixing.mix_words(docs).first()["taken"])
+"""
+
+
+def test_mixing_of_a_large_text_in_a_small_heap():
+    """36 MB of text in one row: a list of its words wouldn't fit."""
+    run = subprocess.run([sys.executable, "-c", LARGE_TEXT], capture_output=True, text=True, timeout=120)
+    assert "taken 12000000" in run.stdout, run.stderr[-2000:]

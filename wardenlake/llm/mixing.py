@@ -31,6 +31,7 @@ BLOCK = 1024
 EPS = 1e-9
 LANDING = 14
 WORDS = r"[^\x20\x09-\x0D]+"
+SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def flight(p: np.ndarray, size: np.ndarray, noise: np.ndarray, leave: int = 2) -> np.ndarray:
@@ -71,6 +72,11 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.rint(out)
 
 
+def n_words(text: Column) -> Column:
+    """The words of a text, null as none. Each becomes one character and the white space goes: a list of the words would take many times the text's memory."""
+    return F.when(text.isNull(), 0).otherwise(F.length(F.translate(F.regexp_replace(text, WORDS, "x"), SPACES, ""))).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """From rows (source, size): source, source_size, n_docs, target. The windows run over one row a source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -94,8 +100,7 @@ def _unit(docs: DataFrame) -> Column:
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 8) -> DataFrame:
     """A row for each unit of docs (doc_id, text, source, ..), which is all rows that are equal in every column: unit (its digest), doc_id, size, n
     (its rows), source, source_size, target, whole (how often the mix takes each row) and more (how many of the rows it takes once more)."""
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORDS))).cast("long")
-    sized = materialize(docs.select("doc_id", "source", size.alias("size"), _unit(docs).alias("unit")), "sizes")
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _unit(docs).alias("unit")), "sizes")
     target = materialize(source_targets(sized, weights, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     r = F.when(F.abs(ratio - F.round(ratio)) < 1e-9, F.round(ratio)).otherwise(ratio)
