@@ -297,3 +297,28 @@ def test_mixing_of_a_large_text_in_a_small_heap():
     """36 MB of text in one row: a list of its words wouldn't fit."""
     run = subprocess.run([sys.executable, "-c", LARGE_TEXT], capture_output=True, text=True, timeout=120)
     assert "taken 12000000" in run.stdout, run.stderr[-2000:]
+
+
+def test_few_links_go_to_few_files(spark, monkeypatch):
+    """Tables of links have files by their rows, not one for each of many partitions; results are the same."""
+    files = {}
+
+    def recorded(df, name, *rows):
+        out = common.materialize(df, name, *rows)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    texts = [" ".join(f"w{g}_{i}" for i in range(60)) + (f" tail{c}" if c else "") for g in range(60) for c in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    monkeypatch.setattr(minhash, "materialize", recorded)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert out == {i: (i - i % 3, i % 3 == 0) for i in range(180)}
+    assert len(files["edges"]) > 2 and {n for t in ("edges", "joined", "components") for n in files[t]} == {1}

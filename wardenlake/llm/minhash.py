@@ -226,9 +226,10 @@ def _join_block(k: int, percent: int):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Rows (node, root) for every node of the links (a, b); root is the least node of its component. Large-star and small-star in turn."""
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows (node, root) for every node of the links (a, b); root is the least node of its component. Large-star and small-star in turn.
+    rows: about how many links there are, if known."""
+    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     mark = None
     while True:
         # a hub's edges are SALT keys, so that no task has them all; each key's least node, then the hub's, meets them
@@ -238,7 +239,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        before, edges = edges, materialize(small, "edges")
+        before, edges = edges, materialize(small, "edges", mark[0] if mark else rows)
         discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -287,7 +288,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .groupBy("node").agg(F.max(F.struct("est", "hub")).alias("x")).select(F.col("node").alias("a"), F.col("x.hub").alias("b"))
     )
     stars = confirmed(best)
-    joined = materialize(components(stars), "joined")
+    n = nodes.count()
+    joined = materialize(components(stars, n), "joined", n)
 
     marked = shared.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     sizes = marked.groupBy("key", "comp").agg(F.count("*").alias("c"))
@@ -315,9 +317,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = links.union(finer.drop("part", "more").join(texts, "node").groupBy("key", "lo", "hi", "x", "y").applyInArrow(_join_block(k, percent), "a binary, b binary"))
 
     # the least name of a component holds its id: no join by component, whose key a large one would make hot
-    of_node = components(links).select(F.substring("node", 10, 16).alias("node"), _id_of(F.col("root")).alias("component_id"))
+    of_node = components(links, n).select(F.substring("node", 10, 16).alias("node"), _id_of(F.col("root")).alias("component_id"))
     alone = nodes.join(of_node.select(F.col("node").alias("digest")), "digest", "left_anti").select(F.col("digest").alias("node"), _id_of(F.col("node")).alias("component_id"))
-    of_node = materialize(of_node.union(alone), "components")  # then both sides of the last join are plain shuffles, and a hot group of copies can be split
+    of_node = materialize(of_node.union(alone), "components", n)  # then both sides of the last join are plain shuffles, and a hot group of copies can be split
     done = sketch.select("doc_id", "node", "n_shingles").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return done.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
