@@ -77,3 +77,18 @@ def test_nulls_and_empty_tables(spark):
     assert inference.match_detections(df, none, "image").where("n_matched > 0").count() == 0
     with pytest.raises(ValueError, match="above 0"):
         inference.match_detections(df, df, "image", 0.0)
+
+
+@pytest.mark.parametrize("at", [0.1, 0.5])
+def test_only_crowds_meet_on_the_grid(spark, monkeypatch, at):
+    """Images with few boxes are matched in one pass by image: of all boxes only those of the crowded image are placed on the grid, and either way gives the greedy pass."""
+    rng, placed, real = random.Random(3), [], inference.overlapping
+    few = [f"i{i}" for i in range(40)]
+    ref, got = boxes(rng, 200, few, 12) + boxes(rng, 90, ["hot"], 30), boxes(rng, 200, [*few, "other"], 12) + boxes(rng, 90, ["hot"], 30)
+    monkeypatch.setattr(inference, "overlapping", lambda r, c, *rest: placed.append({x[0] for x in r.select("__image.image").distinct().collect()}) or real(r, c, *rest))
+    r, c = spark.createDataFrame(ref, SCHEMA).repartition(7), spark.createDataFrame(got, SCHEMA).repartition(5)
+    run = lambda **more: {x["image"]: (x["n_reference"], x["n_candidate"], x["n_matched"], round(x["mean_iou"], 9), x["class_agreement"]) for x in inference.match_detections(r, c, "image", at, **more).collect()}
+    want = greedy(ref, got, at)
+    assert run(crowd=100) == want and placed == [{"hot"}]
+    assert run() == want and len(placed) == 1
+    assert run(crowd=0) == want and len(placed) == 2

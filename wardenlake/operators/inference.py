@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,12 @@ from ..functions.shared import discard, materialize
 from ..functions.stats import clamp
 
 
+#: An image with more boxes of both sides than this is crowded: its boxes meet on a grid and not in one task.
+CROWD = 256
+#: Types by whose order and equality Arrow and Spark agree.
+_PLAIN = {"boolean", "tinyint", "smallint", "int", "bigint", "date", "string"}
+
+
 def _finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) < float("inf"))
 
@@ -134,6 +143,12 @@ def _sides(box: Column) -> tuple[Column, Column, Column, Column]:
     return (x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1
 
 
+def _extended(box: Column) -> Column:
+    """Whether a box has a positive, finite area."""
+    x, y, w, h = _sides(box)
+    return (w > 0) & (h > 0) & _finite(x) & _finite(y) & _finite(F.greatest(w, h)) & (F.size(box) == 4)
+
+
 def overlapping(reference: DataFrame, candidate: DataFrame, image: str, at: float) -> DataFrame:
     """image, r, c, iou of the pairs of boxes (id, box) of one image that overlap by at least `at`, which is above 0. Boxes meet by the cell of their centre on a grid as fine as
     they are large, not by image: boxes whose IoU is `at` differ by at most 1 / at in their longer side and by (1 - at) times that side in their centres. So a crowded
@@ -144,8 +159,7 @@ def overlapping(reference: DataFrame, candidate: DataFrame, image: str, at: floa
     def placed(df: DataFrame) -> DataFrame:
         x, y, w, h = _sides(F.col("box"))
         side = F.greatest(w, h)
-        good = (w > 0) & (h > 0) & _finite(x) & _finite(y) & _finite(side) & (F.size("box") == 4)
-        return df.where(good).select(image, "id", "box", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), side.alias("side"), F.floor(F.log2(side)).cast("int").alias("size"))
+        return df.where(_extended(F.col("box"))).select(image, "id", "box", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), side.alias("side"), F.floor(F.log2(side)).cast("int").alias("size"))
 
     cell = lambda v, size: F.floor(v / F.pow(F.lit(2.0), size + 1))
     reach = math.ceil(math.log2(1 / at)) + 1  # one more, since a logarithm may be rounded
@@ -177,16 +191,82 @@ def dominant(pairs: DataFrame, left: str, right: str, order: str, n_left: str, n
     return reduce(DataFrame.unionByName, taken) if taken else rest.withColumn("n", F.lit(0).cast("long"))
 
 
-def match_detections(reference: DataFrame, candidate: DataFrame, image: str, at: float = 0.5) -> DataFrame:
-    """image, n_reference, n_candidate, n_matched, mean_iou, class_agreement, as `matched` has them, for images with any number of boxes. Boxes: box, label, score. Pairs with the greatest
-    IoU come first, then those of one label, then by the candidate's and the reference's score, null scores last; pairs that are alike in all of these go by box and label. Boxes that are alike
-    in all are one with a count, so that copies make no pairs among themselves. Images that are null are one image. Boxes without a positive area count and match nothing.
-    `matched` is the fold for arrays that a row holds already."""
+def _greedy(r: np.ndarray, c: np.ndarray, keys: Sequence[np.ndarray]) -> np.ndarray:
+    """The places of the pairs (r, c) that a greedy one-to-one pass by keys takes; the first key counts most, pairs alike in all go by place. Pairs that share no side with another need no order."""
+    if not len(r):
+        return np.array([], np.int64)
+    alone = (np.bincount(r)[r] == 1) & (np.bincount(c)[c] == 1)
+    taken, left = [np.flatnonzero(alone)], np.flatnonzero(~alone)
+    left = left[np.lexsort([k[left] for k in reversed(keys)])]
+    while len(left):
+        first = []
+        for side in (r[left], c[left]):
+            at = np.empty(side.max() + 1, np.int64)
+            at[side[::-1]] = np.arange(len(left))[::-1]  # the last that is written is the first pair
+            first.append(at[side] == np.arange(len(left)))
+        best = left[first[0] & first[1]]
+        taken.append(best)
+        left = left[~np.isin(r[left], r[best]) & ~np.isin(c[left], c[best])]
+    return np.concatenate(taken)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Places of the values in their order, -1 for null."""
+    d = column.dictionary_encode()
+    place = np.empty(len(d.dictionary), np.int64)
+    place[pc.sort_indices(d.dictionary).to_numpy()] = np.arange(len(d.dictionary))
+    at = d.indices.fill_null(-1).to_numpy().astype(np.int64)
+    return np.where(at < 0, -1, place[at] if len(place) else -1)
+
+
+def _match_images(rows: pa.Table, start: np.ndarray, at: float) -> pa.RecordBatch:
+    """image, a, b, m, s, t of whole images; start: where each begins. All images go through at once, as arrays."""
+    column = lambda name: rows[name].combine_chunks()
+    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(rows))))
+    ref = column("ref").to_numpy(zero_copy_only=False)
+    box = np.stack([column(x).to_numpy(zero_copy_only=False) for x in ("x1", "y1", "x2", "y2")])
+    label, score, good = _codes(column("label")), column("score").to_numpy(zero_copy_only=False), ~np.isnan(box[0])
+    count = lambda mask, weight=None: np.bincount(of[mask], weight, len(start))
+    rs, cs = np.flatnonzero(ref & good), np.flatnonzero(~ref & good)
+    others = count(~ref & good)
+    n = others[of[rs]]
+    r = np.repeat(rs, n)
+    c = cs[np.repeat((np.cumsum(others) - others)[of[rs]] - (np.cumsum(n) - n), n) + np.arange(len(r))]
+    p, q = box[:, r], box[:, c]
+    with np.errstate(all="ignore"):
+        both = np.maximum(0.0, np.minimum(p[2], q[2]) - np.maximum(p[0], q[0])) * np.maximum(0.0, np.minimum(p[3], q[3]) - np.maximum(p[1], q[1]))
+        found = both / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - both)
+    near = np.flatnonzero(~(found < at))
+    r, c, found = r[near], c[near], found[near]
+    same = label[r] == label[c]
+    taken = _greedy(r, c, [-found, ~same, score[c], score[r], *box[:, r], *box[:, c], label[r], label[c]])
+    hit, same, found = r[taken], same[taken], found[taken]
+    got = [count(ref), count(~ref), count(hit), count(hit[same]), count(hit, found)]
+    return pa.RecordBatch.from_arrays([column("image").take(pa.array(start)), *(pa.array(x, pa.float64() if name == "t" else pa.int64()) for name, x in zip("abmst", got, strict=True))], names=["image", *"abmst"])
+
+
+def _match_sorted(batches: Iterator[pa.RecordBatch], at: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by image; an image that goes on in the next batch waits for it."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if not len(rows):
+            continue
+        ends = pc.run_end_encode(rows["image"].combine_chunks()).run_ends.to_numpy()
+        start = np.append(0, ends[:-1]).astype(np.int64)
+        if len(start) > 1:
+            yield _match_images(rows.slice(0, start[-1]), start[:-1], at)
+        held = rows.slice(start[-1])
+    if held is not None and len(held):
+        yield _match_images(held, np.zeros(1, np.int64), at)
+
+
+def _of_crowds(reference: DataFrame, candidate: DataFrame, at: float) -> DataFrame:
+    """image, a, b, m, s, t: as _match_images has them, for images with any number of boxes, which meet on a grid. Boxes that are alike in all are one with a count."""
 
     def classes(df: DataFrame) -> DataFrame:
-        score = F.coalesce(-F.col("score").cast("double"), F.lit(float("inf")))
-        rows = df.select(F.struct(F.col(image).alias("image")).alias("__image"), F.col("box").cast("array<double>").alias("box"), "label", score.alias("score"))  # a struct of null joins as a value
-        kept = rows.groupBy("__image", "box", "label", "score").agg(F.count("*").alias("k"))
+        kept = df.groupBy(F.struct("image").alias("__image"), "box", "label", "score").agg(F.count("*").alias("k"))  # a struct of null joins as a value
         return materialize(kept.withColumn("id", F.monotonically_increasing_id()), "boxes")  # written, so that numbers stay what they are
 
     r, c = classes(reference), classes(candidate)
@@ -198,9 +278,41 @@ def match_detections(reference: DataFrame, candidate: DataFrame, image: str, at:
     zero = F.lit(0).cast("long")
     counted = [r.select("__image", F.col("k").alias("a"), zero.alias("b"), zero.alias("m"), zero.alias("s"), F.lit(0.0).alias("t")), c.select("__image", zero, "k", zero, zero, F.lit(0.0))]
     counted.append(taken.select("__image", zero, zero, "n", F.col("same") * F.col("n"), F.col("iou") * F.col("n")))
-    total = reduce(DataFrame.union, counted).groupBy("__image").agg(*(F.sum(x).alias(x) for x in "abmst"))
-    return total.select(
-        F.col("__image.image").alias(image), F.col("a").cast("int").alias("n_reference"), F.col("b").cast("int").alias("n_candidate"), F.col("m").cast("int").alias("n_matched"),
+    return reduce(DataFrame.union, counted).groupBy("__image").agg(*(F.sum(x).alias(x) for x in "abmst")).select("__image.image", *"abmst")
+
+
+def match_detections(reference: DataFrame, candidate: DataFrame, image: str, at: float = 0.5, crowd: int = CROWD) -> DataFrame:
+    """image, n_reference, n_candidate, n_matched, mean_iou, class_agreement, as `matched` has them, for images with any number of boxes. Boxes: box, label, score. Pairs with the greatest
+    IoU come first, then those of one label, then by the candidate's and the reference's score, null scores last; pairs that are alike in all of these go by box and label. Boxes that are alike
+    in all are one with a count, so that copies make no pairs among themselves. Images that are null are one image. Boxes without a positive area count and match nothing.
+    Boxes of an image with at most crowd of them are shuffled once, by image, and matched as they come by; only those of crowded images are placed on a grid and written.
+    `matched` is the fold for arrays that a row holds already."""
+    if not 0 < at <= 1:
+        raise ValueError("at must be above 0 and at most 1")
+
+    def rows(df: DataFrame) -> DataFrame:
+        score = F.coalesce(-F.col("score").cast("double"), F.lit(float("inf")))
+        return df.select(F.col(image).alias("image"), F.col("box").cast("array<double>").alias("box"), "label", score.alias("score"))
+
+    r, c = rows(reference), rows(candidate)
+    kinds = dict(r.dtypes)
+    plain = kinds["image"] in _PLAIN and kinds["label"] in _PLAIN and kinds["image"] == dict(c.dtypes)["image"] and kinds["label"] == dict(c.dtypes)["label"]
+    crowds = materialize(r.select("image").union(c.select("image")).groupBy("image").count().where(F.col("count") > crowd).select(F.col("image").alias("__crowd"), F.lit(True).alias("__is")), "crowds") if plain else None
+    total = []
+    if plain:
+        few = crowds.count() <= 1_000_000
+        within = lambda df, how: df.join(F.broadcast(crowds) if few else crowds, F.col("image").eqNullSafe(F.col("__crowd")), how)
+        hot = crowds.head() is not None
+        corners = [F.when(_extended(F.col("box")), F.get("box", F.lit(i))).alias(x) for i, x in enumerate(("x1", "y1", "x2", "y2"))]
+        flat = [(within(df, "left_anti") if hot else df).select("image", F.lit(is_ref).alias("ref"), *corners, "label", "score") for df, is_ref in ((r, True), (c, False))]
+        met = flat[0].union(flat[1]).repartition("image").sortWithinPartitions("image")
+        total.append(met.mapInArrow(lambda batches: _match_sorted(batches, at), f"image {kinds['image']}, a long, b long, m long, s long, t double"))
+        if hot:
+            r, c = within(r, "left_semi"), within(c, "left_semi")
+    if not plain or hot:
+        total.append(_of_crowds(r, c, at))
+    return reduce(DataFrame.unionByName, total).select(
+        F.col("image").alias(image), F.col("a").cast("int").alias("n_reference"), F.col("b").cast("int").alias("n_candidate"), F.col("m").cast("int").alias("n_matched"),
         F.coalesce(F.try_divide("t", F.col("m").cast("double")), F.lit(0.0)).alias("mean_iou"), F.try_divide("s", "m").alias("class_agreement"),
     )
 
