@@ -68,8 +68,12 @@ def catalog_ingest(spark, d):
     return catalog_sink.read(spark, root, "documents").agg(*shown).withColumn("name", F.lit("documents")).unionByName(catalog_sink.read(spark, root, "sources").agg(*shown).withColumn("name", F.lit("sources")))
 
 
-def _images(spark, d):
-    """A 32 x 32 picture for each part: pixel = (x * (k % 7 + 1) + y * (k % 5 + 1) + 40 * channel + k) % 256."""
+#: So many pictures that a task which perturbs them takes seconds.
+IMAGES_A_TASK = 1024
+
+
+def _drawn(keys):
+    """A 32 x 32 picture for each p_partkey k: pixel = (x * (k % 7 + 1) + y * (k % 5 + 1) + 40 * channel + k) % 256."""
 
     def draw(batches):
         y, x, c = np.mgrid[:32, :32, :3]
@@ -77,7 +81,12 @@ def _images(spark, d):
             made = [((x * (k % 7 + 1) + y * (k % 5 + 1) + 40 * c + k) % 256).astype(np.uint8).tobytes() for k in pdf["p_partkey"]]
             yield pd.DataFrame({"image_id": pdf["p_partkey"], "height": 32, "width": 32, "channels": 3, "pixels": made})
 
-    return table(spark, d, "part").select("p_partkey").mapInPandas(draw, f"image_id long, {images.SCHEMA}")
+    return keys.mapInPandas(draw, f"image_id long, {images.SCHEMA}")
+
+
+def _images(spark, d):
+    """A picture for each part."""
+    return _drawn(table(spark, d, "part").select("p_partkey"))
 
 
 def _rounded(df, places=6):
@@ -111,17 +120,21 @@ def image_drift(spark, d):
 
 
 def perturbation_sensitivity(spark, d):
-    """How far each perturbation moves the pixels and the visual vector."""
-    base, out = _images(spark, d), None
-    for name in images.PERTURBATIONS:
-
-        def both(a: np.ndarray, name=name) -> dict:
+    """How far each perturbation moves the pixels and the visual vector. A picture is drawn once and meets all perturbations."""
+    keys = table(spark, d, "part").select("p_partkey")
+    base = _drawn(keys.repartition(max(1, -(-keys.count() // IMAGES_A_TASK))))  # a small file of keys is many pictures
+    names = [f"{of}_{name}" for name in images.PERTURBATIONS for of in ("input_rmse", "output_l2")]
+
+    def moved(a: np.ndarray) -> dict:
+        out, plain, vector = {}, a.astype(float), images.visual_vector(a)
+        for name in images.PERTURBATIONS:
             b = images.perturb(a, name, 7)
-            moved = float(np.sqrt(np.mean((a.astype(float) - b) ** 2)))
-            return {"input_rmse": moved, "output_l2": float(np.linalg.norm(np.subtract(images.visual_vector(a), images.visual_vector(b))))}
+            out[f"input_rmse_{name}"] = float(np.sqrt(np.mean((plain - b) ** 2)))
+            out[f"output_l2_{name}"] = float(np.linalg.norm(np.subtract(vector, images.visual_vector(b))))
+        return out
 
-        m = images.measure(base, both, ["input_rmse", "output_l2"]).agg(F.avg("input_rmse").alias("input_rmse"), F.avg("output_l2").alias("output_l2")).withColumn("perturbation", F.lit(name))
-        out = m if out is None else out.union(m)
+    m = images.measure(base, moved, names).agg(*(F.avg(n).alias(n) for n in names))
+    out = m.select(F.explode(F.array(*(F.struct(F.lit(name).alias("perturbation"), *(F.col(f"{of}_{name}").alias(of) for of in ("input_rmse", "output_l2"))) for name in images.PERTURBATIONS))).alias("x")).select("x.*")
     ratio, status = inference.sensitivity(F.col("output_l2"), F.col("input_rmse"))
     return out.select("perturbation", F.round("input_rmse", 4).alias("input_rmse"), F.round("output_l2", 6).alias("output_l2"), F.round(ratio, 6).alias("ratio"), status.alias("status"))
 
