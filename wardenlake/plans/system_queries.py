@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..functions.shared import fresh_path
+from ..functions.shared import fresh_path, materialize
 from ..functions import text
 from ..operators import drift, images, inference, mutations
 from ..sources import catalog_sink
@@ -237,20 +240,18 @@ def vocabulary_filter(spark, d):
 
 
 def mutation_suite(spark, d):
-    """Each damage to the orders or embeddings against its undamaged twin: does the drift gate see it, and only it?"""
+    """Each damage to the orders or embeddings against its undamaged twin: does the drift gate see it, and only it? All cases are groups of one table, so that each statistic is one plan."""
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.abs(F.hash("o_orderpriority") % 5).alias("label"), F.lit("c").alias("contributor"))
-    out = None
     cases = {
         "shift_feature": mutations.shift_feature(o, "o_totalprice", 60000.0), "scale_feature": mutations.scale_feature(o, "o_totalprice", 1.6), "drop_none": o,
         "flip_labels": mutations.flip_labels(o, "o_orderkey", "label", 5, 0.4), "target_label": mutations.target_label(o, "o_orderkey", "label", 1, 2, 0.9),
     }
-    for name, hurt in cases.items():
-        pair = o.withColumn("t", F.lit(False)).union(hurt.withColumn("t", F.lit(True)))
-        num = drift.psi(drift.melt(pair, F.col("t"), ["o_totalprice"])).select((F.col("psi") >= 0.10).alias("num"))
-        cat = drift.categorical(pair.select(F.col("t").alias("is_target"), F.col("label").cast("string").alias("label"))).select((F.col("tvd") >= 0.05).alias("cat"))
-        row = num.crossJoin(F.broadcast(cat)).select(F.lit(name).alias("mutation"), mutations.outcome(F.lit(False), F.col("num") | F.col("cat")).alias("outcome"))
-        out = row if out is None else out.union(row)
-    return out
+    side = lambda df, mutation, t: df.select(mutation.alias("mutation"), F.lit(t).alias("is_target"), "o_totalprice", F.col("label").cast("string").alias("label"))
+    pairs = reduce(DataFrame.union, (side(hurt, F.lit(name), True) for name, hurt in cases.items()), side(o, F.explode(F.array(*map(F.lit, cases))), False))
+    prices = materialize(drift.pooled(drift.melt(pairs, F.col("is_target"), ["o_totalprice"], ["mutation"]), ["mutation", "feature"]), "prices")  # edges and bins both read it
+    num = drift.psi(prices, ["mutation", "feature"]).select("mutation", (F.col("psi") >= 0.10).alias("num"))
+    cat = drift.categorical(pairs, keys=["mutation"]).select("mutation", (F.col("tvd") >= 0.05).alias("cat"))
+    return num.join(F.broadcast(cat), "mutation").select("mutation", mutations.outcome(F.lit(False), F.col("num") | F.col("cat")).alias("outcome"))  # a row a case
 
 
 QUERIES = {
