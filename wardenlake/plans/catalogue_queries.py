@@ -35,8 +35,8 @@ def traceability(spark, d):
     """Orders with their least line as primary evidence, all lines as referenced, parts as assets and records. Evidence and assets have the same ids in all five projects, and are others in each."""
     k, p = F.col("l_partkey") % 500, F.col("l_suppkey") % 5
     e = table(spark, d, "lineitem").select(p.alias("project_id"), F.concat(F.lit("e"), k).alias("evidence_id"), F.concat(F.lit("a"), (k * 7 + p) % 100).alias("asset_id"), F.col("l_orderkey").alias("finding_id"))
-    known = e.select("project_id", "evidence_id", "asset_id").distinct()
-    f = e.groupBy("project_id", "finding_id").agg(F.min("evidence_id").alias("evidence_id")).join(known, ["project_id", "evidence_id"])
+    known = materialize(e.select("project_id", "evidence_id", "asset_id").distinct(), "evidence")
+    f = e.groupBy("project_id", "finding_id").agg(F.min("evidence_id").alias("evidence_id")).join(catalogue.counted(known), ["project_id", "evidence_id"])
     r = table(spark, d, "part").select((F.col("p_partkey") % 5).alias("project_id"), F.concat(F.lit("a"), F.col("p_partkey") % 100).alias("asset_id"), F.concat(F.lit("r"), F.col("p_size")).alias("record_id")).distinct()
     out = catalogue.traceability(f, known, e.select("project_id", "finding_id", "evidence_id"), r)
     return out.groupBy("project_id", "finding_id", "kind").agg(F.count("*").alias("n"), F.min("ref").alias("least"), F.max("ref").alias("greatest"))
