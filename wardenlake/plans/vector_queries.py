@@ -27,8 +27,8 @@ def cosine_knn(spark, d):
 
 
 def ood_mad_threshold(spark, d):
-    out = vectors.novelty(_embeddings(spark, d), "embedding", "vec_id", "label")
-    return out.select(F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), F.round("tau", 6).alias("tau")).distinct()
+    out = vectors.novelty_threshold(_embeddings(spark, d), "embedding", "vec_id")
+    return out.select(F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), F.round("tau", 6).alias("tau"))
 
 
 def ood_findings(spark, d):
